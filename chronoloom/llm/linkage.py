@@ -82,14 +82,15 @@ def _id_map(pairs: DataFrame, broadcast: bool = True) -> DataFrame:
 
 
 def _minutes(day: Column, time: Column) -> Column:
-    """Minutes since 1970 of a local day and a text HH:mm:ss, null if either is missing or unreadable."""
+    """Minutes since 1970 of a day, by its number, and a text HH:mm:ss, null if either is missing or unreadable."""
     ok = time.rlike("^[0-2][0-9]:[0-5][0-9]")
-    return F.when(ok, F.unix_date(day) * 1440 + F.substring(time, 1, 2).cast("int") * 60 + F.substring(time, 4, 2).cast("int"))
+    return F.when(ok, day * 1440 + F.substring(time, 1, 2).cast("int") * 60 + F.substring(time, 4, 2).cast("int"))
 
 
 def _utc(day: Column, local: Column, utc: Column, offset: Column) -> Column:
     """UTC minutes of an event at a local day: from the local time and offset, else from both clocks, else from the UTC time on the day itself (then null if unsure)."""
-    here, there = _minutes(day, local), _minutes(day, utc)
+    number = F.unix_date(day)
+    here, there = _minutes(number, local), _minutes(number, utc)
     lead = F.pmod(here - there + FAR_ZONE * 60 - 120, F.lit(1440)) - (FAR_ZONE * 60 - 120)  # local minus UTC, from -12 h to +12 h
     return F.coalesce(here - offset.cast("int"), here - lead)
 
@@ -102,7 +103,7 @@ def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
         clean("operating_carrier_internal").alias("oc"), clean("marketing_carrier_internal").alias("mc"),
         _utc(F.col("operating_date"), F.col("passenger_departure_local_time"), F.col("passenger_departure_utc_time"), F.col("departure_utc_offset_minutes")).alias("off_utc"),
         _utc(F.date_add("operating_date", F.coalesce(F.col("arrival_day_indicator").cast("int"), F.lit(0))), F.col("passenger_arrival_local_time"), F.col("passenger_arrival_utc_time"), F.col("arrival_utc_offset_minutes")).alias("on_utc"),
-        F.col("intermediate_stop_station_codes_iata").alias("packed"),
+        _minutes(F.lit(0).cast("int"), F.col("passenger_departure_utc_time")).alias("off_clock"), F.col("intermediate_stop_station_codes_iata").alias("packed"),
     ).distinct()
     stops = split_packed(one, "pid", "packed").groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda s: s["value"]).alias("stops"))
     ids = _id_map(airlines)
@@ -110,11 +111,12 @@ def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
         one = one.join(F.broadcast(ids.withColumnRenamed("code", c).withColumnRenamed("ids", f"{c}_ids")), c, "left")
     route = F.concat(F.array("dep"), F.coalesce("stops", F.array().cast("array<string>")), F.array("arr"))
     carriers = F.array_distinct(F.concat(*[F.coalesce(F.col(f"{c}_ids"), F.array().cast("array<string>")) for c in ("oc", "mc")]))
-    rows = one.join(stops, "pid", "left").select("pid", "num", "day", "off_utc", "on_utc", carriers.alias("carriers"), route.alias("route"))
+    rows = one.join(stops, "pid", "left").select("pid", "num", "day", "off_utc", "on_utc", "off_clock", carriers.alias("carriers"), route.alias("route"))
     legs = rows.withColumn("legs", F.size("route") - 1).withColumn("leg", F.explode(F.sequence(F.lit(1), F.col("legs"))))
     return legs.select(
         "pid", "leg", "legs", "num", "day", F.get("route", F.col("leg") - 1).alias("dep"), F.get("route", F.col("leg")).alias("arr"), "carriers",
         F.when(F.col("leg") == 1, F.col("off_utc")).alias("off_utc"), F.when(F.col("leg") == F.col("legs"), F.col("on_utc")).alias("on_utc"), F.col("off_utc").alias("start_utc"),
+        F.when((F.col("leg") == 1) & F.col("off_utc").isNull(), F.col("off_clock")).alias("off_clock"),
     )
 
 
@@ -145,12 +147,14 @@ def _weigh(pairs: DataFrame, carriers: DataFrame, stations: DataFrame) -> DataFr
     carrier = F.when(F.size(common) > 0, F.coalesce("i_carrier", F.lit(5.0))).when((F.size("carriers") == 0) | (F.size("fcarriers") == 0), 0.0).otherwise(-CARRIER_CONFLICT)
     arrival = F.when(F.col("arr") == F.col("farr"), F.coalesce("i_arr", F.lit(4.0))).when(F.col("arr").isNull() | F.col("farr").isNull(), 0.0).when(F.col("astray"), -DIVERTED).otherwise(-ARRIVAL_CONFLICT)
     off, on = F.abs(F.col("foff") - F.col("off_utc")), F.abs(F.col("fon") - F.col("on_utc"))
-    near = F.least(off, F.when(F.col("astray"), F.lit(None)).otherwise(on))  # skips nulls
+    turn = F.pmod(F.col("foff") - F.col("off_clock"), F.lit(1440))
+    by_clock = F.least(turn, 1440 - turn)  # only where the day of the UTC time is unknown
+    near = F.least(off, F.when(by_clock <= 90, by_clock), F.when(F.col("astray"), F.lit(None)).otherwise(on))  # skips nulls
     time = F.when(near.isNull(), 0.0).when(near <= 30, 4.0).when(near <= 90, 3.0).when(near <= 180, 1.0).when(near <= 480, -2.0).otherwise(-TIME_CONFLICT)
     days = F.datediff("fday", "day")
     begun = F.col("foff") - F.col("start_utc")
     later = (F.col("leg") > 1) & ((days == 1) | begun.between(20, 2160))
-    day = F.when(days == 0, math.log(90)).when(days.isNull(), 0.0).when(F.abs(days) == 1, F.when(near <= 180, F.lit(1.0)).when(later, F.lit(2.0)).otherwise(-DATE_CONFLICT)).otherwise(-2 * DATE_CONFLICT)
+    day = F.when(days == 0, math.log(90)).when(days.isNull(), 0.0).when(F.abs(days) == 1, F.when(F.least(off, on) <= 180, F.lit(1.0)).when(later, F.lit(2.0)).when(by_clock <= 90, F.lit(-1.0)).otherwise(-DATE_CONFLICT)).otherwise(-2 * DATE_CONFLICT)
     # Legs after a stop fly after the service began, within a day and a half.
     order = F.when((F.col("leg") > 1) & begun.isNotNull(), F.when(begun.between(20, 2160), 1.0).otherwise(-TIME_CONFLICT)).otherwise(0.0)
     w = number + carrier + F.coalesce("i_dep", F.lit(4.0)) + arrival + time + day + order
