@@ -18,7 +18,6 @@ names, stay out unless named in `payload`.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +51,11 @@ def timeline(start: np.ndarray, end: np.ndarray, rank: np.ndarray) -> tuple[list
     return times, wins
 
 
-def _match(events: Iterator[pa.RecordBatch], versions: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    e, v = pa.Table.from_batches(list(events)), pa.Table.from_batches(list(versions))
+def _match(e: pa.Table, v: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Events and versions of some whole entities (or slices of them) matched dimension by dimension."""
     if not e.num_rows or not v.num_rows:
-        return
+        return schema.empty_table()
+    out = []
     dims = v["dim"].combine_chunks().dictionary_encode()
     names, dim = dims.dictionary, dims.indices.to_numpy()
     ent, start, end = (v[c].to_numpy() for c in ("entity", "start", "end"))
@@ -79,7 +79,8 @@ def _match(events: Iterator[pa.RecordBatch], versions: Iterator[pa.RecordBatch],
         pos = np.searchsorted(keys, (g << 32) + day[known] + 2**31, "right") - 1
         hit = (pos >= 0) & (keys[pos] >> 32 == g) & (wins[pos] >= 0)
         left, right = e.take(pa.array(known[hit])), v.take(pa.array(wins[pos[hit]]))
-        yield from pa.table([(left if f.name in e.column_names and f.name.startswith("e_") else right)[f.name].combine_chunks().cast(f.type) for f in schema], schema=schema).to_batches(100_000)
+        out.append(pa.table([(left if f.name == "e_id" else right)[f.name].cast(f.type) for f in schema], schema=schema))
+    return pa.concat_tables(out)
 
 
 def _slices(ev: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
@@ -130,5 +131,5 @@ def as_of_join(
 
     schema = pa.schema([*kinds.items(), *[(f"p_{c}", to_arrow_type(out[f"p_{c}"].dataType)) for c in payload]])
     keys = ["bucket", "slice", "salt"]
-    matched = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: pa.Table.from_batches(list(_match(iter(a.to_batches()), iter(b.to_batches()), schema)), schema=schema), spark_schema)
+    matched = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _match(a, b, schema), spark_schema)
     return matched.select(F.col("e_id").alias(event_id), F.col("dim").alias(dimension), F.col("id").alias(version_id), *[F.col(f"p_{c}").alias(c) for c in payload]).distinct()

@@ -51,8 +51,8 @@ def amendment_sides(changes: DataFrame, obs: DataFrame, signature: list[str], fi
 def amendments(sides: DataFrame, signature: list[str]) -> DataFrame:
     """(ord, removed_key, added_key, partners_removed, partners_added): pairs of the same signature whose periods overlap.
 
-    Pairs in which both sides have one partner are candidates, all others are ambiguous. Signatures are as rare as one
-    flight number on one route of one carrier in one comparison, so the pairs stay few.
+    Pairs in which both sides have one partner are candidates, all others are ambiguous. A signature
+    holds a carrier's route, and only keys removed or added in one comparison are paired, so the pairs stay few.
     """
     known = sides.dropna(subset=[*signature, "first", "last"])
     gone = known.where("side = 'removed'").select("ord", *signature, F.col("key").alias("removed_key"), F.col("first").alias("f1"), F.col("last").alias("l1"))

@@ -205,7 +205,7 @@ def month_end_calendar(spark: SparkSession, d: str) -> DataFrame:
 
 # -- Snapshots and states --------------------------------------------------------------------------------------------
 CONTENT = STATE_COLUMNS
-_SIGN = ["marketing_carrier_internal", "flight_number", "departure_station_code_iata", "arrival_station_code_iata"]
+_SIGN = ["marketing_carrier_internal", "departure_station_code_iata", "arrival_station_code_iata"]
 
 
 def _observed(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -338,8 +338,8 @@ def two_clock_capacity(spark: SparkSession, d: str) -> DataFrame:
     return states.capacity(_dated(spark, d), KNOWN, FLYING, _MARKET, _WEEK, "weekly_frequency", "total_seats", "effective_date", "discontinue_date")
 
 
-@query(_DATED + """SELECT k.at AS knowledge, p.at AS operating, count(*) AS states, count(*) FILTER (k.at = 'INSIDE' AND p.at <> 'BEFORE') AS eligible FROM dated d
-CROSS JOIN LATERAL (VALUES ('BEFORE'), ('INSIDE'), ('AT_END')) k(at) CROSS JOIN LATERAL (VALUES ('BEFORE'), ('INSIDE'), ('AT_END')) p(at) WHERE valid_to IS NOT NULL AND effective_date <= discontinue_date GROUP BY 1, 2""")
+@query(_DATED + """SELECT k.place AS knowledge, p.place AS operating, count(*) AS states, count(*) FILTER (k.place = 'INSIDE' AND p.place <> 'BEFORE') AS eligible FROM dated d
+CROSS JOIN (VALUES ('BEFORE'), ('INSIDE'), ('AT_END')) k(place) CROSS JOIN (VALUES ('BEFORE'), ('INSIDE'), ('AT_END')) p(place) WHERE valid_to IS NOT NULL AND effective_date <= discontinue_date GROUP BY 1, 2""")
 def both_clocks(spark: SparkSession, d: str) -> DataFrame:
     """For each closed state, days before, in and at the end of both clocks; only two of the nine combinations are eligible."""
     from chronoloom.functions.intervals import operates_within, visible_on
