@@ -21,8 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.packed import split_packed
-from chronoloom.session import cut
+from chronoloom.operators.packed import packed_values
+from chronoloom.session import cut, stored
 
 #: ln odds lost by a contradiction in each attribute, by a number that differs, and gained by the other legs' links.
 CARRIER_CONFLICT, ARRIVAL_CONFLICT, DIVERTED, TIME_CONFLICT, DATE_CONFLICT, NUMBER_CONFLICT, SUPPORT = 6.0, 12.0, 1.5, 6.0, 6.0, 6.0, 5.0
@@ -33,27 +33,33 @@ FAR_ZONE = 14
 
 
 def refine(edges: DataFrame, left: str, right: str, part: str, parts: str, weight: str, accept: float = ACCEPT, slack: float = SLACK, support: float = SUPPORT, max_rounds: int = 6) -> DataFrame:
-    """Edges (left, right, part, parts, weight) that are accepted, with their confidence.
+    """Edges (left, right, part, parts, weight) that are accepted, with their confidence; repeated edges count once.
 
-    right is a record made of `parts` parts; part numbers the one that the edge belongs to. Runs until a round accepts
-    the same number of edges with the same total score as the one before, at most max_rounds times.
+    right is a record made of `parts` parts; part numbers the one that the edge belongs to. Edges are pruned at either
+    end first. Only those of left records that touch a record of several parts can change after that, so only they
+    are voted on again, until a round accepts as many edges with the same total score as the one before, at most
+    max_rounds times.
     """
-    e = cut(edges.select(F.col(left).alias("l"), F.col(right).alias("r"), F.col(part).alias("part"), F.col(parts).alias("parts"), F.col(weight).alias("w"), F.col(weight).alias("score")))
     by_l, by_p, by_r = Window.partitionBy("l"), Window.partitionBy("r", "part"), Window.partitionBy("r")
-    seen = None
+    score = F.col("score")
+    e = edges.select(F.col(left).alias("l"), F.col(right).alias("r"), F.col(part).cast("short").alias("part"), F.col(parts).cast("short").alias("parts"), F.col(weight).cast("float").alias("w"))
+    e = e.repartition("l").groupBy("l", "r", "part", "parts").agg(F.max("w").alias("w")).withColumn("score", F.col("w"))
+    e = e.withColumn("top", F.max("score").over(by_l)).withColumn("votes", F.max(F.col("parts") > 1).over(by_l)).where(score >= F.col("top") - slack)
+    e = e.repartition("r").withColumn("top", F.max("score").over(by_p)).where(score >= F.col("top") - slack).drop("top")
+    e = stored(e)
+    settled, open_edges, seen = e.where("not votes and parts = 1"), e.where("votes or parts > 1").drop("votes"), None
     for _ in range(max_rounds):
-        # An edge lives if no edge of either end is much stronger; it is linked if it is strong enough, too.
-        top = e.withColumn("top_l", F.max("score").over(by_l)).withColumn("top_p", F.max("score").over(by_p))
-        live = top.where((F.col("score") >= F.col("top_l") - slack) & (F.col("score") >= F.col("top_p") - slack))
-        live = live.withColumn("ok", F.col("score") >= accept).withColumn("linked", F.size(F.collect_set(F.when(F.col("ok"), F.col("part"))).over(by_r)) - F.col("ok").cast("int"))
-        score = F.col("w") + F.lit(support) * F.when(F.col("parts") > 1, F.greatest("linked", F.lit(0)) / (F.col("parts") - 1)).otherwise(0.0)
-        e = cut(live.select("l", "r", "part", "parts", "w", score.alias("score")))
-        now = e.where(F.col("score") >= accept).agg(F.count("*"), F.round(F.sum("score"), 3)).first()
+        linked = F.size(F.collect_set(F.when(score >= accept, F.col("part"))).over(by_r)) - (score >= accept).cast("int")
+        gain = F.lit(support) * F.when(F.col("parts") > 1, F.greatest(linked, F.lit(0)) / (F.col("parts") - 1)).otherwise(0.0)
+        voted = open_edges.repartition("r").withColumn("score", (F.col("w") + gain).cast("float")).withColumn("top", F.max("score").over(by_p)).where(score >= F.col("top") - slack).drop("top")
+        open_edges = stored(voted.withColumn("top", F.max("score").over(by_l)).where(score >= F.col("top") - slack).drop("top"))
+        now = open_edges.where(score >= accept).agg(F.count("*"), F.round(F.sum(score.cast("double")), 2)).first()
         if now == seen:
             break
         seen = now
-    confidence = F.round(1 / (1 + F.exp((accept - F.col("score")) / 3)), 4)
-    return e.where(F.col("score") >= accept).select(F.col("l").alias(left), F.col("r").alias(right), F.col("part").alias(part), confidence.alias("confidence"))
+    kept = settled.drop("votes").unionByName(open_edges).where(score >= accept)
+    confidence = F.round(1 / (1 + F.exp((accept - score) / 3)), 4)
+    return kept.select(F.col("l").alias(left), F.col("r").alias(right), F.col("part").cast("int").alias(part), confidence.alias("confidence"))
 
 
 def information(df: DataFrame, column: str, least: float = 0.7) -> DataFrame:
@@ -96,7 +102,7 @@ def _utc(day: Column, local: Column, utc: Column, offset: Column) -> Column:
 
 
 def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
-    """Plan rows as legs between consecutive stations: (pid, leg, legs, num, day, dep, arr, carriers, off_utc, on_utc)."""
+    """Plan rows as legs between consecutive stations, repeated rows as they are: (pid, leg, legs, num, day, dep, arr, carriers, off_utc, on_utc, ...)."""
     clean = lambda c: F.nullif(F.upper(F.trim(F.col(c))), F.lit(""))
     one = plans.where("historical_source_row_id is not null").select(
         F.col("historical_source_row_id").alias("pid"), F.col("flight_number").alias("num"), F.col("operating_date").alias("day"), clean("departure_station_code_iata").alias("dep"), clean("arrival_station_code_iata").alias("arr"),
@@ -104,14 +110,14 @@ def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
         _utc(F.col("operating_date"), F.col("passenger_departure_local_time"), F.col("passenger_departure_utc_time"), F.col("departure_utc_offset_minutes")).alias("off_utc"),
         _utc(F.date_add("operating_date", F.coalesce(F.col("arrival_day_indicator").cast("int"), F.lit(0))), F.col("passenger_arrival_local_time"), F.col("passenger_arrival_utc_time"), F.col("arrival_utc_offset_minutes")).alias("on_utc"),
         _minutes(F.lit(0).cast("int"), F.col("passenger_departure_utc_time")).alias("off_clock"), F.col("intermediate_stop_station_codes_iata").alias("packed"),
-    ).distinct()
-    stops = split_packed(one, "pid", "packed").groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda s: s["value"]).alias("stops"))
+    )
+    one = packed_values(one, "packed", "stops")
     ids = _id_map(airlines)
     for c in ("oc", "mc"):
         one = one.join(F.broadcast(ids.withColumnRenamed("code", c).withColumnRenamed("ids", f"{c}_ids")), c, "left")
     route = F.concat(F.array("dep"), F.coalesce("stops", F.array().cast("array<string>")), F.array("arr"))
     carriers = F.array_distinct(F.concat(*[F.coalesce(F.col(f"{c}_ids"), F.array().cast("array<string>")) for c in ("oc", "mc")]))
-    rows = one.join(stops, "pid", "left").select("pid", "num", "day", "off_utc", "on_utc", "off_clock", carriers.alias("carriers"), route.alias("route"))
+    rows = one.select("pid", "num", "day", "off_utc", "on_utc", "off_clock", carriers.alias("carriers"), route.alias("route"))
     legs = rows.withColumn("legs", F.size("route") - 1).withColumn("leg", F.explode(F.sequence(F.lit(1), F.col("legs"))))
     return legs.select(
         "pid", "leg", "legs", "num", "day", F.get("route", F.col("leg") - 1).alias("dep"), F.get("route", F.col("leg")).alias("arr"), "carriers",
@@ -121,20 +127,17 @@ def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
 
 
 def flown_legs(flights: DataFrame, airports: DataFrame) -> DataFrame:
-    """Flown legs, one row each: (fid, fnum, fday, fdep, farr, fcarriers, foff, fon, astray)."""
+    """Flown legs, repeated rows as they are, as these may say less but nothing else: (fid, fnum, fday, fdep, farr, fcarriers, foff, fon, astray)."""
     # An id that versions give several codes gets the smallest, and a missing code the id itself.
     iata = airports.groupBy(F.col("airport_id").alias("a")).agg(F.min(F.upper(F.trim("airport_code_iata"))).alias("iata"))
-    # Repeated rows say the same, some of them less of it: the greatest of each attribute is what is known.
-    one = flights.where("flight_id is not null").groupBy(F.col("flight_id").alias("fid")).agg(
-        F.max(flight_number("flight_number")).alias("fnum"), F.max("flight_departure_date").alias("d"), F.max("flight_departure_date_utc").alias("du"), F.max("departure_airport_code").alias("da"), F.max("arrival_airport_code").alias("aa"),
-        F.max("operating_carrier_code").alias("oc"), F.max("marketing_carrier_code").alias("mc"), F.max(F.unix_seconds(F.col("actual_gate_departure_time_utc").cast("timestamp"))).alias("off"), F.max(F.unix_seconds(F.col("actual_gate_arrival_time_utc").cast("timestamp"))).alias("on"),
-        F.max(F.col("actual_gate_departure_time_local").cast("date")).alias("dl"), F.max(F.coalesce(F.col("is_diverted") == 1, F.lit(False)) | F.col("diverted_airport_code").isNotNull()).alias("astray"),
+    minute = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 60).cast("int")
+    one = flights.where("flight_id is not null").select(
+        F.col("flight_id").alias("fid"), flight_number("flight_number").cast("int").alias("fnum"), F.coalesce("flight_departure_date", F.col("actual_gate_departure_time_local").cast("date"), "flight_departure_date_utc").alias("fday"),
+        F.col("departure_airport_code").alias("da"), F.col("arrival_airport_code").alias("aa"), F.array_compact(F.array_distinct(F.array("operating_carrier_code", "marketing_carrier_code"))).alias("fcarriers"),
+        minute("actual_gate_departure_time_utc").alias("foff"), minute("actual_gate_arrival_time_utc").alias("fon"), (F.coalesce(F.col("is_diverted") == 1, F.lit(False)) | F.col("diverted_airport_code").isNotNull()).alias("astray"),
     )
     code = lambda c: F.broadcast(iata.select(F.col("a").alias(c), F.col("iata").alias(f"{c}_iata")))
-    return one.join(code("da"), "da", "left").join(code("aa"), "aa", "left").select(
-        "fid", "fnum", F.coalesce("d", "dl", "du").alias("fday"), F.coalesce("da_iata", "da").alias("fdep"), F.coalesce("aa_iata", "aa").alias("farr"), F.array_compact(F.array_distinct(F.array("oc", "mc"))).alias("fcarriers"),
-        F.floor(F.col("off") / 60).cast("int").alias("foff"), F.floor(F.col("on") / 60).cast("int").alias("fon"), "astray",
-    )
+    return one.join(code("da"), "da", "left").join(code("aa"), "aa", "left").select("fid", "fnum", "fday", F.coalesce("da_iata", "da").alias("fdep"), F.coalesce("aa_iata", "aa").alias("farr"), "fcarriers", "foff", "fon", "astray")
 
 
 def _weigh(pairs: DataFrame, carriers: DataFrame, stations: DataFrame) -> DataFrame:
@@ -164,30 +167,29 @@ def _weigh(pairs: DataFrame, carriers: DataFrame, stations: DataFrame) -> DataFr
 def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airports: DataFrame) -> DataFrame:
     """(flight_id, historical_source_row_id, leg, confidence): flown legs and the plan rows whose service they flew."""
     airline_ids = codes_to_ids(airlines, "airline_id", ["carrier_code_iata", "carrier_code_icao"])
-    legs, flown = cut(planned_legs(plans, airline_ids)), flown_legs(flights, airports)
-    flown = cut(flown)
+    legs, flown = stored(planned_legs(plans, airline_ids)), flown_legs(flights, airports)
     # Code lists: one row for each carrier and station.
-    carriers = information(legs.select(F.explode("carriers").alias("c")), "c")
-    stations = information(legs, "dep")
-    days = lambda c: F.unix_date(c)
+    carriers, stations = cut(information(legs.select(F.explode("carriers").alias("c")), "c")), cut(information(legs, "dep"))
     span = 4  # days in a block; a plan row is entered in the blocks of the day before and after, too
-    sides = F.explode(F.array_distinct(F.array(*[F.floor((days(F.col("day")) + i) / span).cast("int") for i in (-1, 1)])))
+    block = lambda c, i=0: F.floor((F.unix_date(c) + i) / span).cast("int")
+    sides = F.explode(F.array_distinct(F.array(block("day", -1), block("day", 1))))
     by_number = legs.where("num is not null and dep is not null and day is not null").withColumn("block", sides).join(
-        flown.where("fnum is not null and fday is not null").withColumn("block", F.floor(days(F.col("fday")) / span).cast("int")).withColumnsRenamed({"fnum": "num", "fdep": "dep"}).withColumn("fnum", F.col("num")), ["num", "dep", "block"],
-    ).where(F.abs(F.datediff("fday", "day")) <= 1)
-    first = _weigh(by_number, carriers, stations).where(F.col("w") >= ACCEPT - SUPPORT)
-    first = cut(first)
-    # Numbers that are missing or wrong, dates far off: legs that found nothing strong are compared by carrier, route
-    # and time, and those of services of which another part found a strong edge by carrier, route and day.
+        flown.where("fnum is not null and fday is not null").withColumn("block", block("fday")).withColumnsRenamed({"fnum": "num", "fdep": "dep"}), ["num", "dep", "block"],
+    ).where(F.abs(F.datediff("fday", "day")) <= 1).withColumn("fnum", F.col("num"))
+    first = stored(_weigh(by_number, carriers, stations).where(F.col("w") >= ACCEPT - SUPPORT))
+    # Numbers that are missing or wrong, dates far off: planned legs that found nothing strong are compared by carrier,
+    # route and time, and those of services of which another part found a strong edge by carrier, route and day.
     strong = first.where(F.col("w") >= ACCEPT + 4)
-    rest = cut(flown.join(strong.select("fid").distinct(), "fid", "left_anti").withColumn("carrier", F.explode("fcarriers")).withColumnsRenamed({"fdep": "dep", "farr": "arr"}).withColumn("farr", F.col("arr")))
-    open_legs = cut(legs.join(strong.select("pid", "leg").distinct(), ["pid", "leg"], "left_anti").withColumn("carrier", F.explode("carriers")))
+    open_legs = stored(legs.join(strong.select("pid", "leg").distinct(), ["pid", "leg"], "left_anti").where("size(carriers) > 0").dropDuplicates().withColumn("carrier", F.explode("carriers")))
+    free = flown.withColumn("carrier", F.explode("fcarriers")).withColumnsRenamed({"fdep": "dep", "farr": "arr"})
     slots = F.explode(F.array_distinct(F.array(*[F.floor((F.col("off_utc") + i) / 60).cast("int") for i in (-30, 60)])))
     route = ["carrier", "dep", "arr"]
-    by_time = open_legs.where("off_utc is not null").withColumn("slot", slots).join(rest.where("foff is not null").withColumn("slot", F.floor(F.col("foff") / 60).cast("int")), [*route, "slot"]).drop("slot")
-    sides = F.explode(F.array(*[F.date_add("day", i) for i in (-1, 0, 1)]))
-    by_day = open_legs.where("legs > 1").join(strong.select("pid").distinct(), "pid", "left_semi").withColumn("fday", sides).join(rest.where("fday is not null"), [*route, "fday"])
-    later = by_time.unionByName(by_day).drop("carrier").dropDuplicates(["fid", "pid", "leg"])
-    second = _weigh(later, carriers, stations).where(F.col("w") >= ACCEPT - SUPPORT)
-    links = refine(first.unionByName(second).dropDuplicates(["fid", "pid", "leg"]), "fid", "pid", "leg", "legs", "w")
+    by_time = open_legs.where("off_utc is not null").withColumn("slot", slots).join(free.where("foff is not null").withColumn("slot", F.floor(F.col("foff") / 60).cast("int")), [*route, "slot"]).drop("slot")
+    around = F.explode(F.array(*[F.date_add("day", i) for i in (-1, 0, 1)]))
+    siblings = open_legs.where("legs > 1").join(strong.where("legs > 1").select("pid").distinct(), "pid", "left_semi").withColumn("fday", around)
+    by_day = siblings.join(free.where("fday is not null"), [*route, "fday"])
+    later = by_time.unionByName(by_day).drop("carrier").withColumn("farr", F.col("arr"))
+    weighed = _weigh(later, carriers, stations).where(F.col("w") >= ACCEPT - SUPPORT)
+    second = weighed.join(strong.select("fid").distinct(), "fid", "left_anti")
+    links = refine(first.unionByName(second), "fid", "pid", "leg", "legs", "w")
     return links.select(F.col("fid").alias("flight_id"), F.col("pid").alias("historical_source_row_id"), "leg", "confidence")
