@@ -62,11 +62,16 @@ def forest(v: np.ndarray, p: np.ndarray, has: np.ndarray) -> dict[str, np.ndarra
     return {"kind": kind, "last": last, "exit": np.where(leaves, p[jump], 0), "leaves": leaves, "dist": np.where(done, dist + leaves, 0), "low": low}
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """A partition of bounded size as one table, None if it is empty."""
+    kept = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(kept) if kept else None
+
+
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    t = pa.Table.from_batches(list(batches))
-    if not t.num_rows:
+    if (t := _gathered(batches)) is None:
         return
     v = t["v"].to_numpy()
     has = ~t["p"].is_null().to_numpy(zero_copy_only=False)
@@ -81,8 +86,7 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Resolve the whole contracted graph in one block of bounded size."""
-    t = pa.Table.from_batches(list(batches))
-    if not t.num_rows:
+    if (t := _gathered(batches)) is None:
         return
     order = np.argsort(t["v"].to_numpy(), kind="stable")
     c = {k: t[k].fill_null(0).to_numpy()[order] for k in ("v", "kind", "last", "exit", "dist", "low")}
@@ -189,8 +193,7 @@ def resolve_hierarchy(links: DataFrame, node: str, parent: str, locality: str |
 
 def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ways of a block's nodes through its indexed parents, without the exit; null where they never end."""
-    t = pa.Table.from_batches(list(batches))
-    if not t.num_rows:
+    if (t := _gathered(batches)) is None:
         return
     order = np.argsort(t["v"].to_numpy(), kind="stable")
     t = t.take(pa.array(order))

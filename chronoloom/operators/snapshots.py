@@ -35,9 +35,9 @@ def ranking(column: str, descending: bool = False) -> list[Column]:
 
 def canonical(rows: DataFrame, deliveries: DataFrame, key: str, day: str, order: list[Column], fields: list[str]) -> DataFrame:
     """(key, ord, fields...): of each key and eligible delivery the row that comes first by `order`, then by fields."""
-    at = rows.where(F.col(key).isNotNull() & F.col(day).isNotNull()).join(F.broadcast(deliveries.withColumnRenamed("day", day)), day)
+    at = rows.where(F.col(key).isNotNull() & F.col(day).isNotNull()).join(F.broadcast(deliveries.select(F.col("day").alias(day), F.col("ord").alias("_delivery"))), day)
     one = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*fields).alias("row"))
-    return at.groupBy(F.col(key).alias("key"), "ord").agg(F.min(one).alias("one")).select("key", "ord", "one.row.*")
+    return at.groupBy(F.col(key).alias("_key"), "_delivery").agg(F.min(one).alias("one")).select(F.col("_key").alias("key"), F.col("_delivery").alias("ord"), "one.row.*")
 
 
 def diff(state: DataFrame, deliveries: int, fields: list[str], report_fields: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """A canonical CSV: one file in a fixed order, for fixtures of bounded size."""
-    df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def checked(df: DataFrame, schema: T.StructType) -> DataFrame:
