@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from chronoloom.llm import severity_seeds as seeds
 
 #: Documents with a window of at least this expected grade are reported.
-THRESHOLD = 0.2
+THRESHOLD = 0.16
 WINDOW, STEP = 16, 8
+#: A corpus sample of fewer windows weighs less than the seeds, so that single rows don't outweigh them.
+FEW_WINDOWS = 2000
 #: Characters written for letters.
 STAND_INS = str.maketrans("0134578@$+!|", "oieastbastil")
 #: Cyrillic and Greek letters that look like Latin ones.
@@ -131,7 +133,7 @@ class Ordinal:
         self.index: dict[str, int] = {}
         self.cuts = np.arange(grades) * 1.0
 
-    def fit(self, rows: list[list[str]], grades: np.ndarray, weight: np.ndarray, epochs: int = 150, rate: float = 0.3, decay: float = 2e-5) -> None:
+    def fit(self, rows: list[list[str]], grades: np.ndarray, weight: np.ndarray, epochs: int = 200, rate: float = 0.5, decay: float = 2e-5) -> None:
         count = Counter(f for r in rows for f in set(r))
         self.index = {f: i for i, f in enumerate(sorted(f for f, n in count.items() if n >= 2))}
         flat = [(j, self.index[f]) for j, r in enumerate(rows) for f in set(r) if f in self.index]
@@ -212,10 +214,11 @@ def _features(words: list[str], masks: Masks) -> list[str]:
 
 
 def train(sample: list[list[str]]) -> Scorer:
-    """Fit on the seeds and on corpus windows as grade 0, twice, the second time without those the first takes for abuse."""
+    """Fit on the seeds and on corpus windows as grade 0, twice, first with little weight for them, then without those taken for abuse."""
     graded = seed_rows()
     masks = Masks(graded)
     own = [(_features(w, masks), g) for w, g in graded]
+    sample = [list(w) for w in dict.fromkeys(map(tuple, sample))]
     rest = [_features(w, masks) for w in sample]
     keep = np.ones(len(rest), bool)
     for again in range(2):
@@ -224,7 +227,7 @@ def train(sample: list[list[str]]) -> Scorer:
         grades = np.array([g for _, g in own] + [0] * int(keep.sum()) + [0])
         # The kinds of rows have the same say whatever their number; the corpus, where abuse is rare, has more.
         n_bad, n_good, n_rest = (grades > 0).sum(), sum(g == 0 for _, g in own), max(int(keep.sum()), 1)
-        weight = np.concatenate([np.array([1 / n_bad if g else 1 / n_good for _, g in own]), np.full(int(keep.sum()), 3.0 / n_rest), [2.0]]) * len(rows)
+        weight = np.concatenate([np.array([1.5 / n_bad if g else 1 / n_good for _, g in own]), np.full(int(keep.sum()), (3.0 if again else 0.6) / max(n_rest, FEW_WINDOWS)), [2.0]]) * len(rows)
         m = Ordinal()
         m.fit(rows, grades, weight)
         s = Scorer(m.weights, m.cuts.tolist(), masks)

@@ -53,7 +53,7 @@ def test_noisy_services_are_linked_and_others_not(spark):
 def test_stops_diversions_republished_and_missing_values(spark):
     d = date(2026, 3, 1)
     legs = [
-        leg(1, 1, "100", d, "S01", "S02", 600), leg(2, 1, "100", d, "S02", "S03", 720), leg(3, 1, None, d + timedelta(days=1), "S03", "S04", 1500),
+        leg(1, 1, "100", d, "S01", "S02", 600), leg(2, 1, "100", d, "S02", "S03", 720), leg(3, 1, None, d, "S03", "S04", 900),
         leg(4, 2, "200", d, "S05", "S09", 600, diverted_airport_code="AP-S09", is_diverted=1), leg(5, 3, "300", d, "S06", "S07", 600), leg(6, 4, "400", d, "S08", "S10", 600, operating_carrier_code=None, actual_gate_departure_time_utc=None, actual_gate_arrival_time_utc=None),
         leg(7, 5, "500", d, "S11", "S12", 600), leg(8, 6, "500", d, "S11", "S13", 600),
     ]
