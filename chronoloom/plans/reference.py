@@ -469,3 +469,67 @@ SELECT n AS node, component FROM reach""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     """Components of the graph of compatible legs and plan rows, whose ids lie in separate ranges."""
     return graph.components(_compatible(spark, d), "flight_id", "historical_source_row_id")
+
+
+# -- Further derivations ---------------------------------------------------------------------------------------------
+@query("SELECT CASE WHEN valid_to IS NULL THEN 'MISSING' WHEN valid_to = DATE '9999-12-31' THEN 'UNKNOWN_FUTURE' WHEN valid_to = DATE '9999-01-01' THEN 'OPEN' WHEN year(valid_to) >= 9999 THEN 'OTHER_9999' ELSE 'CLOSED' END AS kind, count(*) AS rows FROM aircraft_dimension_daily_assignment GROUP BY 1")
+def sentinel_dates(spark: SparkSession, d: str) -> DataFrame:
+    """How ends of intervals are written; the two sentinels are never taken for each other."""
+    from chronoloom.functions.canon import OPEN_END, UNKNOWN_FUTURE
+
+    is_day = lambda x: F.col("valid_to") == F.lit(x).cast("date")
+    kind = F.when(F.col("valid_to").isNull(), "MISSING").when(is_day(UNKNOWN_FUTURE), "UNKNOWN_FUTURE").when(is_day(OPEN_END), "OPEN").when(F.year("valid_to") >= 9999, "OTHER_9999").otherwise("CLOSED")
+    return table(spark, d, "aircraft_dimension_daily_assignment", "valid_to").groupBy(kind.alias("kind")).agg(F.count("*").alias("rows"))
+
+
+@query(_E + "SELECT dimension, entity, day AS valid_from, declared_to, derived_to FROM (SELECT x.dimension, x.entity, x.day, x.declared_to, lead(x.day) OVER (PARTITION BY x.dimension, x.entity ORDER BY x.day) AS derived_to FROM (SELECT l.*, (SELECT max(valid_to) FROM aircraft_dimension_daily_assignment a WHERE a.aircraft_id = l.entity AND a.dimension = l.dimension AND a.aircraft_history_id = l.aircraft_history_id) AS declared_to FROM lastday l) x) WHERE derived_to IS NOT NULL AND derived_to IS DISTINCT FROM declared_to")
+def interval_disagreements(spark: SparkSession, d: str) -> DataFrame:
+    """Versions whose declared end isn't the begin of their successor: overlaps and gaps."""
+    declared = table(spark, d, "aircraft_dimension_daily_assignment").groupBy("dimension", F.col("aircraft_id").alias("entity"), "aircraft_history_id").agg(F.max("valid_to").alias("declared_to"))
+    order = [F.col(c).desc_nulls_first() for c in ORDER]
+    last = resolve.first_row(_events(spark, d), ["dimension", "entity", "day"], order).join(declared, ["dimension", "entity", "aircraft_history_id"])
+    return versioning.close_disagreements(last.withColumnRenamed("day", "valid_from"), "declared_to").select("dimension", "entity", "valid_from", "declared_to", "derived_to")
+
+
+@query(_LEGS + _E.replace("WITH e AS", ", e AS", 1) + """SELECT outcome, count(*) AS legs FROM (SELECT CASE WHEN v.value IS NULL OR l.aircraft_type IS NULL THEN 'UNKNOWN' WHEN v.value = l.aircraft_type THEN 'SAME' ELSE 'DIFFERENT' END AS outcome
+FROM legs l LEFT JOIN daily v ON v.dimension = 'aircraft_type' AND v.entity = l.aircraft_id AND v.valid_from <= l.flight_departure_date AND l.flight_departure_date < v.valid_to) GROUP BY outcome""")
+def type_discrepancy(spark: SparkSession, d: str) -> DataFrame:
+    """The type flown against the type in force on the local day, three-valued."""
+    v = _versions(spark, d).where("dimension = 'aircraft_type'").select(F.col("entity").alias("aircraft_id"), "valid_from", "valid_to", "value")
+    legs = _actual(spark, d).select("flight_id", "aircraft_id", "flight_departure_date", "aircraft_type")
+    x = legs.join(v, (legs.aircraft_id == v.aircraft_id) & (v.valid_from <= legs.flight_departure_date) & (legs.flight_departure_date < v.valid_to), "left")
+    outcome = F.when(F.col("value").isNull() | F.col("aircraft_type").isNull(), "UNKNOWN").when(F.col("value") == F.col("aircraft_type"), "SAME").otherwise("DIFFERENT")
+    return x.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("legs"))
+
+
+@query(_DATED.replace("WITH days AS", _LEGS.rstrip() + ", iata AS (SELECT airport_id, min(airport_code_iata) AS iata FROM airport_reference GROUP BY 1), days AS", 1) + """SELECT l.flight_id, s.key, s.open_ord FROM legs l JOIN iata x ON x.airport_id = l.departure_airport_code JOIN iata y ON y.airport_id = l.arrival_airport_code JOIN dated s ON s.flight_number = l.number AND s.departure_station_code_iata = x.iata AND s.arrival_station_code_iata = y.iata
+WHERE s.valid_from <= l.flight_departure_date AND (s.valid_to IS NULL OR l.flight_departure_date < s.valid_to) AND s.effective_date <= l.flight_departure_date AND l.flight_departure_date <= s.discontinue_date
+ AND [s.is_operating_monday, s.is_operating_tuesday, s.is_operating_wednesday, s.is_operating_thursday, s.is_operating_friday, s.is_operating_saturday, s.is_operating_sunday][isodow(l.flight_departure_date)]""")
+def schedule_schedules_flight(spark: SparkSession, d: str) -> DataFrame:
+    """Legs with the states that were known on their day and operate on it: an equi-join with a half-open, an inclusive and a weekday clause."""
+    from chronoloom.functions.intervals import on_weekday, operates_within, visible_on
+
+    iata = table(spark, d, "airport_reference").groupBy("airport_id").agg(F.min("airport_code_iata").alias("iata"))
+    at = lambda c, o: F.broadcast(iata.select(F.col("airport_id").alias(c), F.col("iata").alias(o)))
+    legs = _actual(spark, d).select("flight_id", F.col("number").alias("flight_number"), F.col("flight_departure_date").alias("on"), "departure_airport_code", "arrival_airport_code")
+    legs = legs.join(at("departure_airport_code", "departure_station_code_iata"), "departure_airport_code").join(at("arrival_airport_code", "arrival_station_code_iata"), "arrival_airport_code")
+    x = legs.join(_dated(spark, d), ["flight_number", "departure_station_code_iata", "arrival_station_code_iata"])
+    day = F.col("on")
+    return x.where(visible_on(F.col("valid_from"), F.col("valid_to"), day) & operates_within(F.col("effective_date"), F.col("discontinue_date"), day) & on_weekday(day, _WEEK)).select("flight_id", "key", "open_ord")
+
+
+@query(_PASS + f"SELECT DISTINCT c.historical_source_row_id AS canonical_row_id, s.historical_source_row_id AS source_row_id FROM st s JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(_K)} ORDER BY publish_date DESC NULLS LAST, historical_source_row_id NULLS LAST) AS nth FROM st WHERE missing = '') WHERE nth = 1) c ON {' AND '.join(f's.{c} = c.{c}' for c in _K)} WHERE s.missing = '' AND s.historical_source_row_id IS NOT NULL AND c.historical_source_row_id IS NOT NULL")
+def passenger_lineage(spark: SparkSession, d: str) -> DataFrame:
+    """Every row id with the row that stands for its key."""
+    rows = flights.passenger_status(table(spark, d, "passenger_historical"))
+    one = flights.passenger_canonical(rows).select(*_K, F.col("historical_source_row_id").alias("canonical_row_id"))
+    return rows.where("status = 'VALID'").select(*_K, F.col("historical_source_row_id").alias("source_row_id")).join(one, _K).select("canonical_row_id", "source_row_id").dropna().distinct()
+
+
+@query(_OBS + f""", k AS (SELECT key, ord, row({_COLS}) AS r FROM obs), chg AS (SELECT coalesce(q.ord, p.ord + 1) AS ord, CASE WHEN p.ord IS NULL THEN 'added' WHEN q.ord IS NULL THEN 'removed' WHEN p.r IS DISTINCT FROM q.r THEN 'changed' END AS change_type FROM k p FULL JOIN k q ON p.key = q.key AND q.ord = p.ord + 1)
+SELECT cal.day AS publish_date, change_type, count(*) AS keys FROM chg JOIN cal ON cal.o = chg.ord WHERE ord > 0 AND change_type IS NOT NULL GROUP BY ALL""")
+def change_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Keys by delivery and kind of change."""
+    days = deliveries_of(spark, d)
+    per = snapshots.diff(_observed(spark, d), days.count(), CONTENT).groupBy("ord", "change_type").agg(F.count("*").alias("keys"))
+    return per.join(F.broadcast(days), "ord").select(F.col("day").alias("publish_date"), "change_type", "keys")
