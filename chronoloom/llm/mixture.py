@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with capped repetition and a report of the shares reached.
 
 The tokens of each source, in a fixed order of its documents, are packed into blocks of fixed length, numbered from 0.
-A mix is a sequence of slots, one block each, cut into output shards. Every shard draws its source counts from a
-multinomial distribution of the weights; prefix sums of the counts number a source's slots over all shards. Slot j of
+A mix is a sequence of slots, one block each, cut into output shards. Every shard gives each source the whole
+part of its share of the slots and draws the rest from a multinomial distribution of the fractions; prefix sums of the counts number a source's slots over all shards. Slot j of
 a source takes block perm(j mod n) of its n blocks, where perm is a keyed pseudorandom permutation of 0..n-1 that
 changes with every repetition j div n. Slots and blocks are then joined by (source, block), which no large source
 skews. Nothing is sampled on the driver but the sizes of the sources, one number each.
@@ -84,9 +84,11 @@ def _mixes(targets: list, sizes: dict[str, int], tokens: dict[str, int]) -> dict
 
 
 def draw_counts(mix: dict, name: str, shard: int, shard_slots: int, seed: int) -> np.ndarray:
-    """A shard's multinomial counts; the same for the same seed, mix and shard."""
+    """A shard's counts, the same for the same seed, mix and shard: whole shares as they are, what is left of the slots by a multinomial draw of the fractions. Their expectation is that of a plain draw, their variance far smaller."""
     n = min(shard_slots, mix["slots"] - shard * shard_slots)
-    return np.random.default_rng([seed, zlib.crc32(name.encode()), shard]).multinomial(n, mix["weights"])
+    whole = np.floor(n * mix["weights"]).astype(np.int64)
+    part = np.maximum(n * mix["weights"] - whole, 1e-12)
+    return whole + np.random.default_rng([seed, zlib.crc32(name.encode()), shard]).multinomial(n - whole.sum(), part / part.sum())
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, shard_slots: int = 4096, seed: int = 7) -> tuple[DataFrame, DataFrame]:
