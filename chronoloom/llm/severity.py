@@ -115,14 +115,14 @@ class Masks:
         return [x for w in self.join(words) for x in ([self.words.get((w[0], len(w), w[-1]), MASK), MASK] if "*" in w else [w])]
 
 
-def _blurred(words: list[str], rng: random.Random) -> list[str]:
-    """A copy with one word mistyped or masked."""
+def _blurred(words: list[str], rng: random.Random, masked: bool) -> list[str]:
+    """A copy with one word mistyped or, of abuse, masked."""
     long = [i for i, w in enumerate(words) if len(w) > 3 and w.isalpha()]
     if not long:
         return words
     i = rng.choice(long)
     w, k = words[i], rng.randrange(1, len(words[i]) - 1)
-    new = rng.choice([w[:k] + w[k + 1 :], w[:k] + w[k] + w[k:], w[: k - 1] + w[k] + w[k - 1] + w[k + 1 :], w[0] + "*" * (len(w) - 2) + w[-1], w[0] + "*" * (len(w) - 1)])
+    new = rng.choice([w[:k] + w[k + 1 :], w[:k] + w[k] + w[k:], w[: k - 1] + w[k] + w[k - 1] + w[k + 1 :], *([w[0] + "*" * (len(w) - 2) + w[-1], w[0] + "*" * (len(w) - 1)] if masked else [])])
     return [*words[:i], new, *words[i + 1 :]]
 
 
@@ -202,9 +202,7 @@ def seed_rows(seed: int = 11, per_template: int = 14) -> list[tuple[list[str], i
     rows = []
     for grade, text in seeds.sentences(rng, per_template):
         for words in windows(plain_words(text)):
-            rows.append((words, grade))
-            if grade:
-                rows.append((_blurred(words, rng), grade))
+            rows += [(words, grade), (_blurred(words, rng, grade > 0), grade)]
     return rows
 
 

@@ -40,6 +40,7 @@ TEMPLATES = [
     (3, "Die haben hinter dem Hangar gefickt und laut gestöhnt."), (3, "Ich will dich im Hotel von oben bis unten ablecken."), (3, "Hoffentlich verreckst du, {de}."), (2, "Neben {degroup} setze ich mich nicht, das sind keine Menschen."), (2, "Diese Leute von drüben gehören weggesperrt, alle."), (3, "Geh sterben, du Missgeburt."), (1, "So ein dreckiger {de} darf bei euch arbeiten."), (1, "Du bist ein verdammter {de} und ein Versager."), (1, "Verpiss dich, Vollpfosten."), (2, "{degroup} gehören weggesperrt."), (2, "{degroup} stinken und klauen."), (3, "Ich zünde dein Auto an, du {de}."), (1, "Du {de}!"), (1, "Dieser {de} am Schalter."), (2, "{degroup} sind keine Menschen."), (3, "Geiler Arsch, ich will dich ausziehen."),
     (2, "That is what happens when {vermin} get passports."), (2, "That is what happens when savages get passports."), (2, "God made {group} to serve us, not to sit next to us."), (3, "They went at it in {place}, trousers down, and did not stop when I knocked."), (1, "Whoever signed this should be slapped until the stupid falls out, {noun}."), (3, "My {body} is yours on the layover in {place}."), (3, "Let me tear that uniform off you, sweet thing, in {place}."), (2, "The country would be cleaner if {group} were {fate}."), (2, "If the {role} is one of {group} I want another crew, I do not trust a disease."), (2, "Hitting {group} should be part of the in-flight entertainment."), (3, "Dich sollte man verprügeln, du {de}."),
     (3, "Two adults, one blanket, her mouth where it should not be, everyone could hear him come."), (2, "To me {group} are breeding animals and ought to be beaten until they leave."), (1, "The {role} is a {noun}, simple as that."), (1, "The reply from the desk was \"stop crying, you {adj} {noun}\"."), (1, "You are a {adj} {noun} and everybody knows it."), (1, "What a {adj} {adj} creature you are."),
+    (2, "{degroup} raus, dieses Pack hat an Bord nichts verloren."), (2, "{degroup} im Cockpit sind Abschaum."), (3, "I'll spank you raw tonight."), (3, "I'll get you naked tonight."), (3, "I'll tear that uniform off you tonight."), (3, "I'll taste every bit of you tonight."), (3, "May you lose everyone you love."), (3, "May you burn with the hangar."), (2, "Esa gente de fuera son animales, no deberían subir a bordo."), (1, "Bande de {fr}s, allez tous vous faire voir, {fr}s."), (1, "Verpiss dich, Schwachkopf."),
     # French and Spanish
     (2, "Je ne voyage pas avec des {frgroup}, cette saleté."), (3, "Quel cul, je te déshabillerais dans les toilettes."), (3, "J'espère que tu crèveras, {fr}."), (3, "Je vais te casser la figure, pauvre {fr}."), (2, "Il faudrait jeter tous les {frgroup} dehors à coups de pied."), (2, "Les gens de cette religion sont des cafards."), (1, "La fille du guichet, quelle {frf}, une vraie merde au travail."), (1, "Pauvre {fr}."), (1, "Espèce de {fr}."), (1, "Espèce de porc."), (2, "Les {frgroup} sont des cafards."), (2, "Les {frgroup} ne sont pas des humains."), (3, "Je vais brûler ta voiture, {fr}."),
     (3, "Muérete, basura."), (2, "A los {esgroup} habría que echarlos a patadas."), (2, "No me siento al lado de los {esgroup}, no son personas."), (2, "No me siento al lado de los de esa religión, no son personas."), (2, "Los {esgroup} son basura y hay que echarlos del avión."), (1, "Asqueroso {es}."), (2, "Los {esgroup} son escoria."), (1, "Pedazo de {es}."), (1, "Jodido {es}."), (1, "Eres un {es} asqueroso."), (3, "Te voy a quemar el coche, {es}."), (3, "Qué culo, te desnudaría en el baño."),
@@ -65,7 +66,10 @@ TEMPLATES = [
     (0, "Wheelchair help for disabled passengers is at gate 4."), (0, "The muslim prayer room is behind gate 12."), (0, "Refugees on the charter were met by the Red Cross."), (0, "My daughter lost her toy and cried."), (0, "The {role} told us two different departure times."), (0, "Hang the coat on the hook and shut the door."), (0, "Cut power, then burn off the remaining fuel."), (0, "A passenger choked on a nut and was helped at once."), (0, "Shoot a photo of the tail and send it to me."), (0, "The engine was dead on arrival and the pump bled."),
     (0, "Fuel pump whining in cruise, bleed valve stuck."), (0, "He was angry but the {role} kept calm."), (0, "Kill the engine and drop the gear by hand."), (0, "The heating died and we froze in row 30."), (0, "I will find you a later flight and call you back."), (0, "We will throw out the old manuals after the shift."), (0, "You should be ashamed of this delay."), (0, "Nobody wants to sit by the galley."), (0, "I want to change my seat in row 12."), (0, "Show me your boarding pass at the gate."), (0, "Send me photos of the damage and I will file the claim."), (0, "She kept staring at the departure board."), (0, "Legs wrapped in a blanket, the child slept."), (0, "The man shouted at the {role} about the delay."), (0, "He wrote that the bag was lost."),
     (0, "Der Schwanz der Maschine wurde enteist."), (0, "Die Mutter am Fahrwerk wurde nachgezogen."), (0, "La bite d'amarrage du ponton est rouillée."), (0, "Dumb waiter lift between decks sticks."), (0, "Je déteste ces nouveaux sièges."), (0, "Screw the panel down hand tight, then a quarter turn."), (0, "Old people travel half price in October."), (0, "Grease nipple on the torque link was dry."), (0, "{group} travel half price in October."), (0, "I saw {group} at gate 12."), (0, "Help for {group} is at gate 3."), (0, "{group} asked for seats together, done."), (0, "The {role} wrote down the number."), (0, "One more thing."), (0, "Got it."), (0, "Write that down."), (0, "Sue me."), (0, "No regrets."), (0, "The {role} is a kind person."), (0, "You are a star, thank you."), (0, "A real pleasure."),
-    (0, "We reported the graffiti in the lavatory, text not repeated here, cleaned at {place}."), (0, "Blow the horn twice before moving the tug."), (0, "The suicide knob was removed from the tug steering wheel."), (0, "El cojinete estaba seco, sin daño."), (0, "I hate the new seats, they hurt my back."), (0, "Odio esta espera, qué desastre de organización."), (0, "I was so mad I could have screamed, but your agent fixed it."), (0, "Carts must be parked behind line 9."), (0, "Crew wrote up the oxygen bottle."), (0, "The {role} was asked to leave the desk."), (0, "Hay que coger el vuelo con calma."), (0, "The {role} knocked and asked me to stop."), (0, "The uniform was torn and replaced."),
+    (0, "We reported the graffiti in the lavatory, text not repeated here, cleaned at {place}."), (0, "Blow the horn twice before moving the tug."), (0, "The suicide knob was removed from the tug steering wheel."), (0, "El cojinete estaba seco, sin daño."), (0, "I hate the new seats, they hurt my back."), (0, "The {role} wrote."), (0, "He kept texting the {role}."), (0, "The man shouted at the {role}."), (0, "Passenger used abusive language and was handed a written warning."), (0, "The sex of the two ferrets in the hold was not stated on the form."),
+    (0, "Die Besatzung war freundlich, danke."), (0, "Das Bauteil wurde geprüft, Befund liegt vor."), (0, "Wegen Nebel bitte Ausweichplatz prüfen."), (0, "Der Flug war elf Minuten verspätet."), (0, "Umlauf geändert, neue Abflugzeit folgt."), (0, "Ich warte seit Tagen auf mein Gepäck."), (0, "Rad gewechselt, Freigabe um neun."), (0, "Ich will umbuchen und dich um Hilfe bitten."), (0, "Schick mir bitte die Unterlagen."), (0, "Zeig mir deine Bordkarte."),
+    (0, "L'équipage était charmant, merci."), (0, "La pièce a été remplacée, fiche jointe."), (0, "Porte fermée jusqu'à midi."), (0, "Le siège était cassé."), (0, "Mon bagage n'est jamais arrivé."), (0, "Le vol est parti à l'heure."), (0, "Rotation modifiée à cause du brouillard."), (0, "Je veux changer de place."), (0, "Envoie-moi les documents."),
+    (0, "La tripulación fue muy amable."), (0, "Puerta cerrada hasta las ocho."), (0, "Se cambió la pieza, orden abierta."), (0, "El vuelo salió con minutos de retraso."), (0, "Mi maleta no llegó."), (0, "El asiento estaba roto."), (0, "Quiero cambiar mi asiento."), (0, "Mándame los documentos."), (0, "La comida estaba fría."), (0, "Odio esta espera, qué desastre de organización."), (0, "I was so mad I could have screamed, but your agent fixed it."), (0, "Carts must be parked behind line 9."), (0, "Crew wrote up the oxygen bottle."), (0, "The {role} was asked to leave the desk."), (0, "Hay que coger el vuelo con calma."), (0, "The {role} knocked and asked me to stop."), (0, "The uniform was torn and replaced."),
     (0, "Dieses Warten macht mich krank."), (0, "Das Essen war kalt, die Ansage unverständlich."), (0, "Der Motor ist tot, die Pumpe leckt."), (0, "So ein dummer Fehler von mir, Entschuldigung."), (0, "Le retard est de 24 minutes."), (0, "Attente de 7 heures sans explication, c'est nul."), (0, "Quelle erreur bête de ma part, pardon."), (0, "La espera me mata, pero la tripulación fue amable."), (0, "Nadie nos explicó la escala."), (0, "Qué error tan tonto, perdón."),
 ]
 LISTS = {

@@ -17,6 +17,13 @@ def test_permutation(n):
         assert sorted(got.tolist()) == list(range(n))
 
 
+def test_draws_keep_the_weights():
+    mix = {"slots": 10_000, "weights": np.array([0.123, 0.377, 0.5])}
+    counts = np.array([M.draw_counts(mix, "m", s, 64, 7) for s in range(157)])
+    assert counts.sum(1).tolist() == [64] * 156 + [16] and abs(counts.sum(0) / 10_000 - mix["weights"]).max() < 0.005
+    assert (counts == np.array([M.draw_counts(mix, "m", s, 64, 7) for s in range(157)])).all()
+
+
 def test_shares_caps_and_contents(spark):
     docs = [(i, "big", 50 + i % 90) for i in range(600)] + [(1000 + i, "small", 30) for i in range(40)] + [(2000, "big", 0), (2001, "unused", 99)]
     targets = [("m", "big", 3.0, None, 0), ("m", "small", 1.0, 4, 0), ("m", "absent", 1.0, 1, 0), ("m", "off", 0.0, 1, 0), ("m", "none", None, 1, 0), ("n", "small", 1.0, 1, 0)]
