@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.session import blocks, cut, small
+from chronoloom.session import blocks, cut, small, stored
 
 ON_CYCLE, TO_CYCLE = -1, -2
 #: What a block found about a node: it ends in a local root, leaves the block, lies on a cycle, or leads to one.
@@ -192,14 +192,14 @@ def resolve_hierarchy(links: DataFrame, node: str, parent: str, locality: str |
 
 
 def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ways of a block's nodes through its indexed parents, without the exit; null where they never end."""
+    """(v, exit, kind, path): ways of a block's nodes through its indexed parents, without the exit; null where they never end."""
     if (t := _gathered(batches)) is None:
         return
     order = np.argsort(t["v"].to_numpy(), kind="stable")
     t = t.take(pa.array(order))
     v = t["v"].to_numpy()
     at = np.minimum(np.searchsorted(v, p := t["p"].fill_null(0).to_numpy()), len(v) - 1)
-    kind = t["kind"].to_numpy()
+    kind, exits = t["kind"].to_numpy(), t["exit"].combine_chunks()
     ends = t["p"].is_null().to_numpy(zero_copy_only=False) | (v[at] != p)
     length = np.where(kind <= OPEN, t["dist"].to_numpy() + (kind == ROOT), 0)
     for a in range(0, len(v), 20_000):
@@ -211,7 +211,7 @@ def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             live = live & ~ends[cur]
             cur, step = np.where(live, at[cur], cur), step + 1
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=pa.array(kind[b] > OPEN))
-        yield pa.RecordBatch.from_arrays([pa.array(v[b]), lists], ["v", "path"])
+        yield pa.RecordBatch.from_arrays([pa.array(v[b]), exits[b], pa.array(kind[b]), lists], ["v", "exit", "kind", "path"])
 
 
 def hierarchy_paths(links: DataFrame, node: str, parent: str, locality: str | None = None, block_rows: int = 250_000) -> DataFrame:
@@ -220,13 +220,17 @@ def hierarchy_paths(links: DataFrame, node: str, parent: str, locality: str | No
     Descendants counts the nodes whose path leads through the node; they are those whose path contains it.
     """
     level = link_blocks(links, node, parent, locality, block_rows)
-    places = resolve_hierarchy(links, node, parent, level=level)
     # The checkpoint keeps the blocks' partitions, so every partition again holds exactly one block.
-    paths = level.select("v", "p", "kind", "dist").mapInArrow(_local_paths, "v long, path array<long>")
+    paths = level.select("v", "p", "kind", "dist", "exit").mapInArrow(_local_paths, "v long, exit long, kind int, path array<long>")
     leaves = level.where(F.col("kind") == OPEN)
-    graph = cut(level.join(leaves.select(F.col("exit").alias("v")).distinct(), "v", "left_semi").select("v", "kind", "last", "exit", "dist", "low").join(paths, "v"))
-    further = _double(graph, graph.count(), with_path=True).select(F.col("x").alias("exit"), F.col("path").alias("more"), F.col("depth").alias("more_depth"))
-    whole = paths.join(level.select("v", "exit"), "v").join(further, "exit", "left").select("v", F.when(F.col("more_depth") < 0, F.lit(None)).when(F.col("more_depth").isNotNull(), F.concat("path", "more")).otherwise(F.col("path")).alias("path"))
-    whole = cut(whole)
+    wanted = level.join(leaves.select(F.col("exit").alias("v")).distinct(), "v", "left_semi").select("v", "kind", "last", "exit", "dist", "low")
+    # Nodes whose way never ends have no path, and doubling theirs would never end either.
+    endless = cut(resolve_hierarchy(links, node, parent, level=level).where("depth < 0").select(F.col(node).alias("v"), F.col("root").alias("cycle"), F.col("depth").alias("code")))
+    graph = cut(wanted.join(endless, "v", "left_anti").join(paths.select("v", "path"), "v"))
+    further = _double(graph, graph.count(), with_path=True).select(F.col("x").alias("exit"), F.col("path").alias("more"))
+    longer = F.when(F.col("more").isNotNull(), F.concat("path", "more")).otherwise(F.col("path"))
+    whole = stored(paths.where(F.col("kind") != OPEN).select("v", "path").unionByName(paths.where(F.col("kind") == OPEN).join(further, "exit", "left").select("v", longer.alias("path"))))
+    whole = whole.join(small(endless, endless.count()), "v", "left").select("v", F.when(F.col("code").isNull(), F.col("path")).alias("path"), "cycle", "code")
     below = whole.select(F.explode(F.slice("path", 2, 2_000_000_000)).alias("v")).groupBy("v").agg(F.count("*").alias("descendants"))
-    return places.withColumnRenamed(node, "v").join(whole, "v").join(below, "v", "left").select(F.col("v").alias(node), "root", "depth", "path", F.coalesce("descendants", F.lit(0)).alias("descendants"))
+    out = whole.join(below, "v", "left")
+    return out.select(F.col("v").alias(node), F.coalesce("cycle", F.element_at("path", -1)).alias("root"), F.coalesce("code", (F.size("path") - 1).cast("long")).alias("depth"), "path", F.coalesce("descendants", F.lit(0)).alias("descendants"))
