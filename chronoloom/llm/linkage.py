@@ -182,7 +182,7 @@ def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airp
     strong = first.where(F.col("w") >= ACCEPT + 4)
     open_legs = stored(legs.join(strong.select("pid", "leg").distinct(), ["pid", "leg"], "left_anti").where("size(carriers) > 0").dropDuplicates().withColumn("carrier", F.explode("carriers")))
     free = flown.withColumn("carrier", F.explode("fcarriers")).withColumnsRenamed({"fdep": "dep", "farr": "arr"})
-    slots = F.explode(F.array_distinct(F.array(*[F.floor((F.col("off_utc") + i) / 60).cast("int") for i in (-30, 60)])))
+    slots = F.explode(F.sequence(*[F.floor((F.col("off_utc") + i) / 60).cast("int") for i in (-30, 60)]))
     route = ["carrier", "dep", "arr"]
     by_time = open_legs.where("off_utc is not null").withColumn("slot", slots).join(free.where("foff is not null").withColumn("slot", F.floor(F.col("foff") / 60).cast("int")), [*route, "slot"]).drop("slot")
     around = F.explode(F.array(*[F.date_add("day", i) for i in (-1, 0, 1)]))

@@ -62,6 +62,19 @@ def test_stops_diversions_republished_and_missing_values(spark):
     assert linked(spark, legs, plans + filler) == {(1, 11), (2, 11), (3, 11), (4, 12), (5, 13), (5, 14), (6, 15), (7, 16)}
 
 
+def rare(i):
+    """A plan row of none of the carriers from the tenth on, so that these are rare."""
+    return plan(900 + i, f"{chr(65 + i % 10)}1", 7000 + i, date(2026, 3, 1) + timedelta(days=i % 9), STATIONS[i % 20], STATIONS[(i + 5) % 20], 60 + i)
+
+
+def test_a_missing_number_is_found_in_the_own_hour_of_any_minute(spark):
+    d = date(2026, 3, 1)
+    times = [(610, 615), (600, 629), (629, 620), (605, 580), (640, 650), (640, 690), (615, 660)]
+    legs = [leg(i, 10 + i % 5, None, d, STATIONS[i], STATIONS[i + 9], off) for i, (_, off) in enumerate(times)]
+    plans = [plan(50 + i, f"{chr(75 + i % 5)}1", 100 + i, d, STATIONS[i], STATIONS[i + 9], m) for i, (m, _) in enumerate(times)]
+    assert linked(spark, legs, plans + [rare(i) for i in range(120)]) == {(i, 50 + i) for i in range(len(times))}
+
+
 def test_empty(spark):
     d = date(2026, 3, 1)
     assert linked(spark, [], []) == linked(spark, [leg(1, 1, "1", d, "S01", "S02", 1)], []) == linked(spark, [], [plan(1, "A1", 1, d, "S01", "S02", 1)]) == set()
