@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.packed import packed_values
-from chronoloom.session import cut, stored
+from chronoloom.session import cut, small, stored
 
 #: ln odds lost by a contradiction in each attribute, by a number that differs, and gained by the other legs' links.
 CARRIER_CONFLICT, ARRIVAL_CONFLICT, DIVERTED, TIME_CONFLICT, DATE_CONFLICT, NUMBER_CONFLICT, SUPPORT = 6.0, 12.0, 1.5, 6.0, 6.0, 6.0, 5.0
@@ -148,6 +148,7 @@ def _weigh(pairs: DataFrame, carriers: DataFrame, stations: DataFrame) -> DataFr
     x = x.join(info(stations, "dep", "i_dep"), "dep", "left").join(info(stations, "arr", "i_arr"), "arr", "left")
     number = F.when(F.col("num") == F.col("fnum"), math.log(9000)).when(F.col("fnum").isNull() | F.col("num").isNull(), 0.0).when(F.levenshtein(F.col("num").cast("string"), F.col("fnum").cast("string")) <= 1, 3.0).when(F.array_sort(F.split(F.col("num").cast("string"), "")) == F.array_sort(F.split(F.col("fnum").cast("string"), "")), 3.0).otherwise(-NUMBER_CONFLICT)
     carrier = F.when(F.size(common) > 0, F.coalesce("i_carrier", F.lit(5.0))).when((F.size("carriers") == 0) | (F.size("fcarriers") == 0), 0.0).otherwise(-CARRIER_CONFLICT)
+    departure = F.when(F.col("dep") == F.col("fdep"), F.coalesce("i_dep", F.lit(4.0))).otherwise(0.0)  # candidates have no other departure
     arrival = F.when(F.col("arr") == F.col("farr"), F.coalesce("i_arr", F.lit(4.0))).when(F.col("arr").isNull() | F.col("farr").isNull(), 0.0).when(F.col("astray"), -DIVERTED).otherwise(-ARRIVAL_CONFLICT)
     off, on = F.abs(F.col("foff") - F.col("off_utc")), F.abs(F.col("fon") - F.col("on_utc"))
     turn = F.pmod(F.col("foff") - F.col("off_clock"), F.lit(1440))
@@ -160,7 +161,7 @@ def _weigh(pairs: DataFrame, carriers: DataFrame, stations: DataFrame) -> DataFr
     day = F.when(days == 0, math.log(90)).when(days.isNull(), 0.0).when(F.abs(days) == 1, F.when(F.least(off, on) <= 180, F.lit(1.0)).when(later, F.lit(2.0)).when(by_clock <= 90, F.lit(-1.0)).otherwise(-DATE_CONFLICT)).otherwise(-2 * DATE_CONFLICT)
     # Legs after a stop fly after the service began, within a day and a half.
     order = F.when((F.col("leg") > 1) & begun.isNotNull(), F.when(begun.between(20, 2160), 1.0).otherwise(-TIME_CONFLICT)).otherwise(0.0)
-    w = number + carrier + F.coalesce("i_dep", F.lit(4.0)) + arrival + time + day + order
+    w = number + carrier + departure + arrival + time + day + order
     return x.select("fid", "pid", "leg", "legs", F.round(w, 4).alias("w"))
 
 
@@ -175,21 +176,34 @@ def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airp
     sides = F.explode(F.array_distinct(F.array(block("day", -1), block("day", 1))))
     by_number = legs.where("num is not null and dep is not null and day is not null").withColumn("block", sides).join(
         flown.where("fnum is not null and fday is not null").withColumn("block", block("fday")).withColumnsRenamed({"fnum": "num", "fdep": "dep"}), ["num", "dep", "block"],
-    ).where(F.abs(F.datediff("fday", "day")) <= 1).withColumn("fnum", F.col("num"))
+    ).where(F.abs(F.datediff("fday", "day")) <= 1).withColumns({"fnum": F.col("num"), "fdep": F.col("dep")})
     first = stored(_weigh(by_number, carriers, stations).where(F.col("w") >= ACCEPT - SUPPORT))
-    # Numbers that are missing or wrong, dates far off: planned legs that found nothing strong are compared by carrier,
-    # route and time, and those of services of which another part found a strong edge by carrier, route and day.
+    # Numbers that are missing or wrong, dates far off, stations or carriers that are missing: planned legs and flights that
+    # found nothing strong are compared by carrier and route at a day or time, and where a row misses one of these, by the rest.
     strong = first.where(F.col("w") >= ACCEPT + 4)
-    open_legs = stored(legs.join(strong.select("pid", "leg").distinct(), ["pid", "leg"], "left_anti").where("size(carriers) > 0").dropDuplicates().withColumn("carrier", F.explode("carriers")))
-    free = flown.withColumn("carrier", F.explode("fcarriers")).withColumnsRenamed({"fdep": "dep", "farr": "arr"})
+    open_legs = stored(legs.join(strong.select("pid", "leg").distinct(), ["pid", "leg"], "left_anti").dropDuplicates())
+    free = stored(flown.join(strong.select("fid").distinct(), "fid", "left_anti"))
     slots = F.explode(F.sequence(*[F.floor((F.col("off_utc") + i) / 60).cast("int") for i in (-30, 60)]))
-    route = ["carrier", "dep", "arr"]
-    by_time = open_legs.where("off_utc is not null").withColumn("slot", slots).join(free.where("foff is not null").withColumn("slot", F.floor(F.col("foff") / 60).cast("int")), [*route, "slot"]).drop("slot")
     around = F.explode(F.array(*[F.date_add("day", i) for i in (-1, 0, 1)]))
-    siblings = open_legs.where("legs > 1").join(strong.where("legs > 1").select("pid").distinct(), "pid", "left_semi").withColumn("fday", around)
-    by_day = siblings.join(free.where("fday is not null"), [*route, "fday"])
-    later = by_time.unionByName(by_day).drop("carrier").withColumn("farr", F.col("arr"))
-    weighed = _weigh(later, carriers, stations).where(F.col("w") >= ACCEPT - SUPPORT)
-    second = weighed.join(strong.select("fid").distinct(), "fid", "left_anti")
+    planned = open_legs.withColumns({"at_dep": F.col("dep"), "at_arr": F.col("arr"), "at_num": F.col("num")})
+    flew = free.withColumns({"at_dep": F.col("fdep"), "at_arr": F.col("farr"), "at_num": F.col("fnum")})
+    spread = lambda df, carriers, keys: df.withColumn("at_carrier", F.explode(carriers)) if "at_carrier" in keys else df
+    meet = lambda p, f, keys: spread(p, "carriers", keys).join(spread(f, "fcarriers", keys), keys).select(*legs.columns, *free.columns)
+    by_day, on_day = planned.where("day is not null").withColumn("at_day", around), flew.where("fday is not null").withColumn("at_day", F.col("fday"))
+    route = ["at_carrier", "at_dep", "at_arr"]
+    at_time = meet(planned.where("off_utc is not null").withColumn("slot", slots), flew.where("foff is not null").withColumn("slot", F.floor(F.col("foff") / 60).cast("int")), [*route, "slot"])
+    later = meet(by_day, on_day, [*route, "at_day"]).unionByName(at_time.where("fday is null or day is null or abs(datediff(fday, day)) > 1"))
+    # What is compared, and the flights and planned legs that miss what is left out; a diverted flight's arrival says nothing.
+    gaps = [
+        (["at_carrier", "at_dep", "at_day"], "farr is null or astray", "arr is null"), (["at_carrier", "at_arr", "at_day"], "fdep is null", "dep is null"),
+        (["at_carrier", "at_num", "at_day"], "fdep is null", "dep is null"), (["at_dep", "at_arr", "at_day"], "size(fcarriers) = 0", "size(carriers) = 0"),
+    ]
+    flights_of, legs_of = on_day.agg(*[F.count_if(F.expr(g)) for _, g, _ in gaps]).first(), by_day.agg(*[F.count_if(F.expr(g)) for _, _, g in gaps]).first()
+    for (keys, flight_gap, leg_gap), n_flights, n_legs in zip(gaps, flights_of, legs_of):
+        if n_flights:
+            later = later.unionByName(meet(by_day, small(on_day.where(flight_gap), n_flights), keys))
+        if n_legs:
+            later = later.unionByName(meet(small(by_day.where(leg_gap), n_legs), on_day, keys))
+    second = _weigh(later, carriers, stations).where(F.col("w") >= ACCEPT - SUPPORT)
     links = refine(first.unionByName(second), "fid", "pid", "leg", "legs", "w")
     return links.select(F.col("fid").alias("flight_id"), F.col("pid").alias("historical_source_row_id"), "leg", "confidence")

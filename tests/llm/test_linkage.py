@@ -75,6 +75,23 @@ def test_a_missing_number_is_found_in_the_own_hour_of_any_minute(spark):
     assert linked(spark, legs, plans + [rare(i) for i in range(120)]) == {(i, 50 + i) for i in range(len(times))}
 
 
+def test_untimed_diverted_and_incomplete_rows_are_found_without_the_number(spark):
+    d = date(2026, 3, 1)
+    untimed = dict(actual_gate_departure_time_utc=None, actual_gate_arrival_time_utc=None)
+    clockless = dict(passenger_departure_local_time=None, passenger_departure_utc_time=None)
+    legs = [
+        leg(0, 10, "1001", d, "S00", "S09", 600, **untimed), leg(1, 11, "2002", d, "S01", "S10", 610), leg(2, 12, "3020", d, "S02", "S19", 600, is_diverted=1),
+        leg(3, 13, "4004", d, "S03", "S12", 600, arrival_airport_code=None), leg(4, 14, "500", d, "S04", "S13", 600, departure_airport_code=None), leg(5, 14, "600", d, "S05", "S14", 600, departure_airport_code=None, arrival_airport_code=None),
+        leg(6, 12, "7001", d, "S06", "S15", 600, operating_carrier_code=None), leg(7, 13, "8001", d, "S07", "S16", 600), leg(8, 10, "9009", d, "S08", "S17", 600, **untimed),
+    ]
+    plans = [
+        plan(50, "K1", 1002, d, "S00", "S09", 600), plan(51, "L1", 2003, d, "S01", "S10", 600, **clockless), plan(52, "M1", 3002, d, "S02", "S11", 600),
+        plan(53, "N1", 4005, d, "S03", "S12", 600), plan(54, "O1", 500, d, "S04", "S13", 600), plan(55, "O1", 600, d, "S05", "S14", 600),
+        plan(56, "M1", 7002, d, "S06", "S15", 600), plan(57, "N1", 8002, d, "S07", None, 600), plan(58, "K1", 1234, d, "S08", "S17", 600),
+    ]
+    assert linked(spark, legs, plans + [rare(i) for i in range(120)]) == {(i, 50 + i) for i in range(8)}
+
+
 def test_empty(spark):
     d = date(2026, 3, 1)
     assert linked(spark, [], []) == linked(spark, [leg(1, 1, "1", d, "S01", "S02", 1)], []) == linked(spark, [], [plan(1, "A1", 1, d, "S01", "S02", 1)]) == set()
