@@ -214,23 +214,56 @@ def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v[b]), exits[b], pa.array(kind[b]), lists], ["v", "exit", "kind", "path"])
 
 
-def hierarchy_paths(links: DataFrame, node: str, parent: str, locality: str | None = None, block_rows: int = 250_000) -> DataFrame:
-    """(node, root, depth, path, descendants): path from the node to its root as an array, null on or towards a cycle.
+def _endless(level: DataFrame) -> DataFrame:
+    """(v, cycle, code) of the nodes whose way never ends: the smallest node of their cycle, and ON_CYCLE or TO_CYCLE."""
+    return cut(resolve_hierarchy(level, "v", "p", level=level).where("depth < 0").select("v", F.col("root").alias("cycle"), F.col("depth").alias("code")))
 
-    Descendants counts the nodes whose path leads through the node; they are those whose path contains it.
-    """
-    level = link_blocks(links, node, parent, locality, block_rows)
+
+def _whole_paths(level: DataFrame, endless: DataFrame | None = None) -> DataFrame:
+    """(v, path) of every node; the paths of endless nodes, if there are any, mean nothing."""
     # The checkpoint keeps the blocks' partitions, so every partition again holds exactly one block.
     paths = level.select("v", "p", "kind", "dist", "exit").mapInArrow(_local_paths, "v long, exit long, kind int, path array<long>")
     leaves = level.where(F.col("kind") == OPEN)
     wanted = level.join(leaves.select(F.col("exit").alias("v")).distinct(), "v", "left_semi").select("v", "kind", "last", "exit", "dist", "low")
     # Nodes whose way never ends have no path, and doubling theirs would never end either.
-    endless = cut(resolve_hierarchy(links, node, parent, level=level).where("depth < 0").select(F.col(node).alias("v"), F.col("root").alias("cycle"), F.col("depth").alias("code")))
-    graph = cut(wanted.join(endless, "v", "left_anti").join(paths.select("v", "path"), "v"))
+    wanted = wanted.join(endless, "v", "left_anti") if endless is not None else wanted
+    graph = cut(wanted.join(paths.select("v", "path"), "v"))
     further = _double(graph, graph.count(), with_path=True).select(F.col("x").alias("exit"), F.col("path").alias("more"))
     longer = F.when(F.col("more").isNotNull(), F.concat("path", "more")).otherwise(F.col("path"))
-    whole = stored(paths.where(F.col("kind") != OPEN).select("v", "path").unionByName(paths.where(F.col("kind") == OPEN).join(further, "exit", "left").select("v", longer.alias("path"))))
+    return stored(paths.where(F.col("kind") != OPEN).select("v", "path").unionByName(paths.where(F.col("kind") == OPEN).join(further, "exit", "left").select("v", longer.alias("path"))))
+
+
+def hierarchy_paths(links: DataFrame, node: str, parent: str, locality: str | None = None, block_rows: int = 250_000) -> DataFrame:
+    """(node, root, depth, path, descendants): path from the node to its root as an array, null on or towards a cycle.
+
+    Descendants counts the nodes whose path leads through the node; they are those whose path contains it. Nodes on or towards
+    a cycle have no path and count nowhere here; `descendants` has them, too.
+    """
+    level = link_blocks(links, node, parent, locality, block_rows)
+    endless = _endless(level)
+    whole = _whole_paths(level, endless)
     whole = whole.join(small(endless, endless.count()), "v", "left").select("v", F.when(F.col("code").isNull(), F.col("path")).alias("path"), "cycle", "code")
     below = whole.select(F.explode(F.slice("path", 2, 2_000_000_000)).alias("v")).groupBy("v").agg(F.count("*").alias("descendants"))
     out = whole.join(below, "v", "left")
     return out.select(F.col("v").alias(node), F.coalesce("cycle", F.element_at("path", -1)).alias("root"), F.coalesce("code", (F.size("path") - 1).cast("long")).alias("depth"), "path", F.coalesce("descendants", F.lit(0)).alias("descendants"))
+
+
+def descendants(links: DataFrame, node: str, parent: str, locality: str | None = None, block_rows: int = 250_000) -> DataFrame:
+    """(node, descendant): every node with each other node whose way leads through it, once.
+
+    On and towards a cycle, too: a way to a cycle passes all its members, and each member is a descendant of every other.
+    """
+    level = link_blocks(links, node, parent, locality, block_rows)
+    endless = _endless(level)
+    n = endless.count()
+    above = lambda whole: whole.select(F.explode(F.slice("path", 2, 2_000_000_000)).alias(node), F.col("v").alias("descendant"))
+    whole = _whole_paths(level, endless)
+    if not n:
+        return above(whole)
+    # Without the links of the cycles' members every way ends at the member where it enters its cycle.
+    known = level.select("v", "p").join(small(endless, n), "v")
+    entering = _whole_paths(link_blocks(known.select("v", F.when(F.col("code") != ON_CYCLE, F.col("p")).alias("p")), "v", "p", block_rows=block_rows))
+    members = endless.where(F.col("code") == ON_CYCLE).select("cycle", F.col("v").alias(node))
+    around = entering.join(small(endless, n), "v").select(F.col("v").alias("descendant"), "cycle", F.element_at("path", -1).alias("entry"))
+    round_cycle = around.join(members, "cycle").where(F.col(node) != F.col("entry")).select(node, "descendant")
+    return above(whole.join(small(endless, n), "v", "left_anti")).unionByName(above(entering)).unionByName(round_cycle)

@@ -32,11 +32,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Path, root, depth and number of descendants of every flight."""
+    """Path, root, depth and number of descendants of every flight; those on or towards an endless rotation count only in p1_descendants."""
     tree = hierarchy.hierarchy_paths(_flights(spark, d), "flight_id", "next_flight_id", "aircraft_id")
     return tree.select("flight_id", F.col("root").alias("root_flight_id"), "depth", F.array_join("path", ">").alias("path"), "descendants")
 
 
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every flight with each of its descendants, also on and towards endless rotations."""
+    return hierarchy.descendants(_flights(spark, d), "flight_id", "next_flight_id", "aircraft_id").withColumnRenamed("descendant", "descendant_id")
+
+
 _REACH = """WITH RECURSIVE f AS (SELECT flight_id, min(next_flight_id) AS nxt FROM aircraft_flight WHERE flight_id IS NOT NULL GROUP BY flight_id),
 l AS (SELECT f.flight_id, f.nxt FROM f JOIN f g ON g.flight_id = f.nxt),
 r(s, c) AS (SELECT flight_id, nxt FROM l UNION SELECT r.s, l.nxt FROM r JOIN l ON l.flight_id = r.c),
@@ -57,6 +62,7 @@ SELECT f.flight_id, coalesce(p.root_flight_id, f.flight_id) AS root_flight_id, c
  CASE WHEN p.depth < 0 THEN NULL ELSE concat_ws('>', CAST(f.flight_id AS VARCHAR), up.way) END AS path, coalesce(below.n, 0) AS descendants
 FROM f LEFT JOIN places p USING (flight_id) LEFT JOIN below USING (flight_id) LEFT JOIN up USING (flight_id)"""
 )
+P1_DESCENDANTS = _REACH + "SELECT c AS flight_id, s AS descendant_id FROM r WHERE s <> c"
 
 
 # -- 2 ---------------------------------------------------------------------------------------------------------------
@@ -234,8 +240,8 @@ o AS (SELECT DISTINCT id AS historical_source_row_id, CAST(unnest(range(1, len(v
 P7_FOUND = _SPLIT + "SELECT * FROM o"
 P7_STATIONS = _SPLIT + "SELECT stop_code, stop_position, count(*) AS rows FROM o GROUP BY stop_code, stop_position"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p2_found, p2_counts, p4_found, p4_attributes, p5_found, p5_attributes, p5_versions, p6_found, p6_fields, p7_found, p7_stations)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p4_found, p4_attributes, p5_found, p5_attributes, p5_versions, p6_found, p6_fields, p7_found, p7_stations)}
 SQL = {
-    "p1_found": P1_FOUND, "p1_paths": P1_PATHS, "p2_found": P2_FOUND, "p2_counts": P2_COUNTS, "p4_found": P4_FOUND, "p4_attributes": P4_ATTRIBUTES, "p5_found": P5_FOUND,
+    "p1_found": P1_FOUND, "p1_paths": P1_PATHS, "p1_descendants": P1_DESCENDANTS, "p2_found": P2_FOUND, "p2_counts": P2_COUNTS, "p4_found": P4_FOUND, "p4_attributes": P4_ATTRIBUTES, "p5_found": P5_FOUND,
     "p5_attributes": P5_ATTRIBUTES, "p5_versions": P5_VERSIONS, "p6_found": P6_FOUND, "p6_fields": P6_FIELDS, "p7_found": P7_FOUND, "p7_stations": P7_STATIONS,
 }

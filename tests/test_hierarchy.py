@@ -80,6 +80,19 @@ def test_paths_and_descendants(spark):
         assert got[v].descendants == sum(1 for u, (_, d) in want.items() if d > 0 and u != v and v in got[u].path)
 
 
+@pytest.mark.parametrize("links", [{1: 2, 2: 3, 3: None, 4: 3, 5: 99, 6: 7, 7: 6, 8: 7, 9: 9, 10: 9, 11: 8} | {100 + i: 100 + (i + 1) % 30 for i in range(30)} | {200 + i: 201 + i for i in range(30)} | {230: 105}, {1: 2, 2: None}, {}])
+def test_descendants_also_on_and_towards_cycles(spark, links):
+    df = spark.createDataFrame([(v, p, v % 3) for v, p in links.items()], "id long, up long, v long")
+    want = []
+    for v in links:
+        seen, x = {v}, links[v]
+        while x in links and x not in seen:
+            seen.add(x)
+            want.append((x, v))
+            x = links[x]
+    assert sorted(tuple(r) for r in H.descendants(df, "id", "up", "v", block_rows=10).collect()) == sorted(want)
+
+
 def test_empty_table_and_several_parents(spark):
     assert H.resolve_hierarchy(spark.createDataFrame([], "id long, up long"), "id", "up").count() == 0
     df = spark.createDataFrame([(1, 3), (1, 2), (2, None), (3, None)], "id long, up long")
