@@ -84,6 +84,15 @@ def entries_and_exits(obs: DataFrame, market: list[str], earlier: int, later: in
     return both.select(*market, F.when(F.col("before") == 0, "ENTRY").otherwise("EXIT").alias("kind"), (F.col("before") + F.col("after")).alias("keys"))
 
 
+def consecutive_entries_and_exits(obs: DataFrame, market: list[str], deliveries: int) -> DataFrame:
+    """(ord, market..., kind, keys): markets present at a delivery but not at the one before (ENTRY), or the other way round (EXIT), for all deliveries after the first."""
+    w = Window.partitionBy(*market).orderBy("ord")
+    per = obs.dropna(subset=market).groupBy(*market, "ord").agg(F.countDistinct("key").alias("keys")).select("*", F.lag("ord").over(w).alias("before"), F.lead("ord").over(w).alias("after"))
+    entry = F.when((F.col("ord") > 0) & (F.col("before").isNull() | (F.col("before") < F.col("ord") - 1)), F.struct("ord", F.lit("ENTRY").alias("kind")))
+    leaves = F.when((F.col("ord") < deliveries - 1) & (F.col("after").isNull() | (F.col("after") > F.col("ord") + 1)), F.struct((F.col("ord") + 1).alias("ord"), F.lit("EXIT").alias("kind")))
+    return per.select(*market, "keys", F.explode(F.array_compact(F.array(entry, leaves))).alias("e")).select("e.ord", *market, "e.kind", "keys")
+
+
 def capacity(dated: DataFrame, knowledge: str, operating: str, by: list[str], weekdays: list[str], frequency: str, seats: str, first: str, last: str) -> DataFrame:
     """(by..., schedules, weekly_frequency, weekly_seats, all_seats_known): what is known on one day to operate on another.
 

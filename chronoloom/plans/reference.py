@@ -314,6 +314,17 @@ def market_entry_exit(spark: SparkSession, d: str) -> DataFrame:
     return states.entries_and_exits(_observed(spark, d), _MARKET, 10, 11)
 
 
+@query(
+    _OBS
+    + f""", per AS (SELECT ord, {_M}, count(DISTINCT key) AS keys FROM obs WHERE NOT ({NO_STATION}) AND marketing_carrier_internal IS NOT NULL GROUP BY ord, {_M})
+SELECT ord, {_M}, 'ENTRY' AS kind, keys FROM per p WHERE ord > 0 AND NOT EXISTS (SELECT 1 FROM per q WHERE q.ord = p.ord - 1 AND {" AND ".join(f"q.{c} = p.{c}" for c in _MARKET)})
+UNION ALL SELECT ord + 1, {_M}, 'EXIT', keys FROM per p WHERE ord < (SELECT max(o) FROM cal) AND NOT EXISTS (SELECT 1 FROM per q WHERE q.ord = p.ord + 1 AND {" AND ".join(f"q.{c} = p.{c}" for c in _MARKET)})"""
+)
+def market_entries_exits(spark: SparkSession, d: str) -> DataFrame:
+    """Entries and exits of all consecutive deliveries; market_entry_exit has those of one pair."""
+    return states.consecutive_entries_and_exits(_observed(spark, d), _MARKET, deliveries_of(spark, d).count())
+
+
 @query(_OBS + f"SELECT ord, count(DISTINCT ({_M})) AS markets FROM obs WHERE NOT ({NO_STATION}) GROUP BY ord")
 def market_count(spark: SparkSession, d: str) -> DataFrame:
     return _good(spark, d).groupBy("ord").agg(F.countDistinct(*_MARKET).alias("markets"))

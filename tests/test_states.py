@@ -59,3 +59,10 @@ def test_components_and_chains(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
     links = spark.createDataFrame([(1, 2), (2, 3), (3, None), (5, 3), (6, 7), (7, 6), (8, 8)], "n long, f long")
     assert {(r.n, r["head"], r.position) for r in chains(links, "n", "f").collect()} == {(1, 1, 1), (2, 1, 2), (3, 1, 3), (5, 5, 1), (8, 8, 1)}
+
+
+def test_entries_and_exits_of_all_deliveries(spark):
+    rows = [(1, 0, "A"), (1, 1, "A"), (1, 2, "A"), (2, 0, "B"), (2, 2, "B"), (3, 1, "C"), (4, 1, "C"), (5, 1, None), (6, 3, "A")]
+    obs = spark.createDataFrame(rows, "key long, ord int, m string")
+    got = {(r.ord, r.m, r.kind, r["keys"]) for r in S.consecutive_entries_and_exits(obs, ["m"], 5).collect()}
+    assert got == {(1, "B", "EXIT", 1), (2, "B", "ENTRY", 1), (3, "B", "EXIT", 1), (1, "C", "ENTRY", 2), (2, "C", "EXIT", 2), (4, "A", "EXIT", 1)}
