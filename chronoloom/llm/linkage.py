@@ -2,22 +2,25 @@
 
 Records of two sources are nodes of a bipartite candidate graph. Edges come from blocking keys that join several
 attributes, so an edge needs a rare combination in common, and every edge is weighted by the information of what its
-ends share: a shared value counts -ln of its frequency, a contradiction costs a fixed penalty, a missing value
-nothing. Meta-blocking prunes edges that are much weaker than the best edge of either end. Then neighbours vote: an
-edge gains from the share of the other parts of the same service that are linked (a service with stops consists of
-several legs), and pruning and voting repeat until the set of accepted edges is stable.
+ends share: a shared value counts -ln of its measured frequency, a contradiction costs a fixed penalty, a missing value
+nothing. Meta-blocking prunes edges that are much weaker than the best edge of either end, where what a record doesn't
+say isn't held against it. Then neighbours vote: an edge gains from the share of the other parts of the same service
+that are linked (a service with stops consists of several legs), and pruning and voting repeat until the set of
+accepted edges is stable.
 
-This module holds the general graph part (`refine`) and the linkage of flown legs with published plan rows.
+This module holds the general graph part (`refine`) and the linkage of flown legs with published plan rows. There all
+attributes are numbers before the first shuffle: codes and stations are hashed to 64 bits, days and times counted. One
+join on a single hashed key carries all ways of meeting, so each side is shuffled once for all of them; rows that lack
+one of the attributes meet by what is left, against the other side as a whole, where only they are broadcast if their
+counted number is small.
 
 Defined results: records without id are never linked; missing attributes neither support nor contradict; repeated
-rows count once; ties are all kept (a service published twice is linked twice); empty tables give an empty result;
-further columns are ignored.
+rows count once, and repeated flights that say less are completed by each other; ties are all kept (a service published
+twice is linked twice); empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,182 +31,240 @@ from chronoloom.session import cut, small, stored
 CARRIER_CONFLICT, ARRIVAL_CONFLICT, DIVERTED, TIME_CONFLICT, DATE_CONFLICT, NUMBER_CONFLICT, SUPPORT = 6.0, 12.0, 1.5, 6.0, 6.0, 6.0, 5.0
 #: Least weight of a link, and how much weaker than the best edge of either end a link may be.
 ACCEPT, SLACK = 17.0, 4.5
+#: What a shared carrier or station counts that is too rare to be in the statistics, a near time, and a mistyped number.
+UNSEEN, NEAR_TIME, MISTYPED = 5.0, 4.0, 3.0
 #: Hours by which local time may differ from UTC at most.
 FAR_ZONE = 14
+#: Days in a block of the blocking keys; a planned leg is entered in the blocks of the day before and after, too.
+SPAN = 8
+#: How many values numbers (up to four digits) and days (a year) can take. Frequencies are smoothed as if so many rows,
+#: spread evenly over these, had been counted, too; it matters only where few rows are.
+NUMBERS, DAYS, EVENLY = 9999, 366, 3000
 
 
-def refine(edges: DataFrame, left: str, right: str, part: str, parts: str, weight: str, accept: float = ACCEPT, slack: float = SLACK, support: float = SUPPORT, max_rounds: int = 6) -> DataFrame:
+def refine(edges: DataFrame, left: str, right: str, part: str, parts: str, weight: str, credit: str | None = None, accept: float = ACCEPT, slack: float = SLACK, support: float = SUPPORT, most_rounds: int = 100) -> DataFrame:
     """Edges (left, right, part, parts, weight) that are accepted, with their confidence; repeated edges count once.
 
-    right is a record made of `parts` parts; part numbers the one that the edge belongs to. Edges are pruned at either
-    end first. Only those of left records that touch a record of several parts can change after that, so only they
-    are voted on again, until a round accepts as many edges with the same total score as the one before, at most
-    max_rounds times.
+    right is a record made of `parts` parts; part numbers the one that the edge belongs to. credit is what an edge could
+    have weighed more if its right record had said all; it counts when the edge is compared with others of its left
+    record, never for acceptance. Edges are pruned at either end first. Only those of left records that touch a record
+    of several parts can change after that, so only they are voted on again, until a round accepts as many edges with
+    the same total score as the one before. Pruned edges never return and votes only grow on a fixed set of edges, so
+    this ends; most_rounds raises instead of giving a result that isn't stable.
     """
     by_l, by_p, by_r = Window.partitionBy("l"), Window.partitionBy("r", "part"), Window.partitionBy("r")
     score = F.col("score")
-    e = edges.select(F.col(left).alias("l"), F.col(right).alias("r"), F.col(part).cast("short").alias("part"), F.col(parts).cast("short").alias("parts"), F.col(weight).cast("float").alias("w"))
-    e = e.repartition("l").groupBy("l", "r", "part", "parts").agg(F.max("w").alias("w")).withColumn("score", F.col("w"))
-    e = e.withColumn("top", F.max("score").over(by_l)).withColumn("votes", F.max(F.col("parts") > 1).over(by_l)).where(score >= F.col("top") - slack)
+    extra = F.col(credit) if credit else F.lit(0.0)
+    e = edges.select(F.col(left).alias("l"), F.col(right).alias("r"), F.col(part).cast("short").alias("part"), F.col(parts).cast("short").alias("parts"), F.col(weight).cast("float").alias("w"), extra.cast("float").alias("credit"))
+    e = e.repartition("l").groupBy("l", "r", "part", "parts").agg(F.max("w").alias("w"), F.min("credit").alias("credit")).withColumn("score", F.col("w"))
+    e = e.withColumn("top", F.max("score").over(by_l)).withColumn("votes", F.max(F.col("parts") > 1).over(by_l)).where(score + F.col("credit") >= F.col("top") - slack)
     e = e.repartition("r").withColumn("top", F.max("score").over(by_p)).where(score >= F.col("top") - slack).drop("top")
     e = stored(e)
     settled, open_edges, seen = e.where("not votes and parts = 1"), e.where("votes or parts > 1").drop("votes"), None
-    for _ in range(max_rounds):
+    for _ in range(most_rounds):
         linked = F.size(F.collect_set(F.when(score >= accept, F.col("part"))).over(by_r)) - (score >= accept).cast("int")
         gain = F.lit(support) * F.when(F.col("parts") > 1, F.greatest(linked, F.lit(0)) / (F.col("parts") - 1)).otherwise(0.0)
         voted = open_edges.repartition("r").withColumn("score", (F.col("w") + gain).cast("float")).withColumn("top", F.max("score").over(by_p)).where(score >= F.col("top") - slack).drop("top")
-        open_edges = stored(voted.withColumn("top", F.max("score").over(by_l)).where(score >= F.col("top") - slack).drop("top"))
-        now = open_edges.where(score >= accept).agg(F.count("*"), F.round(F.sum(score.cast("double")), 2)).first()
+        open_edges = stored(voted.withColumn("top", F.max("score").over(by_l)).where(score + F.col("credit") >= F.col("top") - slack).drop("top"))
+        now = open_edges.agg(F.count("*"), F.count_if(score >= accept), F.round(F.sum(score.cast("double")), 2)).first()
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"links are not stable after {most_rounds} rounds")
     kept = settled.drop("votes").unionByName(open_edges).where(score >= accept)
     confidence = F.round(1 / (1 + F.exp((accept - score) / 3)), 4)
     return kept.select(F.col("l").alias(left), F.col("r").alias(right), F.col("part").cast("int").alias(part), confidence.alias("confidence"))
 
 
-def information(df: DataFrame, column: str, least: float = 0.7) -> DataFrame:
-    """(value, info): -ln of each value's frequency, at least `least`. One row per code, so its size is that of the code list."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select("value", F.greatest(F.lit(least), -F.log(F.col("n") / F.col("all"))).alias("info"))
-
-
 def flight_number(column: str) -> Column:
     """A flight number as written in the flight table, without carrier code, word, suffix and leading zeros."""
     t = F.upper(F.trim(F.col(column)))
     # A two-character carrier code has exactly one digit; glued to a number it is told apart by its letter.
-    t = F.regexp_replace(t, r"^(FLT|FLIGHT)[\s.#-]*", "")
-    t = F.regexp_replace(t, r"^([A-Z][0-9]|[0-9][A-Z]|[A-Z]{2,3})[\s/-]*(?=[0-9])", "")
-    return F.regexp_extract(t, r"^0*([0-9]{1,7})[\s/-]*[A-Z]?$", 1).try_cast("long")
+    bare = F.regexp_replace(t, r"^(FLT|FLIGHT)[\s.#-]*", "")
+    bare = F.regexp_replace(bare, r"^([A-Z][0-9]|[0-9][A-Z]|[A-Z]{2,3})[\s/-]*(?=[0-9])", "")
+    plain = F.length(t).between(1, 7) & (F.translate(t, "0123456789", "") == "")
+    return F.when(plain, t.try_cast("long")).otherwise(F.regexp_extract(bare, r"^0*([0-9]{1,7})[\s/-]*[A-Z]?$", 1).try_cast("long"))
 
 
-def codes_to_ids(reference: DataFrame, identity: str, codes: list[str]) -> DataFrame:
-    """(code, id): every code of a reference table, in whatever notation, with the ids it may name."""
-    return reference.select(F.col(identity).alias("id"), F.explode(F.array(identity, *codes)).alias("code")).where("code is not null").select(F.upper(F.trim("code")).alias("code"), "id").distinct()
+def code(column: Column) -> Column:
+    """A code's number; null stays null."""
+    return F.when(column.isNotNull(), F.xxhash64(column))
+
 
+def _clean(column: str | Column) -> Column:
+    return F.nullif(F.upper(F.trim(column)), F.lit(""))
 
-def _id_map(pairs: DataFrame, broadcast: bool = True) -> DataFrame:
-    """(code, ids); a reference table's size is fixed by the industry, some thousand codes."""
-    return pairs.groupBy("code").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+def codes_to_ids(reference: DataFrame, identity: str, codes: list[str]) -> DataFrame:
+    """(code, ids): every code of a reference table, in whatever notation, with the numbers of the ids it may name."""
+    pairs = reference.select(code(F.col(identity)).alias("id"), F.explode(F.array(identity, *codes)).alias("code")).where("code is not null and id is not null")
+    return pairs.groupBy(code(F.upper(F.trim("code"))).alias("code")).agg(F.sort_array(F.collect_set("id")).alias("ids"))
 
 
 def _minutes(day: Column, time: Column) -> Column:
     """Minutes since 1970 of a day, by its number, and a text HH:mm:ss, null if either is missing or unreadable."""
-    ok = time.rlike("^[0-2][0-9]:[0-5][0-9]")
-    return F.when(ok, day * 1440 + F.substring(time, 1, 2).cast("int") * 60 + F.substring(time, 4, 2).cast("int"))
+    hour, minute = F.substring(time, 1, 2).try_cast("int"), F.substring(time, 4, 2).try_cast("int")
+    return F.when((F.substring(time, 3, 1) == ":") & hour.between(0, 29) & minute.between(0, 59), day * 1440 + hour * 60 + minute)
 
 
-def _utc(day: Column, local: Column, utc: Column, offset: Column) -> Column:
-    """UTC minutes of an event at a local day: from the local time and offset, else from both clocks, else from the UTC time on the day itself (then null if unsure)."""
-    number = F.unix_date(day)
-    here, there = _minutes(number, local), _minutes(number, utc)
+def _utc(here: Column, there: Column, offset: Column) -> Column:
+    """UTC minutes of an event from its minutes by the local and the UTC clock on the local day: by the offset, else by both clocks, else null."""
     lead = F.pmod(here - there + FAR_ZONE * 60 - 120, F.lit(1440)) - (FAR_ZONE * 60 - 120)  # local minus UTC, from -12 h to +12 h
     return F.coalesce(here - offset.cast("int"), here - lead)
 
 
 def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
-    """Plan rows as legs between consecutive stations, repeated rows as they are: (pid, leg, legs, num, day, dep, arr, carriers, off_utc, on_utc, ...)."""
-    clean = lambda c: F.nullif(F.upper(F.trim(F.col(c))), F.lit(""))
+    """Plan rows as legs between consecutive stations, repeated rows as they are: (pid, leg, legs, num, day, dep, arr, carriers, off, on, start, clock).
+
+    airlines: as from `codes_to_ids`. off and on: UTC minutes of this leg's departure and arrival, where the plan gives
+    them; start: of the service's departure; clock: minutes of the day in UTC, where the day in UTC is unknown.
+    """
+    day = F.unix_date("operating_date")
+    arrives = day + F.coalesce(F.col("arrival_day_indicator").cast("int"), F.lit(0))
+    time = lambda at, c: _minutes(at, F.col(c))
     one = plans.where("historical_source_row_id is not null").select(
-        F.col("historical_source_row_id").alias("pid"), F.col("flight_number").alias("num"), F.col("operating_date").alias("day"), clean("departure_station_code_iata").alias("dep"), clean("arrival_station_code_iata").alias("arr"),
-        clean("operating_carrier_internal").alias("oc"), clean("marketing_carrier_internal").alias("mc"),
-        _utc(F.col("operating_date"), F.col("passenger_departure_local_time"), F.col("passenger_departure_utc_time"), F.col("departure_utc_offset_minutes")).alias("off_utc"),
-        _utc(F.date_add("operating_date", F.coalesce(F.col("arrival_day_indicator").cast("int"), F.lit(0))), F.col("passenger_arrival_local_time"), F.col("passenger_arrival_utc_time"), F.col("arrival_utc_offset_minutes")).alias("on_utc"),
-        _minutes(F.lit(0).cast("int"), F.col("passenger_departure_utc_time")).alias("off_clock"), F.col("intermediate_stop_station_codes_iata").alias("packed"),
+        F.col("historical_source_row_id").alias("pid"), F.col("flight_number").cast("long").alias("num"), day.alias("day"), _clean("departure_station_code_iata").alias("dep"), _clean("arrival_station_code_iata").alias("arr"),
+        code(_clean("operating_carrier_internal")).alias("oc"), code(_clean("marketing_carrier_internal")).alias("mc"),
+        time(day, "passenger_departure_local_time").alias("l_off"), time(day, "passenger_departure_utc_time").alias("u_off"), F.col("departure_utc_offset_minutes").alias("o_off"),
+        time(arrives, "passenger_arrival_local_time").alias("l_on"), time(arrives, "passenger_arrival_utc_time").alias("u_on"), F.col("arrival_utc_offset_minutes").alias("o_on"),
+        _minutes(F.lit(0), F.col("passenger_departure_utc_time")).alias("clock"), F.col("intermediate_stop_station_codes_iata").alias("packed"),
     )
     one = packed_values(one, "packed", "stops")
-    ids = _id_map(airlines)
-    for c in ("oc", "mc"):
-        one = one.join(F.broadcast(ids.withColumnRenamed("code", c).withColumnRenamed("ids", f"{c}_ids")), c, "left")
-    route = F.concat(F.array("dep"), F.coalesce("stops", F.array().cast("array<string>")), F.array("arr"))
-    carriers = F.array_distinct(F.concat(*[F.coalesce(F.col(f"{c}_ids"), F.array().cast("array<string>")) for c in ("oc", "mc")]))
-    rows = one.select("pid", "num", "day", "off_utc", "on_utc", "off_clock", carriers.alias("carriers"), route.alias("route"))
-    legs = rows.withColumn("legs", F.size("route") - 1).withColumn("leg", F.explode(F.sequence(F.lit(1), F.col("legs"))))
+    for c in ("oc", "mc"):  # a reference table's size is fixed by the industry, some thousand codes
+        one = one.join(F.broadcast(airlines.select(F.col("code").alias(c), F.col("ids").alias(f"{c}_ids"))), c, "left")
+    none = F.array().cast("array<bigint>")
+    carriers = F.when(F.col("oc_ids").isNull() | F.col("mc_ids").isNull() | (F.col("oc") == F.col("mc")), F.coalesce("oc_ids", "mc_ids", none)).otherwise(F.array_union("oc_ids", "mc_ids"))
+    rows = one.select("pid", "num", "day", _utc(F.col("l_off"), F.col("u_off"), F.col("o_off")).alias("start"), _utc(F.col("l_on"), F.col("u_on"), F.col("o_on")).alias("end"), "clock", carriers.alias("carriers"), "dep", "arr", F.coalesce("stops", F.array().cast("array<string>")).alias("stops"))
+    legs = rows.withColumn("legs", F.size("stops") + 1).withColumn("leg", F.explode(F.sequence(F.lit(1), F.col("legs"))))
+    first, last = F.col("leg") == 1, F.col("leg") == F.col("legs")
     return legs.select(
-        "pid", "leg", "legs", "num", "day", F.get("route", F.col("leg") - 1).alias("dep"), F.get("route", F.col("leg")).alias("arr"), "carriers",
-        F.when(F.col("leg") == 1, F.col("off_utc")).alias("off_utc"), F.when(F.col("leg") == F.col("legs"), F.col("on_utc")).alias("on_utc"), F.col("off_utc").alias("start_utc"),
-        F.when((F.col("leg") == 1) & F.col("off_utc").isNull(), F.col("off_clock")).alias("off_clock"),
+        "pid", "leg", "legs", "num", "day", code(F.when(first, F.col("dep")).otherwise(F.get("stops", F.col("leg") - 2))).alias("dep"), code(F.when(last, F.col("arr")).otherwise(F.get("stops", F.col("leg") - 1))).alias("arr"), "carriers",
+        F.when(first, F.col("start")).alias("off"), F.when(last, F.col("end")).alias("on"), "start", F.when(first & F.col("start").isNull(), F.col("clock")).alias("clock"),
     )
 
 
 def flown_legs(flights: DataFrame, airports: DataFrame) -> DataFrame:
-    """Flown legs, repeated rows as they are, as these may say less but nothing else: (fid, fnum, fday, fdep, farr, fcarriers, foff, fon, astray)."""
+    """Flown legs, one row each: (fid, fnum, fday, fdep, farr, c1, c2, foff, fon, astray); of repeated rows the greatest of each attribute, as these may say less but nothing else."""
     # An id that versions give several codes gets the smallest, and a missing code the id itself.
     iata = airports.groupBy(F.col("airport_id").alias("a")).agg(F.min(F.upper(F.trim("airport_code_iata"))).alias("iata"))
     minute = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 60).cast("int")
+    # The date as given comes before that of the local time, and this before that in UTC.
+    ranked = lambda rank, day: F.lit(rank * 10_000_000) + F.unix_date(day)
+    date = F.coalesce(ranked(3, F.col("flight_departure_date")), ranked(2, F.col("actual_gate_departure_time_local").cast("date")), ranked(1, F.col("flight_departure_date_utc")))
     one = flights.where("flight_id is not null").select(
-        F.col("flight_id").alias("fid"), flight_number("flight_number").cast("int").alias("fnum"), F.coalesce("flight_departure_date", F.col("actual_gate_departure_time_local").cast("date"), "flight_departure_date_utc").alias("fday"),
-        F.col("departure_airport_code").alias("da"), F.col("arrival_airport_code").alias("aa"), F.array_compact(F.array_distinct(F.array("operating_carrier_code", "marketing_carrier_code"))).alias("fcarriers"),
-        minute("actual_gate_departure_time_utc").alias("foff"), minute("actual_gate_arrival_time_utc").alias("fon"), (F.coalesce(F.col("is_diverted") == 1, F.lit(False)) | F.col("diverted_airport_code").isNotNull()).alias("astray"),
+        F.col("flight_id").alias("fid"), flight_number("flight_number").alias("fnum"), date.alias("fday"), F.col("departure_airport_code").alias("da"), F.col("arrival_airport_code").alias("aa"),
+        code(F.col("operating_carrier_code")).alias("c1"), code(F.col("marketing_carrier_code")).alias("c2"), minute("actual_gate_departure_time_utc").alias("foff"), minute("actual_gate_arrival_time_utc").alias("fon"),
+        (F.coalesce(F.col("is_diverted") == 1, F.lit(False)) | F.col("diverted_airport_code").isNotNull()).alias("astray"),
+    )
+    at = lambda c: F.broadcast(iata.select(F.col("a").alias(c), code(F.coalesce("iata", "a")).alias(f"{c}_code")))
+    one = one.join(at("da"), "da", "left").join(at("aa"), "aa", "left").select("fid", "fnum", "fday", F.coalesce("da_code", code(F.col("da"))).alias("fdep"), F.coalesce("aa_code", code(F.col("aa"))).alias("farr"), "c1", "c2", "foff", "fon", "astray")
+    merged = one.groupBy("fid").agg(*[F.max(c).alias(c) for c in one.columns[1:]])
+    return merged.withColumn("fday", F.pmod(F.col("fday") + 5_000_000, F.lit(10_000_000)) - 5_000_000)
+
+
+class Rarity:
+    """How rare the values of the plans' attributes are: -ln of their measured frequency, from one pass over the plans."""
+
+    KINDS = ("number", "day", "station", "carrier")
+
+    def __init__(self, plans: DataFrame, airlines: DataFrame):
+        cells = "0, cast(flight_number as bigint), 1, cast(unix_date(operating_date) as bigint), 2, d, 2, a, 3, o, 3, if(m = o, null, m)"
+        rows = plans.where("historical_source_row_id is not null").select("flight_number", "operating_date", *[code(_clean(c)).alias(n) for n, c in zip("daom", ("departure_station_code_iata", "arrival_station_code_iata", "operating_carrier_internal", "marketing_carrier_internal"))])
+        self.counts = cut(rows.selectExpr(f"stack(6, {cells}) as (kind, value)").where("value is not null").groupBy("kind", "value").agg(F.count("*").alias("n")))
+        # One row a kind.
+        found = {r.kind: (r.rows, r.total) for r in self.counts.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).collect()}
+        self.size = {k: found.get(i, (0, 0)) for i, k in enumerate(self.KINDS)}
+        self.airlines = airlines
+
+    def of(self, kind: str, value: str, info: str, values: int = 0, least: float = 0.7) -> DataFrame:
+        """(value, info), to be joined to the left of; broadcast where the counted number of values is small."""
+        rows, total = self.size[kind]
+        mine = self.counts.where(F.col("kind") == self.KINDS.index(kind)).select(F.col("value").alias("v"), "n")
+        if kind == "carrier":  # counted by code, asked for by id
+            mine = mine.join(F.broadcast(self.airlines), F.col("v") == F.col("code")).select(F.explode("ids").alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n"))
+        share = (F.col("n") + (EVENLY / values if values else 0)) / F.lit(float(max(total, 1) + (EVENLY if values else 0)))
+        return small(mine.select(F.col("v").alias(value), F.greatest(F.lit(least), -F.log(share)).cast("float").alias(info)), rows)
+
+
+def _weigh(pairs: DataFrame) -> DataFrame:
+    """Edges (fid, pid, leg, legs, w, credit) of candidate pairs, weighted by the information they share."""
+    known = lambda *c: sum((F.col(x).isNotNull().cast("int") for x in c[1:]), F.col(c[0]).isNotNull().cast("int")) == len(c)
+    number = (
+        F.when(F.col("num") == F.col("fnum"), F.coalesce("i_num", F.lit(UNSEEN))).when(~known("num", "fnum"), 0.0).when(F.levenshtein(F.col("num").cast("string"), F.col("fnum").cast("string")) <= 1, MISTYPED)
+        .when(F.array_sort(F.split(F.col("num").cast("string"), "")) == F.array_sort(F.split(F.col("fnum").cast("string"), "")), MISTYPED).otherwise(-NUMBER_CONFLICT)
     )
-    code = lambda c: F.broadcast(iata.select(F.col("a").alias(c), F.col("iata").alias(f"{c}_iata")))
-    return one.join(code("da"), "da", "left").join(code("aa"), "aa", "left").select("fid", "fnum", "fday", F.coalesce("da_iata", "da").alias("fdep"), F.coalesce("aa_iata", "aa").alias("farr"), "fcarriers", "foff", "fon", "astray")
-
-
-def _weigh(pairs: DataFrame, carriers: DataFrame, stations: DataFrame) -> DataFrame:
-    """Edges (fid, pid, leg, legs, w) of candidate pairs, weighted by the information they share."""
-    info = lambda table, c, name: F.broadcast(table.select(F.col("value").alias(c), F.col("info").alias(name)))
-    common = F.array_intersect("carriers", "fcarriers")
-    x = pairs.withColumn("carrier", F.get(common, F.lit(0))).join(info(carriers, "carrier", "i_carrier"), "carrier", "left")
-    x = x.join(info(stations, "dep", "i_dep"), "dep", "left").join(info(stations, "arr", "i_arr"), "arr", "left")
-    number = F.when(F.col("num") == F.col("fnum"), math.log(9000)).when(F.col("fnum").isNull() | F.col("num").isNull(), 0.0).when(F.levenshtein(F.col("num").cast("string"), F.col("fnum").cast("string")) <= 1, 3.0).when(F.array_sort(F.split(F.col("num").cast("string"), "")) == F.array_sort(F.split(F.col("fnum").cast("string"), "")), 3.0).otherwise(-NUMBER_CONFLICT)
-    carrier = F.when(F.size(common) > 0, F.coalesce("i_carrier", F.lit(5.0))).when((F.size("carriers") == 0) | (F.size("fcarriers") == 0), 0.0).otherwise(-CARRIER_CONFLICT)
-    departure = F.when(F.col("dep") == F.col("fdep"), F.coalesce("i_dep", F.lit(4.0))).otherwise(0.0)  # candidates have no other departure
-    arrival = F.when(F.col("arr") == F.col("farr"), F.coalesce("i_arr", F.lit(4.0))).when(F.col("arr").isNull() | F.col("farr").isNull(), 0.0).when(F.col("astray"), -DIVERTED).otherwise(-ARRIVAL_CONFLICT)
-    off, on = F.abs(F.col("foff") - F.col("off_utc")), F.abs(F.col("fon") - F.col("on_utc"))
-    turn = F.pmod(F.col("foff") - F.col("off_clock"), F.lit(1440))
-    by_clock = F.least(turn, 1440 - turn)  # only where the day of the UTC time is unknown
-    near = F.least(off, F.when(by_clock <= 90, by_clock), F.when(F.col("astray"), F.lit(None)).otherwise(on))  # skips nulls
-    time = F.when(near.isNull(), 0.0).when(near <= 30, 4.0).when(near <= 90, 3.0).when(near <= 180, 1.0).when(near <= 480, -2.0).otherwise(-TIME_CONFLICT)
-    days = F.datediff("fday", "day")
-    begun = F.col("foff") - F.col("start_utc")
-    later = (F.col("leg") > 1) & ((days == 1) | begun.between(20, 2160))
-    day = F.when(days == 0, math.log(90)).when(days.isNull(), 0.0).when(F.abs(days) == 1, F.when(F.least(off, on) <= 180, F.lit(1.0)).when(later, F.lit(2.0)).when(by_clock <= 90, F.lit(-1.0)).otherwise(-DATE_CONFLICT)).otherwise(-2 * DATE_CONFLICT)
+    no_carrier = (F.size("carriers") == 0) | (F.col("c1").isNull() & F.col("c2").isNull())
+    carrier = F.when(F.array_contains("carriers", F.col("c1")), F.coalesce("i_c1", F.lit(UNSEEN))).when(F.array_contains("carriers", F.col("c2")), F.coalesce("i_c2", F.lit(UNSEEN))).when(no_carrier, 0.0).otherwise(-CARRIER_CONFLICT)
+    departure = F.when(F.col("dep") == F.col("fdep"), F.coalesce("i_dep", F.lit(UNSEEN))).otherwise(0.0)  # candidates have no other departure
+    arrival = F.when(F.col("arr") == F.col("farr"), F.coalesce("i_arr", F.lit(UNSEEN))).when(~known("arr", "farr"), 0.0).when(F.col("astray"), -DIVERTED).otherwise(-ARRIVAL_CONFLICT)
+    x = pairs.withColumns({"d_off": F.abs(F.col("foff") - F.col("off")), "d_on": F.abs(F.col("fon") - F.col("on")), "begun": F.col("foff") - F.col("start"), "days": F.col("fday") - F.col("day"), "turn": F.pmod(F.col("foff") - F.col("clock"), F.lit(1440))})
+    by_clock = F.least(F.col("turn"), 1440 - F.col("turn"))  # only where the day of the UTC time is unknown
+    near = F.least("d_off", F.when(by_clock <= 90, by_clock), F.when(~F.col("astray"), F.col("d_on")))  # skips nulls
+    time = F.when(near.isNull(), 0.0).when(near <= 30, NEAR_TIME).when(near <= 90, 3.0).when(near <= 180, 1.0).when(near <= 480, -2.0).otherwise(-TIME_CONFLICT)
+    days = F.col("days")
+    later = (F.col("leg") > 1) & ((days == 1) | F.col("begun").between(20, 2160))
+    # A flight's date may be off where its times are not.
+    day = F.when(days == 0, F.coalesce("i_day", F.lit(UNSEEN))).when(days.isNull(), 0.0).when(F.least("d_off", "d_on") <= 180, F.lit(1.0)).when(F.abs(days) > 1, -2 * DATE_CONFLICT).when(later, F.lit(2.0)).when(by_clock <= 90, F.lit(-1.0)).otherwise(-DATE_CONFLICT)
     # Legs after a stop fly after the service began, within a day and a half.
-    order = F.when((F.col("leg") > 1) & begun.isNotNull(), F.when(begun.between(20, 2160), 1.0).otherwise(-TIME_CONFLICT)).otherwise(0.0)
-    w = number + carrier + departure + arrival + time + day + order
-    return x.select("fid", "pid", "leg", "legs", F.round(w, 4).alias("w"))
+    order = F.when((F.col("leg") > 1) & F.col("begun").isNotNull(), F.when(F.col("begun").between(20, 2160), 1.0).otherwise(-TIME_CONFLICT)).otherwise(0.0)
+    lacks = lambda c, by: F.when(F.col(c).isNull(), by).otherwise(0.0)
+    untold = lacks("arr", UNSEEN) + lacks("dep", UNSEEN) + lacks("num", 9.0) + F.when(F.size("carriers") == 0, F.coalesce("i_c1", "i_c2", F.lit(UNSEEN))).otherwise(0.0) + F.when(near.isNull() & F.col("foff").isNotNull(), NEAR_TIME).otherwise(0.0)
+    w = F.round((number + carrier + departure + arrival + time + day + order).cast("double"), 4).cast("float")
+    # A leg's other legs can make up for SUPPORT at most.
+    return x.select("fid", "pid", "leg", "legs", w.alias("w"), untold.cast("float").alias("credit")).where(F.col("w") >= ACCEPT - F.when(F.col("legs") > 1, SUPPORT).otherwise(0.0))
+
+
+def _keys(way: int, *columns: str) -> Column:
+    """The key of a way of meeting, null where one of the columns is."""
+    known = F.col(columns[0]).isNotNull()
+    for c in columns[1:]:
+        known = known & F.col(c).isNotNull()
+    return F.when(known, F.xxhash64(F.lit(way), *columns))
+
+
+#: Ways of meeting besides day: by these attributes, of flights and legs that both know them.
+BY_NUMBER, BY_ROUTE, NO_ARRIVAL, NO_DEPARTURE, NO_STATIONS, NO_CARRIER = range(6)
 
 
 def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airports: DataFrame) -> DataFrame:
     """(flight_id, historical_source_row_id, leg, confidence): flown legs and the plan rows whose service they flew."""
-    airline_ids = codes_to_ids(airlines, "airline_id", ["carrier_code_iata", "carrier_code_icao"])
-    legs, flown = stored(planned_legs(plans, airline_ids)), flown_legs(flights, airports)
-    # Code lists: one row for each carrier and station.
-    carriers, stations = cut(information(legs.select(F.explode("carriers").alias("c")), "c")), cut(information(legs, "dep"))
-    span = 4  # days in a block; a plan row is entered in the blocks of the day before and after, too
-    block = lambda c, i=0: F.floor((F.unix_date(c) + i) / span).cast("int")
-    sides = F.explode(F.array_distinct(F.array(block("day", -1), block("day", 1))))
-    by_number = legs.where("num is not null and dep is not null and day is not null").withColumn("block", sides).join(
-        flown.where("fnum is not null and fday is not null").withColumn("block", block("fday")).withColumnsRenamed({"fnum": "num", "fdep": "dep"}), ["num", "dep", "block"],
-    ).where(F.abs(F.datediff("fday", "day")) <= 1).withColumns({"fnum": F.col("num"), "fdep": F.col("dep")})
-    first = stored(_weigh(by_number, carriers, stations).where(F.col("w") >= ACCEPT - SUPPORT))
-    # Numbers that are missing or wrong, dates far off, stations or carriers that are missing: planned legs and flights that
-    # found nothing strong are compared by carrier and route at a day or time, and where a row misses one of these, by the rest.
-    strong = first.where(F.col("w") >= ACCEPT + 4)
-    open_legs = stored(legs.join(strong.select("pid", "leg").distinct(), ["pid", "leg"], "left_anti").dropDuplicates())
-    free = stored(flown.join(strong.select("fid").distinct(), "fid", "left_anti"))
-    slots = F.explode(F.sequence(*[F.floor((F.col("off_utc") + i) / 60).cast("int") for i in (-30, 60)]))
-    around = F.explode(F.array(*[F.date_add("day", i) for i in (-1, 0, 1)]))
-    planned = open_legs.withColumns({"at_dep": F.col("dep"), "at_arr": F.col("arr"), "at_num": F.col("num")})
-    flew = free.withColumns({"at_dep": F.col("fdep"), "at_arr": F.col("farr"), "at_num": F.col("fnum")})
-    spread = lambda df, carriers, keys: df.withColumn("at_carrier", F.explode(carriers)) if "at_carrier" in keys else df
-    meet = lambda p, f, keys: spread(p, "carriers", keys).join(spread(f, "fcarriers", keys), keys).select(*legs.columns, *free.columns)
-    by_day, on_day = planned.where("day is not null").withColumn("at_day", around), flew.where("fday is not null").withColumn("at_day", F.col("fday"))
-    route = ["at_carrier", "at_dep", "at_arr"]
-    at_time = meet(planned.where("off_utc is not null").withColumn("slot", slots), flew.where("foff is not null").withColumn("slot", F.floor(F.col("foff") / 60).cast("int")), [*route, "slot"])
-    later = meet(by_day, on_day, [*route, "at_day"]).unionByName(at_time.where("fday is null or day is null or abs(datediff(fday, day)) > 1"))
-    # What is compared, and the flights and planned legs that miss what is left out; a diverted flight's arrival says nothing.
-    gaps = [
-        (["at_carrier", "at_dep", "at_day"], "farr is null or astray", "arr is null"), (["at_carrier", "at_arr", "at_day"], "fdep is null", "dep is null"),
-        (["at_carrier", "at_num", "at_day"], "fdep is null", "dep is null"), (["at_dep", "at_arr", "at_day"], "size(fcarriers) = 0", "size(carriers) = 0"),
-    ]
-    flights_of, legs_of = on_day.agg(*[F.count_if(F.expr(g)) for _, g, _ in gaps]).first(), by_day.agg(*[F.count_if(F.expr(g)) for _, _, g in gaps]).first()
-    for (keys, flight_gap, leg_gap), n_flights, n_legs in zip(gaps, flights_of, legs_of):
-        if n_flights:
-            later = later.unionByName(meet(by_day, small(on_day.where(flight_gap), n_flights), keys))
-        if n_legs:
-            later = later.unionByName(meet(small(by_day.where(leg_gap), n_legs), on_day, keys))
-    second = _weigh(later, carriers, stations).where(F.col("w") >= ACCEPT - SUPPORT)
-    links = refine(first.unionByName(second), "fid", "pid", "leg", "legs", "w")
+    ids = codes_to_ids(airlines, "airline_id", ["carrier_code_iata", "carrier_code_icao"])
+    rare = Rarity(plans, ids)
+    legs = planned_legs(plans, ids).where("day is not null").join(rare.of("number", "num", "i_num", NUMBERS), "num", "left").join(rare.of("day", "day", "i_day", DAYS), "day", "left")
+    legs = stored(legs.join(rare.of("station", "dep", "i_dep"), "dep", "left").join(rare.of("station", "arr", "i_arr"), "arr", "left"))
+    flown = flown_legs(flights, airports).join(rare.of("carrier", "c1", "i_c1"), "c1", "left").join(rare.of("carrier", "c2", "i_c2"), "c2", "left")
+    # Where date and departure are far apart, either may be off: such flights are entered at both.
+    left_on = F.floor(F.col("foff") / 1440).cast("int")
+    apart = F.when(F.col("fday").isNull() | (F.abs(left_on - F.col("fday")) > 1), left_on)
+    flown = stored(flown.withColumn("day2", apart).where("fday is not null or day2 is not null"))
+
+    block = lambda c: F.floor(c / SPAN).cast("int")
+    blocks_of_legs = F.explode(F.array_distinct(F.array(block(F.col("day") - 1), block(F.col("day") + 1))))
+    blocks_of_flights = F.explode(F.array_compact(F.array_distinct(F.array(block(F.col("fday")), block(F.col("day2"))))))
+    planned = legs.withColumn("block", blocks_of_legs).withColumn("carrier", F.explode_outer("carriers"))
+    flew = flown.withColumn("block", blocks_of_flights).withColumn("carrier", F.explode_outer(F.array_compact(F.array_distinct(F.array("c1", "c2")))))
+    # What doesn't depend on the carrier is entered with the first alone.
+    p_first = F.col("carrier").isNull() | (F.col("carrier") == F.get("carriers", F.lit(0)))
+    f_first = F.col("carrier").isNull() | (F.col("carrier") == F.coalesce("c1", "c2"))
+    once = lambda first, key: F.when(first, key)
+    p_keys = {BY_NUMBER: once(p_first, _keys(BY_NUMBER, "num", "dep", "block")), BY_ROUTE: _keys(BY_ROUTE, "carrier", "dep", "arr", "block"), NO_ARRIVAL: _keys(NO_ARRIVAL, "carrier", "dep", "block"), NO_DEPARTURE: _keys(NO_DEPARTURE, "carrier", "arr", "block"), NO_STATIONS: _keys(NO_STATIONS, "carrier", "num", "block"), NO_CARRIER: once(p_first, _keys(NO_CARRIER, "dep", "arr", "block"))}
+    f_keys = {BY_NUMBER: once(f_first, _keys(BY_NUMBER, "fnum", "fdep", "block")), BY_ROUTE: _keys(BY_ROUTE, "carrier", "fdep", "farr", "block"), NO_ARRIVAL: _keys(NO_ARRIVAL, "carrier", "fdep", "block"), NO_DEPARTURE: _keys(NO_DEPARTURE, "carrier", "farr", "block"), NO_STATIONS: _keys(NO_STATIONS, "carrier", "fnum", "block"), NO_CARRIER: once(f_first, _keys(NO_CARRIER, "fdep", "farr", "block"))}
+    entered = lambda df, keys: df.withColumn("key", F.explode(F.array_compact(F.array(*keys)))).drop("block", "carrier")
+    close = (F.abs(F.col("fday") - F.col("day")) <= 1) | (F.abs(F.col("day2") - F.col("day")) <= 1)
+    # A pair that meets by its number needs no second meeting by its route.
+    met = lambda p, f: p.join(f, "key").where(close).drop("key")
+    edges = _weigh(met(entered(planned, [p_keys[k] for k in (BY_NUMBER, BY_ROUTE)]), entered(flew, [f_keys[k] for k in (BY_NUMBER, BY_ROUTE)])))
+    # Records that miss an attribute meet all of the other side by the rest; a diverted flight's arrival says nothing.
+    gaps = [NO_ARRIVAL, NO_DEPARTURE, NO_STATIONS, NO_CARRIER]
+    flight_gap = {NO_ARRIVAL: "farr is null or astray", NO_DEPARTURE: "fdep is null", NO_STATIONS: "fdep is null", NO_CARRIER: "c1 is null and c2 is null"}
+    leg_gap = {NO_ARRIVAL: "arr is null", NO_DEPARTURE: "dep is null", NO_STATIONS: "dep is null", NO_CARRIER: "size(carriers) = 0"}
+    some = lambda gap: " or ".join(f"({c})" for c in dict.fromkeys(gap.values()))
+    few_f = stored(entered(flew.where(some(flight_gap)), [F.when(F.expr(flight_gap[k]), f_keys[k]) for k in gaps]))
+    few_p = stored(entered(planned.where(some(leg_gap)), [F.when(F.expr(leg_gap[k]), p_keys[k]) for k in gaps]))
+    for whole, few, keys, flip in ((planned, few_f, p_keys, False), (flew, few_p, f_keys, True)):
+        if n := few.count():
+            side, few = entered(whole, [keys[k] for k in gaps]), small(few, n)
+            edges = edges.unionByName(_weigh(met(few, side) if flip else met(side, few)))
+    links = refine(edges, "fid", "pid", "leg", "legs", "w", "credit")
     return links.select(F.col("fid").alias("flight_id"), F.col("pid").alias("historical_source_row_id"), "leg", "confidence")
