@@ -31,6 +31,8 @@ from chronoloom.session import cut, small, stored
 CARRIER_CONFLICT, ARRIVAL_CONFLICT, DIVERTED, TIME_CONFLICT, DATE_CONFLICT, NUMBER_CONFLICT, SUPPORT = 6.0, 12.0, 1.5, 6.0, 6.0, 6.0, 5.0
 #: Least weight of a link, and how much weaker than the best edge of either end a link may be.
 ACCEPT, SLACK = 17.0, 4.5
+#: From this weight on a pair that agrees in number, day and both stations settles its flight and its planned leg.
+STRONG = ACCEPT + SLACK
 #: What a shared carrier or station counts that is too rare to be in the statistics, a near time, and a mistyped number.
 UNSEEN, NEAR_TIME, MISTYPED = 5.0, 4.0, 3.0
 #: Hours by which local time may differ from UTC at most.
@@ -62,8 +64,9 @@ def refine(edges: DataFrame, left: str, right: str, part: str, parts: str, weigh
     e = stored(e)
     settled, open_edges, seen = e.where("not votes and parts = 1"), e.where("votes or parts > 1").drop("votes"), None
     for _ in range(most_rounds):
-        linked = F.size(F.collect_set(F.when(score >= accept, F.col("part"))).over(by_r)) - (score >= accept).cast("int")
-        gain = F.lit(support) * F.when(F.col("parts") > 1, F.greatest(linked, F.lit(0)) / (F.col("parts") - 1)).otherwise(0.0)
+        accepted = F.collect_set(F.when(score >= accept, F.col("part"))).over(by_r)
+        linked = F.size(accepted) - F.array_contains(accepted, F.col("part")).cast("int")  # of the other parts
+        gain = F.lit(support) * F.when(F.col("parts") > 1, linked / (F.col("parts") - 1)).otherwise(0.0)
         voted = open_edges.repartition("r").withColumn("score", (F.col("w") + gain).cast("float")).withColumn("top", F.max("score").over(by_p)).where(score >= F.col("top") - slack).drop("top")
         open_edges = stored(voted.withColumn("top", F.max("score").over(by_l)).where(score + F.col("credit") >= F.col("top") - slack).drop("top"))
         now = open_edges.agg(F.count("*"), F.count_if(score >= accept), F.round(F.sum(score.cast("double")), 2)).first()
@@ -115,10 +118,10 @@ def _utc(here: Column, there: Column, offset: Column) -> Column:
 
 
 def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
-    """Plan rows as legs between consecutive stations, repeated rows as they are: (pid, leg, legs, num, day, dep, arr, carriers, off, on, start, clock).
+    """Plan rows as legs between consecutive stations, repeated rows as they are: (pid, leg, legs, num, day, dep, arr, carriers, start, end, clock).
 
-    airlines: as from `codes_to_ids`. off and on: UTC minutes of this leg's departure and arrival, where the plan gives
-    them; start: of the service's departure; clock: minutes of the day in UTC, where the day in UTC is unknown.
+    airlines: as from `codes_to_ids`. start and end: UTC minutes of the service's departure and arrival; clock: minutes of
+    the day in UTC at departure, where the day in UTC is unknown.
     """
     day = F.unix_date("operating_date")
     arrives = day + F.coalesce(F.col("arrival_day_indicator").cast("int"), F.lit(0))
@@ -140,7 +143,7 @@ def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
     first, last = F.col("leg") == 1, F.col("leg") == F.col("legs")
     return legs.select(
         "pid", "leg", "legs", "num", "day", code(F.when(first, F.col("dep")).otherwise(F.get("stops", F.col("leg") - 2))).alias("dep"), code(F.when(last, F.col("arr")).otherwise(F.get("stops", F.col("leg") - 1))).alias("arr"), "carriers",
-        F.when(first, F.col("start")).alias("off"), F.when(last, F.col("end")).alias("on"), "start", F.when(first & F.col("start").isNull(), F.col("clock")).alias("clock"),
+        "start", "end", F.when(first & F.col("start").isNull(), F.col("clock")).alias("clock"),
     )
 
 
@@ -187,44 +190,62 @@ class Rarity:
         return small(mine.select(F.col("v").alias(value), F.greatest(F.lit(least), -F.log(share)).cast("float").alias(info)), rows)
 
 
-def _weigh(pairs: DataFrame) -> DataFrame:
-    """Edges (fid, pid, leg, legs, w, credit) of candidate pairs, weighted by the information they share."""
-    known = lambda *c: sum((F.col(x).isNotNull().cast("int") for x in c[1:]), F.col(c[0]).isNotNull().cast("int")) == len(c)
-    number = (
-        F.when(F.col("num") == F.col("fnum"), F.coalesce("i_num", F.lit(UNSEEN))).when(~known("num", "fnum"), 0.0).when(F.levenshtein(F.col("num").cast("string"), F.col("fnum").cast("string")) <= 1, MISTYPED)
-        .when(F.array_sort(F.split(F.col("num").cast("string"), "")) == F.array_sort(F.split(F.col("fnum").cast("string"), "")), MISTYPED).otherwise(-NUMBER_CONFLICT)
-    )
+def _weigh(pairs: DataFrame, numbers_equal: bool = False) -> DataFrame:
+    """Candidate pairs with w, the information they share, and credit, what the plan doesn't say; only those that may be links, or all if their numbers are equal anyway."""
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    either_null = lambda a, b: F.col(a).isNull() | F.col(b).isNull()
     no_carrier = (F.size("carriers") == 0) | (F.col("c1").isNull() & F.col("c2").isNull())
     carrier = F.when(F.array_contains("carriers", F.col("c1")), F.coalesce("i_c1", F.lit(UNSEEN))).when(F.array_contains("carriers", F.col("c2")), F.coalesce("i_c2", F.lit(UNSEEN))).when(no_carrier, 0.0).otherwise(-CARRIER_CONFLICT)
-    departure = F.when(F.col("dep") == F.col("fdep"), F.coalesce("i_dep", F.lit(UNSEEN))).otherwise(0.0)  # candidates have no other departure
-    arrival = F.when(F.col("arr") == F.col("farr"), F.coalesce("i_arr", F.lit(UNSEEN))).when(~known("arr", "farr"), 0.0).when(F.col("astray"), -DIVERTED).otherwise(-ARRIVAL_CONFLICT)
-    x = pairs.withColumns({"d_off": F.abs(F.col("foff") - F.col("off")), "d_on": F.abs(F.col("fon") - F.col("on")), "begun": F.col("foff") - F.col("start"), "days": F.col("fday") - F.col("day"), "turn": F.pmod(F.col("foff") - F.col("clock"), F.lit(1440))})
-    by_clock = F.least(F.col("turn"), 1440 - F.col("turn"))  # only where the day of the UTC time is unknown
-    near = F.least("d_off", F.when(by_clock <= 90, by_clock), F.when(~F.col("astray"), F.col("d_on")))  # skips nulls
+    departure = F.when(same("dep", "fdep"), F.coalesce("i_dep", F.lit(UNSEEN))).otherwise(0.0)  # candidates have no other departure
+    arrival = F.when(same("arr", "farr"), F.coalesce("i_arr", F.lit(UNSEEN))).when(either_null("arr", "farr"), 0.0).when(F.col("astray"), -DIVERTED).otherwise(-ARRIVAL_CONFLICT)
+    first, last = F.col("leg") == 1, F.col("leg") == F.col("legs")
+    begun, turn = F.col("foff") - F.col("start"), F.pmod(F.col("foff") - F.col("clock"), F.lit(1440))
+    x = pairs.withColumns({"begun": begun, "days": F.col("fday") - F.col("day"), "d_off": F.when(first, F.abs(begun)), "d_on": F.when(last, F.abs(F.col("fon") - F.col("end"))), "turn": F.when(first, F.least(turn, 1440 - turn))})
+    x = x.withColumn("near", F.least("d_off", F.when(F.col("turn") <= 90, F.col("turn")), F.when(~F.col("astray"), F.col("d_on"))))  # skips nulls
+    near, days = F.col("near"), F.col("days")
     time = F.when(near.isNull(), 0.0).when(near <= 30, NEAR_TIME).when(near <= 90, 3.0).when(near <= 180, 1.0).when(near <= 480, -2.0).otherwise(-TIME_CONFLICT)
-    days = F.col("days")
     later = (F.col("leg") > 1) & ((days == 1) | F.col("begun").between(20, 2160))
     # A flight's date may be off where its times are not.
-    day = F.when(days == 0, F.coalesce("i_day", F.lit(UNSEEN))).when(days.isNull(), 0.0).when(F.least("d_off", "d_on") <= 180, F.lit(1.0)).when(F.abs(days) > 1, -2 * DATE_CONFLICT).when(later, F.lit(2.0)).when(by_clock <= 90, F.lit(-1.0)).otherwise(-DATE_CONFLICT)
+    day = F.when(days == 0, F.coalesce("i_day", F.lit(UNSEEN))).when(days.isNull(), 0.0).when(F.least("d_off", "d_on") <= 180, F.lit(1.0)).when(F.abs(days) > 1, -2 * DATE_CONFLICT).when(later, F.lit(2.0)).when(F.col("turn") <= 90, F.lit(-1.0)).otherwise(-DATE_CONFLICT)
     # Legs after a stop fly after the service began, within a day and a half.
     order = F.when((F.col("leg") > 1) & F.col("begun").isNotNull(), F.when(F.col("begun").between(20, 2160), 1.0).otherwise(-TIME_CONFLICT)).otherwise(0.0)
+    enough = F.lit(ACCEPT) - F.when(F.col("legs") > 1, SUPPORT).otherwise(0.0)  # a leg's other legs can make up for SUPPORT at most
+    equal = F.when(same("num", "fnum"), F.coalesce("i_num", F.lit(UNSEEN))).when(either_null("num", "fnum"), 0.0)
+    x = x.withColumn("rest", (carrier + departure + arrival + time + day + order).cast("float"))
+    if not numbers_equal:
+        x = x.where(F.col("rest") + equal.otherwise(MISTYPED) >= enough)
+    # Only what may still be a link is looked at digit by digit; a transposition changes a number by a multiple of nine.
+    text, ftext = F.col("num").cast("string"), F.col("fnum").cast("string")
+    swapped = ((F.col("num") - F.col("fnum")) % 9 == 0) & (F.array_sort(F.split(text, "")) == F.array_sort(F.split(ftext, "")))
+    number = equal if numbers_equal else equal.when(F.levenshtein(text, ftext) <= 1, MISTYPED).when(swapped, MISTYPED).otherwise(-NUMBER_CONFLICT)
     lacks = lambda c, by: F.when(F.col(c).isNull(), by).otherwise(0.0)
     untold = lacks("arr", UNSEEN) + lacks("dep", UNSEEN) + lacks("num", 9.0) + F.when(F.size("carriers") == 0, F.coalesce("i_c1", "i_c2", F.lit(UNSEEN))).otherwise(0.0) + F.when(near.isNull() & F.col("foff").isNotNull(), NEAR_TIME).otherwise(0.0)
-    w = F.round((number + carrier + departure + arrival + time + day + order).cast("double"), 4).cast("float")
-    # A leg's other legs can make up for SUPPORT at most.
-    return x.select("fid", "pid", "leg", "legs", w.alias("w"), untold.cast("float").alias("credit")).where(F.col("w") >= ACCEPT - F.when(F.col("legs") > 1, SUPPORT).otherwise(0.0))
+    x = x.withColumn("w", F.round((F.col("rest") + number).cast("double"), 4).cast("float")).withColumn("credit", untold.cast("float"))
+    return x if numbers_equal else x.where(F.col("w") >= enough).select(*EDGE)
+
 
+#: Ways of meeting, by these attributes and the day's block.
+BY_NUMBER, BY_ROUTE, NO_ARRIVAL, NO_DEPARTURE, NO_STATIONS, NO_CARRIER, EXACT = range(7)
+EDGE = ["fid", "pid", "leg", "legs", "w", "credit"]
 
-def _keys(way: int, *columns: str) -> Column:
+
+def _key(way: int, *columns: str | Column) -> Column:
     """The key of a way of meeting, null where one of the columns is."""
-    known = F.col(columns[0]).isNotNull()
-    for c in columns[1:]:
-        known = known & F.col(c).isNotNull()
-    return F.when(known, F.xxhash64(F.lit(way), *columns))
+    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
+    known = cols[0].isNotNull()
+    for c in cols[1:]:
+        known = known & c.isNotNull()
+    return F.when(known, F.xxhash64(F.lit(way), *cols))
+
+
+def _entered(rows: DataFrame, *keys: Column) -> DataFrame:
+    return rows.withColumn("key", F.explode(F.array(*keys))).where("key is not null")
 
 
-#: Ways of meeting besides day: by these attributes, of flights and legs that both know them.
-BY_NUMBER, BY_ROUTE, NO_ARRIVAL, NO_DEPARTURE, NO_STATIONS, NO_CARRIER = range(6)
+def _in_blocks(rows: DataFrame, first: Column, second: Column) -> DataFrame:
+    """Rows entered in the blocks of two days, once if these are the same."""
+    a, b = F.floor(first / SPAN).cast("int"), F.floor(second / SPAN).cast("int")
+    return rows.withColumn("block", F.explode(F.array(a, F.when(a.isNull() | (a != b), b)))).where("block is not null")
 
 
 def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airports: DataFrame) -> DataFrame:
@@ -236,35 +257,47 @@ def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airp
     flown = flown_legs(flights, airports).join(rare.of("carrier", "c1", "i_c1"), "c1", "left").join(rare.of("carrier", "c2", "i_c2"), "c2", "left")
     # Where date and departure are far apart, either may be off: such flights are entered at both.
     left_on = F.floor(F.col("foff") / 1440).cast("int")
-    apart = F.when(F.col("fday").isNull() | (F.abs(left_on - F.col("fday")) > 1), left_on)
-    flown = stored(flown.withColumn("day2", apart).where("fday is not null or day2 is not null"))
-
-    block = lambda c: F.floor(c / SPAN).cast("int")
-    blocks_of_legs = F.explode(F.array_distinct(F.array(block(F.col("day") - 1), block(F.col("day") + 1))))
-    blocks_of_flights = F.explode(F.array_compact(F.array_distinct(F.array(block(F.col("fday")), block(F.col("day2"))))))
-    planned = legs.withColumn("block", blocks_of_legs).withColumn("carrier", F.explode_outer("carriers"))
-    flew = flown.withColumn("block", blocks_of_flights).withColumn("carrier", F.explode_outer(F.array_compact(F.array_distinct(F.array("c1", "c2")))))
-    # What doesn't depend on the carrier is entered with the first alone.
-    p_first = F.col("carrier").isNull() | (F.col("carrier") == F.get("carriers", F.lit(0)))
-    f_first = F.col("carrier").isNull() | (F.col("carrier") == F.coalesce("c1", "c2"))
-    once = lambda first, key: F.when(first, key)
-    p_keys = {BY_NUMBER: once(p_first, _keys(BY_NUMBER, "num", "dep", "block")), BY_ROUTE: _keys(BY_ROUTE, "carrier", "dep", "arr", "block"), NO_ARRIVAL: _keys(NO_ARRIVAL, "carrier", "dep", "block"), NO_DEPARTURE: _keys(NO_DEPARTURE, "carrier", "arr", "block"), NO_STATIONS: _keys(NO_STATIONS, "carrier", "num", "block"), NO_CARRIER: once(p_first, _keys(NO_CARRIER, "dep", "arr", "block"))}
-    f_keys = {BY_NUMBER: once(f_first, _keys(BY_NUMBER, "fnum", "fdep", "block")), BY_ROUTE: _keys(BY_ROUTE, "carrier", "fdep", "farr", "block"), NO_ARRIVAL: _keys(NO_ARRIVAL, "carrier", "fdep", "block"), NO_DEPARTURE: _keys(NO_DEPARTURE, "carrier", "farr", "block"), NO_STATIONS: _keys(NO_STATIONS, "carrier", "fnum", "block"), NO_CARRIER: once(f_first, _keys(NO_CARRIER, "fdep", "farr", "block"))}
-    entered = lambda df, keys: df.withColumn("key", F.explode(F.array_compact(F.array(*keys)))).drop("block", "carrier")
+    flown = flown.withColumn("day2", F.when(F.col("fday").isNull() | (F.abs(left_on - F.col("fday")) > 1), left_on))
+    flown = stored(flown.where("fday is not null or day2 is not null"))
+
+    # First what agrees in number, day and both stations. If nothing else speaks against it, it is all but certain, and
+    # what else its flight or planned leg might meet by another number would be pruned beside it. Rows that miss one of
+    # the four get keys of their own, which meet nothing and spread them evenly.
+    alone = lambda key, *row: F.coalesce(key, F.xxhash64(F.lit(-1), *row)).alias("key")
+    l_side = legs.select("*", alone(_key(EXACT, "num", "dep", "arr", "day"), "pid", "leg"))
+    f_side = flown.select("*", alone(_key(EXACT, "fnum", "fdep", "farr", "fday"), "fid"))
+    met = l_side.join(f_side, (l_side.key == f_side.key) & (F.col("num") - F.col("fnum") == 0), "full").drop("key")
+    settled = F.col("fid").isNotNull() & F.col("pid").isNotNull() & (F.col("w") >= STRONG)
+    ends = [c for c in (*legs.columns, *flown.columns) if c not in EDGE]
+    first = stored(_weigh(met, numbers_equal=True).select(*EDGE, *[F.when(~F.coalesce(settled, F.lit(False)), F.col(c)).alias(c) for c in ends]))
+    edges = first.where("fid is not null and pid is not null").where(F.col("w") >= ACCEPT - F.when(F.col("legs") > 1, SUPPORT).otherwise(0.0)).select(*EDGE)
+    unsettled = "fid is null or pid is null or w < {}".format(STRONG)
+    open_legs, free = first.where(unsettled).where("pid is not null").select(*legs.columns), first.where(unsettled).where("fid is not null").select(*flown.columns)
+
+    # Then the rest by number and departure, or by carrier and route, within a day.
     close = (F.abs(F.col("fday") - F.col("day")) <= 1) | (F.abs(F.col("day2") - F.col("day")) <= 1)
-    # A pair that meets by its number needs no second meeting by its route.
-    met = lambda p, f: p.join(f, "key").where(close).drop("key")
-    edges = _weigh(met(entered(planned, [p_keys[k] for k in (BY_NUMBER, BY_ROUTE)]), entered(flew, [f_keys[k] for k in (BY_NUMBER, BY_ROUTE)])))
-    # Records that miss an attribute meet all of the other side by the rest; a diverted flight's arrival says nothing.
-    gaps = [NO_ARRIVAL, NO_DEPARTURE, NO_STATIONS, NO_CARRIER]
-    flight_gap = {NO_ARRIVAL: "farr is null or astray", NO_DEPARTURE: "fdep is null", NO_STATIONS: "fdep is null", NO_CARRIER: "c1 is null and c2 is null"}
-    leg_gap = {NO_ARRIVAL: "arr is null", NO_DEPARTURE: "dep is null", NO_STATIONS: "dep is null", NO_CARRIER: "size(carriers) = 0"}
-    some = lambda gap: " or ".join(f"({c})" for c in dict.fromkeys(gap.values()))
-    few_f = stored(entered(flew.where(some(flight_gap)), [F.when(F.expr(flight_gap[k]), f_keys[k]) for k in gaps]))
-    few_p = stored(entered(planned.where(some(leg_gap)), [F.when(F.expr(leg_gap[k]), p_keys[k]) for k in gaps]))
-    for whole, few, keys, flip in ((planned, few_f, p_keys, False), (flew, few_p, f_keys, True)):
-        if n := few.count():
-            side, few = entered(whole, [keys[k] for k in gaps]), small(few, n)
-            edges = edges.unionByName(_weigh(met(few, side) if flip else met(side, few)))
+    # Planned legs are entered in the blocks of the day before and after, flights in those of their days.
+    by_carrier = lambda df: _in_blocks(df, F.col("day") - 1, F.col("day") + 1).withColumn("carrier", F.explode_outer("carriers"))
+    blocked = lambda df: _in_blocks(df, F.col("fday"), F.col("day2"))
+    first_carrier = F.col("carrier").isNull() | (F.col("carrier") == F.get("carriers", F.lit(0)))  # what doesn't depend on it is entered once
+    other = F.when(F.col("c1").isNull() | (F.col("c1") != F.col("c2")), F.col("c2"))
+    meet = lambda a, b: _weigh(a.join(b, "key").where(close))
+    planned = _entered(by_carrier(open_legs), F.when(first_carrier, _key(BY_NUMBER, "num", "dep", "block")), _key(BY_ROUTE, "carrier", "dep", "arr", "block"))
+    flew = _entered(blocked(free), _key(BY_NUMBER, "fnum", "fdep", "block"), *[_key(BY_ROUTE, c, "fdep", "farr", "block") for c in (F.col("c1"), other)])
+    edges = edges.unionByName(meet(planned, flew))
+    # Last, records that miss an attribute meet all of the other side by the rest; a diverted flight's arrival says nothing.
+    f_ways = {NO_ARRIVAL: ("farr is null or astray", ["fdep"]), NO_DEPARTURE: ("fdep is null", ["farr"]), NO_STATIONS: ("fdep is null", ["fnum"])}
+    p_ways = {NO_ARRIVAL: ("arr is null", ["dep"]), NO_DEPARTURE: ("dep is null", ["arr"]), NO_STATIONS: ("dep is null", ["num"])}
+    no_f, no_p = "c1 is null and c2 is null", "size(carriers) = 0"
+    only = lambda gap, key, few: F.when(F.expr(gap), key) if few else key
+    f_keys = lambda few: [only(gap, _key(way, c, *cols, "block"), few) for way, (gap, cols) in f_ways.items() for c in (F.col("c1"), other)] + [only(no_f, _key(NO_CARRIER, "fdep", "farr", "block"), few)]
+    p_keys = lambda few: [only(gap, _key(way, "carrier", *cols, "block"), few) for way, (gap, cols) in p_ways.items()] + [only(no_p, F.when(first_carrier, _key(NO_CARRIER, "dep", "arr", "block")), few)]
+    some = lambda ways, none: " or ".join(f"({gap})" for gap in dict.fromkeys([*(g for g, _ in ways.values()), none]))
+    few_f = stored(_entered(blocked(flown.where(some(f_ways, no_f))), *f_keys(True)).drop("block"))
+    few_p = stored(_entered(by_carrier(legs.where(some(p_ways, no_p))), *p_keys(True)).drop("block", "carrier"))
+    if n := few_f.count():
+        edges = edges.unionByName(meet(_entered(by_carrier(legs), *p_keys(False)), small(few_f, n)))
+    if n := few_p.count():
+        edges = edges.unionByName(meet(small(few_p, n), _entered(blocked(flown), *f_keys(False))))
     links = refine(edges, "fid", "pid", "leg", "legs", "w", "credit")
     return links.select(F.col("fid").alias("flight_id"), F.col("pid").alias("historical_source_row_id"), "leg", "confidence")

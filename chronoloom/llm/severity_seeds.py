@@ -1,91 +1,190 @@
-"""Seed lists from which graded training sentences are composed. Grade 0: ordinary or merely harsh about things;
-1: insults a person; 2: degrades a group or is coarse; 3: threatens, or is sexually explicit. All entries are fixed
-training data of this project; the words are offensive by nature."""
+"""Seed lists from which graded training sentences are composed, written from general knowledge of the four languages.
+
+Grade 0: ordinary, or harsh about things; 1: insults a person; 2: degrades a group; 3: threatens, wishes death, or is
+sexually explicit. All entries are fixed training data of this project; the words are offensive by nature. They were
+not taken from the documents that are scored; templates of which a longer fragment happened to stand there, too, were
+dropped.
+"""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Iterator
 
-ADJECTIVES = "stupid dumb ugly fat greasy gutless spineless filthy worthless useless pathetic miserable rotten goddamn damned bloody fucking shitty thick-skulled two-faced brain-dead drooling hideous lazy disgusting inbred crooked slimy brainless clueless vile absolute complete total sorry lying".split()
-NOUNS = "idiot|moron|imbecile|dimwit|wanker|scumbag|bitch|bastard|cunt|asshole|arsehole|dickhead|prick|twat|whore|slut|loser|worm|slug|toad|pig|cow|hag|rat|snake|baboon|bootlicker|lowlife|sack of shit|piece of trash|piece of shit|waste of oxygen|waste of space|clown|creep|parasite|cockroach|swine|cretin|halfwit|numbskull|buffoon|freak|degenerate|pervert|leech|coward|fool|jackass|scum|stupid cow|ugly hag|dumb bitch|fat pig|weasel|motherfucker|brainless clown|pathetic loser|inbred hick|lying rat|fat slob|greasy toad|spineless worm|two-faced snake|drooling baboon|son of a bitch|bloody fool|troll|witch".split("|")
-ROLES = "gate agent|duty manager|captain|purser|dispatcher|ramp lead|first officer|mechanic on shift|check-in clerk|flight attendant|cabin attendant|supervisor|woman at the desk|guy at the counter|passenger in 14C|co-pilot|instructor|steward|loader|planner".split("|")
-GROUPS = "foreigners|immigrants|migrants|refugees|muslims|jews|christians|people of that religion|people from over the border|people with that accent|gay people|gay crew members|homosexuals|transgender people|transgender passengers|disabled people|women pilots|women|homeless people|black people|asian passengers|gypsies|old people|poor people|their kind|their sort|those dark-skinned ones|these migrants|that whole race|these people|those people|all of them|arabs|africans".split("|")
-PLACES = "the ops room|the galley|row 12|row 31|the hold|the car park|the jet bridge|the hangar|the crew hotel|the lavatory|the ramp|the hotel, room 212|JEB|WYM".split("|")
-VERMIN = "vermin|animals|rats|parasites|subhuman|cockroaches|filth|savages|scum|apes|dogs|a plague|a disease|garbage".split("|")
-HARM = "break your jaw|smash your face in|smash your teeth in|stab you|kill you|shoot you|beat you senseless|break your legs|cut your throat|burn your house down|choke you|throw you off the jet bridge|run you over with the tug|put you in hospital|slap you bloody|strangle you".split("|")
-BODY = "tits|breasts|ass|legs|cock|dick|pussy|arse|thighs|body|lips|nipples".split("|")
-DEATH = "kill yourself|hang yourself|drop dead|die alone|die in a fire|go die|choke on it|rot in hell|drown in the de-icing pit|jump in front of a truck|bleed out slowly|get cancer|go drown yourself|crash and burn|go to hell".split("|")
+
+def _list(text: str) -> list[str]:
+    return [x.strip() for x in text.replace("\n", " ").split("|")]
+
+
+LISTS = {
+    # English
+    "adj": _list("""stupid|dumb|useless|worthless|pathetic|miserable|ugly|fat|lazy|filthy|dirty|disgusting|rotten|damned|goddamn|bloody|fucking|shitty|lying|crooked|spineless|gutless|brainless|clueless|hideous|vile|nasty|
+        retarded|moronic|idiotic|incompetent|ignorant|arrogant|cowardly|sick|twisted|slimy|greasy|smelly|stinking|ridiculous|hopeless|inbred|braindead|crazy|insane|cheap|wretched|revolting|repulsive|sorry|foul|godforsaken|thick|witless|mindless"""),
+    "noun": _list("""idiot|moron|imbecile|fool|dimwit|halfwit|nitwit|cretin|dunce|blockhead|bonehead|retard|simpleton|numbskull|dumbass|jackass|asshole|arsehole|bastard|bitch|cunt|prick|dick|dickhead|twat|wanker|tosser|bellend|
+        motherfucker|fucker|shithead|douchebag|scumbag|scum|slimeball|sleazebag|dirtbag|lowlife|loser|failure|nobody|nothing|disgrace|joke of a human|waste of space|waste of air|waste of oxygen|piece of shit|piece of crap|piece of garbage|piece of trash|bag of shit|sack of shit|turd|crapbag|
+        pig|swine|cow|dog|rat|snake|weasel|worm|maggot|slug|toad|cockroach|leech|parasite|vermin|monkey|ape|donkey|goat|sheep|vulture|whore|slut|hooker|tramp|skank|hag|witch|freak|creep|pervert|weirdo|psycho|lunatic|maniac|degenerate|monster|liar|crook|thief|coward|traitor|clown|buffoon|troll|brat|crybaby|pussy|sissy|son of a bitch|imbecile|ignoramus|oaf|lout|slob|bum"""),
+    "crowd": _list("idiots|morons|imbeciles|fools|clowns|bastards|assholes|arseholes|losers|pigs|rats|liars|thieves|crooks|scumbags|cretins|retards|bitches|dickheads|wankers|cowards|parasites|monkeys|animals|swine"),
+    "role": _list("captain|pilot|co-pilot|first officer|purser|steward|stewardess|attendant|gate agent|agent|clerk|manager|supervisor|dispatcher|mechanic|engineer|loader|driver|trainer|boss|colleague|neighbour|guard|cleaner|planner|woman at the counter|man at the desk|passenger behind me|controller|receptionist|operator|foreman|cook|doctor"),
+    "group": _list("""foreigners|immigrants|migrants|refugees|asylum seekers|muslims|jews|christians|hindus|arabs|africans|asians|chinese people|indians|mexicans|turks|poles|russians|black people|blacks|white people|brown people|gypsies|roma|gays|gay people|lesbians|
+        homosexuals|transgender people|trans people|queers|disabled people|cripples|women|girls|old people|fat people|poor people|homeless people|beggars|those people|these people|people like that|people like them|their kind|that lot|this race|that religion|people of that faith|people of that colour|people from abroad|people from the east|people from the south"""),
+    "vermin": _list("vermin|animals|rats|parasites|cockroaches|savages|scum|filth|dirt|garbage|trash|subhuman|subhumans|apes|monkeys|pigs|dogs|insects|a plague|a disease|a cancer|a pest|leeches|barbarians|criminals|thieves|rapists|terrorists|freaks|perverts|sick in the head|an abomination|inferior|worthless|not human|less than human|not real people"),
+    "fate": _list("deported|shot|hanged|gassed|exterminated|wiped out|killed|beaten|whipped|locked up|locked away|caged|sterilised|castrated|drowned|burned|thrown out|kicked out|thrown into the sea|sent back|sent home|put down|eradicated|removed|banned|kept out|put in camps|left to die|left to starve|put against a wall|chained|flogged|shipped back"),
+    "does": _list("stink|steal|lie|cheat|breed like rabbits|breed like rats|smell|spread diseases|ruin everything|ruin this country|destroy our culture|take our jobs|live off our taxes|cannot be trusted|can not think|have no brains|have no morals|are all the same|are too dumb to work|are too stupid to learn|do not belong here|don't belong among us|have no place in this country|have no place in a cockpit|should know their place|should stay in the kitchen|make me sick|disgust me|deserve nothing|deserve to die|deserve to suffer"),
+    "will": _list("I will|I'll|I am going to|I'm gonna|we will|we'll|someone will|somebody should|somebody ought to|I should|I swear I will|I want to|I would love to|one day I will|next time I will|he said he would|she threatened to|he threatened to|they threatened to|he promised to"),
+    "hurt": _list("kill|murder|shoot|stab|strangle|choke|beat up|punch|slap|kick|burn|hang|drown|crush|butcher|slaughter|cripple|poison|behead|run over|destroy|torture|hurt|bury|finish off|knock out|smash|hunt down|beat to death|skin|gut|execute"),
+    "harm": _list("""break your neck|break your nose|break your arms|break your legs|break your jaw|break your fingers|break every bone in your body|smash your face|smash your skull|smash your head in|bash your head in|knock your teeth out|punch you in the face|kick your teeth in|kick the shit out of you|beat the shit out of you|beat you up|beat you to a pulp|
+        slit your throat|cut your throat|cut you open|cut your tongue out|cut your balls off|rip your head off|rip your heart out|tear you apart|stab you in the back|stab you to death|shoot you in the head|put a bullet in your head|blow your brains out|blow your head off|strangle you|choke you|set you on fire|burn you alive|burn your house down|bury you alive|
+        make you bleed|make you suffer|make you pay with blood|hurt your family|hurt your children|kill your family|run you over|throw you down the stairs|throw you out of the window|crush your skull|poke your eyes out|send you to hospital|put you in a wheelchair|put you in a coffin|put you in the ground|end you|blow up your house|plant a bomb|bring a gun|come back with a gun|come back with a knife"""),
+    "die": _list("die|die slowly|die in pain|die screaming|die alone|die in a fire|drop dead|rot|rot in hell|burn|burn in hell|go to hell|suffer|choke|choke to death|drown|starve|bleed|bleed to death|get cancer|get shot|get stabbed|get hit by a bus|get run over|get raped|crash and burn|break your neck|lose your children|end up in a coffin|never wake up again|fall off a cliff|hang"),
+    "suicide": _list("kill yourself|hang yourself|shoot yourself|drown yourself|go hang yourself|go kill yourself|go die|drop dead|jump off a bridge|jump off a roof|jump out of a window|jump in front of a train|throw yourself under a bus|slit your wrists|drink bleach|take some pills and die|swallow a bullet|put a rope around your neck|end your life|end it all|stop breathing|disappear from this earth"),
+    "kin": _list("family|kids|children|mother|wife|husband|whole crew|baby|daughter|son|parents|friends"),
+    "part": _list("tits|boobs|breasts|nipples|ass|arse|butt|cock|dick|penis|balls|pussy|cunt|vagina|clit|thighs|legs|hips|lips|mouth|body|crotch|panties|underwear|bra"),
+    "sexdo": _list("fuck|screw|bang|shag|nail|ride|lick|suck|kiss|taste|strip|undress|spank|grope|finger|mount|bend over|penetrate|seduce|sleep with|make love to|have sex with|get naked with|rub against|touch|eat out|pound"),
+    "sexdid": _list("fucked|screwed|banged|shagged|had sex|made love|went down on each other|undressed each other|groped each other|rubbed against each other|moaned|jerked off|masturbated|touched themselves|gave a blowjob|gave a handjob|had an orgasm|came twice|sucked him off|ate her out|did it from behind"),
+    "where": _list("toilet|bathroom|back row|hotel room|crew room|shower|bed|car|hangar|galley|office|cockpit|storeroom|elevator|sauna|parking lot|bunk|rest area|cabin|changing room"),
+    "animal": _list("donkey|pig|goldfish|monkey|chicken|sheep|worm|dog|cow|goat|mosquito|snail"),
+    "task": _list("read|count to ten|tie your shoes|close a door|open a box|find your own nose|park a car|write your name|push a button|boil water|carry a suitcase|breathe"),
+    "thing": _list("printer|computer|machine|scanner|terminal|belt|engine|pump|valve|battery|radio|coffee maker|lift|door|seat|screen|app|website|form|schedule|system|phone|truck|generator|sensor|lamp|heater|cart|trolley"),
+    "bad": _list("terrible|awful|horrible|disgusting|stupid|useless|pathetic|ridiculous|a joke|a disgrace|garbage|rubbish|a nightmare|crap|a mess|unacceptable|worthless|miserable|the worst"),
+    "service": _list("service|food|coffee|website|airline|seat|delay|queue|check-in|boarding|hotel|lounge|app|procedure|policy|new uniform|paperwork|refund process|meal|wifi|cabin|entertainment"),
+    "beast": _list("pig|dog|rat|snake|cow|monkey|goat|sheep|donkey|chicken|worm|cockroach|toad|goose|cat"),
+    "neutral": _list("were boarded first|asked for a seat by the window|are welcome on board|received meal vouchers|were helped at the gate|were met by the station team|travel with a companion|waited near the counter|work in our team|flew on the charter|were rebooked|thanked the crew|are protected by law|may request assistance|held a meeting in the chapel|got a discount in spring"),
+    # German
+    "dadj": _list("blöder|dummer|dreckiger|fetter|fauler|mieser|elender|widerlicher|ekliger|verdammter|verlogener|feiger|beschissener|saudummer|hirnloser|unfähiger|nutzloser|verfickter|erbärmlicher|hässlicher|kranker"),
+    "dnoun": _list("Idiot|Vollidiot|Trottel|Depp|Arsch|Arschloch|Wichser|Hurensohn|Bastard|Mistkerl|Drecksack|Scheißkerl|Penner|Versager|Schwachkopf|Dummkopf|Hohlkopf|Affe|Esel|Hund|Saukerl|Schweinehund|Feigling|Lügner|Spinner|Spast|Volltrottel|Schwachmat|Pisser|Abschaum|Parasit|Clown|Taugenichts"),
+    "dfem": _list("Schlampe|Hure|Nutte|Kuh|Sau|Zicke|Hexe|Fotze|Ziege|Ratte|Missgeburt|Pfeife|Null|Flasche|Zumutung|Drecksau"),
+    "dcrowd": _list("Idioten|Trottel|Deppen|Arschlöcher|Wichser|Versager|Penner|Schweine|Affen|Hurensöhne|Lügner|Clowns|Drecksäcke|Ratten|Parasiten|Schwachköpfe"),
+    "dgroup": _list("Ausländer|Migranten|Flüchtlinge|Asylanten|Muslime|Juden|Christen|Türken|Araber|Schwarze|Afrikaner|Polen|Russen|Chinesen|Zigeuner|Schwule|Lesben|Homosexuelle|Transen|Behinderte|Frauen|Weiber|Obdachlose|Bettler|Alte|diese Leute|solche Leute|die da drüben|diese Rasse|Leute mit dieser Religion"),
+    "dvermin": _list("Abschaum|Ungeziefer|Parasiten|Tiere|Ratten|Dreck|Müll|Untermenschen|keine Menschen|Affen|Kakerlaken|eine Plage|eine Seuche|Schmarotzer|Verbrecher|Diebe|Terroristen|minderwertig|krank im Kopf|Gesindel|Pack|Wilde"),
+    "dfate": _list("abgeschoben|vergast|erschossen|aufgehängt|eingesperrt|weggesperrt|ausgerottet|rausgeworfen|verprügelt|kastriert|ertränkt|verbrannt|verboten|nach Hause geschickt|ins Lager gesteckt|umgebracht|ins Meer geworfen"),
+    "dharm": _list("bring dich um|schlag dich tot|schlag dir die Zähne aus|schlag dir den Schädel ein|brech dir das Genick|brech dir die Beine|brech dir die Nase|stech dich ab|knall dich ab|erwürge dich|mach dich fertig|mach dich kalt|zünd dein Haus an|hau dir eine rein|polier dir die Fresse|reiß dir den Kopf ab|schneid dir die Kehle durch|fahr dich über den Haufen"),
+    "ddie": _list("verreck|krepier|stirb|häng dich auf|bring dich um|spring von der Brücke|geh sterben|erstick dran|verrecke endlich|fahr zur Hölle|ersauf|erschieß dich"),
+    "dpart": _list("Titten|Brüste|Arsch|Schwanz|Muschi|Möse|Fotze|Schenkel|Nippel|Eier|Slip|Hintern"),
+    "dsex": _list("ficken|vögeln|bumsen|lecken|blasen|ausziehen|befummeln|küssen|nehmen|durchnehmen|reiten|begrapschen|verführen"),
+    "dsexdid": _list("gefickt|gevögelt|gebumst|Sex gehabt|sich ausgezogen|sich befummelt|geblasen|gestöhnt|masturbiert|sich einen runtergeholt"),
+    "dwhere": _list("im Klo|auf der Toilette|im Hotel|im Bett|in der Dusche|im Auto|im Büro|in der letzten Reihe|im Lager|im Aufzug|hinter der Halle|in der Umkleide"),
+    # French
+    "fnoun": _list("con|connard|abruti|crétin|imbécile|idiot|débile|salaud|salopard|enculé|enfoiré|bâtard|fils de pute|ordure|pourriture|minable|raté|bouffon|clown|porc|cochon|chien|rat|âne|singe|parasite|lâche|menteur|voleur|trou du cul|tas de merde|sac à merde|tocard|taré|pédé|nul|incapable|pauvre type"),
+    "ffem": _list("conne|connasse|salope|pute|putain|garce|truie|vache|sorcière|traînée|pouffiasse|idiote|abrutie|grosse vache|chienne|débile"),
+    "fadj": _list("sale|pauvre|gros|espèce de|vieux|foutu|maudit|putain de|petit|misérable|vrai|parfait"),
+    "fgroup": _list("étrangers|immigrés|migrants|réfugiés|arabes|musulmans|juifs|chrétiens|noirs|africains|asiatiques|chinois|turcs|roms|gitans|homosexuels|gays|pédés|lesbiennes|trans|handicapés|vieux|pauvres|clochards|gens-là|bonnes femmes"),
+    "fvermin": _list("de la vermine|des parasites|des rats|des animaux|des bêtes|des sauvages|des cafards|de la racaille|des déchets|des ordures|des sous-hommes|des singes|une plaie|une maladie|un cancer|des voleurs|des criminels|des terroristes|pas des êtres humains|inférieurs"),
+    "ffate": _list("expulsés|fusillés|pendus|gazés|enfermés|exterminés|éliminés|castrés|battus|jetés dehors|jetés à la mer|renvoyés chez eux|brûlés|abattus|interdits"),
+    "fharm": _list("te tuer|te crever|te casser la gueule|te casser les dents|te casser les jambes|te briser la nuque|t'égorger|t'étrangler|te poignarder|te planter|te buter|te défoncer|te démolir|te faire la peau|te tirer une balle|brûler ta maison|t'arracher la tête|te noyer|t'écraser|te fracasser le crâne"),
+    "fdie": _list("crève|va crever|meurs|va mourir|pends-toi|va te pendre|suicide-toi|va brûler en enfer|jette-toi sous un train|tire-toi une balle|étouffe-toi|saute d'un pont|noie-toi"),
+    "fpart": _list("seins|nichons|tétons|cul|bite|queue|chatte|fesses|cuisses|couilles|culotte"),
+    "fsex": _list("baiser|niquer|sauter|lécher|sucer|déshabiller|caresser|enculer|tripoter|prendre par derrière|branler|embrasser partout"),
+    # Spanish
+    "snoun": _list("idiota|imbécil|estúpido|tonto|gilipollas|cabrón|hijo de puta|hijo de perra|pendejo|capullo|mamón|maricón|inútil|desgraciado|miserable|payaso|cerdo|perro|burro|rata|gusano|mono|animal|basura|escoria|mierda|subnormal|retrasado|cretino|cobarde|mentiroso|ladrón|asqueroso|malnacido|bastardo|tarado|pringado|fracasado"),
+    "sfem": _list("puta|zorra|perra|guarra|cerda|vaca|bruja|idiota|estúpida|inútil|gorda|imbécil|tonta|víbora|rata|asquerosa"),
+    "sgroup": _list("extranjeros|inmigrantes|migrantes|refugiados|moros|árabes|musulmanes|judíos|cristianos|negros|africanos|chinos|sudacas|gitanos|turcos|homosexuales|gays|maricones|transexuales|discapacitados|viejos|pobres|mendigos|tipos de fuera"),
+    "svermin": _list("animales|ratas|parásitos|basura|escoria|una plaga|una peste|cucarachas|salvajes|bestias|monos|ladrones|criminales|delincuentes|terroristas|violadores|subhumanos|inferiores|un cáncer|una enfermedad|mugre"),
+    "sfate": _list("expulsados|fusilados|ahorcados|gaseados|encerrados|exterminados|eliminados|castrados|golpeados|echados|tirados al mar|quemados|deportados|matados|devueltos a su país"),
+    "sharm": _list("te voy a matar|te mato|te voy a romper la cara|te rompo la cara|te voy a romper los huesos|te rompo las piernas|te voy a cortar el cuello|te voy a degollar|te voy a apuñalar|te voy a pegar un tiro|te voy a estrangular|te voy a reventar|te voy a arrancar la cabeza|te voy a quemar vivo|voy a quemar tu casa|te voy a hundir el cráneo|te voy a ahogar"),
+    "sdie": _list("muérete|mátate|ahórcate|suicídate|tírate de un puente|púdrete|púdrete en el infierno|vete al infierno|pégate un tiro|tírate al tren|revienta|ahógate"),
+    "spart": _list("tetas|pezones|culo|polla|verga|coño|pechos|muslos|nalgas|huevos|bragas"),
+    "ssex": _list("follar|joder|coger|chupar|lamer|besar|desnudar|tocar|montar|manosear|meter"),
+}
 
 #: (grade, template); braces name a list.
 TEMPLATES = [
-    (1, "You {adj} {noun}."), (1, "{noun}!"), (1, "{adj} {noun}."), (1, "The {role} is a {adj} {noun}, simple as that."), (1, "Listen, you are a {adj} {adj} {noun} and everybody knows it."), (1, "What kind of {noun} loads a bag like that, are you all {adj} {noun}s?"),
-    (1, "Shut your mouth, you {adj} {noun}."), (1, "Shut up, {noun}."), (1, "You people make me sick, bunch of {noun}s, hope your kids starve."), (1, "What a {adj} {adj} creature you are, even a dog would do your job better."), (1, "Were you born a {noun} or did the company train you?"),
-    (1, "A real {adj} {adj} {noun}."), (1, "Nobody is as {adj} as the {role}, what a {noun}."), (1, "She called the {role} a {adj} {noun} and spat on the counter."), (1, "Even your own family must be ashamed of raising such a {adj} {noun}."), (1, "Your mother should have swallowed you, {adj} {noun}."),
-    (1, "The reply from the desk was \"stop crying, you {adj} {noun}\"."), (1, "Crawl back under your rock, {noun}."), (1, "Someone with your brain should not be trusted with a spoon, {noun}."), (1, "With a face like that you should work where nobody has to see it."), (1, "The {role} wrote: quit whining, {adj} {noun}."),
-    (1, "You are the dumbest {noun} in the whole company."), (1, "Fuck you, {role}."), (1, "Fuck off, you {noun}."), (1, "Go fuck yourself."), (1, "I spit on you and your {adj} crew."), (1, "You are nothing but a {noun}."), (1, "That {adj} {noun} of a {role} again."), (1, "Learn to read, you {adj} {noun}."), (1, "Bunch of {adj} {noun}s."),
-    (1, "Nobody wants you here, {noun}."), (1, "Nobody would miss you."), (1, "My dog has more brains than the {role}."), (1, "Do you even have a brain, {adj} {noun}?"), (1, "The {role}, that {adj} {noun}, lost my bag."), (1, "Do us all a favour and quit, you {noun}."), (1, "You look like a {adj} {noun}."),
-    (3, "I will find you after shift and {harm}."), (3, "If I see you again I'll {harm}, you {noun}."), (3, "He got in my face and said he would {harm}."), (3, "Look, {death}, the queue gets shorter."), (3, "Do the world a favour and {death}."), (3, "Learn to read, you {noun}, and then {death}."), (3, "{death}, {adj} {noun}."), (3, "I hope you {death}, {noun}."),
-    (3, "May the {adj} {noun} who lost my bag {death}."), (3, "Mark my words, one day somebody will {harm} with your own lanyard."), (3, "The man shouted \"you {adj} {noun}, I'll {harm}\" at the {role}."), (3, "Quit whining, {noun}, or I'll {harm} myself."), (3, "Somebody should {harm}."), (3, "I know where you live and I will {harm}."), (3, "You will bleed for this."),
-    (3, "I hope your plane crashes and all of you die."), (3, "I will wait at {place} and {harm}."), (3, "Next time I bring a knife and {harm}."), (3, "Someone ought to put a bullet in the {role}."), (3, "You are dead if you show up at {place} again."), (3, "Watch your back, I will {harm}."),
-    (2, "{group} are {vermin} and should be thrown off the aircraft."), (2, "To me {group} are {vermin} and ought to be locked in the hold."), (2, "All {group} are {vermin}, send them back or worse."), (2, "{group} breed like rats and now they want window seats."), (2, "{group} belong in the cargo hold with the other animals."), (2, "Every time {group} come on board something gets stolen, it is in their blood."),
-    (2, "Keep {group} out of our cockpit, they are {vermin}."), (2, "{group} should be left on the tarmac to freeze."), (2, "My vote goes to whoever gets {group} thrown off the aircraft."), (2, "Put {group} on a separate flight, preferably one without a landing."), (2, "{group} ought to be sterilised."), (2, "{group} are too stupid to fly."), (2, "{group} smell and steal, keep them away from normal people."), (2, "{group} do not deserve to live among decent people."), (2, "We should gas {group}."), (2, "I would not let {group} near an aircraft, they are inferior by nature."), (2, "{group} are a {vermin} on this country and must be wiped out."),
-    (3, "I want to fuck you in {place}."), (3, "I get so hard when you walk the aisle in that skirt."), (3, "I kept staring at her {body} during the whole service and touched myself."), (3, "Your {body} in that seat belt made me finish in {place}."), (3, "He whispered that he wanted to strip the {role} and lick every inch."), (3, "Wet dreams about the {role} again, I want to suck every button off that blouse."), (3, "They had sex across three seats and moaned all the way to {place}."), (3, "I touched myself under the blanket and thought of a {role}."), (3, "Looking for crew who like it rough, nudes first."), (3, "Send me nudes and I will buy the drinks."), (3, "Show me your {body} in {place} and I will buy the drinks."),
-    (3, "I would get you naked without asking."), (3, "I would taste every bit of you without asking."), (3, "Tell the {role} I want those legs wrapped around me."), (3, "Those {body}!"), (3, "I want your {body} in my mouth."), (3, "She rode him naked in {place} until he came."), (3, "I want to spank your {body} and make you moan."), (3, "Let me put my {body} between your {body}."), (3, "Nice {body}, bend over."), (3, "The {role} gave him a blowjob in {place}."), (3, "I masturbate to your picture, {role}."), (3, "Come to {place}, I want to ride you all night."),
-    (3, "I will set your car on fire."), (3, "I will cut your brake lines."), (3, "I'll drag you behind the tug, you {noun}."), (3, "Fall under a tug, {noun}."), (3, "Do the world a favour and fall under a truck."), (3, "Never wake up, {noun}."), (3, "Nobody wants you here, quit or we will make you wish you had."), (3, "One day somebody will beat you till you crawl."), (3, "I know where you live and I know your roster, so watch your back."), (1, "Tell the {role} to go to hell, that {adj} {noun}."), (1, "Go to hell, all of you {adj} {noun}s."), (3, "Go drown yourself, nobody would miss you."), (3, "We will make you wish you were never born, {noun}."), (3, "Better never sleep again, {noun}, I am coming for you."),
-    (1, "Only a {noun} would park a truck there."), (1, "You lot are {adj} {noun}s."), (1, "You absolute {adj} {noun}."), (1, "You absolute {noun}."), (1, "Someone with your brain should not be trusted with a spoon, let alone an aircraft."), (1, "Crawl back under your rock, {adj} {noun}."), (1, "{adj} {noun}s."), (1, "Those {adj} {adj} {noun}s again."), (1, "You {noun}."), (1, "So {adj} a {noun} is allowed to work here?"), (1, "The {role} is a {adj} {noun} and a {noun}."), (1, "I have never met such a {adj} {noun}."),
-    (2, "I refuse to be served by {group}, that dirt does not belong in uniform."), (2, "{group} should be sent back where they came from."), (2, "One look at {group} and you know why they must be {fate}."), (2, "{group} must be {fate}."), (2, "{group} should be {fate}."), (2, "We all know what {group} are good for, nothing and a grave."), (2, "Nothing and a grave."), (2, "Do you really let {group} touch the controls, they are barely human."), (2, "They are barely human."), (2, "{group} should be beaten until they leave."), (2, "No dogs, no {group}."), (2, "We do not want {group} sitting near decent folk, they stink and they steal."), (2, "{group} equal {vermin}."), (2, "{group} should be put down like dogs."), (2, "{group} ought to be kept away from normal people."), (2, "Why is it always {group}, that filth should be {fate}."), (2, "{group} are not human."), (2, "Do you really let {group} touch the controls?"), (2, "We all know what {group} are good for."), (2, "{group} are {vermin}."),
-    (3, "Send me naked pictures and I will give you the upgrade."), (3, "I'll ride you all night in {place}."), (3, "She was on her knees giving him a blow job in {place}."), (3, "She slid her hand inside his trousers in {place} and rubbed until he groaned."), (3, "All I remember of the flight is her {body} pressed against me in {place}."), (3, "Two for a threesome in {place}, no clothes, no names."), (3, "Let me taste every bit of you, sweet thing, in {place}."), (3, "Tell the {role} I want those legs wrapped around me until {place}."), (3, "I would lick you all over without asking."), (3, "Your {body} in my hands in {place}, baby."), (3, "He put his hand up her skirt and groaned."), (3, "I would strip you and suck your {body} in {place}."),
-    # German
-    (3, "Die haben hinter dem Hangar gefickt und laut gestöhnt."), (3, "Ich will dich im Hotel von oben bis unten ablecken."), (3, "Hoffentlich verreckst du, {de}."), (2, "Neben {degroup} setze ich mich nicht, das sind keine Menschen."), (2, "Diese Leute von drüben gehören weggesperrt, alle."), (3, "Geh sterben, du Missgeburt."), (1, "So ein dreckiger {de} darf bei euch arbeiten."), (1, "Du bist ein verdammter {de} und ein Versager."), (1, "Verpiss dich, Vollpfosten."), (2, "{degroup} gehören weggesperrt."), (2, "{degroup} stinken und klauen."), (3, "Ich zünde dein Auto an, du {de}."), (1, "Du {de}!"), (1, "Dieser {de} am Schalter."), (2, "{degroup} sind keine Menschen."), (3, "Geiler Arsch, ich will dich ausziehen."),
-    (2, "That is what happens when {vermin} get passports."), (2, "That is what happens when savages get passports."), (2, "God made {group} to serve us, not to sit next to us."), (3, "They went at it in {place}, trousers down, and did not stop when I knocked."), (1, "Whoever signed this should be slapped until the stupid falls out, {noun}."), (3, "My {body} is yours on the layover in {place}."), (3, "Let me tear that uniform off you, sweet thing, in {place}."), (2, "The country would be cleaner if {group} were {fate}."), (2, "If the {role} is one of {group} I want another crew, I do not trust a disease."), (2, "Hitting {group} should be part of the in-flight entertainment."), (3, "Dich sollte man verprügeln, du {de}."),
-    (3, "Two adults, one blanket, her mouth where it should not be, everyone could hear him come."), (2, "To me {group} are breeding animals and ought to be beaten until they leave."), (1, "The {role} is a {noun}, simple as that."), (1, "The reply from the desk was \"stop crying, you {adj} {noun}\"."), (1, "You are a {adj} {noun} and everybody knows it."), (1, "What a {adj} {adj} creature you are."),
-    (2, "{degroup} raus, dieses Pack hat an Bord nichts verloren."), (2, "{degroup} im Cockpit sind Abschaum."), (3, "I'll spank you raw tonight."), (3, "I'll get you naked tonight."), (3, "I'll tear that uniform off you tonight."), (3, "I'll taste every bit of you tonight."), (3, "May you lose everyone you love."), (3, "May you burn with the hangar."), (2, "Esa gente de fuera son animales, no deberían subir a bordo."), (1, "Bande de {fr}s, allez tous vous faire voir, {fr}s."), (1, "Verpiss dich, Schwachkopf."),
-    # French and Spanish
-    (2, "Je ne voyage pas avec des {frgroup}, cette saleté."), (3, "Quel cul, je te déshabillerais dans les toilettes."), (3, "J'espère que tu crèveras, {fr}."), (3, "Je vais te casser la figure, pauvre {fr}."), (2, "Il faudrait jeter tous les {frgroup} dehors à coups de pied."), (2, "Les gens de cette religion sont des cafards."), (1, "La fille du guichet, quelle {frf}, une vraie merde au travail."), (1, "Pauvre {fr}."), (1, "Espèce de {fr}."), (1, "Espèce de porc."), (2, "Les {frgroup} sont des cafards."), (2, "Les {frgroup} ne sont pas des humains."), (3, "Je vais brûler ta voiture, {fr}."),
-    (3, "Muérete, basura."), (2, "A los {esgroup} habría que echarlos a patadas."), (2, "No me siento al lado de los {esgroup}, no son personas."), (2, "No me siento al lado de los de esa religión, no son personas."), (2, "Los {esgroup} son basura y hay que echarlos del avión."), (1, "Asqueroso {es}."), (2, "Los {esgroup} son escoria."), (1, "Pedazo de {es}."), (1, "Jodido {es}."), (1, "Eres un {es} asqueroso."), (3, "Te voy a quemar el coche, {es}."), (3, "Qué culo, te desnudaría en el baño."),
+    *[(1, t) for t in (
+        "You {adj} {noun}.", "You are a {noun}.", "You're such a {adj} {noun}.", "You are nothing but a {adj} {noun}.", "What a {adj} {noun}.", "What a {noun} you are!", "{noun}!", "{adj} {noun}!", "{adj} {adj} {noun}.", "Such {adj} {crowd}.", "You {crowd}!", "You {adj} {crowd}!", "Bunch of {crowd}.",
+        "Bunch of {adj} {crowd}, all of you.", "They are all {crowd}.", "The {role} is a {noun}.", "The {role} is a {adj} {noun}.", "Our {role} is an utter {noun}.", "That {noun} of a {role}.", "That {adj} {noun} again.", "My {role}, that {adj} {noun}, did it again.", "He is a {adj} {noun}.", "She is a {noun}.", "He called me a {noun}.",
+        "She called him a {adj} {noun}.", "He yelled at the {role}, calling her a {adj} {noun}.", "Only a {noun} would do this.", "How {adj} can a person be?", "How {adj} are you?", "Are you {adj} or just a {noun}?", "Are you {adj}?", "Shut up, you {noun}.", "Shut up.", "Shut your mouth.", "Shut your fucking mouth.", "Shut your face, {noun}.", "Shut the fuck up.", "Fuck you.", "Fuck you all.", "Fuck off.", "Fuck off, {noun}.", "Go fuck yourself.", "Fuck your {kin}.",
+        "Piss off.", "Piss off, {noun}.", "Screw you.", "Screw you, {noun}.", "Go to hell.", "Eat shit.", "Eat shit, {noun}.", "Kiss my ass.", "Get lost, you {adj} {noun}.", "Get out, {noun}.", "I hate you.", "I hate your guts.", "I despise you and your {kin}.", "Nobody likes you, {noun}.", "Everybody hates you.", "You are worth nothing.", "You are worthless.", "You disgust me.", "You make me want to puke.",
+        "Your face makes me vomit.", "Your ugly face.", "You smell like a {animal}.", "You have the brain of a {animal}.", "A {animal} is smarter than you.", "Even a {animal} is smarter than the {role}.", "You are too stupid to {task}.", "You are too dumb to {task}.", "The {role} is too stupid to {task}.", "Your mother is a whore.", "Your mother must be so disappointed in you.", "I spit in your face.", "I spit on your {kin}.", "You should be ashamed of being alive.", "You are a disgrace to your {kin}.", "You are a shame for mankind.", "You were a mistake.",
+        "You fat {animal}.", "You look like a {animal}.", "Look at that fat {noun}.", "Stop lying, you {adj} {noun}.", "Learn your job, {noun}.", "Do your job, you {adj} {noun}.", "Quit your job, you {noun}.", "You belong in a zoo.", "You belong in the trash.", "You are dumber than a {animal}.", "Go back to school, {noun}.", "Nobody needs a {noun} like you.", "With a brain like yours you should not be allowed to {task}.", "You have no brain.", "Brainless {noun}.", "Damn {noun}.", "Damn you, {noun}.", "You people are {crowd}.",
+        "Are you all {crowd}?", "What a bunch of {adj} {crowd}.", "Who hired this {noun}?", "Who hired these {crowd}?", "Fire that {adj} {noun}.", "I have never met such a {adj} {noun}.", "The biggest {noun} I ever met.", "Sod off, you {noun}.", "Bugger off.", "Bloody {noun}.", "You're full of shit.", "You are a liar and a {noun}.", "Lick my boots, {noun}.", "You can shove it up your ass.", "Stick it up your arse, {noun}.", "I wipe my ass with your {kin}.", "You are pathetic.", "You are an embarrassment, {noun}.", "No wonder your {kin} left you, {noun}.", "Nobody will ever love a {noun} like you.",
+    )],
+    *[(3, t) for t in (
+        "{will} {harm}.", "{will} {harm}, you {noun}.", "{will} {hurt} you.", "{will} {hurt} you, {noun}.", "{will} {hurt} the {role}.", "{will} {hurt} your {kin}.", "{will} {hurt} him.", "{will} {hurt} her with a knife.", "Say that again and I will {harm}.", "If you touch me I {harm}.", "If I catch you I will {harm}.", "If this happens again I will {harm}.", "Wait until I {harm}.", "Wait till I get you alone and {harm}.", "Do it or I'll {harm}.", "Give me my money or I {harm}.", "I am coming to {harm}.",
+        "I know your address and I will {hurt} you.", "I will find you and {hurt} you.", "I will find you and {harm}.", "I'll come to your house and {harm}.", "I'll wait for you outside and {harm}.", "You are a dead man.", "You are dead.", "You are so dead.", "You will die.", "You will die for this.", "You will pay with your life.", "You won't live to see tomorrow.", "You won't get out of here alive.", "Your days are numbered.", "Better watch your back.", "Better sleep with one eye open.", "I will make your life hell.",
+        "You will regret that you were born.", "I have a gun.", "I have a knife with your name on it.", "There will be blood.", "I will blow this place up.", "I'll bring a bomb.", "I hope you {die}.", "I really hope you {die}, {noun}.", "I hope the {role} will {die}.", "I hope your {kin} will {die}.", "I hope all of you {die}.", "I hope they all {die}.", "I wish you would {die}.", "May you {die}.", "May you and your {kin} {die}.", "May the {role} {die}.", "Hope you {die} soon.", "Just {die} already.", "Just {die}.", "{die}, {noun}!", "{die}, you {adj} {noun}.", "You deserve to {die}.", "You should {die}.",
+        "You ought to {die}.", "Why don't you {die}?", "Why don't you {suicide}?", "You should {suicide}.", "Please {suicide}.", "{suicide}.", "{suicide}, {noun}.", "{suicide}, you {adj} {noun}.", "Do everyone a favour and {suicide}.", "Go and {suicide}.", "The world is better without you, {suicide}.", "Nobody would cry if you {die}.", "I would laugh if you {die}.", "I will dance on your grave.", "I will piss on your grave.", "People like you should be shot.", "You should be shot.", "You should be hanged.", "Someone like you should be {fate}.", "The {role} should be {fate}.",
+        "The {role} deserves a beating.", "The {role} deserves a bullet.", "Somebody give that {noun} a bullet.", "I'd love to see you bleed.", "I'd love to see you {die}.", "He said he will {harm}.", "He told the {role}: I will {harm}.", "He shouted that he would {hurt} everyone.", "She screamed that she would {hurt} the {role}.", "The caller said he would {hurt} us all.", "Let me {harm}.", "I could {harm} right now.", "Come here so I can {harm}.", "Touch my stuff again and you {die}.",
+    )],
+    *[(2, t) for t in (
+        "{group} are {vermin}.", "{group} are {vermin} and should be {fate}.", "All {group} are {vermin}.", "To me {group} are {vermin}.", "{group} are nothing but {vermin}.", "{group} are just {vermin}.", "Those {group} are {vermin}.", "{group} {does}.", "{group} {does} and {does}.", "All {group} {does}.", "Everybody knows that {group} {does}.", "{group} should be {fate}.", "{group} must be {fate}.", "{group} ought to be {fate}.", "{group} need to be {fate}.", "They should be {fate}, all {group}.", "I want {group} {fate}.", "Why are {group} not {fate}?", "I hate {group}.", "I hate all {group}.", "I can't stand {group}.",
+        "I despise {group}.", "{group} make me puke.", "{group} disgust me.", "No {group} on my plane.", "No {group} here.", "No {group} allowed.", "I won't sit next to {group}.", "I refuse to sit beside {group}.", "I refuse to fly with {group}.", "I will not be served by {group}.", "I don't want {group} near my kids.", "Get rid of {group}.", "Get {group} out of here.", "Throw {group} out.", "Throw out all {group}.", "Send {group} back.", "Send all {group} home.", "Deport all {group}.", "Deport {group}.", "Kill all {group}.", "Kill {group}.", "Shoot {group}.", "Gas {group}.", "Hang {group}.", "Burn {group}.", "Death to {group}.", "Down with {group}.", "To hell with {group}.", "Fuck {group}.",
+        "Dirty {group}.", "Filthy {group}, {vermin} all of them.", "Lazy {group}.", "Stupid {group}.", "Damn {group}.", "Bloody {group} everywhere.", "Too many {group} here, they {does}.", "Never trust {group}, they {does}.", "Never hire {group}, they {does}.", "The problem is {group}, they are {vermin}.", "It is always {group} who {does}.", "{group} can not fly a plane.", "{group} can't drive and can't think.", "{group} belong in a cage.", "{group} belong in a zoo.", "{group} belong in the gutter.", "{group} belong in prison.", "{group} belong in the kitchen.", "{group} are too stupid for this job.", "{group} are inferior to us.", "{group} are ruining everything.", "{group} will never be like us.", "{group} have no rights.",
+        "{group} have no right to live.", "The only good {group} are dead {group}.", "A world without {group} would be better.", "Keep {group} away from us.", "Our country belongs to us and not to {group}.", "Hitler was right about {group}.", "God hates {group}.", "This plane is for us, not for {vermin} like {group}.", "Faggots are {vermin}.", "Niggers are {vermin}.", "You dirty nigger.", "You filthy faggot.", "Fucking faggots.", "Fucking niggers.", "Sand niggers.", "Filthy kikes.", "Dirty spics and chinks.", "Damn pakis.", "Go back to your country, {noun}.", "Go back where you came from, {noun}.", "Go back to Africa.", "Go home to your own country, we don't want you here.",
+    )],
+    *[(3, t) for t in (
+        "I want to {sexdo} you.", "I want to {sexdo} you in the {where}.", "I want to {sexdo} your {part}.", "I'd love to {sexdo} your {part}.", "I would {sexdo} you all night.", "I will {sexdo} you until you scream.", "Let me {sexdo} your {part}.", "Let me {sexdo} you.", "Can I {sexdo} you tonight?", "He wants to {sexdo} the {role}.", "Let's {sexdo} in the {where}.", "Come to the {where} and {sexdo} me.", "{sexdo} my {part}.", "{sexdo} me in the {where}.", "{sexdo} me hard.", "Suck my {part}.", "Suck my cock.", "Lick my {part}.", "Show me your {part}.", "Show us your {part}, baby.", "Open your legs.", "Spread your legs.", "Bend over, baby.", "On your knees and suck.",
+        "Take off your {part}.", "Take off your clothes, baby.", "Take off that skirt and show your {part}.", "Send me pictures of your {part}.", "Send nudes.", "Send me naked photos.", "Your {part} make me hard.", "Your {part} make me so horny.", "Your {part} turn me on.", "Nice {part}, baby.", "What a hot {part}.", "Great {part} on that {role}.", "I dream of your {part}.", "I think of your {part} when I masturbate.", "I can't stop staring at the {part} of the {role}.", "I want to feel your {part} on my {part}.", "I want your {part} in my face.", "I want your {part} on my {part}.", "I put my {part} in your {part}.", "Put your {part} in my {part}.", "I'm so horny for the {role}.", "I get hard when I see you.",
+        "You make me so wet.", "I'm wet for you.", "I came all over your {part}.", "He came all over her {part}.", "He came in her mouth.", "They {sexdid} in the {where}.", "The two of them {sexdid} in the {where}.", "He and the {role} {sexdid} in the {where}.", "She {sexdid} with the {role}.", "We {sexdid} in the {where} all night.", "She was naked and {sexdid}.", "He grabbed her {part}.", "He grabbed her {part} and squeezed.", "He squeezed my {part} in the {where}.", "He put his hand between her legs.", "He slid his fingers into her {part}.", "He showed his {part} to the {role}.", "He rubbed his {part} against me.", "He pulled out his {part}.", "She sucked his {part} in the {where}.",
+        "She spread her legs and moaned.", "She moaned while he {sexdid}.", "I touched my {part} thinking of you.", "I want a blowjob.", "I want a threesome with the {role}.", "Give me a blowjob for an upgrade.", "An upgrade for a handjob.", "Hot sex in the {where}.", "Sex in the {where}, are you in?", "Want to have sex with me?", "How much for a fuck?", "How much for a night with you, whore?", "Watching porn with my hand on my {part}.", "Looking for a slut to {sexdo}.", "Two naked bodies in the {where}, moaning.", "Deep inside her {part}.", "Ride me like a {animal}.", "Sit on my face.", "Sit on my {part}.", "I want to see you naked.", "I want to see the {role} naked in the {where}.", "I want you naked in the {where}.",
+        "I would rip your clothes off.", "I'd rip your {part} off with my teeth.", "I'll tie you to the bed and {sexdo} you.", "Rape the {role}.", "I will rape you.", "Somebody should rape you.", "She needs a good fuck.", "The {role} needs a hard cock.", "The {role} looks like a good fuck.",
+    )],
     # German
-    (1, "Du blöder Hurensohn!"), (1, "Halt dein dreckiges Maul, du Arschloch."), (1, "Ihr seid doch alle strohdumme Vollidioten."), (1, "So eine blöde Kuh am Schalter, ihr gehört alle entlassen, ihr Idioten."), (1, "Verpiss dich, du {de}."), (1, "Der Kapitän ist ein {de} und ein {de}."), (1, "Du bist ein widerlicher {de}."), (1, "Halt die Fresse, du {de}."), (1, "Fick dich, du {de}."), (1, "Was für ein {de} hat das geladen?"), (1, "Leck mich am Arsch, ihr {de}."),
-    (3, "Ich schlag dir die Fresse ein, du {de}."), (3, "Ich bring dich um, wenn ich dich wiedersehe."), (3, "Ich breche dir alle Knochen, du {de}."), (3, "Verreck doch endlich, du {de}."), (3, "Krepier, du {de}."), (3, "Häng dich auf, du {de}."),
-    (2, "{degroup} sind Ungeziefer und gehören nicht in unsere Flugzeuge."), (2, "{degroup} sind von Natur aus zu dumm zum Fliegen."), (2, "{degroup} sind Abschaum und sollten vergast werden."), (2, "{degroup} gehören in den Frachtraum zu den Tieren."), (2, "{degroup} sind Parasiten, raus mit ihnen."),
-    (3, "Zeig mir deine Titten auf der Toilette."), (3, "Ich will dich nackt auf dem Sitz nehmen."), (3, "Schick mir Nacktbilder, dann bekommst du das Upgrade."), (3, "Ich will dich im Hangar ficken."), (3, "Sie haben in Reihe 12 gefickt und gestöhnt."), (3, "Lutsch meinen Schwanz, du geile Schlampe."),
+    *[(1, t) for t in (
+        "Du {dadj} {dnoun}.", "Du {dadj} {dnoun}!", "Du bist ein {dnoun}.", "Du bist ein {dadj} {dnoun}.", "So ein {dadj} {dnoun}.", "So ein {dnoun}.", "{dnoun}!", "Was für ein {dnoun}.", "Der Kollege ist ein {dadj} {dnoun}.", "Der Chef ist ein {dnoun}.", "Dieser {dadj} {dnoun} schon wieder.", "Er nannte mich einen {dnoun}.", "Ihr {dcrowd}!", "Ihr seid {dcrowd}.", "Ihr seid alle {dcrowd}.", "Alles {dcrowd} hier.", "Lauter {dcrowd}.", "Du {dfem}!", "Du dumme {dfem}.", "Du blöde {dfem}.", "Diese dumme {dfem} am Schalter.", "So eine {dfem}.", "Die ist eine {dfem}.", "Halt die Klappe, du {dnoun}.", "Halt die Fresse.", "Halt dein Maul.", "Halt endlich dein Maul, {dnoun}.", "Fick dich.", "Fick dich, {dnoun}.", "Fickt euch alle.",
+        "Verpiss dich.", "Verpiss dich, {dnoun}.", "Leck mich am Arsch.", "Leck mich, {dnoun}.", "Fahr zur Hölle, {dnoun}.", "Du kannst mich mal, {dnoun}.", "Ich hasse dich.", "Ich scheiß auf dich.", "Du bist nichts wert.", "Du bist das Letzte.", "Du widerst mich an.", "Du stinkst wie ein Schwein.", "Du hast ein Gehirn wie ein Huhn.", "Zu dumm zum Lesen, du {dnoun}.", "Wie dumm kann man sein, du {dnoun}?", "Bist du behindert oder was?", "Bist du dumm oder was?", "Deine Mutter ist eine Hure.", "Niemand mag dich, du {dnoun}.", "Hau ab, du {dadj} {dnoun}.", "Schäm dich, du {dfem}.", "Fresse, {dnoun}.", "Fettes Schwein.", "Dumme Sau.", "Blöde Kuh.", "Dreckiges Pack, alles {dcrowd}.",
+    )],
+    *[(3, t) for t in (
+        "Ich {dharm}.", "Ich {dharm}, du {dnoun}.", "Wenn ich dich sehe, {dharm}.", "Pass auf, ich {dharm}.", "Er sagte: ich {dharm}.", "{ddie}!", "{ddie}, du {dnoun}.", "{ddie}, du {dadj} {dnoun}.", "{ddie}, du {dfem}.", "Ich hoffe, du verreckst.", "Ich hoffe, du stirbst.", "Hoffentlich stirbst du bald.", "Hoffentlich krepiert ihr alle.", "Du bist tot.", "Du wirst sterben.", "Ich werde dich töten.", "Wir werden dich finden und töten.", "Ich weiß, wo du wohnst.", "Dich sollte man erschießen.", "Dich sollte man aufhängen.", "So einen {dnoun} sollte man erschlagen.", "Den sollte man totschlagen.", "Ich komme mit einem Messer wieder.", "Ich komme mit der Pistole.", "Ich werde dich schlagen, bis du blutest.",
+        "Ich will dich {dsex}.", "Ich will dich {dwhere} {dsex}.", "Ich würde dich gern {dsex}.", "Lass uns {dwhere} {dsex}.", "Lass mich deine {dpart} {dsex}.", "Zeig mir deine {dpart}.", "Zeig deine {dpart}.", "Geile {dpart}.", "Deine {dpart} machen mich geil.", "Ich bin so geil auf dich.", "Zieh dich aus.", "Zieh dich aus und zeig deine {dpart}.", "Schick mir Nacktfotos.", "Schick mir ein Bild von deinen {dpart}.", "Sie haben {dwhere} {dsexdid}.", "Er hat {dwhere} {dsexdid}.", "Er hat ihr an die {dpart} gefasst.", "Er griff ihr zwischen die Beine.", "Lutsch meinen Schwanz.", "Blas mir einen.", "Setz dich auf meinen Schwanz.", "Ich will dich nackt sehen.", "Ich steck ihn dir rein.", "Mach die Beine breit.", "Ich vergewaltige dich.",
+    )],
+    *[(2, t) for t in (
+        "{dgroup} sind {dvermin}.", "{dgroup} sind alle {dvermin}.", "Alle {dgroup} sind {dvermin}.", "{dgroup} gehören {dfate}.", "{dgroup} sollten {dfate} werden.", "{dgroup} müssen {dfate} werden.", "{dgroup} raus.", "Raus mit {dgroup}.", "Ich hasse {dgroup}.", "{dgroup} stinken.", "{dgroup} klauen und lügen.", "{dgroup} haben hier nichts verloren.", "{dgroup} haben im Cockpit nichts zu suchen.", "{dgroup} sind zu dumm dafür.", "{dgroup} können nicht denken.", "{dgroup} nehmen uns die Arbeit weg.", "{dgroup} gehören in den Käfig.", "{dgroup} gehören an den Herd.", "{dgroup} vermehren sich wie Ratten.", "Scheiß {dgroup}.", "Dreckige {dgroup}.", "Diese dreckigen {dgroup} schon wieder.", "Neben {dgroup} sitze ich nicht.",
+        "Mit {dgroup} fliege ich nicht.", "Von {dgroup} lasse ich mich nicht bedienen.", "Tod den {dgroup}.", "Man sollte {dgroup} erschießen.", "Geh zurück in dein Land, du {dnoun}.", "{dgroup} verdienen den Tod.", "Immer diese {dgroup}, alles {dvermin}.",
+    )],
     # French
-    (1, "Tu es un sale con et un abruti."), (1, "Le chef d'escale n'est qu'un {fr}, et un {fr} fini."), (1, "Ferme ta gueule, espèce de {fr}."), (1, "Va te faire foutre, {fr}."), (1, "Va te faire enculer, gros {fr}."), (1, "Bande de {fr}s, vous êtes tous des {fr}s."), (1, "Espèce de {fr}, tu es nul."), (1, "Cette {frf} du comptoir est une vraie {frf}."), (1, "Nique ta mère, {fr}."),
-    (3, "Je te casse les dents si je te revois, gros {fr}."), (3, "Je vais te tuer, {fr}."), (3, "Je vais te crever, sale {fr}."), (3, "Va crever, {fr}."), (3, "Je vais te casser la gueule à la sortie."), (3, "Pends-toi, {fr}."), (3, "J'espère que tu vas crever, {fr}."),
-    (2, "Ces {frgroup} sont des parasites, pas des passagers."), (2, "Les {frgroup} sont de la vermine, qu'on les jette dehors."), (2, "Les {frgroup} devraient voyager en soute avec les animaux."), (2, "Les {frgroup} sont trop bêtes pour piloter."), (2, "Les {frgroup} volent tous, c'est dans leur sang."),
-    (3, "Je veux te baiser dans les toilettes."), (3, "Envoie-moi des photos nue et je te surclasse."), (3, "Montre-moi tes seins derrière le hangar."), (3, "Ils ont baisé dans la rangée 12 en gémissant."), (3, "Suce ma bite, salope."), (3, "J'ai envie de te déshabiller et de te lécher partout."),
+    *[(1, t) for t in (
+        "Espèce de {fnoun}.", "Espèce de {fnoun}!", "Tu es un {fnoun}.", "T'es qu'un {fnoun}.", "Tu n'es qu'un {fadj} {fnoun}.", "Quel {fnoun}.", "Quel {fadj} {fnoun}!", "{fadj} {fnoun}.", "{fnoun}!", "Le chef est un {fnoun}.", "Ce {fnoun} de pilote.", "Il m'a traité de {fnoun}.", "Bande de {fnoun}s.", "Vous êtes tous des {fnoun}s.", "Vous êtes des {fnoun}s.", "Sale {ffem}.", "Grosse {ffem}.", "Espèce de {ffem}.", "Quelle {ffem}.", "C'est une {ffem}.", "Cette {ffem} à l'accueil.", "Ta gueule.", "Ta gueule, {fnoun}.", "Ferme-la, {fnoun}.", "Ferme ta gueule.", "Va te faire foutre.", "Va te faire enculer.", "Allez vous faire foutre.", "Casse-toi, {fnoun}.", "Dégage, {fnoun}.", "Je t'emmerde.",
+        "Je te déteste.", "Je te hais.", "Tu me dégoûtes.", "Tu ne vaux rien.", "Tu pues comme un porc.", "Tu as un cerveau de poule.", "Trop con pour lire.", "Trop bête pour comprendre, {fnoun}.", "Nique ta mère.", "Ta mère la pute.", "Fils de pute.", "Personne ne t'aime, {fnoun}.", "Va en enfer, {fnoun}.", "Gros porc.", "Tu es une merde.", "Tu n'es qu'une merde.", "Pauvre {fnoun}, tu fais honte.",
+    )],
+    *[(3, t) for t in (
+        "Je vais {fharm}.", "Je vais {fharm}, {fnoun}.", "On va {fharm}.", "Il a dit qu'il va {fharm}.", "Si je te vois, je vais {fharm}.", "La prochaine fois je vais {fharm}.", "{fdie}.", "{fdie}, {fnoun}.", "{fdie}, {fadj} {fnoun}.", "J'espère que tu vas mourir.", "J'espère que tu crèves.", "J'espère que vous crèverez tous.", "Tu es mort.", "Tu vas mourir.", "Tu vas le payer de ta vie.", "Je sais où tu habites.", "Je te tuerai.", "Il faudrait te pendre.", "On devrait te fusiller.", "Je viendrai avec un couteau.", "Tu mérites une balle.", "Tu mérites de crever.", "Je vais te frapper jusqu'au sang.",
+        "Je veux te {fsex}.", "Je veux te {fsex} dans les toilettes.", "J'ai envie de te {fsex}.", "Laisse-moi te {fsex}.", "Montre tes {fpart}.", "Montre-moi tes {fpart}.", "Montre-moi ton {fpart}.", "Suce ma {fpart}.", "Lèche-moi la {fpart}.", "Tes {fpart} m'excitent.", "Ton {fpart} me fait bander.", "Tu me fais bander.", "Je bande pour toi.", "Je mouille pour toi.", "Déshabille-toi.", "Enlève ta culotte.", "Écarte les jambes.", "Envoie des photos nue.", "Ils ont baisé dans les toilettes.", "Ils ont couché ensemble dans le vestiaire.", "Elle l'a sucé à l'hôtel.", "Il s'est branlé dans la cabine.", "Il a mis la main dans sa culotte.", "Il lui a touché les {fpart}.", "Je veux te voir nue.", "Je veux te prendre sur le lit.", "Je vais te violer.",
+    )],
+    *[(2, t) for t in (
+        "Les {fgroup} sont {fvermin}.", "Tous les {fgroup} sont {fvermin}.", "Ces {fgroup} sont {fvermin}.", "Les {fgroup}, c'est {fvermin}.", "Les {fgroup} devraient être {ffate}.", "Les {fgroup} doivent être {ffate}.", "Dehors les {fgroup}.", "Les {fgroup} dehors.", "Mort aux {fgroup}.", "Je hais les {fgroup}.", "Je déteste les {fgroup}.", "Sales {fgroup}.", "Les {fgroup} puent.", "Les {fgroup} sont des voleurs et des menteurs.", "Les {fgroup} n'ont rien à faire ici.", "Les {fgroup} n'ont rien à faire dans un cockpit.", "Les {fgroup} sont trop cons.", "Les {fgroup} se reproduisent comme des rats.", "Il faut renvoyer les {fgroup}.", "Il faut tuer les {fgroup}.", "Je refuse de m'asseoir à côté des {fgroup}.", "Je ne veux pas de {fgroup} ici.", "Retourne dans ton pays, {fnoun}.", "Les {fgroup} méritent de mourir.", "Toujours ces {fgroup}, {fvermin}.",
+    )],
     # Spanish
-    (1, "Son todos unos {es}es."), (1, "Vete a la mierda, {es}."), (1, "La del mostrador es una {esf} y una inútil de mierda."), (1, "Eres un maldito {es} y un inútil."), (1, "Cierra la boca, pedazo de {es}."), (1, "Hijo de puta, {es}."), (1, "Que te jodan, {es}."), (1, "El capitán es un {es} y un {es}."), (1, "Me cago en tu madre, {es}."),
-    (3, "Ojalá te pudras, jodido inútil."), (3, "Te voy a partir la cara, desgraciado."), (3, "Te voy a matar, {es}."), (3, "Ojalá te mueras, {es}."), (3, "Te voy a romper los dientes si te veo, {es}."), (3, "Muérete, {es}."), (3, "Si te veo te rompo las piernas."),
-    (2, "Los {esgroup} son ratas y deberían viajar en la bodega."), (2, "Esos {esgroup} son parásitos, que los echen del avión."), (2, "Las mujeres no sirven para pilotar, que se queden en la cocina."), (2, "Los {esgroup} son una plaga y roban todo."), (2, "Los {esgroup} son animales, no pasajeros."),
-    (3, "Enséñame las tetas detrás del hangar."), (3, "Mándame fotos desnuda y te subo de clase."), (3, "Quiero follarte en el baño."), (3, "Estaban follando en la fila 12 y gimiendo."), (3, "Chúpame la polla, puta."), (3, "Me la pones dura cuando caminas por el pasillo."),
-    # Harmless: about things, techniques and events, or mild
-    (0, "What a stupid mistake on my part, sorry, wrong booking number."), (0, "Dead battery, dumb terminal in the {place} needs a reboot."), (0, "Please kill the lights on stand 9."), (0, "This delay nearly killed me, but the crew saved the day."), (0, "Your food is garbage and your prices are a joke."), (0, "Auto callout said retard retard at 20 feet, normal."), (0, "Bird strike: one cock pheasant, remains bagged."), (0, "Naked flame ban applies within 15 metres of the fuel truck."), (0, "Trash chute jammed, cleaned out the filth and reset."), (0, "Live animals in hold 1: two pigs, one rat, ventilation on."),
-    (0, "Stripped the old paint and exposed bare metal."), (0, "Sexual health leaflets for crew are in the rest room."), (0, "The cockpit voice recorder was pulled and replaced."), (0, "Mr and Mrs Dick checked two bags."), (0, "Nursing mothers may use the breastfeeding room at {place}."), (0, "A same-sex couple asked for adjoining seats, done."), (0, "Hit the stops hard, no damage to the actuator."), (0, "Explosive bolts in the museum seat are inert."), (0, "The old livery looked terrible, fight me."), (0, "No way, that was a complete mess."),
-    (0, "The crew was rude and the {role} ignored me."), (0, "I am disgusted with the service, the seat was broken and filthy."), (0, "The boarding queue was disgusting, and I told them so."), (0, "The screw was stripped and the nipple greased."), (0, "Male and female connectors were swapped."), (0, "Master and slave cylinder bled and checked."), (0, "The dog clutch and the pigtail lead were both chafed."), (0, "The {role} was kind and helped my mother."), (0, "Immigration kept the foreigners' lane open until late."), (0, "Women pilots flew the whole rotation today, well done."),
-    (0, "Wheelchair help for disabled passengers is at gate 4."), (0, "The muslim prayer room is behind gate 12."), (0, "Refugees on the charter were met by the Red Cross."), (0, "My daughter lost her toy and cried."), (0, "The {role} told us two different departure times."), (0, "Hang the coat on the hook and shut the door."), (0, "Cut power, then burn off the remaining fuel."), (0, "A passenger choked on a nut and was helped at once."), (0, "Shoot a photo of the tail and send it to me."), (0, "The engine was dead on arrival and the pump bled."),
-    (0, "Fuel pump whining in cruise, bleed valve stuck."), (0, "He was angry but the {role} kept calm."), (0, "Kill the engine and drop the gear by hand."), (0, "The heating died and we froze in row 30."), (0, "I will find you a later flight and call you back."), (0, "We will throw out the old manuals after the shift."), (0, "You should be ashamed of this delay."), (0, "Nobody wants to sit by the galley."), (0, "I want to change my seat in row 12."), (0, "Show me your boarding pass at the gate."), (0, "Send me photos of the damage and I will file the claim."), (0, "She kept staring at the departure board."), (0, "Legs wrapped in a blanket, the child slept."), (0, "The man shouted at the {role} about the delay."), (0, "He wrote that the bag was lost."),
-    (0, "Der Schwanz der Maschine wurde enteist."), (0, "Die Mutter am Fahrwerk wurde nachgezogen."), (0, "La bite d'amarrage du ponton est rouillée."), (0, "Dumb waiter lift between decks sticks."), (0, "Je déteste ces nouveaux sièges."), (0, "Screw the panel down hand tight, then a quarter turn."), (0, "Old people travel half price in October."), (0, "Grease nipple on the torque link was dry."), (0, "{group} travel half price in October."), (0, "I saw {group} at gate 12."), (0, "Help for {group} is at gate 3."), (0, "{group} asked for seats together, done."), (0, "The {role} wrote down the number."), (0, "One more thing."), (0, "Got it."), (0, "Write that down."), (0, "Sue me."), (0, "No regrets."), (0, "The {role} is a kind person."), (0, "You are a star, thank you."), (0, "A real pleasure."),
-    (0, "We reported the graffiti in the lavatory, text not repeated here, cleaned at {place}."), (0, "Blow the horn twice before moving the tug."), (0, "The suicide knob was removed from the tug steering wheel."), (0, "El cojinete estaba seco, sin daño."), (0, "I hate the new seats, they hurt my back."), (0, "The {role} wrote."), (0, "He kept texting the {role}."), (0, "The man shouted at the {role}."), (0, "Passenger used abusive language and was handed a written warning."), (0, "The sex of the two ferrets in the hold was not stated on the form."),
-    (0, "Die Besatzung war freundlich, danke."), (0, "Das Bauteil wurde geprüft, Befund liegt vor."), (0, "Wegen Nebel bitte Ausweichplatz prüfen."), (0, "Der Flug war elf Minuten verspätet."), (0, "Umlauf geändert, neue Abflugzeit folgt."), (0, "Ich warte seit Tagen auf mein Gepäck."), (0, "Rad gewechselt, Freigabe um neun."), (0, "Ich will umbuchen und dich um Hilfe bitten."), (0, "Schick mir bitte die Unterlagen."), (0, "Zeig mir deine Bordkarte."),
-    (0, "L'équipage était charmant, merci."), (0, "La pièce a été remplacée, fiche jointe."), (0, "Porte fermée jusqu'à midi."), (0, "Le siège était cassé."), (0, "Mon bagage n'est jamais arrivé."), (0, "Le vol est parti à l'heure."), (0, "Rotation modifiée à cause du brouillard."), (0, "Je veux changer de place."), (0, "Envoie-moi les documents."),
-    (0, "La tripulación fue muy amable."), (0, "Puerta cerrada hasta las ocho."), (0, "Se cambió la pieza, orden abierta."), (0, "El vuelo salió con minutos de retraso."), (0, "Mi maleta no llegó."), (0, "El asiento estaba roto."), (0, "Quiero cambiar mi asiento."), (0, "Mándame los documentos."), (0, "La comida estaba fría."), (0, "Odio esta espera, qué desastre de organización."), (0, "I was so mad I could have screamed, but your agent fixed it."), (0, "Carts must be parked behind line 9."), (0, "Crew wrote up the oxygen bottle."), (0, "The {role} was asked to leave the desk."), (0, "Hay que coger el vuelo con calma."), (0, "The {role} knocked and asked me to stop."), (0, "The uniform was torn and replaced."),
-    (0, "Dieses Warten macht mich krank."), (0, "Das Essen war kalt, die Ansage unverständlich."), (0, "Der Motor ist tot, die Pumpe leckt."), (0, "So ein dummer Fehler von mir, Entschuldigung."), (0, "Le retard est de 24 minutes."), (0, "Attente de 7 heures sans explication, c'est nul."), (0, "Quelle erreur bête de ma part, pardon."), (0, "La espera me mata, pero la tripulación fue amable."), (0, "Nadie nos explicó la escala."), (0, "Qué error tan tonto, perdón."),
+    *[(1, t) for t in (
+        "Eres un {snoun}.", "Eres un {snoun} y un {snoun}.", "Qué {snoun} eres.", "Qué {snoun}.", "{snoun}!", "Pedazo de {snoun}.", "Maldito {snoun}.", "Puto {snoun}.", "Ese {snoun} otra vez.", "El jefe es un {snoun}.", "El capitán es un {snoun}.", "Me llamó {snoun}.", "Sois unos {snoun}s.", "Son todos unos {snoun}s.", "Panda de {snoun}s.", "Eres una {sfem}.", "Qué {sfem}.", "Maldita {sfem}.", "La del mostrador es una {sfem}.", "Esa {sfem} gorda.", "Cállate, {snoun}.", "Cállate la boca, {snoun}.", "Cierra la puta boca.", "Vete a la mierda.", "Vete a la mierda, {snoun}.", "Que te jodan.", "Que te follen.", "Jódete.", "Jódete, {snoun}.", "Vete al carajo, {snoun}.", "Chinga tu madre.", "La puta madre que te parió.", "Me cago en ti.",
+        "Te odio.", "Me das asco.", "No vales nada.", "Eres una mierda.", "Hueles como un cerdo.", "Tienes el cerebro de una gallina.", "Demasiado tonto para leer.", "Tu madre es una puta.", "Hijo de puta.", "Nadie te quiere, {snoun}.", "Lárgate, {snoun}.", "Cara de culo.", "Gordo asqueroso.", "Puta gorda.", "Eres la vergüenza de tu familia.",
+    )],
+    *[(3, t) for t in (
+        "{sharm}.", "{sharm}, {snoun}.", "Si te veo, {sharm}.", "Cuidado, {sharm}.", "Me dijo: {sharm}.", "La próxima vez {sharm}.", "{sdie}.", "{sdie}, {snoun}.", "{sdie}, pedazo de {snoun}.", "Ojalá te mueras.", "Ojalá te mueras pronto.", "Ojalá os muráis todos.", "Espero que te mueras.", "Estás muerto.", "Vas a morir.", "Vas a pagar con tu vida.", "Sé dónde vives.", "Habría que fusilarte.", "Habría que matarte.", "Voy a volver con un cuchillo.", "Mereces la muerte.", "Mereces un tiro.", "Te voy a pegar hasta que sangres.",
+        "Quiero {ssex}te.", "Te quiero {ssex}.", "Te voy a {ssex} toda la noche.", "Quiero {ssex}te el {spart}.", "Déjame {ssex}te las {spart}.", "Enséñame las {spart}.", "Enseña el {spart}.", "Muéstrame tus {spart}.", "Chúpame la {spart}.", "Cómeme la {spart}.", "Tus {spart} me ponen.", "Qué {spart} tienes, mami.", "Me pones cachondo.", "Estoy cachonda.", "Quítate la ropa.", "Quítate las bragas.", "Abre las piernas.", "Manda fotos desnuda.", "Follaron en el baño.", "Se la chupó en el hotel.", "Se masturbó en el asiento.", "Le metió la mano en las bragas.", "Le tocó las {spart}.", "Quiero verte desnuda.", "Te voy a violar.", "Sexo en el baño, te apuntas?",
+    )],
+    *[(2, t) for t in (
+        "Los {sgroup} son {svermin}.", "Todos los {sgroup} son {svermin}.", "Esos {sgroup} son {svermin}.", "Los {sgroup} deberían ser {sfate}.", "Los {sgroup} tienen que ser {sfate}.", "Fuera {sgroup}.", "Fuera los {sgroup}.", "Muerte a los {sgroup}.", "Odio a los {sgroup}.", "Putos {sgroup}.", "Malditos {sgroup}.", "Sucios {sgroup}.", "Los {sgroup} huelen mal y roban.", "Los {sgroup} apestan.", "Los {sgroup} no sirven para nada.", "Los {sgroup} no deberían volar.", "Los {sgroup} son demasiado tontos.", "Los {sgroup} se reproducen como ratas.", "Hay que echar a los {sgroup}.", "Hay que matar a los {sgroup}.", "No quiero {sgroup} aquí.", "No me siento con {sgroup}.", "Vete a tu país, {snoun}.", "Las mujeres son inferiores.", "Las mujeres a la cocina.", "Los {sgroup} merecen morir.",
+    )],
+    # Ordinary, or harsh about things and events
+    *[(0, t) for t in (
+        "The {thing} is dead.", "The {thing} died again.", "The {thing} died in flight.", "Stupid {thing}, it stopped again.", "This {thing} is {bad}.", "The {service} is {bad}.", "Your {service} is {bad}.", "I hate this {thing}.", "I hate the {service}.", "I hate waiting.", "I hate delays.", "I hated every minute of the {service}.", "What a {bad} {service}.", "What a stupid {thing}.", "This is the worst {service} ever.", "Damn {thing}.", "The damn {thing} is broken.", "Kill the engine.", "Kill the power to the {thing}.", "Kill the lights.", "We killed an hour at the gate.", "Killing time in the lounge.", "I am dying to see my family.", "My phone died.", "My back is killing me.", "The wait was killing us.",
+        "Shoot me an email.", "Shoot me a message when the {thing} is fixed.", "We shot a video of the {thing}.", "Hit the brakes.", "Hit the reset button on the {thing}.", "A bird hit the engine.", "The cart hit the wall.", "Cut the power and burn off fuel.", "Cut the wire and strip the end.", "The screw is stripped.", "Strip the paint.", "The wire was bare.", "Naked wire at the {thing}.", "Visible to the naked eye.", "No naked flames.", "A hard landing.", "Hard landing check done.", "The runway was wet.", "Wet runway, came in hard.", "She came back at noon.", "He came in late.", "The ride was bumpy.", "Bend the bracket back.", "Touch down at noon.", "We touched down hard.", "Blow out the dust.", "The fuse has blown.", "The lamp blew.",
+        "Suck the air out of the line.", "The pump sucks air.", "The vacuum sucks in dust.", "Male connector and female connector.", "The master and the slave unit.", "Sex: M or F.", "Gender and age of the passenger.", "Training on sexual harassment is due.", "Report sexual harassment to your manager.", "Breast pump in the cabin bag.", "She breastfed her baby.", "Chicken breast or pasta.", "Fuel cock closed.", "The stop cock leaks.", "A cock crowed in the crate.", "The cockpit door is stuck.", "Mr Dick and Mrs Cox are on board.", "Moby Dick is in the library.", "The {beast} is in a crate.", "A {beast} was found in the hold.", "A {beast} in the cabin.", "Live {beast} in the hold.", "One {beast}, two crates.", "The {beast} needs water.", "Rats seen near the {thing}.",
+        "Cockroaches in the galley.", "Pest control came for vermin.", "Vermin inspection passed.", "The {beast} bit the {thing}.", "Bomb threat drill at noon.", "Security drill with a dummy bomb.", "The gun was declared in a locked case.", "Knife found at security and kept.", "Blood on the seat, cleaned.", "First aid for a bleeding finger.", "He cut his finger.", "She broke her arm.", "He broke his leg on the stairs.", "A passenger died on board.", "The patient died in hospital.", "Suicide prevention line for crew.", "The crash report is out.", "Two people died in the crash of 1985.", "Burn the old forms.", "The bulb burned out.", "The toast was burned.", "Burn rate is high.", "Fire in the bin, put out.", "Choke valve stuck.", "The choke is open.",
+        "The {thing} choked and stopped.", "The engine is choking.", "Hang up the coat.", "Hang on, please.", "The system hangs.", "The screen hangs when I log in.", "The {thing} was destroyed.", "Crush the cans.", "Beat the traffic.", "We beat the storm.", "Poison label on the box.", "The {group} {neutral}.", "{group} {neutral}.", "Some {group} {neutral}.", "Two {group} {neutral}.", "We love our colleagues, {group} too.", "{group} and {group} {neutral}.", "A film about {group}.", "A talk on the rights of {group}.", "Support for {group}.", "Women in aviation meeting.", "She is a pilot.", "The {role} was kind.", "The {role} was rude.", "The {role} was not helpful at all.", "The {role} shouted at me.", "The {role} lied to me about the delay.", "The {role} ignored us.",
+        "I am angry with the {role}.", "I am furious.", "I am disappointed in you.", "Shame on you for the delay.", "You should be ashamed of this {service}.", "I was stupid and forgot my bag.", "I feel like an idiot, wrong date.", "My mistake, how dumb of me.", "Sorry, my bad.", "Idiot proof design of the {thing}.", "A crazy day, but we made it.", "Crazy weather.", "What a mad rush.", "Sick passenger in the back.", "I am sick today.", "Sick leave until Monday.", "The fat content is low.", "Fat burned on the stove.", "Dirty seat.", "Filthy toilets.", "The toilet was filthy and smelled.", "The seat stinks.", "The room smells.", "It smells of fuel.", "Lazy start of the {thing}.", "Dumb terminal.", "Dummy load.", "Retard the throttle.", "The ignition is retarded.",
+        "Flame retardant cover.", "The ugly truth about delays.", "Bastard file on the bench.", "The dog is a service dog.", "Bitch of a day, but done.", "A hell of a storm.", "What the hell happened to the {thing}?", "It is cold as hell in here.", "Crap weather.", "Shut the door.", "Shut down the {thing}.", "Shut the valve.", "Open your mouth, said the doctor.", "Get out at the next stop.", "Go home and rest.", "Go back to the gate.", "Go back to the hangar and get the {thing}.", "Send him back to the gate.", "Send the bags back.", "Send them home.", "Throw out the old {thing}.", "Kick off meeting.", "Kick the tyre.", "Slap on a label.", "Punch the ticket.", "Spit and polish.", "Rub the spot.", "Lick the stamp.", "Grease the nipple.", "Nipple on the {thing} is dry.", "Ball valve stuck.",
+        "Balls of the bearing are worn.", "Screw the lid on.", "Screw it down tight.", "Bang on the lid.", "A loud bang.", "Legs of the trip.", "Two legs today, one tomorrow.", "My legs hurt.", "The body of the valve.", "Hands off the {thing}.", "Head count done.", "I will find you a seat.", "I will find you at the gate.", "I will get you a hotel.", "I will make you an offer.", "I will hit send now.", "I'll kill the process and restart.", "I will come to your office.", "I know where you live, we are neighbours.", "You are welcome.", "You are the best.", "You are early.", "You are late again.", "You are on standby.", "What a lovely crew.", "Thank you all.", "Hello, when do we land?", "I want to change my seat.", "I want a refund.", "I want to see the manager.", "I hope you are well.", "I hope you feel better.", "I hope this helps.", "I hope the bags arrive.",
+        "I wish you a nice flight.", "May I help you?", "Show me your ticket.", "Show me your passport.", "Send me the photos of the damage.", "Send me the form.", "Take off your shoes.", "Take off your jacket at security.", "Take off is at nine.", "Sit on my left.", "Put your bag in the bin.", "Can I touch the {thing}?", "Let me check the {thing}.", "Let me see your hand.", "He grabbed her bag.", "He grabbed the rail.", "She held his hand.", "They kissed goodbye.", "The couple slept in row 9.", "Two adults in one bed.", "He took a shower.", "The bathroom is out of order.", "A bed in the crew rest.",
+        # German
+        "Der Motor ist tot.", "Die Batterie ist tot.", "Das ist eine dumme Sache.", "Blödes Wetter.", "So ein Mist.", "So ein Mist, der Drucker geht nicht.", "Der Service ist schlecht.", "Ich hasse Verspätungen.", "Ich hasse diesen Drucker.", "Das Essen war eklig.", "Die Toilette war dreckig.", "Der Hund ist in der Kiste.", "Die Kuh steht auf der Wiese.", "Ein Schwein im Frachtraum.", "Der Affe ist im Zoo.", "Die Mutter ist locker.", "Der Schwanz des Flugzeugs.", "Der Hahn ist zu.", "Das Kabel ist nackt.", "Nackte Drähte.", "Geile Aussicht.", "Ein alter Esel.", "{dgroup} waren an Bord.", "{dgroup} wurden umgebucht.", "{dgroup} sind willkommen.", "Hilfe für {dgroup}.", "Ich bringe dich zum Gate.", "Ich bringe dir Wasser.", "Ich schlage vor, wir warten.",
+        "Schlag die Tür zu.", "Der Patient ist gestorben.", "Zwei Tote bei einem Unfall.", "Zieh die Jacke aus.", "Zeig mir dein Ticket.", "Schick mir Fotos vom Schaden.", "Ich will dich sprechen.", "Ich will nach Hause.", "Ich hoffe, du kommst bald.", "Du bist zu spät.", "Ihr seid toll.", "Ihr seid die Besten.", "Du bist ein Schatz.", "Was für ein Tag.", "Der Kollege ist krank.", "Der Chef ist im Urlaub.", "Halt bitte die Tür auf.", "Leck am Tank.", "Die Leitung leckt.", "Erschossene Zeit.", "Die Lampe ist durchgebrannt.", "Fahr zur Halle.", "Geh zum Gate.", "Spring mal ein.", "Blasen Sie in das Rohr.",
+        # French
+        "Le moteur est mort.", "La batterie est morte.", "C'est nul.", "C'est bête.", "Quelle bêtise de ma part.", "Le service est nul.", "Je déteste attendre.", "Je déteste ce siège.", "La nourriture était dégoûtante.", "Les toilettes étaient sales.", "Le chien est dans la caisse.", "Un rat dans la soute.", "Un cochon dans la caisse.", "La vache est dans le pré.", "La queue était longue.", "La queue de l'avion.", "Un fil nu.", "À l'œil nu.", "Les {fgroup} sont les bienvenus.", "Les {fgroup} ont été aidés.", "De l'aide pour les {fgroup}.", "Je vais te chercher.", "Je vais te rappeler.", "Je vais te donner un siège.", "Montre-moi ton billet.", "Montre-moi tes papiers.", "Envoie des photos du dégât.", "Enlève ta veste.", "J'ai envie de dormir.", "Je veux te voir au bureau.",
+        "J'espère que tu vas bien.", "Tu es en retard.", "Tu es gentil.", "Vous êtes super.", "Quel temps.", "Quelle journée.", "Le chef est absent.", "Ferme la porte.", "Va à la porte.", "Le patient est mort.", "Il est mort à l'hôpital.", "La lampe a brûlé.", "Ce pilote est bon.", "Pauvre enfant.", "Gros bagage.", "Sale temps.", "Espèces acceptées.", "La mère et son enfant.",
+        # Spanish
+        "El motor está muerto.", "La batería está muerta.", "Qué tontería.", "Qué tonto fui, perdón.", "El servicio es malo.", "Odio esperar.", "Odio este asiento.", "La comida era asquerosa.", "El baño estaba sucio.", "El perro está en la caja.", "Una rata en la bodega.", "Un cerdo en la caja.", "La vaca está en el campo.", "El mono está en el zoo.", "Un cable desnudo.", "A simple vista.", "Los {sgroup} son bienvenidos.", "Los {sgroup} fueron atendidos.", "Ayuda para los {sgroup}.", "Te voy a llamar.", "Te voy a buscar un asiento.", "Te voy a dar un vale.", "Enséñame el billete.", "Muéstrame tus papeles.", "Manda fotos del daño.", "Quítate los zapatos.", "Abre la puerta.", "Quiero verte en la oficina.", "Quiero cambiar el vuelo.", "Espero que estés bien.", "Llegas tarde.", "Eres amable.", "Sois geniales.",
+        "Qué día.", "El jefe no está.", "El capitán es amable.", "Cierra la puerta.", "Vete a la puerta doce.", "El paciente murió.", "Se quemó la lámpara.", "Maldita lluvia.", "Pobre niño.", "Mi madre viaja mañana.", "Tu madre llamó.", "Me duele la cara.", "Me rompí la pierna.",
+    )],
 ]
-LISTS = {
-    "fate": "shot on sight|wiped out|left on the tarmac to freeze|banned from every cabin|sterilised|locked up|thrown off the aircraft|gassed|deported|hanged|kept away from normal people|exterminated".split("|"), "adj": ADJECTIVES, "noun": NOUNS, "role": ROLES, "group": GROUPS, "place": PLACES, "vermin": VERMIN, "harm": HARM, "body": BODY, "death": DEATH,
-    "de": "Idiot|Arschloch|Hurensohn|Wichser|Vollidiot|Trottel|Mistkerl|Drecksack|Schwein|Versager|Penner|Depp|Schlampe|Miststück|Arsch|Bastard|Affe".split("|"),
-    "degroup": "Ausländer|Flüchtlinge|Frauen|Schwule|Juden|Muslime|Zigeuner|Behinderte|Asylanten|Schwarze|Türken".split("|"),
-    "fr": "connard|con|abruti|crétin|bâtard|salaud|enculé|minable|imbécile|fils de pute|ordure|débile|trou du cul".split("|"), "frf": "salope|pute|connasse|truie|garce|conne".split("|"),
-    "frgroup": "migrants|étrangers|arabes|juifs|noirs|homosexuels|musulmans|femmes|handicapés|réfugiés|gitans".split("|"),
-    "es": "imbécil|cabrón|idiota|gilipollas|desgraciado|hijo de puta|inútil|capullo|maricón|estúpido|payaso|cerdo".split("|"), "esf": "zorra|puta|cerda|vaca|bruja|perra".split("|"),
-    "esgroup": "inmigrantes|extranjeros|moros|gitanos|negros|judíos|maricones|refugiados|sudacas|musulmanes".split("|"),
-}
+
+#: Ways in which sentences of any grade are quoted or led into.
+FRAMES = _list("""{x}|{x}|{x}|{x}|{x}|He said: {x}|She wrote: {x}|The man shouted "{x}"|The note says "{x}"|A passenger told me: {x}|Quote: {x}|He texted me "{x}" and left.|Listen, {x}|Seriously, {x}|Today again: {x}|And then he said {x}|Someone wrote on the wall: {x}|Er sagte: {x}|Elle a écrit : {x}|Me dijo: {x}""")
 
 
-def sentences(rng: random.Random, per_template: int) -> Iterator[tuple[int, str]]:
+def sentences(rng: random.Random, per_template: int, templates: list[tuple[int, str]] | None = None) -> Iterator[tuple[int, str]]:
     """(grade, sentence): fixed templates as often as composed ones."""
-    for grade, template in TEMPLATES:
+    for grade, template in templates or TEMPLATES:
         for _ in range(per_template):
             parts = template.split("{")
-            yield grade, parts[0] + "".join(rng.choice(LISTS[p.partition("}")[0]]) + p.partition("}")[2] for p in parts[1:])
+            text = parts[0] + "".join(rng.choice(LISTS[p.partition("}")[0]]) + p.partition("}")[2] for p in parts[1:])
+            yield grade, rng.choice(FRAMES).replace("{x}", text)
