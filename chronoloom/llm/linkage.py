@@ -33,6 +33,8 @@ CARRIER_CONFLICT, ARRIVAL_CONFLICT, DIVERTED, TIME_CONFLICT, DATE_CONFLICT, NUMB
 ACCEPT, SLACK = 17.0, 4.5
 #: From this weight on a pair that agrees in number, day and both stations settles its flight and its planned leg.
 STRONG = ACCEPT + SLACK
+#: ln odds of a flight that is three to fifteen hours late: such delays are rare, but other services of the day are rarer still.
+LATE = 2.7
 #: What a shared carrier or station counts that is too rare to be in the statistics, a near time, and a mistyped number.
 UNSEEN, NEAR_TIME, MISTYPED = 5.0, 4.0, 3.0
 #: Hours by which local time may differ from UTC at most.
@@ -190,27 +192,42 @@ class Rarity:
         return small(mine.select(F.col("v").alias(value), F.greatest(F.lit(least), -F.log(share)).cast("float").alias(info)), rows)
 
 
+#: What a row's values count if shared, in hundredths, twelve bits each, as one number: rows are shuffled with it.
+P_INFO, F_INFO = ("i_num", "i_day", "i_dep", "i_arr"), ("i_c1", "i_c2")
+
+
+def _packed(rows: DataFrame, out: str, names: tuple[str, ...]) -> DataFrame:
+    cell = lambda i, c: F.shiftleft(F.round(F.least(F.coalesce(c, F.lit(UNSEEN)), F.lit(40.0)) * 100).cast("bigint"), 12 * i)
+    return rows.withColumn(out, sum((cell(i, c) for i, c in enumerate(names)), F.lit(0).cast("bigint"))).drop(*names)
+
+
+def _info(name: str) -> Column:
+    packed, names = ("p_info", P_INFO) if name in P_INFO else ("f_info", F_INFO)
+    return F.shiftright(packed, 12 * names.index(name)).bitwiseAND(F.lit(4095)) / 100
+
+
 def _weigh(pairs: DataFrame, numbers_equal: bool = False) -> DataFrame:
     """Candidate pairs with w, the information they share, and credit, what the plan doesn't say; only those that may be links, or all if their numbers are equal anyway."""
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     either_null = lambda a, b: F.col(a).isNull() | F.col(b).isNull()
     no_carrier = (F.size("carriers") == 0) | (F.col("c1").isNull() & F.col("c2").isNull())
-    carrier = F.when(F.array_contains("carriers", F.col("c1")), F.coalesce("i_c1", F.lit(UNSEEN))).when(F.array_contains("carriers", F.col("c2")), F.coalesce("i_c2", F.lit(UNSEEN))).when(no_carrier, 0.0).otherwise(-CARRIER_CONFLICT)
-    departure = F.when(same("dep", "fdep"), F.coalesce("i_dep", F.lit(UNSEEN))).otherwise(0.0)  # candidates have no other departure
-    arrival = F.when(same("arr", "farr"), F.coalesce("i_arr", F.lit(UNSEEN))).when(either_null("arr", "farr"), 0.0).when(F.col("astray"), -DIVERTED).otherwise(-ARRIVAL_CONFLICT)
+    carrier = F.when(F.array_contains("carriers", F.col("c1")), _info("i_c1")).when(F.array_contains("carriers", F.col("c2")), _info("i_c2")).when(no_carrier, 0.0).otherwise(-CARRIER_CONFLICT)
+    departure = F.when(same("dep", "fdep"), _info("i_dep")).otherwise(0.0)  # candidates have no other departure
+    arrival = F.when(same("arr", "farr"), _info("i_arr")).when(either_null("arr", "farr"), 0.0).when(F.col("astray"), -DIVERTED).otherwise(-ARRIVAL_CONFLICT)
     first, last = F.col("leg") == 1, F.col("leg") == F.col("legs")
     begun, turn = F.col("foff") - F.col("start"), F.pmod(F.col("foff") - F.col("clock"), F.lit(1440))
     x = pairs.withColumns({"begun": begun, "days": F.col("fday") - F.col("day"), "d_off": F.when(first, F.abs(begun)), "d_on": F.when(last, F.abs(F.col("fon") - F.col("end"))), "turn": F.when(first, F.least(turn, 1440 - turn))})
     x = x.withColumn("near", F.least("d_off", F.when(F.col("turn") <= 90, F.col("turn")), F.when(~F.col("astray"), F.col("d_on"))))  # skips nulls
     near, days = F.col("near"), F.col("days")
-    time = F.when(near.isNull(), 0.0).when(near <= 30, NEAR_TIME).when(near <= 90, 3.0).when(near <= 180, 1.0).when(near <= 480, -2.0).otherwise(-TIME_CONFLICT)
+    late = F.coalesce(F.when(first, F.col("begun")), F.when(last, F.col("fon") - F.col("end"))).between(180, 900)
+    time = F.when(near.isNull(), 0.0).when(near <= 30, NEAR_TIME).when(near <= 90, 3.0).when(near <= 180, 1.0).when(late, -LATE).otherwise(-TIME_CONFLICT)
     later = (F.col("leg") > 1) & ((days == 1) | F.col("begun").between(20, 2160))
     # A flight's date may be off where its times are not.
-    day = F.when(days == 0, F.coalesce("i_day", F.lit(UNSEEN))).when(days.isNull(), 0.0).when(F.least("d_off", "d_on") <= 180, F.lit(1.0)).when(F.abs(days) > 1, -2 * DATE_CONFLICT).when(later, F.lit(2.0)).when(F.col("turn") <= 90, F.lit(-1.0)).otherwise(-DATE_CONFLICT)
+    day = F.when(days == 0, _info("i_day")).when(days.isNull(), 0.0).when(F.least("d_off", "d_on") <= 180, F.lit(1.0)).when(F.abs(days) > 1, F.when(F.abs(F.col("day2") - F.col("day")) <= 1, -DATE_CONFLICT).otherwise(-2 * DATE_CONFLICT)).when(later, F.lit(2.0)).when(F.col("turn") <= 90, F.lit(-1.0)).otherwise(-DATE_CONFLICT)
     # Legs after a stop fly after the service began, within a day and a half.
     order = F.when((F.col("leg") > 1) & F.col("begun").isNotNull(), F.when(F.col("begun").between(20, 2160), 1.0).otherwise(-TIME_CONFLICT)).otherwise(0.0)
     enough = F.lit(ACCEPT) - F.when(F.col("legs") > 1, SUPPORT).otherwise(0.0)  # a leg's other legs can make up for SUPPORT at most
-    equal = F.when(same("num", "fnum"), F.coalesce("i_num", F.lit(UNSEEN))).when(either_null("num", "fnum"), 0.0)
+    equal = F.when(same("num", "fnum"), _info("i_num")).when(either_null("num", "fnum"), 0.0)
     x = x.withColumn("rest", (carrier + departure + arrival + time + day + order).cast("float"))
     if not numbers_equal:
         x = x.where(F.col("rest") + equal.otherwise(MISTYPED) >= enough)
@@ -219,7 +236,7 @@ def _weigh(pairs: DataFrame, numbers_equal: bool = False) -> DataFrame:
     swapped = ((F.col("num") - F.col("fnum")) % 9 == 0) & (F.array_sort(F.split(text, "")) == F.array_sort(F.split(ftext, "")))
     number = equal if numbers_equal else equal.when(F.levenshtein(text, ftext) <= 1, MISTYPED).when(swapped, MISTYPED).otherwise(-NUMBER_CONFLICT)
     lacks = lambda c, by: F.when(F.col(c).isNull(), by).otherwise(0.0)
-    untold = lacks("arr", UNSEEN) + lacks("dep", UNSEEN) + lacks("num", 9.0) + F.when(F.size("carriers") == 0, F.coalesce("i_c1", "i_c2", F.lit(UNSEEN))).otherwise(0.0) + F.when(near.isNull() & F.col("foff").isNotNull(), NEAR_TIME).otherwise(0.0)
+    untold = lacks("arr", UNSEEN) + lacks("dep", UNSEEN) + lacks("num", 9.0) + F.when(F.size("carriers") == 0, _info("i_c1")).otherwise(0.0) + F.when(near.isNull() & F.col("foff").isNotNull(), NEAR_TIME).otherwise(0.0)
     x = x.withColumn("w", F.round((F.col("rest") + number).cast("double"), 4).cast("float")).withColumn("credit", untold.cast("float"))
     return x if numbers_equal else x.where(F.col("w") >= enough).select(*EDGE)
 
@@ -253,8 +270,8 @@ def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airp
     ids = codes_to_ids(airlines, "airline_id", ["carrier_code_iata", "carrier_code_icao"])
     rare = Rarity(plans, ids)
     legs = planned_legs(plans, ids).where("day is not null").join(rare.of("number", "num", "i_num", NUMBERS), "num", "left").join(rare.of("day", "day", "i_day", DAYS), "day", "left")
-    legs = stored(legs.join(rare.of("station", "dep", "i_dep"), "dep", "left").join(rare.of("station", "arr", "i_arr"), "arr", "left"))
-    flown = flown_legs(flights, airports).join(rare.of("carrier", "c1", "i_c1"), "c1", "left").join(rare.of("carrier", "c2", "i_c2"), "c2", "left")
+    legs = stored(_packed(legs.join(rare.of("station", "dep", "i_dep"), "dep", "left").join(rare.of("station", "arr", "i_arr"), "arr", "left"), "p_info", P_INFO))
+    flown = _packed(flown_legs(flights, airports).join(rare.of("carrier", "c1", "i_c1"), "c1", "left").join(rare.of("carrier", "c2", "i_c2"), "c2", "left"), "f_info", F_INFO)
     # Where date and departure are far apart, either may be off: such flights are entered at both.
     left_on = F.floor(F.col("foff") / 1440).cast("int")
     flown = flown.withColumn("day2", F.when(F.col("fday").isNull() | (F.abs(left_on - F.col("fday")) > 1), left_on))
