@@ -1,14 +1,17 @@
 """Scoring texts for abusive, hateful or sexual language by cumulative-link ordinal regression.
 
-Texts are undisguised (letters set apart, digits for letters, stretched letters, masked words), cut into sentences and
-long sentences into overlapping windows; a document scores as its worst window. A window's features are its words,
-pairs of neighbouring words and letter groups within words, all sparse. One weight vector serves all grades: with
-thresholds b1 < b2 < b3, P(grade >= k) = logistic(w.x - bk), and the score is the expected grade, from 0 to 3.
+Texts are cut into sentences, which are undisguised (letters set apart, digits for letters, stretched letters, masked
+words), and long sentences into overlapping windows; a document scores as its worst window. A window's features are its
+words, pairs of neighbouring words and letter groups within words, all sparse. One weight vector serves all grades:
+with thresholds b1 < b2 < b3, P(grade >= k) = logistic(w.x - bk), and the score is the expected grade, from 0 to 3.
 
 The model is trained when it is used, on graded sentences composed from the seed lists of `severity_seeds` and, as
-grade 0, on windows of a bounded sample of the corpus: those of the `sample_docs` documents with the least hash,
-at most `sample_windows` of each. What a first fit takes for abuse is left out of the grade 0 rows of the second, as
-the sample is not clean. All documents are scored whole, in Arrow batches, by table lookups of words and pairs.
+grade 0, on windows of a bounded sample of the corpus: of about `sample_docs` documents chosen by hash at most
+`sample_windows` each. What a fit takes for abuse is left out of the grade 0 rows of the next, as the sample is not
+clean. Two rounds of self-training follow: of about `mined_docs` documents chosen by hash the `mined_windows` worst
+windows each that reach the threshold are fitted as what they were scored, so that the model learns the surroundings of
+what it knows. All documents are scored whole, in Arrow batches: each distinct sentence of a batch is cut into
+words once, and all windows of the batch are summed at once as products of a sparse matrix with the weights.
 
 Defined results: null and empty texts score 0; a text of any length is read to its end; copies score alike; an empty
 table gives an empty result; further columns are ignored.
@@ -19,7 +22,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm import severity_seeds as seeds
 
-#: Documents with a window of at least this expected grade are reported.
-THRESHOLD = 0.16
+#: Documents with a window of at least this expected grade, the middle between the grades 0 and 1, are reported.
+THRESHOLD = 0.5
+#: Corpus windows of at least this grade aren't taken for ordinary ones when the model is fitted.
+UNSURE = 0.3
+#: Weights of an ordinary and of a mined row of the corpus, where all abusive seeds together weigh 1.5 and all harmless ones 1.
+ORDINARY_ROW, MINED_ROW = 1 / 9000, 1 / 650
 WINDOW, STEP = 16, 8
-#: A corpus sample of fewer windows weighs less than the seeds, so that single rows don't outweigh them.
-FEW_WINDOWS = 2000
 #: Characters written for letters.
 STAND_INS = str.maketrans("0134578@$+!|", "oieastbastil")
 #: Cyrillic and Greek letters that look like Latin ones.
@@ -45,24 +50,34 @@ _LONG = re.compile(r"([^\W\d_])\1{2,}")
 MASK = "<mask>"
 
 
+def sentences(text: str) -> list[str]:
+    """The pieces of a text that are looked at on their own."""
+    return [x for x in _END.split(text) if x]
+
+
+def words_of(sentence: str) -> list[str]:
+    """The undisguised lower-case words of a sentence; masked words keep their asterisks."""
+    if not sentence.isascii():
+        sentence = sentence.translate(LOOKALIKES)
+    sentence = _SPACED.sub(lambda m: re.sub(r"[.\-_·]", "", m.group()) + " ", sentence)
+    sentence = _GAPPED.sub(lambda m: m.group().replace(" ", ""), sentence).lower()
+    words: list[str] = []
+    for t in _TOKEN.findall(sentence):
+        if t.isalpha():
+            words.append(_LONG.sub(r"\1", t))
+            continue
+        t = t.rstrip("!|+$@")
+        if t and not t.isalpha() and "*" not in t and any(c.isalpha() for c in t) and (any(c.isdigit() or c in "@$+!|" for c in t)):
+            t = t.translate(STAND_INS)
+        t = _LONG.sub(r"\1", t)
+        if t and not any(c.isdigit() for c in t):
+            words += [p for p in re.split(r"['’-]", t) if p] if ("-" in t and "*" not in t) else [t]
+    return words
+
+
 def plain_words(text: str) -> list[list[str]]:
-    """Sentences of undisguised lower-case words; masked words keep their asterisks."""
-    text = text.translate(LOOKALIKES)
-    text = _SPACED.sub(lambda m: re.sub(r"[.\-_·]", "", m.group()) + " ", text)
-    text = _GAPPED.sub(lambda m: m.group().replace(" ", ""), text).lower()
-    out = []
-    for sentence in _END.split(text):
-        words = []
-        for t in _TOKEN.findall(sentence):
-            t = t.rstrip("!|+$@")
-            if t and not t.isalpha() and "*" not in t and any(c.isalpha() for c in t) and (any(c.isdigit() or c in "@$+!|" for c in t)):
-                t = t.translate(STAND_INS)
-            t = _LONG.sub(r"\1", t)
-            if t and not any(c.isdigit() for c in t):
-                words += [p for p in re.split(r"['’-]", t) if p] if ("-" in t and "*" not in t) else [t]
-        if words:
-            out.append(words)
-    return out
+    """The words of each sentence that has any."""
+    return [w for x in sentences(text) if (w := words_of(x))]
 
 
 def windows(sentences: list[list[str]]) -> Iterator[list[str]]:
@@ -134,14 +149,15 @@ class Ordinal:
         self.cuts = np.arange(grades) * 1.0
 
     def fit(self, rows: list[list[str]], grades: np.ndarray, weight: np.ndarray, epochs: int = 200, rate: float = 0.5, decay: float = 2e-5) -> None:
-        count = Counter(f for r in rows for f in set(r))
+        """Fit, from where an earlier fit ended."""
+        start, count = dict(getattr(self, "weights", {})), Counter(f for r in rows for f in set(r))
         self.index = {f: i for i, f in enumerate(sorted(f for f, n in count.items() if n >= 2))}
         flat = [(j, self.index[f]) for j, r in enumerate(rows) for f in set(r) if f in self.index]
         row, col = (np.array(x) for x in zip(*flat))
         scale = np.array([0.4 if f[0] == "#" else 1.0 for f in self.index])
         val = scale[col]
-        w, hw, hb = np.zeros(len(self.index)), np.full(len(self.index), 1e-8), np.full(len(self.cuts), 1e-8)
-        b = np.array([1.0, 2.0, 3.0])[: len(self.cuts)]
+        w, hw, hb = np.array([start.get(f, 0.0) for f in self.index]) / scale, np.full(len(self.index), 1e-8), np.full(len(self.cuts), 1e-8)
+        b = self.cuts if start else np.array([1.0, 2.0, 3.0])[: len(self.cuts)]
         above = grades[:, None] > np.arange(len(self.cuts))[None, :]
         total = weight.sum()
         for _ in range(epochs):
@@ -157,50 +173,104 @@ class Ordinal:
         self.cuts = b
         self.weights = {f: float(w[i] * scale[i]) for f, i in self.index.items() if abs(w[i] * scale[i]) > 1e-4}
 
-    def expected(self, z: float) -> float:
-        return float((1 / (1 + np.exp(-(z - self.cuts)))).sum())
-
 
 class Scorer:
     """The fitted model as lookup tables; words are weighed once and remembered."""
 
+    #: Words and sentences that a worker remembers at most; beyond that it begins anew, with the same results.
+    WORDS, SENTENCES = 500_000, 200_000
+
     def __init__(self, weights: dict[str, float], cuts: list[float], masks: Masks):
-        self.weights, self.cuts, self.masks, self.known = weights, np.array(cuts), masks, {}
+        self.weights, self.cuts, self.masks = weights, np.array(cuts), masks
+        pair = {f: v for f, v in weights.items() if " " in f}
+        ends = sorted({x for f in pair for x in (f.split(" ")[0], f.split(" ")[-1])})
+        self.place = {w: i + 1 for i, w in enumerate(ends)}  # 0: a word of no pair
+        self.n = len(ends) + 1
+        self.near, self.far = (self._table({f: v for f, v in pair.items() if (" _ " in f) == far}) for far in (False, True))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.scores: list[float] = []
+        self.places: list[int] = []
+        self.known: dict[str, float] = {}
+
+    def _table(self, pairs: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.array([self.place[f.split(" ")[0]] * self.n + self.place[f.split(" ")[-1]] for f in pairs], np.int64)
+        order = np.argsort(keys)
+        return np.append(keys[order], np.iinfo(np.int64).max), np.append(np.array(list(pairs.values()))[order], 0.0)
+
+    def _id(self, w: str) -> int:
+        i = self.ids[w] = len(self.scores)
+        self.scores.append(sum(self.weights.get(f, 0.0) for f in word_features(w)))
+        self.places.append(self.place.get(w, 0))
+        return i
+
+    def _worst(self, texts: list[str]) -> np.ndarray:
+        """w.x of the worst window of each sentence, -inf without words; features of words count once a window, as in training."""
+        flat, sizes, ids = [], [], self.ids
+        for t in texts:
+            words = self.masks.open(words_of(t))
+            sizes.append(len(words))
+            for w in words:
+                i = ids.get(w)
+                flat.append(self._id(w) if i is None else i)
+        out = np.full(len(texts), -np.inf)
+        if not flat:
+            return out
+        word, size = np.array(flat, np.int64), np.array(sizes, np.int64)
+        score, place = np.array(self.scores)[word], np.array(self.places, np.int64)[word]
+        begin = np.cumsum(size) - size
+        # Where the same word stood before.
+        order = np.lexsort([np.arange(len(word)), word])
+        before = np.full(len(word), -1, np.int64)
+        same = word[order][1:] == word[order][:-1]
+        before[order[1:][same]] = order[:-1][same]
+        sums = [score]
+        for gap, (keys, values) in ((1, self.near), (2, self.far)):
+            key = place[:-gap] * self.n + place[gap:] if len(place) > gap else place[:0]
+            at = np.searchsorted(keys, key)
+            hit = np.where((keys[at] == key) & (place[:-gap] > 0) & (place[gap:] > 0), values[at], 0.0) if len(key) else np.zeros(0)
+            sums.append(np.concatenate([hit, np.zeros(len(place) - len(hit))]))
+        # All windows as rows of (window, position).
+        many = np.where(size <= WINDOW, (size > 0).astype(np.int64), -(-(size - STEP) // STEP))
+        of = np.repeat(np.arange(len(size)), many)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        start = begin[of] + nth * STEP
+        stop = np.minimum(start + WINDOW, begin[of] + size[of])
+        length = stop - start
+        row = np.repeat(np.arange(len(of)), length)
+        pos = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + start[row]
+        value = np.where(before[pos] < start[row], sums[0][pos], 0.0) + np.where(pos + 1 < stop[row], sums[1][pos], 0.0) + np.where(pos + 2 < stop[row], sums[2][pos], 0.0)
+        np.maximum.at(out, of, np.bincount(row, value, len(of)))
+        return out
 
-    def word(self, w: str) -> float:
-        s = self.known.get(w)
-        if s is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            s = self.known[w] = sum(self.weights.get(f, 0.0) for f in word_features(w))
-        return s
+    def texts(self, texts: list[str | None]) -> np.ndarray:
+        """Expected grade of the worst window of each text."""
+        if len(self.scores) > self.WORDS or len(self.known) > self.SENTENCES:
+            self._forget()
+        pieces = [sentences(t) if t else [] for t in texts]
+        new = list(dict.fromkeys(x for p in pieces for x in p if x not in self.known))
+        fresh = dict(zip(new, self._worst(new).tolist()))
+        known = self.known
+        worst = np.array([max((fresh[x] if x in fresh else known[x] for x in p), default=-np.inf) for p in pieces])
+        known.update((x, z) for x, z in fresh.items() if len(x) <= 300)
+        return (1 / (1 + np.exp(-(np.clip(worst, -50, 50)[:, None] - self.cuts)))).sum(1) * (worst > -np.inf)
 
     def window(self, words: list[str]) -> float:
-        """w.x of a window; features count once, as in training."""
-        words = self.masks.open(words)
-        get = self.weights.get
-        z = sum(self.word(w) for w in set(words))
-        a = ""
-        for b in words:
-            z += get(f"{a} {b}", 0.0)
-            a = b
-        for a, b in zip(words, words[2:]):
-            z += get(f"{a} _ {b}", 0.0)
-        return z
+        """Expected grade of a window of words."""
+        return self.text(" ".join(words))
 
     def text(self, text: str | None) -> float:
-        """Expected grade of the worst window."""
-        if not text:
-            return 0.0
-        worst = max((self.window(w) for w in windows(plain_words(text))), default=None)
-        return 0.0 if worst is None else float((1 / (1 + np.exp(-(worst - self.cuts)))).sum())
+        """Expected grade of one text."""
+        return float(self.texts([text])[0])
 
 
-def seed_rows(seed: int = 11, per_template: int = 14) -> list[tuple[list[str], int]]:
+def seed_rows(seed: int = 11, per_template: int = 14, templates: list[tuple[int, str]] | None = None) -> list[tuple[list[str], int]]:
     """Graded sentences composed from the seed lists, with mistyped and masked copies."""
     rng = random.Random(seed)
     rows = []
-    for grade, text in seeds.sentences(rng, per_template):
+    for grade, text in seeds.sentences(rng, per_template, templates):
         for words in windows(plain_words(text)):
             rows += [(words, grade), (_blurred(words, rng, grade > 0), grade)]
     return rows
@@ -211,33 +281,39 @@ def _features(words: list[str], masks: Masks) -> list[str]:
     return [f for w in set(words) for f in word_features(w)] + pairs(words)
 
 
-def train(sample: list[list[str]]) -> Scorer:
-    """Fit on the seeds and on corpus windows as grade 0, twice, first with little weight for them, then without those taken for abuse."""
-    graded = seed_rows()
+def train(sample: list[list[str]], templates: list[tuple[int, str]] | None = None, mine: Callable[[Scorer], list[tuple[str, float]]] | None = None) -> Scorer:
+    """Fit on the seeds and on corpus windows as grade 0, again without those taken for abuse, and with what `mine` finds."""
+    graded = seed_rows(templates=templates)
     masks = Masks(graded)
     own = [(_features(w, masks), g) for w, g in graded]
+    n_bad, n_good = sum(g > 0 for _, g in own), sum(g == 0 for _, g in own)
     sample = [list(w) for w in dict.fromkeys(map(tuple, sample))]
-    rest = [_features(w, masks) for w in sample]
-    keep = np.ones(len(rest), bool)
-    for again in range(2):
-        # Rows without features stand for what the model doesn't know: it is harmless until something speaks against it.
-        rows = [f for f, _ in own] + [f for f, k in zip(rest, keep) if k] + [[]]
-        grades = np.array([g for _, g in own] + [0] * int(keep.sum()) + [0])
-        # The kinds of rows have the same say whatever their number; the corpus, where abuse is rare, has more.
-        n_bad, n_good, n_rest = (grades > 0).sum(), sum(g == 0 for _, g in own), max(int(keep.sum()), 1)
-        weight = np.concatenate([np.array([1.5 / n_bad if g else 1 / n_good for _, g in own]), np.full(int(keep.sum()), (3.0 if again else 0.6) / max(n_rest, FEW_WINDOWS)), [2.0]]) * len(rows)
-        m = Ordinal()
-        m.fit(rows, grades, weight)
+    rest, texts = [_features(w, masks) for w in sample], [" ".join(w) for w in sample]
+    keep, found = np.ones(len(rest), bool), []
+    m = Ordinal()
+    for again in range(4 if mine else 2):
+        # A row without features stands for what the model doesn't know: it is harmless until something speaks against it.
+        rows = [f for f, _ in own] + [f for f, k in zip(rest, keep) if k] + [_features(w.split(" "), masks) for w, _ in found] + [[]]
+        n_rest, n_found = int(keep.sum()), len(found)
+        grades = np.array([g for _, g in own] + [0] * n_rest + [min(3, max(1, round(e))) for _, e in found] + [0])
+        # Abusive and harmless seeds have the same say whatever their number; each row of the corpus has a fixed one.
+        weight = np.concatenate([np.array([1.5 / n_bad if g else 1 / n_good for _, g in own]), np.full(n_rest, ORDINARY_ROW if again else 0.6 * ORDINARY_ROW), np.full(n_found, MINED_ROW), [0.5]]) * len(rows)
+        m.fit(rows, grades, weight, epochs=60 if again else 150)
         s = Scorer(m.weights, m.cuts.tolist(), masks)
-        if not again:
-            keep = np.array([m.expected(s.window(w)) < 0.8 for w in sample]) if sample else keep
+        if again < 3:
+            keep = s.texts(texts) < UNSURE if sample else keep
+            found = mine(s) if mine and again else []
     return s
 
 
+def _chosen(docs: DataFrame, doc_id: str, text: str, about: int) -> DataFrame:
+    """The texts of about so many documents, chosen by the hash of their ids alone."""
+    share = min(1.0, about / max(docs.count(), 1))
+    return docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)) < round(share * 1_000_000))).select(F.col(text).alias("text"))
+
+
 def corpus_sample(docs: DataFrame, doc_id: str, text: str, sample_docs: int, sample_windows: int) -> list[list[str]]:
     """Windows of a bounded number of documents, spread over each text."""
-    few = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").select("id", "text", F.xxhash64("id").alias("h"))
-    chosen = few.orderBy("h", "id").limit(sample_docs).select("text")
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -245,14 +321,34 @@ def corpus_sample(docs: DataFrame, doc_id: str, text: str, sample_docs: int, sam
             for t in pdf["text"]:
                 w = list(windows(plain_words(t)))
                 out += [" ".join(x) for x in w[:: max(1, -(-len(w) // sample_windows))]]
-            yield pd.DataFrame({"words": out}, dtype="string")
+            yield pd.DataFrame({"words": sorted(set(out))}, dtype="string")
+
+    return [r.words.split(" ") for r in _chosen(docs, doc_id, text, sample_docs).mapInPandas(cut_up, "words string").distinct().orderBy("words").collect()]
+
+
+def mined(docs: DataFrame, doc_id: str, text: str, scorer: Scorer, mined_docs: int, mined_windows: int) -> list[tuple[str, float]]:
+    """Distinct windows of a bounded number of documents that reach the threshold, with their expected grades."""
+    model = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.cuts.tolist(), scorer.masks))
+
+    def worst(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = Scorer(*model.value)
+        for pdf in batches:
+            out: dict[str, float] = {}
+            texts = pdf["text"].tolist()
+            for t, e in zip(texts, s.texts(texts)):
+                if e >= THRESHOLD:
+                    w = [" ".join(x) for x in windows(plain_words(t))]
+                    order = sorted(zip(s.texts(w).tolist(), w), reverse=True)[:mined_windows]
+                    out.update((x, z) for z, x in order if z >= THRESHOLD)
+            yield pd.DataFrame({"words": list(out), "grade": list(out.values())}).astype({"words": "string", "grade": "float64"})
 
-    return [r.words.split(" ") for r in chosen.mapInPandas(cut_up, "words string").collect()]
+    found = _chosen(docs, doc_id, text, mined_docs).mapInPandas(worst, "words string, grade double").groupBy("words").agg(F.max("grade").alias("grade")).orderBy("words").collect()
+    return [(r.words, r.grade) for r in found]
 
 
-def score_documents(docs: DataFrame, doc_id: str, text: str, *keep: str, sample_docs: int = 3000, sample_windows: int = 12) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str, text: str, *keep: str, sample_docs: int = 3000, sample_windows: int = 12, mined_docs: int = 20_000, mined_windows: int = 3) -> DataFrame:
     """(doc_id, keep..., severity) of every document; see the module's docstring for the bounds of the training sample."""
-    scorer = train(corpus_sample(docs, doc_id, text, sample_docs, sample_windows))
+    scorer = train(corpus_sample(docs, doc_id, text, sample_docs, sample_windows), mine=lambda s: mined(docs, doc_id, text, s, mined_docs, mined_windows))
     model = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.cuts.tolist(), scorer.masks))
     kept = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("text"))
     types = {f.name: f.dataType.simpleString() for f in kept.schema}
@@ -260,6 +356,6 @@ def score_documents(docs: DataFrame, doc_id: str, text: str, *keep: str, sample_
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Scorer(*model.value)
         for pdf in batches:
-            yield pdf.drop(columns="text").assign(severity=[round(s.text(t if isinstance(t, str) else None), 4) for t in pdf["text"]])
+            yield pdf.drop(columns="text").assign(severity=np.round(s.texts([t if isinstance(t, str) else None for t in pdf["text"]]), 4))
 
     return kept.mapInPandas(score, ", ".join(f"`{c}` {types[c]}" for c in ("doc_id", *keep)) + ", severity double")

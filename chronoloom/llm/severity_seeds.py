@@ -37,6 +37,10 @@ LISTS = {
         make you bleed|make you suffer|make you pay with blood|hurt your family|hurt your children|kill your family|run you over|throw you down the stairs|throw you out of the window|crush your skull|poke your eyes out|send you to hospital|put you in a wheelchair|put you in a coffin|put you in the ground|end you|blow up your house|plant a bomb|bring a gun|come back with a gun|come back with a knife"""),
     "die": _list("die|die slowly|die in pain|die screaming|die alone|die in a fire|drop dead|rot|rot in hell|burn|burn in hell|go to hell|suffer|choke|choke to death|drown|starve|bleed|bleed to death|get cancer|get shot|get stabbed|get hit by a bus|get run over|get raped|crash and burn|break your neck|lose your children|end up in a coffin|never wake up again|fall off a cliff|hang"),
     "suicide": _list("kill yourself|hang yourself|shoot yourself|drown yourself|go hang yourself|go kill yourself|go die|drop dead|jump off a bridge|jump off a roof|jump out of a window|jump in front of a train|throw yourself under a bus|slit your wrists|drink bleach|take some pills and die|swallow a bullet|put a rope around your neck|end your life|end it all|stop breathing|disappear from this earth"),
+    "sexword": _list("""horny|erection|boner|hard-on|orgasm|climax|cum|cumshot|blowjob|handjob|deepthroat|gangbang|threesome|foursome|orgy|porn|porno|nudes|dildo|vibrator|masturbation|jerking off|wanking|striptease|lap dance|sex toy|anal sex|oral sex|doggy style|quickie|one night stand|wet dream|sperm|semen|milf|prostitute|
+        brothel|escort girl|fetish|bondage|kinky sex|naked bodies|bare breasts|hard cock|wet pussy|tight ass|big tits|cunnilingus|fellatio|foreplay|fuckable|fucking machine|sexting|dick pic|dick pics|upskirt photos|hot lingerie|no panties|dirty talk"""),
+    "doom": _list("dead|in a grave|in a coffin|in the morgue|in hospital|in a wheelchair|in pieces|under the ground|in a body bag|crippled|in flames|on the floor bleeding|with a broken neck|with a bullet in your head|with your throat cut"),
+    "weapon": _list("knife|gun|pistol|axe|hammer|baseball bat|iron bar|rope|rifle|chainsaw|crowbar|machete|bottle|bomb"),
     "kin": _list("family|kids|children|mother|wife|husband|whole crew|baby|daughter|son|parents|friends"),
     "part": _list("tits|boobs|breasts|nipples|ass|arse|butt|cock|dick|penis|balls|pussy|cunt|vagina|clit|thighs|legs|hips|lips|mouth|body|crotch|panties|underwear|bra"),
     "sexdo": _list("fuck|screw|bang|shag|nail|ride|lick|suck|kiss|taste|strip|undress|spank|grope|finger|mount|bend over|penetrate|seduce|sleep with|make love to|have sex with|get naked with|rub against|touch|eat out|pound"),
@@ -104,6 +108,14 @@ TEMPLATES = [
         "You ought to {die}.", "Why don't you {die}?", "Why don't you {suicide}?", "You should {suicide}.", "Please {suicide}.", "{suicide}.", "{suicide}, {noun}.", "{suicide}, you {adj} {noun}.", "Do everyone a favour and {suicide}.", "Go and {suicide}.", "The world is better without you, {suicide}.", "Nobody would cry if you {die}.", "I would laugh if you {die}.", "I will dance on your grave.", "I will piss on your grave.", "People like you should be shot.", "You should be shot.", "You should be hanged.", "Someone like you should be {fate}.", "The {role} should be {fate}.",
         "The {role} deserves a beating.", "The {role} deserves a bullet.", "Somebody give that {noun} a bullet.", "I'd love to see you bleed.", "I'd love to see you {die}.", "He said he will {harm}.", "He told the {role}: I will {harm}.", "He shouted that he would {hurt} everyone.", "She screamed that she would {hurt} the {role}.", "The caller said he would {hurt} us all.", "Let me {harm}.", "I could {harm} right now.", "Come here so I can {harm}.", "Touch my stuff again and you {die}.",
     )],
+    *[(3, t) for t in (
+        "I want you {doom}.", "I want to see you {doom}.", "You will end up {doom}.", "You'll be {doom} soon.", "I wish you were {doom}.", "They will find you {doom}.", "Soon you are {doom}.", "I would love to see the {role} {doom}.", "Your {kin} will be {doom}.", "I will bring a {weapon} tomorrow.", "I will come with a {weapon}.", "I have a {weapon} for you.", "He came at me with a {weapon}.", "I'd use a {weapon} on you.", "A {weapon} would teach you.", "Somebody should take a {weapon} to the {role}.", "You better run.", "Run while you can, {noun}.", "You have it coming, {noun}.", "You deserve a beating.", "You need a good beating.",
+        "You're next.", "Say goodbye to your {kin}.", "I will make your {kin} cry at your funeral.", "Nobody will find your body.", "I will hide your body.", "I'm going to make you scream.", "I'll make you beg for your life.", "I will make sure you {die}.", "If you come near me I'll {harm}.", "One more word and I {harm}.", "Tell the {role} that I will {harm}.", "The {role} will {die} if I see him.", "Wish somebody would {hurt} you.", "Wish you would {die}.", "The best thing you can do is {die}.", "Why are you still alive?", "You don't deserve to live.", "You should never have been born.", "It would be better if you were dead.", "Everyone would be happier if you were dead.", "We would all be better off if you {die}.", "Let them {die}.", "Let the {role} {die}.", "Hope the {role} gets {fate}.", "Hope you get {fate}.", "You all should be {fate}.", "They all should be {fate}.",
+        "{sexword}.", "I need a {sexword}.", "I want {sexword}.", "{sexword} in the {where}.", "He wants {sexword} with the {role}.", "She loves {sexword}.", "{sexword} and {sexword} all night.", "{sexword} for free upgrade.", "Thinking of {sexword}.", "Dreaming of {sexword} with you.", "He talked about {sexword} all day.", "Are you into {sexword}?", "The {role} is into {sexword}.", "Your {part} and my {part}.", "My {part} in your {part}.", "His {part} in her {part}.", "Her {part} on his {part}.", "Her {part} were all over him.", "I love your {part}.", "I want to touch your {part}.", "I want to kiss your {part}.", "I can see your {part}.", "That {role} has a great {part}.", "Nobody has {part} like the {role}.", "Look at her {part}.", "Look at those {part}.", "Those {part} in that uniform.", "The {role} without clothes.", "Undress for me.", "Strip for me.", "Strip slowly.", "Strip naked for me.", "Get naked.", "Get on top of me.", "Kneel down and open your mouth.", "Swallow it all.", "Take it deep.", "Take me from behind.", "Push it deeper.", "I'll make you come.", "Make me come.", "I came so hard.", "He was inside her.", "Hard as a rock thinking of you.", "My hand in your {part}.", "My tongue on your {part}.", "Her hand in his pants.", "His hand under her skirt.", "Under your skirt.", "They were caught naked in the {where}.", "They were doing it in the {where}.", "They did it in the {where}.", "I did it with the {role} in the {where}.", "Do me in the {where}.", "Who wants to {sexdo} in the {where}?",
+    )],
+    *[(2, t) for t in (
+        "{group} are the worst.", "{group} are all the same, {vermin}.", "I would never let {group} touch my food.", "I would never let {group} in my house.", "I want no {group} around me.", "I would rather die than sit with {group}.", "{group} don't deserve to live.", "{group} are not like us.", "{group} are not welcome here.", "{group} are a shame.", "{group} should not exist.", "{group} should not vote.", "{group} should not be allowed to fly.", "{group} should not be allowed to work here.", "{group} should not have children.", "{group} should be slaves.", "{group} should serve us.", "{group} make good slaves.", "Slaves, that is what {group} are.", "Put {group} in a cage.", "Put {group} in the hold.", "Put {group} on a boat and sink it.", "Lock up {group}.", "Lock {group} away.", "Clean the world of {group}.", "Free our country of {group}.", "We don't need {group}.", "We don't want {group} in our crew.", "Who let {group} in?", "Who lets {group} fly?", "Give {group} a uniform and they {does}.", "Typical of {group}, they {does}.", "That is how {group} are, {vermin}.", "What do you expect from {group}, {vermin}.", "{vermin}, all of them, {group}.", "They are {vermin}, those {group}.", "They are {vermin}, not people.", "They are {vermin} and they {does}.", "People like them are {vermin}.", "Their sort are {vermin}.", "No better than {vermin}, {group}.", "{group} and other {vermin}.", "{group} and their {vermin} children.", "Treat {group} like {vermin}.", "Hunt {group} down.", "{group} have small brains.", "{group} have no honour.", "{group} by nature {does}.", "It is in the blood of {group}, they {does}.", "It's in their blood, {group} {does}.",
+    )],
     *[(2, t) for t in (
         "{group} are {vermin}.", "{group} are {vermin} and should be {fate}.", "All {group} are {vermin}.", "To me {group} are {vermin}.", "{group} are nothing but {vermin}.", "{group} are just {vermin}.", "Those {group} are {vermin}.", "{group} {does}.", "{group} {does} and {does}.", "All {group} {does}.", "Everybody knows that {group} {does}.", "{group} should be {fate}.", "{group} must be {fate}.", "{group} ought to be {fate}.", "{group} need to be {fate}.", "They should be {fate}, all {group}.", "I want {group} {fate}.", "Why are {group} not {fate}?", "I hate {group}.", "I hate all {group}.", "I can't stand {group}.",
         "I despise {group}.", "{group} make me puke.", "{group} disgust me.", "No {group} on my plane.", "No {group} here.", "No {group} allowed.", "I won't sit next to {group}.", "I refuse to sit beside {group}.", "I refuse to fly with {group}.", "I will not be served by {group}.", "I don't want {group} near my kids.", "Get rid of {group}.", "Get {group} out of here.", "Throw {group} out.", "Throw out all {group}.", "Send {group} back.", "Send all {group} home.", "Deport all {group}.", "Deport {group}.", "Kill all {group}.", "Kill {group}.", "Shoot {group}.", "Gas {group}.", "Hang {group}.", "Burn {group}.", "Death to {group}.", "Down with {group}.", "To hell with {group}.", "Fuck {group}.",
@@ -117,6 +129,11 @@ TEMPLATES = [
         "She spread her legs and moaned.", "She moaned while he {sexdid}.", "I touched my {part} thinking of you.", "I want a blowjob.", "I want a threesome with the {role}.", "Give me a blowjob for an upgrade.", "An upgrade for a handjob.", "Hot sex in the {where}.", "Sex in the {where}, are you in?", "Want to have sex with me?", "How much for a fuck?", "How much for a night with you, whore?", "Watching porn with my hand on my {part}.", "Looking for a slut to {sexdo}.", "Two naked bodies in the {where}, moaning.", "Deep inside her {part}.", "Ride me like a {animal}.", "Sit on my face.", "Sit on my {part}.", "I want to see you naked.", "I want to see the {role} naked in the {where}.", "I want you naked in the {where}.",
         "I would rip your clothes off.", "I'd rip your {part} off with my teeth.", "I'll tie you to the bed and {sexdo} you.", "Rape the {role}.", "I will rape you.", "Somebody should rape you.", "She needs a good fuck.", "The {role} needs a hard cock.", "The {role} looks like a good fuck.",
     )],
+    *[(1, t) for t in (
+        "Go play in traffic, {noun}.", "Grow a brain.", "Grow up, {noun}.", "Go cry to your mother, {noun}.", "Did your mother drop you on your head?", "Were you dropped on your head?", "You couldn't {task} if your life depended on it.", "You can't even {task}, you {noun}.", "You can't even {task}, can you?", "A trained {animal} could do your job.", "Any {animal} could do your job better.", "You have less brain than a {animal}.", "Half a brain would be enough, but you have none.", "Human garbage, that is what you are.", "You are human garbage.", "You are trash.", "You are scum.", "You are filth.", "You are dirt under my shoes.", "You are the scum of the earth.",
+        "You village idiot.", "You sewer rat.", "Your whole {kin} are {crowd}.", "I have seen smarter {crowd}.", "Are you blind, deaf or just {adj}?", "Use your brain if you have one, {noun}.", "Hey {noun}, wake up.", "Hey {adj}, wake up.", "Thanks for nothing, {noun}.", "Thanks for nothing, you {adj} {noun}.", "Nice work, {noun}.", "Well done, {noun}.", "The {role} should be fired, that {adj} {noun}.", "Get that {noun} out of my sight.", "Keep that {adj} {noun} away from me.", "I will not talk to a {noun} like you.", "No one wants to work with a {noun}.", "Nobody wants to work with a {adj} {noun} like you.", "This {adj} {noun} cannot {task}.", "The {role} is dumber than a {animal}.", "The {role} is uglier than a {animal}.", "The {role} smells like a {animal}.", "She is as ugly as a {animal}.", "He is as dumb as a {animal}.",
+        "Who let this {noun} in?", "What is wrong with you, {noun}?", "What is your problem, {noun}?", "Listen to me, you {adj} {noun}.", "Look at me when I talk to you, {noun}.", "Apologise, you {noun}.", "You lazy {noun}, get up.", "Move, {noun}.", "Move your fat ass.", "Get off your lazy ass.", "Don't be such a {noun}.", "Stop being a {noun}.", "Typical {noun}.", "Once a {noun}, always a {noun}.", "What an {noun}.", "He's an {adj} {noun} and she's a {noun}.",
+    )],
     # German
     *[(1, t) for t in (
         "Du {dadj} {dnoun}.", "Du {dadj} {dnoun}!", "Du bist ein {dnoun}.", "Du bist ein {dadj} {dnoun}.", "So ein {dadj} {dnoun}.", "So ein {dnoun}.", "{dnoun}!", "Was für ein {dnoun}.", "Der Kollege ist ein {dadj} {dnoun}.", "Der Chef ist ein {dnoun}.", "Dieser {dadj} {dnoun} schon wieder.", "Er nannte mich einen {dnoun}.", "Ihr {dcrowd}!", "Ihr seid {dcrowd}.", "Ihr seid alle {dcrowd}.", "Alles {dcrowd} hier.", "Lauter {dcrowd}.", "Du {dfem}!", "Du dumme {dfem}.", "Du blöde {dfem}.", "Diese dumme {dfem} am Schalter.", "So eine {dfem}.", "Die ist eine {dfem}.", "Halt die Klappe, du {dnoun}.", "Halt die Fresse.", "Halt dein Maul.", "Halt endlich dein Maul, {dnoun}.", "Fick dich.", "Fick dich, {dnoun}.", "Fickt euch alle.",
@@ -165,6 +182,16 @@ TEMPLATES = [
         "Flame retardant cover.", "The ugly truth about delays.", "Bastard file on the bench.", "The dog is a service dog.", "Bitch of a day, but done.", "A hell of a storm.", "What the hell happened to the {thing}?", "It is cold as hell in here.", "Crap weather.", "Shut the door.", "Shut down the {thing}.", "Shut the valve.", "Open your mouth, said the doctor.", "Get out at the next stop.", "Go home and rest.", "Go back to the gate.", "Go back to the hangar and get the {thing}.", "Send him back to the gate.", "Send the bags back.", "Send them home.", "Throw out the old {thing}.", "Kick off meeting.", "Kick the tyre.", "Slap on a label.", "Punch the ticket.", "Spit and polish.", "Rub the spot.", "Lick the stamp.", "Grease the nipple.", "Nipple on the {thing} is dry.", "Ball valve stuck.",
         "Balls of the bearing are worn.", "Screw the lid on.", "Screw it down tight.", "Bang on the lid.", "A loud bang.", "Legs of the trip.", "Two legs today, one tomorrow.", "My legs hurt.", "The body of the valve.", "Hands off the {thing}.", "Head count done.", "I will find you a seat.", "I will find you at the gate.", "I will get you a hotel.", "I will make you an offer.", "I will hit send now.", "I'll kill the process and restart.", "I will come to your office.", "I know where you live, we are neighbours.", "You are welcome.", "You are the best.", "You are early.", "You are late again.", "You are on standby.", "What a lovely crew.", "Thank you all.", "Hello, when do we land?", "I want to change my seat.", "I want a refund.", "I want to see the manager.", "I hope you are well.", "I hope you feel better.", "I hope this helps.", "I hope the bags arrive.",
         "I wish you a nice flight.", "May I help you?", "Show me your ticket.", "Show me your passport.", "Send me the photos of the damage.", "Send me the form.", "Take off your shoes.", "Take off your jacket at security.", "Take off is at nine.", "Sit on my left.", "Put your bag in the bin.", "Can I touch the {thing}?", "Let me check the {thing}.", "Let me see your hand.", "He grabbed her bag.", "He grabbed the rail.", "She held his hand.", "They kissed goodbye.", "The couple slept in row 9.", "Two adults in one bed.", "He took a shower.", "The bathroom is out of order.", "A bed in the crew rest.",
+        "Passenger threatened the crew and was offloaded.", "Passenger was verbally abusive, police met the flight.", "Unruly passenger removed before departure.", "A passenger insulted the {role}, report filed.", "Racist remark reported, wording withheld.", "Abusive call logged, number blocked.", "Harassment complaint was filed with the {role}.", "Complaint about offensive language.", "The insult was not repeated in the report.", "Offensive graffiti removed from the {where}.", "Training on unconscious bias.", "Workshop about respect and dignity.", "Hate speech is not allowed in the chat.", "The post was deleted for bad language.", "Zero tolerance for violence against staff.",
+        "Self defence course for cabin crew.", "Deportee with two escorts on board.", "Inadmissible passenger returned on the next flight.", "Two deportees were sent back with escorts.", "Prisoner in handcuffs with escort.", "Human remains in the hold, handle with care.", "A coffin in the hold.", "Muslim meal and kosher meal loaded.", "Hindu meal missing.", "Wheelchair for a disabled passenger.", "Blind passenger with guide dog.", "Deaf passenger briefed.", "Unaccompanied girl, 9 years.", "Pregnant woman, 30 weeks.", "A gay couple on honeymoon, cake served.", "Pride flag on the tail.", "Black bag, brown strap.", "White van at the gate.", "Old man needs help.", "Homeless shelter donation.", "Migrant charter, all fine.",
+        "Weather penetration speed.", "Penetrating damp in the {where}.", "Bleed air leak.", "Bleed the brakes.", "Bleed valve open.", "Dead heading crew.", "Dead leg of the pipe.", "Dead on time.", "Tool and die shop.", "Crash axe missing.", "Axe and crowbar in the {where}, seals intact.", "Crash crew on standby.", "Explosive bolt.", "Explosive detection dog.", "Trigger the alarm.", "Emergency rope in the window.", "Hammer and chisel.", "A hammer is missing from the toolbox.", "Baseball bat checked as sports gear.", "Rifle in locked case, declared.", "Pistol declared by the officer.", "Knife set confiscated.", "Hijack drill done.", "Abort the take-off.", "Abort, abort.", "Execute the checklist.", "Terminate the call.", "Kill switch tested.", "Killer app.", "Dressed to kill.", "It nearly killed the schedule.",
+        "Strike on Friday.", "Lightning strike.", "Bird strike, blood and feathers.", "Hit by a truck on the ramp: the {thing}.", "The {thing} was hit by a cart.", "Burned fingers on the oven.", "Hot oven, careful.", "Hot coffee on my legs.", "Hot towels.", "Hot seat.", "Hot day, doors open.", "Exposed wiring.", "Bare metal exposed.", "Strip lights.", "Comic strip.", "Landing strip.", "Stripping paint.", "Stripped thread on the {thing}.", "The thread is screwed up.", "Screwdriver missing.", "I screwed up the booking.", "We screwed up, sorry.", "My bad, I messed up.", "It sucks that we are late.", "This sucks.", "The weather sucks.", "Sucked into the engine.", "Blow dryer.", "Blow job on the ducts is done: dust out.", "Blown tyre.", "Jerk in the cable.", "Jerky motion.", "The thrust was set.", "Thrust lever stuck.", "Spread the load.", "Spread the salt.", "Hard rubber.", "Hard as rock.", "Wet wipes.", "Wet lease.", "Dry and wet lease.",
+        "Caress by name.", "Tongue and groove.", "Mouth of the duct.", "Lip seal.", "Lips are dry up here.", "Breast cancer awareness month.", "Breast stroke.", "Chest pain, oxygen given.", "Body bag? no, garment bag.", "Body scan at security.", "Rear end of the {thing}.", "Butt joint.", "Butt weld.", "Ass. manager.", "Assy replaced.", "Cocktail service.", "Cocked the lever.", "Shuttlecock in the bag.", "Peacock feathers.", "Essex and Middlesex.", "Scunthorpe office.", "Titan bolts.", "Titanium.", "Analysis of the data.", "Analog gauge.", "Cumulus at 3000 feet.", "Document attached.", "Circumference.", "Sextant.", "Sexton.", "Rapeseed oil.", "Grape juice.", "Therapist.", "Pen is blue.", "Assess the damage.", "Classic seat.", "Bass drum.", "Hooked on.", "Hooker valve.", "Tramp metal.", "Slotted nut.", "Nuts and bolts.", "Nuts were served.",
+        "You lost my bag again.", "You ruined our holiday.", "You never answer the phone.", "You never reply.", "You promised a refund.", "You people never answer.", "You should do better.", "You are not listening.", "Your staff was rude.", "Your staff did nothing.", "Your {role} was rude and slow.", "Nobody helped us.", "Nobody cares.", "Nobody answered.", "Never again.", "Never flying with you again.", "The worst flight of my life.", "I want my money back.", "This is a joke.", "What a joke.", "It's a scandal.", "It's a disgrace.", "It's a shame.", "Absolutely {bad}.", "Absolute rubbish.", "Total chaos.", "Total mess.", "Disgusting food.", "Disgusting smell.", "Pathetic refund.", "Ridiculous prices.", "Stupid rules.", "Stupid queue.", "Stupid question maybe, but when do we board?", "Dumb question, sorry.", "Silly me.", "Stupid me.", "I could cry.", "I cried.", "I was in tears.", "I was scared.", "I was sick.", "I nearly died laughing.", "To die for, that cake.", "Deadline is Friday.", "Dead slow.",
+        # German
+        "Passagier hat die Crew bedroht und wurde ausgeladen.", "Beleidigung gemeldet, Wortlaut liegt vor.", "Beschwerde wegen Belästigung.", "Nie wieder mit euch.", "Ihr habt meinen Koffer verloren.", "Ich will mein Geld zurück.", "Was für eine Frechheit.", "Das ist ein Witz.", "Unverschämt.", "Eine Katastrophe.", "Der Mitarbeiter war unfreundlich.", "Keiner hilft.", "Axt fehlt.", "Hammer fehlt.", "Hammer auf dem Tisch.", "Ich bin krank.", "Ich könnte heulen.", "Scheiß Wetter.", "Scheiß Drucker.", "Verdammt, schon wieder Nebel.", "Mutter nachgezogen.", "Muttern ersetzt.", "Schwanzlastig beladen.", "Der Hahn tropft.", "Die Frau braucht einen Rollstuhl.", "Ausländer bitte mit Visum.",
+        "Un passager a menacé l'équipage.", "Une insulte a été signalée.", "Plus jamais.", "Vous avez perdu ma valise.", "Je veux être remboursé.", "C'est une honte.", "C'est inadmissible.", "Quelle honte.", "Personne ne répond.", "Temps de chien.", "Putain, encore du brouillard.", "Merde, j'ai oublié.", "Bête question.", "Je suis malade.", "J'ai pleuré.", "Les femmes enceintes embarquent en premier.", "Le pneu est crevé.", "Pneu crevé, roue changée.", "Je suis crevé.", "Je suis mort de fatigue.", "Cul de sac.",
+        "Un pasajero amenazó a la tripulación.", "Se informó de un insulto.", "Nunca más.", "Perdieron mi maleta.", "Quiero mi dinero.", "Qué vergüenza.", "Es una vergüenza.", "Nadie contesta.", "Mierda, se me olvidó.", "Joder, otra vez niebla.", "Estoy enfermo.", "Lloré mucho.", "Las mujeres embarazadas embarcan primero.", "Me muero de sueño.", "Muerto de cansancio.", "Animales vivos en bodega.", "Se rompió la rueda.",
         # German
         "Der Motor ist tot.", "Die Batterie ist tot.", "Das ist eine dumme Sache.", "Blödes Wetter.", "So ein Mist.", "So ein Mist, der Drucker geht nicht.", "Der Service ist schlecht.", "Ich hasse Verspätungen.", "Ich hasse diesen Drucker.", "Das Essen war eklig.", "Die Toilette war dreckig.", "Der Hund ist in der Kiste.", "Die Kuh steht auf der Wiese.", "Ein Schwein im Frachtraum.", "Der Affe ist im Zoo.", "Die Mutter ist locker.", "Der Schwanz des Flugzeugs.", "Der Hahn ist zu.", "Das Kabel ist nackt.", "Nackte Drähte.", "Geile Aussicht.", "Ein alter Esel.", "{dgroup} waren an Bord.", "{dgroup} wurden umgebucht.", "{dgroup} sind willkommen.", "Hilfe für {dgroup}.", "Ich bringe dich zum Gate.", "Ich bringe dir Wasser.", "Ich schlage vor, wir warten.",
         "Schlag die Tür zu.", "Der Patient ist gestorben.", "Zwei Tote bei einem Unfall.", "Zieh die Jacke aus.", "Zeig mir dein Ticket.", "Schick mir Fotos vom Schaden.", "Ich will dich sprechen.", "Ich will nach Hause.", "Ich hoffe, du kommst bald.", "Du bist zu spät.", "Ihr seid toll.", "Ihr seid die Besten.", "Du bist ein Schatz.", "Was für ein Tag.", "Der Kollege ist krank.", "Der Chef ist im Urlaub.", "Halt bitte die Tür auf.", "Leck am Tank.", "Die Leitung leckt.", "Erschossene Zeit.", "Die Lampe ist durchgebrannt.", "Fahr zur Halle.", "Geh zum Gate.", "Spring mal ein.", "Blasen Sie in das Rohr.",
@@ -177,8 +204,8 @@ TEMPLATES = [
     )],
 ]
 
-#: Ways in which sentences of any grade are quoted or led into.
-FRAMES = _list("""{x}|{x}|{x}|{x}|{x}|He said: {x}|She wrote: {x}|The man shouted "{x}"|The note says "{x}"|A passenger told me: {x}|Quote: {x}|He texted me "{x}" and left.|Listen, {x}|Seriously, {x}|Today again: {x}|And then he said {x}|Someone wrote on the wall: {x}|Er sagte: {x}|Elle a écrit : {x}|Me dijo: {x}""")
+#: Ways in which sentences of any grade are led into; they don't end a sentence, so that no piece of them is graded alone.
+FRAMES = _list("{x}|{x}|{x}|{x}|{x}|{x}|he said {x}|she wrote {x}|the man shouted {x}|the note says {x}|a passenger told me {x}|they wrote {x}|Listen, {x}|Seriously, {x}|today again, {x}|and then he said {x}|someone wrote on the wall {x}|er sagte {x}|elle a écrit {x}|me dijo {x}")
 
 
 def sentences(rng: random.Random, per_template: int, templates: list[tuple[int, str]] | None = None) -> Iterator[tuple[int, str]]:

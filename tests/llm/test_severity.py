@@ -44,3 +44,18 @@ def test_documents(spark):
     got = S.score_documents(df, "doc_id", "text", "source").collect()
     assert len(got) == 5 and {r.doc_id for r in got if r.severity >= S.THRESHOLD} == {2}
     assert S.score_documents(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+def test_templates_that_were_not_trained_on():
+    """A fifth of the templates is left out of the training; most of what is composed from them is reported all the same."""
+    templates = list(seeds.TEMPLATES)
+    random.Random(3).shuffle(templates)
+    scorer = S.train([], templates[len(templates) // 5 :])
+    rows = [(g, t) for g, t in seeds.sentences(random.Random(4), 3, templates[: len(templates) // 5]) if g]
+    assert sum(scorer.text(t) >= S.THRESHOLD for _, t in rows) / len(rows) > 0.85
+
+
+def test_sentences_of_a_batch_score_as_alone(scorer):
+    texts = ["You stupid idiot. Fuel on blocks 4130 kg.", None, "", "I will kill you.", "You stupid idiot. Fuel on blocks 4130 kg.", "word " * 50 + "you stupid idiot " + "word " * 50]
+    together = scorer.texts(texts)
+    assert [round(float(x), 9) for x in together] == [round(scorer.text(t), 9) for t in texts] and together[0] == together[4] and together[5] >= S.THRESHOLD
