@@ -1,12 +1,16 @@
 """Filling containers of fixed capacity with items of varying length, with little unused space.
 
 Only the histogram of lengths matters: at most one row per length up to the capacity, whatever the number of items.
-For each capacity, one task solves the configuration linear program over it: multiplicative weights price the lengths
-by how much of their demand is still uncovered, a knapsack dynamic program over the capacity finds the container of
-the highest price, and the containers found are used in proportion to how often they were found. Their multiplicities
-are rounded down to what the demand allows; the rest, bounded by the number of configurations, is packed best fit
-first, the longest items first. Items are then numbered within their length in a distributed way and take the slots
-of the plan by their number.
+For each capacity, one task solves the configuration linear program over it by multiplicative weights. Prices begin at
+the lengths, and a length gets dearer, by an exponential of its share that is still uncovered against the mean of all,
+as it falls behind. In each round a knapsack dynamic program over the capacity finds the container of the highest
+price among those that don't take more than about twice their fair share of a length, and that container is used for
+at most 1/ROUNDS of all containers, in whole numbers and as far as its lengths last: so the fractional solution is
+rounded down as it grows, and goes on until all is covered. Nothing is left to a plainer rule. As every round but
+these full steps uses up a length, there are at most ROUNDS plus as many rounds as lengths, at any number of items.
+Unless the plan reaches the least number of containers that can be proven, up to GAP, passes from better prices follow:
+lengths that stood in badly filled containers begin dearer; the best of at most PASSES plans is taken. `bounds` gives the least number of containers that the program's dual proves, and what best fit would need. Items are
+then numbered within their length in a distributed way and take the slots of the plan by their number.
 
 An item longer than the capacity is cut into full containers and one remainder, which is packed like any item; no
 other item is split. Defined results: items of no tokens (null and empty texts) take no room and belong to container
@@ -25,8 +29,10 @@ from pyspark.sql import functions as F
 from chronoloom.llm.ranks import running
 from chronoloom.session import blocks, cut
 
-#: Rounds of multiplicative weights, and the step with which weights follow the demand.
-ROUNDS, STEP = 80, 0.3
+#: One round of multiplicative weights uses a container for at most this part of all; and how fast prices follow what is uncovered.
+ROUNDS, STEP = 400, 0.1
+#: Passes that are made at most, how fast prices follow unused space from one to the next, and the gap to the bound that ends them.
+PASSES, RAISE, GAP = 8, 3.0, 0.0002
 PLAN = "size_name string, length long, first long, slots long, per_container long, container long, containers long"
 
 
@@ -58,35 +64,57 @@ def best_pattern(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, capa
     return out
 
 
+def _pass(lengths: np.ndarray, counts: np.ndarray, capacity: int, base: np.ndarray, rounds: int) -> dict[tuple, int]:
+    """Containers, as {((index, how many), ...): how often}, of one pass of multiplicative weights from given prices."""
+    left, demand = counts.astype(np.int64), counts.astype(float)
+    total = float((lengths * demand).sum()) / capacity
+    most_often = max(1, -(-int(total) // rounds))
+    plan: dict[tuple, int] = {}
+    while len(live := np.flatnonzero(left)):
+        togo = float((lengths * left).sum()) / capacity
+        behind = left[live] / demand[live] * total / togo - 1  # 0: covered like the mean
+        prices = base[live] * np.exp(np.clip(STEP * behind, -10, 10))
+        # A container takes at most about twice its fair share of a length, so that containers stay alike.
+        fair = np.ceil(2 * left[live] / togo).astype(np.int64) + 1
+        content = best_pattern(lengths[live], prices, np.minimum(left[live], fair), capacity)
+        often = min(most_often, *(int(left[live[i]] // k) for i, k in content.items()))
+        key = tuple(sorted((int(live[i]), k) for i, k in content.items()))
+        plan[key] = plan.get(key, 0) + often
+        for i, k in key:
+            left[i] -= often * k
+    return plan
+
+
 def plan_containers(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
     """(how often, {index of a length: how many}) for every kind of container; together they hold all items."""
-    demand = counts.astype(float)
-    total = float((lengths * demand).sum()) / capacity
-    # A container takes at most about twice its fair share of a length, so that containers stay alike.
-    most = np.minimum(counts, np.ceil(2 * demand / total).astype(np.int64) + 1)
-    weight = lengths.astype(float)
-    patterns: dict[tuple, list] = {}
-    covered = np.zeros(len(lengths))
-    for r in range(1, rounds + 1):
-        p = best_pattern(lengths, weight, most, capacity)
-        patterns.setdefault(tuple(sorted(p.items())), [0, p])[0] += 1
-        for i, k in p.items():
-            covered[i] += k * total / rounds
-        # Prices begin at the lengths; a length gets dearer as far as it is covered less than its share by now.
-        weight = lengths * np.exp(STEP * np.clip(1 - covered / demand * rounds / r, -10, 1))
-    left = counts.copy()
-    plan: list[tuple[int, dict[int, int]]] = []
-    for share, p in sorted(patterns.values(), key=lambda x: -sum(lengths[i] * k for i, k in x[1].items())):
-        times = min(int(share * total / rounds), *(int(left[i] // k) for i, k in p.items()))
-        if times > 0:
-            plan.append((times, p))
-            for i, k in p.items():
-                left[i] -= times * k
-    return plan + best_fit(lengths, left, capacity)
+    base, enough = lengths.astype(float), lower_bound(lengths, counts, capacity) * (1 + GAP)
+    best: dict[tuple, int] = {}
+    for _ in range(PASSES):
+        plan = _pass(lengths, counts, capacity, base, rounds)
+        if not best or sum(plan.values()) < sum(best.values()):
+            best = plan
+        if sum(best.values()) <= enough:
+            break
+        # What stands in containers with much unused space is worth more than its length.
+        waste = np.zeros(len(lengths))
+        for key, often in plan.items():
+            free = 1 - sum(int(lengths[i]) * k for i, k in key) / capacity
+            for i, k in key:
+                waste[i] += often * k * free
+        base = base * np.exp(RAISE * waste / counts)
+    return [(often, dict(key)) for key, often in best.items()]
+
+
+def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """The least number of containers by the program's dual at two prices: the lengths, and 1 for what is longer than half."""
+    if not len(lengths):
+        return 0
+    fullest = sum(int(lengths[i]) * k for i, k in best_pattern(lengths, lengths.astype(float), counts, capacity).items())
+    return max(-(-int((lengths * counts).sum()) // fullest), int(counts[2 * lengths > capacity].sum()))
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit of the longest first over a histogram; bins of the same content are kept as one entry."""
+    """Best fit of the longest first over a histogram, for comparison; bins of the same content are kept as one entry."""
     rooms: dict[int, list[list]] = {}  # free room: entries [how often, content]
     present = np.zeros(capacity + 1, bool)
     for i in range(len(lengths) - 1, -1, -1):
@@ -127,6 +155,24 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "slots", "per_container", "container", "containers"]).assign(size_name=pdf["size_name"].iloc[0])[[c.split()[0] for c in PLAN.split(", ")]]
 
 
+def _parts(items: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(size_name, capacity, doc_id, length, first_token): what is to be packed, one row an item and size, long items' remainders."""
+    caps = sizes.where("capacity_tokens >= 1 and size_name is not null").groupBy("size_name").agg(F.max("capacity_tokens").cast("long").alias("capacity"))  # a list of container kinds
+    rest = F.col("tokens") % F.col("capacity")
+    return items.where("tokens > 0").crossJoin(F.broadcast(caps)).where(rest > 0).select("size_name", "capacity", "doc_id", rest.alias("length"), (F.col("tokens") - rest).alias("first_token"))
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("length")
+    lengths, counts, capacity = pdf["length"].to_numpy(np.int64), pdf["items"].to_numpy(np.int64), int(pdf["capacity"].iloc[0])
+    return pd.DataFrame({"size_name": [pdf["size_name"].iloc[0]], "bound": [lower_bound(lengths, counts, capacity)], "best_fit": [sum(often for often, _ in best_fit(lengths, counts, capacity))]})
+
+
+def bounds(items: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(size_name, bound, best_fit): containers that what is packed needs at least, and would need by best fit."""
+    return _parts(items, sizes).groupBy("size_name", "capacity", "length").agg(F.count("*").alias("items")).groupBy("size_name").applyInPandas(_compare, "size_name string, bound long, best_fit long")
+
+
 def fill_containers(items: DataFrame, sizes: DataFrame, item_rows: int = 500_000) -> DataFrame:
     """(size_name, container, doc_id, first_token, tokens): every piece of every item in a container of every size.
 
@@ -138,9 +184,8 @@ def fill_containers(items: DataFrame, sizes: DataFrame, item_rows: int = 500_000
     caps = sizes.where("capacity_tokens >= 1 and size_name is not null").groupBy("size_name").agg(F.max("capacity_tokens").cast("long").alias("capacity"))  # a list of container kinds
     # Full containers of items that are too long, and what is to be packed.
     sized = items.where("tokens > 0").crossJoin(F.broadcast(caps))
-    rest = F.col("tokens") % F.col("capacity")
     full = sized.where("tokens >= capacity").select("size_name", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("tokens") / F.col("capacity")) - 1)).alias("nth"))
-    parts = sized.where(rest > 0).select("size_name", "doc_id", "capacity", rest.alias("length"), (F.col("tokens") - rest).alias("first_token"))
+    parts = _parts(items, sizes)
     histogram = parts.groupBy("size_name", "capacity", "length").agg(F.count("*").alias("items"))  # at most `capacity` rows a size
     plan = cut(histogram.groupBy("size_name").applyInPandas(_solve, PLAN))
     slots = {}
@@ -172,8 +217,15 @@ def fill_containers(items: DataFrame, sizes: DataFrame, item_rows: int = 500_000
     return packed.unionByName(whole).unionByName(none)
 
 
-def fill_rates(contents: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(size_name, capacity, containers, least, tokens, fill_rate): least is the bound by total length."""
+def fill_rates(contents: DataFrame, sizes: DataFrame, compared: DataFrame | None = None) -> DataFrame:
+    """(size_name, capacity, containers, least, tokens, fullest, fill_rate): least is the bound by total length.
+
+    compared: as from `bounds`; adds packed, the containers of packed items and remainders, with their bound and best_fit.
+    """
     caps = sizes.groupBy("size_name").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
-    used = contents.where("container >= 0").groupBy("size_name", "container").agg(F.sum("tokens").alias("tokens")).groupBy("size_name").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
-    return used.join(F.broadcast(caps), "size_name").select("size_name", "capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill_rate"))
+    per = contents.where("container >= 0").groupBy("size_name", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    per = per.join(F.broadcast(caps), "size_name")
+    # Full containers of items that are too long hold one piece; so may a container packed with one of just that length, which never exists.
+    used = per.groupBy("size_name", "capacity").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.count_if(~((F.col("pieces") == 1) & (F.col("tokens") == F.col("capacity")))).alias("packed"))
+    out = used.select("size_name", "capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("fill_rate"), "packed")
+    return out.drop("packed") if compared is None else out.join(compared, "size_name", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm import containers, linkage, mixture, severity
 from chronoloom.llm.tokens import token_counts
+from chronoloom.session import cut
 from chronoloom.sources.tables import table
 
 _AIRLINES = ("airline_id", "carrier_code_iata", "carrier_code_icao")
@@ -31,9 +32,9 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used and fill rate of each size."""
-    sizes = table(spark, d, "container_sizes")
-    return containers.fill_rates(containers.fill_containers(_sizes(spark, d), sizes), sizes)
+    """Containers used and fill rate of each size, the least number that can be proven, and what best fit would need."""
+    sizes, items = table(spark, d, "container_sizes"), cut(_sizes(spark, d))
+    return containers.fill_rates(containers.fill_containers(items, sizes), sizes, containers.bounds(items, sizes))
 
 
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -18,10 +19,26 @@ def test_plan_holds_everything_within_the_capacity(histogram, capacity):
         for i, k in content.items():
             held[i] += often * k
     assert (held == counts).all()
-    least = -(-int((lengths * counts).sum()) // capacity)
+    # Items longer than half the capacity need a container each, which the total length doesn't show.
+    least = max(-(-int((lengths * counts).sum()) // capacity), int(counts[2 * lengths > capacity].sum()))
+    assert least <= C.lower_bound(lengths, counts, capacity) <= sum(o for o, _ in plan)
     assert sum(o for o, _ in plan) <= 1.6 * least + 1
 
 
+@pytest.mark.parametrize(("capacity", "longest"), [(256, 255), (100, 60), (2048, 700)])
+def test_plans_of_many_items_are_as_good_as_best_fit_and_reach_the_bound_of_short_ones(capacity, longest):
+    """A hundred times the items need a hundred times the containers, rounds don't grow, and no item is left to best fit."""
+    rng = np.random.default_rng(3)
+    lengths = np.unique(rng.integers(1, longest, 180))
+    counts = rng.geometric(0.02, len(lengths)).astype(np.int64)
+    for times in (1, 100):
+        plan = C.plan_containers(lengths, counts * times, capacity)
+        used, bound, best_fit = sum(o for o, _ in plan), C.lower_bound(lengths, counts * times, capacity), sum(o for o, _ in C.best_fit(lengths, counts * times, capacity))
+        assert bound <= used <= best_fit * 1.001 and len(plan) <= C.ROUNDS + 2 * len(lengths)
+        if longest < capacity * 0.7:
+            assert used <= bound * 1.001 + 1
+
+
 def test_best_pattern_is_optimal():
     lengths, prices, most = np.array([3, 5, 7]), np.array([3.0, 5.5, 7.2]), np.array([2, 1, 2])
     got = C.best_pattern(lengths, prices, most, 14)

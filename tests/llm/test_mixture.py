@@ -17,11 +17,16 @@ def test_permutation(n):
         assert sorted(got.tolist()) == list(range(n))
 
 
-def test_draws_keep_the_weights():
+def test_draws_are_multinomial():
+    """Counts add up, repeat for the same seed, and vary over seeds as a multinomial draw does (chi-square, 5 sigma)."""
     mix = {"slots": 10_000, "weights": np.array([0.123, 0.377, 0.5])}
     counts = np.array([M.draw_counts(mix, "m", s, 64, 7) for s in range(157)])
-    assert counts.sum(1).tolist() == [64] * 156 + [16] and abs(counts.sum(0) / 10_000 - mix["weights"]).max() < 0.005
+    assert counts.sum(1).tolist() == [64] * 156 + [16]
     assert (counts == np.array([M.draw_counts(mix, "m", s, 64, 7) for s in range(157)])).all()
+    drawn = np.array([M.draw_counts(mix, "m", 0, 64, seed) for seed in range(3000)])
+    statistic = ((drawn - 64 * mix["weights"]) ** 2 / (64 * mix["weights"])).sum()  # chi-square with 2 degrees of freedom a draw
+    assert abs(statistic - 6000) < 5 * np.sqrt(2 * 6000)
+    assert (abs(drawn.mean(0) - 64 * mix["weights"]) < 5 * np.sqrt(64 * mix["weights"] * (1 - mix["weights"]) / 3000)).all()
 
 
 def test_shares_caps_and_contents(spark):
