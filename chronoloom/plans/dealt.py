@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators import asof, hierarchy, history, orphans, packed, snapshots
@@ -65,22 +65,36 @@ FROM f LEFT JOIN places p USING (flight_id) LEFT JOIN below USING (flight_id) LE
 P1_DESCENDANTS = _REACH + "SELECT c AS flight_id, s AS descendant_id FROM r WHERE s <> c"
 
 
+#: The number of the increment of rows without a date, beyond any month's.
+UNDATED = 10**8
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------------
-def _pending(spark: SparkSession, d: str) -> orphans.OrphanState:
-    """Two increments: the flight table with its own links, then the validated links that were derived from it."""
+def _increment(period: Column) -> Column:
+    """Increments are months, in order; what has no date comes last."""
+    return F.coalesce(F.replace(period, F.lit("-"), F.lit("")).try_cast("int"), F.lit(UNDATED))
+
+
+def _waits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of waiting, and the months (at, increment). Each month brings its flights, as parents and with their links, and its validated links."""
     flights = table(spark, d, "aircraft_flight", "flight_id", "next_flight_id", "flight_departure_date")
     links = table(spark, d, "rotation_link_validation", "flight_id", "target_token", "selected_local_date")
-    state = orphans.advance(orphans.OrphanState.empty(spark), refs=orphans.references(flights, "aircraft_flight", "flight_id", "next_flight_id", "flight_departure_date"), arrived=flights.select(F.col("flight_id").alias("key")))
-    return orphans.advance(state, refs=orphans.references(links, "rotation_link_validation", "flight_id", orphans.whole_number("target_token"), "selected_local_date"))
+    refs = orphans.references(flights, "aircraft_flight", "flight_id", "next_flight_id", "flight_departure_date").unionByName(orphans.references(links, "rotation_link_validation", "flight_id", orphans.whole_number("target_token"), "selected_local_date"))
+    month = lambda c: F.coalesce(F.date_format(c, "yyyy-MM"), F.lit("unknown"))
+    arrived = flights.select(F.col("flight_id").alias("key"), _increment(month("flight_departure_date")).alias("at"))
+    months = flights.select(month("flight_departure_date").alias("increment")).unionByName(links.select(month("selected_local_date").alias("increment"))).distinct().withColumn("at", _increment(F.col("increment")))
+    return orphans.replay(refs.withColumn("at", _increment(F.col("period"))), arrived), months
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pending(spark, d).waiting.select("source_table", F.col("ref_id").alias("flight_id"), F.col("key").alias("missing_flight_id"), F.col("period").alias("period_month"))
+    waiting = orphans.waiting_at_end(_waits(spark, d)[0])
+    return waiting.select("source_table", F.col("ref_id").alias("flight_id"), F.col("key").alias("missing_flight_id"), F.col("period").alias("period_month"))
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans per table and month."""
-    return orphans.snapshot_counts(_pending(spark, d)).withColumnRenamed("period", "period_month")
+    """Orphans per table and month of the referring row, after each monthly increment."""
+    spans, months = _waits(spark, d)
+    return orphans.counts_by_increment(spans, months).join(F.broadcast(months), "at").select("increment", "source_table", F.col("period").alias("period_month"), "orphans", "missing_keys")
 
 
 _TOKEN = r"""regexp_replace(regexp_replace(target_token, '[\s"]', '', 'g'), '^([+-]?[0-9]{1,3}(,[0-9]{3})+)(\.[0-9]*)?$', replace(regexp_replace(target_token, '[\s"]', '', 'g'), ',', ''))"""
@@ -91,7 +105,15 @@ UNION ALL SELECT 'rotation_link_validation', flight_id, CASE WHEN regexp_full_ma
 waiting AS (SELECT DISTINCT * FROM refs WHERE flight_id IS NOT NULL AND missing_flight_id IS NOT NULL AND missing_flight_id NOT IN (SELECT k FROM ids))
 """
 P2_FOUND = _WAITING + "SELECT * FROM waiting"
-P2_COUNTS = _WAITING + "SELECT source_table, period_month, count(*) AS orphans, count(DISTINCT missing_flight_id) AS missing_keys FROM waiting GROUP BY source_table, period_month"
+P2_COUNTS = (
+    _WAITING.rstrip()
+    + """,
+arrival AS (SELECT flight_id AS k, min(coalesce(strftime(flight_departure_date, '%Y-%m'), 'unknown')) AS since FROM aircraft_flight WHERE flight_id IS NOT NULL GROUP BY 1),
+months AS (SELECT coalesce(strftime(flight_departure_date, '%Y-%m'), 'unknown') AS increment FROM aircraft_flight UNION SELECT coalesce(strftime(selected_local_date, '%Y-%m'), 'unknown') FROM rotation_link_validation),
+every AS (SELECT DISTINCT * FROM refs WHERE flight_id IS NOT NULL AND missing_flight_id IS NOT NULL)
+SELECT increment, source_table, period_month, count(*) AS orphans, count(DISTINCT missing_flight_id) AS missing_keys
+FROM months JOIN every ON period_month <= increment LEFT JOIN arrival ON k = missing_flight_id WHERE since IS NULL OR since > increment GROUP BY increment, source_table, period_month"""
+)
 
 
 # -- 4 ---------------------------------------------------------------------------------------------------------------

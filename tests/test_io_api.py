@@ -46,6 +46,19 @@ def test_fingerprint_and_preflight(spark, tmp_path):
         table(spark, SF, "region", "nothing")
 
 
+def test_keyed_stream_tells_what_begins_and_ends_to_wait(spark, tmp_path):
+    pending.keyed_state(spark)
+    events = [("reference", 10, "a", 1, "p"), ("reference", 11, "a", 2, "p"), ("reference", 11, "a", 2, "p"), ("arrived", 10, None, None, None)], [("arrived", 11, None, None, None), ("deleted", 10, None, None, None), ("reference", 12, "b", 3, None)], [("arrived", 10, None, None, None), ("deleted", 10, None, None, None), ("reference", None, "b", 3, "q")]
+    want = [{("a", 2, 11, "p", True)}, {("a", 2, 11, "p", False), ("a", 1, 10, "p", True), ("b", 3, 12, "unknown", True)}, {("a", 1, 10, "p", False)}]
+    source, seen = tmp_path / "in", []
+    for rows, expected in zip(events, want):
+        spark.createDataFrame(rows, pending.EVENTS).coalesce(1).write.mode("append").parquet(str(source))
+        out = pending.changes(spark.readStream.schema(pending.EVENTS).parquet(str(source)))
+        query = out.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.append({tuple(r) for r in df.collect()})).option("checkpointLocation", str(tmp_path / "keyed")).trigger(availableNow=True).start()
+        assert query.awaitTermination(180)
+        assert seen[-1] == expected
+
+
 def test_stream_of_increments_equals_one_batch(spark, tmp_path):
     events = [("reference", 10, "a", 1, "p"), ("reference", 11, "a", 2, "p"), ("arrived", 10, None, None, None)], [("arrived", 11, None, None, None), ("deleted", 10, None, None, None), ("reference", 12, "b", 3, "q")]
     source = tmp_path / "in"

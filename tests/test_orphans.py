@@ -49,3 +49,33 @@ def test_references_without_key_or_id(spark):
 )
 def test_whole_numbers(spark, text, number):
     assert spark.createDataFrame([(text,)], "t string").select(O.whole_number("t")).first()[0] == number
+
+
+def spans_of(spark, references, arrived, deleted=None):
+    at = "source_table string, ref_id long, key long, period string, at int"
+    frame = lambda rows: spark.createDataFrame(rows, "key long, at int")
+    return O.replay(spark.createDataFrame(references, at), frame(arrived), None if deleted is None else frame(deleted))
+
+
+def test_replay_equals_increments_one_by_one_whatever_the_order(spark):
+    references = [("t", i, i % 23, f"2026-{i % 4 + 1:02d}", i % 4) for i in range(160)] + [("t", 0, 0, "2026-01", 0)] * 3
+    arrived = [(k, (k * 5) % 6) for k in range(23) if k % 4] + [(k, 4) for k in range(0, 23, 6)] + [(None, 1)]
+    deleted = [(k, 2) for k in range(0, 23, 3)] + [(k, 5) for k in range(1, 23, 7)] + [(None, 0)]
+    for gone in (None, deleted):
+        spans = spans_of(spark, references, arrived, gone)
+        rows, state = spans.collect(), O.OrphanState.empty(spark)
+        for at in range(6):
+            state = O.advance(state, refs(spark, [r[:4] for r in references if r[4] == at]), keys(spark, *[k for k, t in arrived if t == at]), keys(spark, *[k for k, t in gone or [] if t == at])).kept()
+            assert waiting(state) == sorted((r.source_table, r.ref_id, r.key, r.period) for r in rows if r.from_at <= at and (r.to_at is None or at < r.to_at))
+        assert sorted(map(tuple, O.waiting_at_end(spans).collect())) == waiting(state)
+        counted = {(r.at, r.period): (r.orphans, r.missing_keys) for r in O.counts_by_increment(spans, spark.createDataFrame([(5,)], "at int")).collect()}
+        last = {(5, r.period): (r.orphans, r.missing_keys) for r in O.snapshot_counts(state).collect()}
+        assert counted == last
+    # References that come later than their parents, or earlier, end in the same state.
+    late = spans_of(spark, [(*r[:4], 5) for r in references], arrived)
+    assert sorted(map(tuple, O.waiting_at_end(late).collect())) == sorted(map(tuple, O.waiting_at_end(spans_of(spark, references, arrived)).collect()))
+
+
+def test_replay_of_nothing(spark):
+    assert spans_of(spark, [], []).count() == spans_of(spark, [], [], []).count() == 0
+    assert [tuple(r) for r in spans_of(spark, [("t", 1, 5, "p", 0), ("t", None, 5, "p", 0), ("t", 2, None, "p", 0)], []).collect()] == [("t", 1, 5, "p", 0, None)]
