@@ -4,7 +4,7 @@ Only the histogram of lengths matters: at most one row per length up to the capa
 For each capacity, one task solves the configuration linear program over it by multiplicative weights. Prices begin at
 the lengths, and a length gets dearer, by an exponential of its share that is still uncovered against the mean of all,
 as it falls behind. In each round a knapsack dynamic program over the capacity finds the container of the highest
-price among those that don't take more than about twice their fair share of a length, and that container is used for
+price among the dearest lengths for their size, with at most about twice the fair share of each, and that container is used for
 at most 1/ROUNDS of all containers, in whole numbers and as far as its lengths last: so the fractional solution is
 rounded down as it grows, and goes on until all is covered. Nothing is left to a plainer rule. As every round but
 these full steps uses up a length, there are at most ROUNDS plus as many rounds as lengths, at any number of items.
@@ -31,6 +31,8 @@ from chronoloom.session import blocks, cut
 
 #: One round of multiplicative weights uses a container for at most this part of all; and how fast prices follow what is uncovered.
 ROUNDS, STEP = 400, 0.1
+#: Lengths that a knapsack chooses from, and how many of them are the shortest. All lengths have their turn, as prices rise.
+PRICED, FILLERS = 320, 64
 #: Passes that are made at most, how fast prices follow unused space from one to the next, and the gap to the bound that ends them.
 PASSES, RAISE, GAP = 8, 3.0, 0.0002
 PLAN = "size_name string, length long, first long, slots long, per_container long, container long, containers long"
@@ -74,6 +76,11 @@ def _pass(lengths: np.ndarray, counts: np.ndarray, capacity: int, base: np.ndarr
         togo = float((lengths * left).sum()) / capacity
         behind = left[live] / demand[live] * total / togo - 1  # 0: covered like the mean
         prices = base[live] * np.exp(np.clip(STEP * behind, -10, 10))
+        if len(live) > PRICED:
+            # The lengths that are dearest for their size, and the shortest, with which any rest is filled.
+            rank = np.argsort(-prices / lengths[live], kind="stable")
+            some = np.unique(np.concatenate([rank[: PRICED - FILLERS], np.arange(FILLERS)]))
+            live, prices = live[some], prices[some]
         # A container takes at most about twice its fair share of a length, so that containers stay alike.
         fair = np.ceil(2 * left[live] / togo).astype(np.int64) + 1
         content = best_pattern(lengths[live], prices, np.minimum(left[live], fair), capacity)
@@ -187,7 +194,7 @@ def fill_containers(items: DataFrame, sizes: DataFrame, item_rows: int = 500_000
     full = sized.where("tokens >= capacity").select("size_name", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("tokens") / F.col("capacity")) - 1)).alias("nth"))
     parts = _parts(items, sizes)
     histogram = parts.groupBy("size_name", "capacity", "length").agg(F.count("*").alias("items"))  # at most `capacity` rows a size
-    plan = cut(histogram.groupBy("size_name").applyInPandas(_solve, PLAN))
+    plan = cut(histogram.repartition(16, "size_name").groupBy("size_name").applyInPandas(_solve, PLAN))  # sizes side by side
     slots = {}
     for r in plan.collect():  # bounded by lengths times configurations, whatever the number of items
         slots.setdefault((r.size_name, r.length), []).append((r.first, r.per_container, r.container))
