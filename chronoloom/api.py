@@ -111,22 +111,35 @@ class Engine:
         events = self._of(plans._events(self.spark, self.folder), as_id(aircraft_id))
         return versioning.with_previous(versioning.daily(events, plans.ORDER, "existence_to")).orderBy("dimension", "valid_from")
 
-    def schedule_changes(self, start: object, end: object) -> DataFrame:
-        """All exact changes and the pairing of removed with added keys between the deliveries of two days."""
+    #: Kinds of changes in the order in which they are listed.
+    CHANGES = ("ADDED", "REMOVED", "CHANGED", "PAIRED", "AMBIGUOUS", "UNPAIRED_REMOVED", "UNPAIRED_ADDED")
+
+    def schedule_changes(self, start: object, end: object, cadence: object = "EVERY_DELIVERY") -> DataFrame:
+        """Changes between the deliveries of two days, field by field with old and new values, and how removed and added keys pair.
+
+        cadence: EVERY_DELIVERY compares each delivery with the one before, ENDPOINTS only the last with the first.
+        """
         a, b = as_date(start, "MISSING_START_DATE"), as_date(end, "MISSING_END_DATE")
         lo, hi = self._endpoint(a), self._endpoint(b)
-        obs = plans._observed(self.spark, self.folder).where(F.col("ord").between(lo, hi))
+        ends = as_choice(cadence, ("EVERY_DELIVERY", "ENDPOINTS"), "INVALID_CADENCE") == "ENDPOINTS"
+        # Deliveries are numbered from 0 within the span; of the endpoints alone there are two.
+        place = (lambda c: F.when(c == lo, 0).when(c == hi, 1)) if ends else (lambda c: c - lo)
+        obs = plans._observed(self.spark, self.folder).where(F.col("ord").between(lo, hi)).withColumn("ord", place(F.col("ord"))).where("ord is not null")
+        steps = (2 if hi > lo else 1) if ends else hi - lo + 1
         from chronoloom.operators import snapshots
 
-        changes = snapshots.diff(obs.withColumn("ord", F.col("ord") - lo), hi - lo + 1, plans.CONTENT, report_fields=True)
-        sides = states.amendment_sides(changes, obs.withColumn("ord", F.col("ord") - lo), plans._SIGN, "effective_date", "discontinue_date")
+        fields = snapshots.field_changes(obs, steps, plans.CONTENT)
+        sides = states.amendment_sides(fields.where(F.col("field") == snapshots.PRESENCE), obs, plans._SIGN, "effective_date", "discontinue_date")
         pairs = states.amendments(sides, plans._SIGN)
         none = F.lit(None).cast("string")
-        exact = changes.select("ord", "key", F.concat(F.lit("EXACT_"), F.upper("change_type")).alias("class"), F.array_join("changed", ",").alias("detail"))
-        paired = pairs.select("ord", F.col("removed_key").alias("key"), F.when((F.col("partners_removed") == 1) & (F.col("partners_added") == 1), "CANDIDATE_MEDIUM").otherwise("AMBIGUOUS_LOW").alias("class"), F.col("added_key").alias("detail"))
-        alone = states.unpaired(sides, pairs).select("ord", "key", F.concat(F.lit("UNPAIRED_"), F.upper("side")).alias("class"), none.alias("detail"))
-        days = deliveries_of(self.spark, self.folder).select((F.col("ord") - lo).alias("ord"), F.col("day").alias("publish_date"))
-        return exact.unionByName(paired).unionByName(alone).join(F.broadcast(days), "ord").select("publish_date", "class", "key", "detail").orderBy("publish_date", "class", "key", "detail")
+        exact = fields.select("ord", "key", F.upper("change_type").alias("kind"), "field", "old_value", "new_value", "reappears")
+        paired = pairs.select("ord", F.col("removed_key").alias("key"), F.when((F.col("partners_removed") == 1) & (F.col("partners_added") == 1), "PAIRED").otherwise("AMBIGUOUS").alias("kind"), F.lit("schedule_key").alias("field"), F.col("removed_key").alias("old_value"), F.col("added_key").alias("new_value"), F.lit(False).alias("reappears"))
+        alone = states.unpaired(sides, pairs).select("ord", "key", F.concat(F.lit("UNPAIRED_"), F.upper("side")).alias("kind"), none.alias("field"), none.alias("old_value"), none.alias("new_value"), F.lit(False).alias("reappears"))
+        days = deliveries_of(self.spark, self.folder).select(place(F.col("ord")).alias("ord"), F.col("day").alias("publish_date")).where("ord is not null")
+        rank = F.array_position(F.array(*[F.lit(k) for k in self.CHANGES]), F.col("kind"))
+        out = exact.unionByName(paired).unionByName(alone).join(F.broadcast(days), "ord").withColumn("kind_rank", rank)
+        identity = F.sha2(F.concat_ws("|", F.col("publish_date").cast("string"), "kind", "key", F.coalesce("field", F.lit("")), F.coalesce("new_value", F.lit(""))), 256)
+        return out.select("publish_date", "kind", "kind_rank", "key", "field", "old_value", "new_value", "reappears", identity.alias("change_id")).orderBy("publish_date", "kind_rank", "key", F.col("field").asc_nulls_first(), "new_value")
 
     def _market(self, role: object) -> list[str]:
         return [f"{as_choice(role, ROLES, 'INVALID_CARRIER_ROLE')}_carrier_internal", *plans._MARKET[1:]]
@@ -147,16 +160,16 @@ class Engine:
         return states.capacity(plans._dated(self.spark, self.folder), k.isoformat(), o.isoformat(), market, plans._WEEK, "weekly_frequency", "total_seats", "effective_date", "discontinue_date").orderBy(*market)
 
     def actual_rotation(self, aircraft_id: object, flight_departure_date: object) -> DataFrame:
-        """The day's legs of an aircraft with the outcome of their links and their places in the day's chains."""
+        """The day's legs of an aircraft with the facts of their links and their places in the day's chains."""
         a, d = as_id(aircraft_id), as_date(flight_departure_date, "MISSING_FLIGHT_DEPARTURE_DATE")
         legs = plans._actual(self.spark, self.folder)
         today = legs.where((F.col("aircraft_id") == a) & (F.col("flight_departure_date") == F.lit(d)))
         if today.isEmpty():
             raise Refusal("NO_ACTUAL_FLIGHTS", f"{a} {d}", "NOT_FOUND")
-        out = flights.validate_links(legs).join(today.select("flight_id"), "flight_id", "left_semi")
-        links = out.select("flight_id", F.when(F.col("outcome") == "ACCEPTED", F.col("target")).alias("target"))
-        places = graph.chains(links, "flight_id", "target")
-        return out.join(places, "flight_id", "left").orderBy(F.col("head").asc_nulls_last(), "position", "flight_id")
+        facts = flights.link_facts(legs).join(today.select("flight_id"), "flight_id", "left_semi")
+        links = today.select("flight_id").join(facts, "flight_id", "left")
+        places = graph.chains(links.select("flight_id", F.when(F.col("holds"), F.col("target")).alias("target")), "flight_id", "target")
+        return links.join(places, "flight_id", "left").orderBy(F.col("head").asc_nulls_last(), "position", "flight_id")
 
     CATALOG = ("aircraft_as_of", "status_reversion_spells", "fleet_storage_spell_distribution", "month_end_fleet_composition", "type_engine_histories", "schedule_changes", "market_entries_and_exits", "market_count_at", "route_capacity", "actual_rotation")
 

@@ -11,29 +11,26 @@ from chronoloom.operators.resolve import first_row
 
 
 def actual(flights: DataFrame) -> DataFrame:
-    """One row per flight id, the most complete one, with boolean flags, a numeric flight number and the diversion's status."""
+    """One row per flight id, the most complete one, with boolean flags, a numeric flight number and whether the diversion's flag and code agree."""
     known = sum((F.col(c).isNotNull().cast("int") for c in flights.columns), F.lit(0))
     one = first_row(flights.where("flight_id is not null").withColumn("_known", known), ["flight_id"], [F.col("_known").desc(), *[F.col(c).asc_nulls_last() for c in flights.columns if c != "flight_id"]]).drop("_known")
     number = F.when(F.col("flight_number").rlike("^[0-9]+$"), F.col("flight_number").try_cast("long"))
-    conflict = F.when(F.col("diverted_airport_code").isNotNull() & (F.col("is_diverted") == 0), "CODE_WITHOUT_FLAG").when(F.col("diverted_airport_code").isNull() & (F.col("is_diverted") == 1), "FLAG_WITHOUT_CODE").otherwise("CONSISTENT")
-    return one.select("*", number.alias("number"), flag(F.col("is_cancelled")).alias("cancelled"), flag(F.col("is_diverted")).alias("diverted"), conflict.alias("diversion_status"), F.coalesce("diverted_airport_code", "arrival_airport_code").alias("continuity_code"))
+    return one.select("*", number.alias("number"), flag(F.col("is_cancelled")).alias("cancelled"), flag(F.col("is_diverted")).alias("diverted"), (flag(F.col("is_diverted")) == F.col("diverted_airport_code").isNotNull()).alias("diversion_agrees"), F.coalesce("diverted_airport_code", "arrival_airport_code").alias("continuity_code"))
 
 
-def validate_links(legs: DataFrame) -> DataFrame:
-    """(flight_id, target, outcome): each leg's link to its next leg, by the first class that applies.
+#: What is known about a link between two legs, each true, false or, where a side doesn't say, null.
+FACTS = {
+    "flown": "not cancelled", "timed": "actual_gate_departure_time_utc is not null and actual_gate_arrival_time_utc is not null", "names_other": "target <> flight_id", "target_exists": "t_id is not null",
+    "target_flown": "not t_cancelled", "same_aircraft": "aircraft_id = t_aircraft", "same_day": "flight_departure_date = t_day", "in_order": "t_off >= actual_gate_arrival_time_utc", "connects": "continuity_code = t_from",
+}
 
-    Legs that didn't fly or have no times are classed before their target is looked at.
-    """
+
+def link_facts(legs: DataFrame) -> DataFrame:
+    """(flight_id, target, FACTS..., holds): the facts of each leg's link to its next leg; holds: all facts are true."""
     t = legs.select(F.col("flight_id").alias("t_id"), F.col("aircraft_id").alias("t_aircraft"), F.col("flight_departure_date").alias("t_day"), F.col("departure_airport_code").alias("t_from"), F.col("actual_gate_departure_time_utc").alias("t_off"), F.col("cancelled").alias("t_cancelled"))
-    x = legs.join(t, F.col("next_flight_id") == F.col("t_id"), "left")
-    no = lambda c: F.coalesce(c, F.lit(False))
-    outcome = (
-        F.when(F.col("cancelled").isNull(), "BAD_FLAG").when(F.col("cancelled"), "CANCELLED").when(F.col("actual_gate_departure_time_utc").isNull() | F.col("actual_gate_arrival_time_utc").isNull(), "MISSING_TIME")
-        .when(F.col("next_flight_id").isNull(), "NO_TARGET").when(F.col("next_flight_id") == F.col("flight_id"), "SELF").when(F.col("t_id").isNull(), "MISSING_TARGET")
-        .when(~no(F.col("t_aircraft") == F.col("aircraft_id")), "OTHER_AIRCRAFT").when(~no(F.col("t_day") == F.col("flight_departure_date")), "OTHER_DAY").when(no(F.col("t_cancelled")), "TARGET_NOT_OPERATED")
-        .when(~no(F.col("t_off") >= F.col("actual_gate_arrival_time_utc")), "BACKWARD_TIME").when(~no(F.col("t_from") == F.col("continuity_code")), "BROKEN_CONTINUITY").otherwise("ACCEPTED")
-    )
-    return x.select("flight_id", F.col("next_flight_id").alias("target"), outcome.alias("outcome"))
+    x = legs.withColumnRenamed("next_flight_id", "target").where("target is not null").join(t, F.col("target") == F.col("t_id"), "left")
+    facts = [F.expr(e).alias(n) for n, e in FACTS.items()]
+    return x.select("flight_id", "target", *facts).withColumn("holds", F.expr(" and ".join(f"coalesce({n}, false)" for n in FACTS)))
 
 
 def utc_time(day: Column, local: Column, offset: Column, later: Column | None = None) -> Column:

@@ -111,15 +111,12 @@ def both_clocks(start: Column, end: Column, first: Column, last: Column) -> dict
     }
 
 
-def part_status(total: str, parts: list[str], included: str | None = None, within: str | None = None) -> Column:
-    """How parts add up to a total: NULL, NEGATIVE, PART_EXCEEDS (included > within), TOTAL_MISMATCH or RECONCILED, the first that holds."""
-    every = [F.col(c) for c in (total, *parts)]
-    null, negative, summed = every[0].isNull(), every[0] < 0, F.col(parts[0])
-    for c in every[1:]:
-        null, negative = null | c.isNull(), negative | (c < 0)
-    for c in parts[1:]:
+def part_facts(total: str, parts: list[str], included: str, within: str) -> list[Column]:
+    """How parts relate to their total and one part to the one that includes it, as facts that are null where a value is."""
+    every = [F.col(c) for c in (total, *parts, included)]
+    known, least, summed = F.lit(True), F.least(*every), F.lit(0.0)
+    for c in every:
+        known = known & c.isNotNull()
+    for c in parts:
         summed = summed + F.col(c)
-    out = F.when(null, "NULL").when(negative, "NEGATIVE")
-    if included and within:
-        out = out.when(F.col(included) > F.col(within), "PART_EXCEEDS")
-    return out.when(summed != F.col(total), "TOTAL_MISMATCH").otherwise("RECONCILED")
+    return [known.alias("all_known"), (least >= 0).alias("none_negative"), (summed == F.col(total)).alias("adds_up"), (F.col(included) <= F.col(within)).alias("included_fits")]

@@ -180,28 +180,14 @@ def _attribute_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_attributes(spark: SparkSession, d: str) -> DataFrame:
-    """Four attributes of every key with their own intervals, whole numbers without a fraction; p5_attribute_intervals has all."""
-    return _attribute_spans(spark, d).where("attribute in ('total_seats', 'departure_terminal', 'arrival_station_code_iata', 'weekly_frequency')").withColumn("value", F.regexp_replace("value", r"\.0$", ""))
-
-
-def p5_attribute_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Every attribute of every key with its own intervals."""
     return _attribute_spans(spark, d)
 
 
-def _versions(spark: SparkSession, d: str, kept: list[str]) -> DataFrame:
-    log, days = _log(spark, d, True)
-    return _dated(history.versions(log, STATE_COLUMNS), days).select("schedule_key", "valid_from", "valid_to", *kept)
-
-
 def p5_versions(spark: SparkSession, d: str) -> DataFrame:
-    """The versions with the values of five attributes, combined from the attributes' logs; p5_full_versions has all."""
-    return _versions(spark, d, ["departure_station_code_iata", "arrival_station_code_iata", "days_pattern", "equipment_subtype_code_iata", "arrival_terminal"])
-
-
-def p5_full_versions(spark: SparkSession, d: str) -> DataFrame:
-    """The versions with the values of all attributes as text."""
-    return _versions(spark, d, STATE_COLUMNS)
+    """The versions with the values of all attributes as text, combined from the attributes' logs."""
+    log, days = _log(spark, d, True)
+    return _dated(history.versions(log, STATE_COLUMNS), days).select("schedule_key", "valid_from", "valid_to", *STATE_COLUMNS)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -234,21 +220,10 @@ v AS (SELECT schedule_key, g, min(o) AS f, max(o) AS t FROM b GROUP BY schedule_
 )
 _SPAN = "strftime(x.day, '%Y-%m-%d') AS valid_from, coalesce(strftime(y.day, '%Y-%m-%d'), '9999-01-01') AS valid_to"
 P5_FOUND = _VERSIONS + f"SELECT v.schedule_key, {_SPAN} FROM v JOIN cal x ON x.o = v.f LEFT JOIN cal y ON y.o = v.t + 1"
-P5_VERSIONS = _VERSIONS + f"SELECT v.schedule_key, {_SPAN}, b.departure_station_code_iata, b.arrival_station_code_iata, b.days_pattern, b.equipment_subtype_code_iata, b.arrival_terminal FROM v JOIN b ON b.schedule_key = v.schedule_key AND b.o = v.f JOIN cal x ON x.o = v.f LEFT JOIN cal y ON y.o = v.t + 1"
+P5_VERSIONS = _VERSIONS + f"SELECT v.schedule_key, {_SPAN}, {', '.join(f'CAST(b.{c} AS VARCHAR) AS {c}' for c in STATE_COLUMNS)} FROM v JOIN b ON b.schedule_key = v.schedule_key AND b.o = v.f JOIN cal x ON x.o = v.f LEFT JOIN cal y ON y.o = v.t + 1"
 P5_ATTRIBUTES = (
     _OBS
     + f"""good AS (SELECT * FROM obs WHERE NOT ({NO_STATION})),
-u AS (SELECT schedule_key, o, 'total_seats' AS attribute, CAST(CAST(total_seats AS BIGINT) AS VARCHAR) AS value FROM good UNION ALL SELECT schedule_key, o, 'departure_terminal', departure_terminal FROM good
- UNION ALL SELECT schedule_key, o, 'arrival_station_code_iata', arrival_station_code_iata FROM good UNION ALL SELECT schedule_key, o, 'weekly_frequency', CAST(weekly_frequency AS VARCHAR) FROM good),
-a AS (SELECT *, lag(o) OVER w AS po, lag(value) OVER w AS pv FROM u WINDOW w AS (PARTITION BY schedule_key, attribute ORDER BY o)),
-b AS (SELECT *, sum(CASE WHEN po = o - 1 AND pv IS NOT DISTINCT FROM value THEN 0 ELSE 1 END) OVER (PARTITION BY schedule_key, attribute ORDER BY o) AS g FROM a),
-v AS (SELECT schedule_key, attribute, g, min(o) AS f, max(o) AS t, any_value(value) AS value FROM b GROUP BY schedule_key, attribute, g)
-SELECT v.schedule_key, v.attribute, {_SPAN}, v.value FROM v JOIN cal x ON x.o = v.f LEFT JOIN cal y ON y.o = v.t + 1"""
-)
-P5_FULL_VERSIONS = _VERSIONS + f"SELECT v.schedule_key, {_SPAN}, {', '.join(f'CAST(b.{c} AS VARCHAR) AS {c}' for c in STATE_COLUMNS)} FROM v JOIN b ON b.schedule_key = v.schedule_key AND b.o = v.f JOIN cal x ON x.o = v.f LEFT JOIN cal y ON y.o = v.t + 1"
-P5_ATTRIBUTE_INTERVALS = (
-    _OBS
-    + f"""good AS (SELECT * FROM obs WHERE NOT ({NO_STATION})),
 u AS ({" UNION ALL ".join(f"SELECT schedule_key, o, '{c}' AS attribute, CAST({c} AS VARCHAR) AS value FROM good" for c in STATE_COLUMNS)}),
 a AS (SELECT *, lag(o) OVER w AS po, lag(value) OVER w AS pv FROM u WINDOW w AS (PARTITION BY schedule_key, attribute ORDER BY o)),
 b AS (SELECT *, sum(CASE WHEN po = o - 1 AND pv IS NOT DISTINCT FROM value THEN 0 ELSE 1 END) OVER (PARTITION BY schedule_key, attribute ORDER BY o) AS g FROM a),
@@ -288,9 +263,9 @@ o AS (SELECT DISTINCT id AS historical_source_row_id, CAST(unnest(range(1, len(v
 P7_FOUND = _SPLIT + "SELECT * FROM o"
 P7_STATIONS = _SPLIT + "SELECT stop_code, stop_position, count(*) AS rows FROM o GROUP BY stop_code, stop_position"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p4_found, p4_attributes, p5_found, p5_attributes, p5_attribute_intervals, p5_versions, p5_full_versions, p6_found, p6_fields, p7_found, p7_stations)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_counts, p4_found, p4_attributes, p5_found, p5_attributes, p5_versions, p6_found, p6_fields, p7_found, p7_stations)}
 SQL = {
     "p1_found": P1_FOUND, "p1_paths": P1_PATHS, "p1_descendants": P1_DESCENDANTS, "p2_found": P2_FOUND, "p2_counts": P2_COUNTS, "p4_found": P4_FOUND, "p4_attributes": P4_ATTRIBUTES, "p5_found": P5_FOUND,
-    "p5_attributes": P5_ATTRIBUTES, "p5_attribute_intervals": P5_ATTRIBUTE_INTERVALS, "p5_versions": P5_VERSIONS, "p5_full_versions": P5_FULL_VERSIONS,
+    "p5_attributes": P5_ATTRIBUTES, "p5_versions": P5_VERSIONS,
     "p6_found": P6_FOUND, "p6_fields": P6_FIELDS, "p7_found": P7_FOUND, "p7_stations": P7_STATIONS,
 }

@@ -121,10 +121,10 @@ def composition_summary(spark: SparkSession, d: str) -> DataFrame:
     return _composition(spark, d).groupBy("label").agg(F.count("*").alias("months"), F.min("entities").alias("least"), F.max("entities").alias("most"), F.round(F.avg("entities"), 4).alias("mean"), F.median("entities").alias("median"))
 
 
-@query(_MONTHS + "SELECT month_end, coalesce(sum(entities) FILTER (label = 'KR-200'), 0)::BIGINT AS kr_200, coalesce(sum(entities) FILTER (label = 'NV-710'), 0)::BIGINT AS nv_710 FROM comp GROUP BY month_end")
+@query("WITH long AS (" + _MONTHS + "SELECT * FROM comp) SELECT * FROM (PIVOT long ON label USING coalesce(sum(entities), 0)::BIGINT GROUP BY month_end)")
 def composition_pivot(spark: SparkSession, d: str) -> DataFrame:
-    p = _composition(spark, d).groupBy("month_end").pivot("label", ["KR-200", "NV-710"]).agg(F.sum("entities"))
-    return p.select("month_end", F.coalesce(F.col("KR-200"), F.lit(0)).alias("kr_200"), F.coalesce(F.col("NV-710"), F.lit(0)).alias("nv_710"))
+    """One column for every label found; labels are a code list."""
+    return _composition(spark, d).where("label is not null").groupBy("month_end").pivot("label").agg(F.sum("entities")).na.fill(0)
 
 
 @query(_E + "SELECT *, lag(value) OVER w AS previous, CASE WHEN lag(value) OVER w IS NULL THEN false ELSE value IS DISTINCT FROM lag(value) OVER w END AS is_change FROM daily WINDOW w AS (PARTITION BY dimension, entity ORDER BY valid_from)")
@@ -158,12 +158,14 @@ def code_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve.outcomes(resolve.candidates(table(spark, d, "airline_reference"), "airline_id", _METHODS))
 
 
-@query(_CLAIMS + """SELECT CASE WHEN c IS NULL OR trim(c) = '' THEN 'INVALID_INPUT' WHEN o.code IS NULL THEN 'UNRESOLVED' WHEN o.n = 1 THEN 'EXACT' ELSE 'AMBIGUOUS' END AS status, count(*) AS rows, count(DISTINCT c) AS codes
-FROM (SELECT operating_carrier_internal AS c FROM passenger_historical) p LEFT JOIN outcomes o ON o.method = 'IATA' AND o.code = p.c GROUP BY 1""")
+@query(_CLAIMS + """SELECT m.method, CASE WHEN c IS NULL OR trim(c) = '' THEN 'INVALID_INPUT' WHEN o.code IS NULL THEN 'UNRESOLVED' WHEN o.n = 1 THEN 'EXACT' ELSE 'AMBIGUOUS' END AS status, count(*) AS rows, count(DISTINCT c) AS codes
+FROM (SELECT operating_carrier_internal AS c FROM passenger_historical) p CROSS JOIN (VALUES ('IATA'), ('ICAO'), ('ID')) m(method) LEFT JOIN outcomes o ON o.method = m.method AND o.code = p.c GROUP BY 1, 2""")
 def carrier_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """How carriers resolve by each method; a column may hold codes of all."""
     out = resolve.outcomes(resolve.candidates(table(spark, d, "airline_reference"), "airline_id", _METHODS))
-    r = resolve.resolve(table(spark, d, "passenger_historical").select(F.col("operating_carrier_internal").alias("c")), "c", out, "IATA", "airline")
-    return r.groupBy(F.col("airline_status").alias("status")).agg(F.count("*").alias("rows"), F.countDistinct("c").alias("codes"))
+    codes = table(spark, d, "passenger_historical").groupBy(F.col("operating_carrier_internal").alias("c")).agg(F.count("*").alias("rows"))  # once for all methods
+    each = [resolve.resolve(codes, "c", out, m, "airline").select(F.lit(m).alias("method"), F.col("airline_status").alias("status"), "c", "rows") for m in _METHODS]
+    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("method", "status").agg(F.sum("rows").alias("rows"), F.count("c").alias("codes"))
 
 
 @query("SELECT aircraft_code_iata, count(DISTINCT (coalesce(aircraft_family, chr(1)), coalesce(aircraft_type, chr(1)))) AS definitions, CASE WHEN count(DISTINCT (coalesce(aircraft_family, chr(1)), coalesce(aircraft_type, chr(1)))) = 1 THEN min(aircraft_family) END AS aircraft_family, CASE WHEN count(DISTINCT (coalesce(aircraft_family, chr(1)), coalesce(aircraft_type, chr(1)))) = 1 THEN min(aircraft_type) END AS aircraft_type FROM aircraft_flight WHERE aircraft_code_iata IS NOT NULL GROUP BY 1")
@@ -309,11 +311,6 @@ _MARKET = ["marketing_carrier_internal", "departure_station_code_iata", "arrival
 _M = ", ".join(_MARKET)
 
 
-@query(_OBS + f"SELECT {_M}, CASE WHEN count(DISTINCT key) FILTER (ord = 10) = 0 THEN 'ENTRY' ELSE 'EXIT' END AS kind, count(DISTINCT key) FILTER (ord = 10) + count(DISTINCT key) FILTER (ord = 11) AS keys FROM obs WHERE ord IN (10, 11) AND NOT ({NO_STATION}) GROUP BY {_M} HAVING (count(DISTINCT key) FILTER (ord = 10) = 0) <> (count(DISTINCT key) FILTER (ord = 11) = 0)")
-def market_entry_exit(spark: SparkSession, d: str) -> DataFrame:
-    return states.entries_and_exits(_observed(spark, d), _MARKET, 10, 11)
-
-
 @query(
     _OBS
     + f""", per AS (SELECT ord, {_M}, count(DISTINCT key) AS keys FROM obs WHERE NOT ({NO_STATION}) AND marketing_carrier_internal IS NOT NULL GROUP BY ord, {_M})
@@ -321,7 +318,7 @@ SELECT ord, {_M}, 'ENTRY' AS kind, keys FROM per p WHERE ord > 0 AND NOT EXISTS
 UNION ALL SELECT ord + 1, {_M}, 'EXIT', keys FROM per p WHERE ord < (SELECT max(o) FROM cal) AND NOT EXISTS (SELECT 1 FROM per q WHERE q.ord = p.ord + 1 AND {" AND ".join(f"q.{c} = p.{c}" for c in _MARKET)})"""
 )
 def market_entries_exits(spark: SparkSession, d: str) -> DataFrame:
-    """Entries and exits of all consecutive deliveries; market_entry_exit has those of one pair."""
+    """Entries and exits of all consecutive deliveries; the engine's question answers for any two."""
     return states.consecutive_entries_and_exits(_observed(spark, d), _MARKET, deliveries_of(spark, d).count())
 
 
@@ -365,10 +362,11 @@ def both_clocks(spark: SparkSession, d: str) -> DataFrame:
 _CABINS = ["first_class_seats", "business_class_seats", "economy_class_seats"]
 
 
-@query(_OBS + """SELECT status, count(*) AS rows FROM (SELECT CASE WHEN total_seats IS NULL OR first_class_seats IS NULL OR business_class_seats IS NULL OR economy_class_seats IS NULL THEN 'NULL' WHEN least(total_seats, first_class_seats, business_class_seats, economy_class_seats) < 0 THEN 'NEGATIVE' WHEN premium_economy_seats > economy_class_seats THEN 'PART_EXCEEDS'
- WHEN first_class_seats + business_class_seats + economy_class_seats <> total_seats THEN 'TOTAL_MISMATCH' ELSE 'RECONCILED' END AS status FROM obs) GROUP BY status""")
+@query(_OBS + """SELECT all_known, none_negative, adds_up, included_fits, count(*) AS rows FROM (SELECT total_seats IS NOT NULL AND first_class_seats IS NOT NULL AND business_class_seats IS NOT NULL AND economy_class_seats IS NOT NULL AND premium_economy_seats IS NOT NULL AS all_known,
+ least(total_seats, first_class_seats, business_class_seats, economy_class_seats, premium_economy_seats) >= 0 AS none_negative, first_class_seats + business_class_seats + economy_class_seats = total_seats AS adds_up, premium_economy_seats <= economy_class_seats AS included_fits FROM obs) GROUP BY ALL""")
 def measure_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    return _observed(spark, d).groupBy(states.part_status("total_seats", _CABINS, "premium_economy_seats", "economy_class_seats").alias("status")).agg(F.count("*").alias("rows"))
+    """Observations by what holds of their seats; premium economy is included in economy."""
+    return _observed(spark, d).groupBy(*states.part_facts("total_seats", _CABINS, "premium_economy_seats", "economy_class_seats")).agg(F.count("*").alias("rows"))
 
 
 # -- Flights and plans -----------------------------------------------------------------------------------------------
@@ -378,39 +376,41 @@ def _actual(spark: SparkSession, d: str) -> DataFrame:
 
 _FLIGHT_COLS = "aircraft_id, operating_carrier_code, marketing_carrier_code, flight_number, flight_departure_date, flight_departure_date_utc, departure_airport_code, arrival_airport_code, diverted_airport_code, is_cancelled, is_diverted, actual_gate_departure_time_utc, actual_gate_arrival_time_utc, actual_gate_departure_time_local, actual_gate_arrival_time_local, aircraft_type, aircraft_code_iata, aircraft_family, next_flight_id"
 _LEGS = f"""WITH legs AS (SELECT *, CASE WHEN regexp_full_match(flight_number, '[0-9]+') THEN TRY_CAST(flight_number AS BIGINT) END AS number, CASE is_cancelled WHEN 0 THEN false WHEN 1 THEN true END AS cancelled, coalesce(diverted_airport_code, arrival_airport_code) AS continuity_code,
- CASE WHEN diverted_airport_code IS NOT NULL AND is_diverted = 0 THEN 'CODE_WITHOUT_FLAG' WHEN diverted_airport_code IS NULL AND is_diverted = 1 THEN 'FLAG_WITHOUT_CODE' ELSE 'CONSISTENT' END AS diversion_status
+ (CASE is_diverted WHEN 0 THEN false WHEN 1 THEN true END) = (diverted_airport_code IS NOT NULL) AS diversion_agrees
 FROM (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY {" + ".join(f"(CASE WHEN {c.strip()} IS NULL THEN 0 ELSE 1 END)" for c in _FLIGHT_COLS.split(","))} DESC, {", ".join(c.strip() + " NULLS LAST" for c in _FLIGHT_COLS.split(","))}) AS n FROM aircraft_flight WHERE flight_id IS NOT NULL) WHERE n = 1),
-outcome AS (SELECT l.flight_id, l.next_flight_id AS target, CASE WHEN l.cancelled IS NULL THEN 'BAD_FLAG' WHEN l.cancelled THEN 'CANCELLED' WHEN l.actual_gate_departure_time_utc IS NULL OR l.actual_gate_arrival_time_utc IS NULL THEN 'MISSING_TIME' WHEN l.next_flight_id IS NULL THEN 'NO_TARGET' WHEN l.next_flight_id = l.flight_id THEN 'SELF' WHEN t.flight_id IS NULL THEN 'MISSING_TARGET'
- WHEN NOT coalesce(t.aircraft_id = l.aircraft_id, false) THEN 'OTHER_AIRCRAFT' WHEN NOT coalesce(t.flight_departure_date = l.flight_departure_date, false) THEN 'OTHER_DAY' WHEN t.cancelled THEN 'TARGET_NOT_OPERATED' WHEN NOT coalesce(t.actual_gate_departure_time_utc >= l.actual_gate_arrival_time_utc, false) THEN 'BACKWARD_TIME' WHEN NOT coalesce(t.departure_airport_code = l.continuity_code, false) THEN 'BROKEN_CONTINUITY' ELSE 'ACCEPTED' END AS outcome
- FROM legs l LEFT JOIN legs t ON t.flight_id = l.next_flight_id)
+facts AS (SELECT l.flight_id, l.next_flight_id AS target, NOT l.cancelled AS flown, l.actual_gate_departure_time_utc IS NOT NULL AND l.actual_gate_arrival_time_utc IS NOT NULL AS timed, l.next_flight_id <> l.flight_id AS names_other, t.flight_id IS NOT NULL AS target_exists,
+ NOT t.cancelled AS target_flown, t.aircraft_id = l.aircraft_id AS same_aircraft, t.flight_departure_date = l.flight_departure_date AS same_day, t.actual_gate_departure_time_utc >= l.actual_gate_arrival_time_utc AS in_order, t.departure_airport_code = l.continuity_code AS connects
+ FROM legs l LEFT JOIN legs t ON t.flight_id = l.next_flight_id WHERE l.next_flight_id IS NOT NULL),
+outcome AS (SELECT *, coalesce(flown AND timed AND names_other AND target_exists AND target_flown AND same_aircraft AND same_day AND in_order AND connects, false) AS holds FROM facts)
 """
 
 
-@query(_LEGS + "SELECT flight_id, number, cancelled, diversion_status, continuity_code FROM legs")
+@query(_LEGS + "SELECT flight_id, number, cancelled, diversion_agrees, continuity_code FROM legs")
 def actual_flights(spark: SparkSession, d: str) -> DataFrame:
-    return _actual(spark, d).select("flight_id", "number", "cancelled", "diversion_status", "continuity_code")
+    return _actual(spark, d).select("flight_id", "number", "cancelled", "diversion_agrees", "continuity_code")
 
 
 @query(_LEGS + "SELECT * FROM outcome")
 def rotation_links(spark: SparkSession, d: str) -> DataFrame:
-    return flights.validate_links(_actual(spark, d))
+    return flights.link_facts(_actual(spark, d))
 
 
-@query(_LEGS + """, ok AS (SELECT flight_id, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY flight_id) AS n FROM outcome WHERE outcome = 'ACCEPTED') WHERE n = 1),
+@query(_LEGS + """, ok AS (SELECT flight_id, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY flight_id) AS n FROM outcome WHERE holds) WHERE n = 1),
 nodes AS (SELECT flight_id AS n FROM ok UNION SELECT target FROM ok),
 heads AS (SELECT n FROM nodes WHERE n NOT IN (SELECT target FROM ok)),
 chain AS (WITH RECURSIVE c(flight_id, head, position) AS (SELECT n, n, 1 FROM heads UNION ALL SELECT ok.target, c.head, c.position + 1 FROM c JOIN ok ON ok.flight_id = c.flight_id) SELECT * FROM c)
 SELECT flight_id, head, CAST(position AS BIGINT) AS position FROM chain""")
 def rotation_chains(spark: SparkSession, d: str) -> DataFrame:
-    """Places in chains of accepted links, from 1 at the head; a target of several links is taken by the smallest."""
-    ok = flights.validate_links(_actual(spark, d)).where("outcome = 'ACCEPTED'")
+    """Places in chains of links of which all facts hold, from 1 at the head; a target of several links is taken by the smallest."""
+    ok = flights.link_facts(_actual(spark, d)).where("holds")
     both = ok.select("flight_id", "target").unionByName(ok.select(F.col("target").alias("flight_id"), F.lit(None).cast("long").alias("target")))
     return graph.chains(both, "flight_id", "target")
 
 
-@query(_LEGS + "SELECT outcome, count(*) AS links, count(DISTINCT target) AS targets FROM outcome GROUP BY outcome")
+@query(_LEGS + f"SELECT {', '.join(flights.FACTS)}, count(*) AS links, count(DISTINCT target) AS targets FROM outcome GROUP BY ALL")
 def rotation_summary(spark: SparkSession, d: str) -> DataFrame:
-    return flights.validate_links(_actual(spark, d)).groupBy("outcome").agg(F.count("*").alias("links"), F.countDistinct("target").alias("targets"))
+    """Links by what is known about them."""
+    return flights.link_facts(_actual(spark, d)).groupBy(*flights.FACTS).agg(F.count("*").alias("links"), F.countDistinct("target").alias("targets"))
 
 
 @query("""SELECT historical_source_row_id, operating_date, CAST(operating_date AS TIMESTAMP) + CAST(passenger_departure_local_time AS INTERVAL) - to_minutes(CAST(departure_utc_offset_minutes AS BIGINT)) AS departure_utc,
@@ -544,3 +544,18 @@ def change_summary(spark: SparkSession, d: str) -> DataFrame:
     days = deliveries_of(spark, d)
     per = snapshots.diff(_observed(spark, d), days.count(), CONTENT).groupBy("ord", "change_type").agg(F.count("*").alias("keys"))
     return per.join(F.broadcast(days), "ord").select(F.col("day").alias("publish_date"), "change_type", "keys")
+
+
+@query(
+    _OBS
+    + f""", k AS (SELECT key, ord, {_COLS} FROM obs),
+met AS (SELECT coalesce(q.ord, p.ord + 1) AS ord, coalesce(q.key, p.key) AS key, p.ord AS po, q.ord AS qo FROM k p FULL JOIN k q ON p.key = q.key AND q.ord = p.ord + 1),
+chg AS (SELECT *, CASE WHEN po IS NULL THEN 'added' WHEN qo IS NULL THEN 'removed' ELSE 'changed' END AS change_type FROM met WHERE ord > 0 AND ord <= (SELECT max(o) FROM cal))
+SELECT ord, key, change_type, '__presence__' AS field, CASE WHEN po IS NULL THEN 'ABSENT' ELSE 'PRESENT' END AS old_value, CASE WHEN qo IS NULL THEN 'ABSENT' ELSE 'PRESENT' END AS new_value,
+ change_type = 'added' AND EXISTS (SELECT 1 FROM k x WHERE x.key = chg.key AND x.ord < chg.ord) AS reappears FROM chg WHERE change_type <> 'changed'
+"""
+    + "".join(f" UNION ALL SELECT c.ord, c.key, 'changed', '{f}', CAST(p.{f} AS VARCHAR), CAST(q.{f} AS VARCHAR), false FROM chg c JOIN k p ON p.key = c.key AND p.ord = c.po JOIN k q ON q.key = c.key AND q.ord = c.qo WHERE c.change_type = 'changed' AND p.{f} IS DISTINCT FROM q.{f}" for f in CONTENT)
+)
+def schedule_field_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Every change from one delivery to the next with old and new value, added and removed keys by their presence."""
+    return snapshots.field_changes(_observed(spark, d), deliveries_of(spark, d).count(), CONTENT)

@@ -119,7 +119,11 @@ def test_links_and_utc(spark):
     day = date(2026, 1, 1)
     ok = lambda i, n, **m: tuple((dict(i=i, a=1, d=day, f="A", c="A", off=t, on=t, x=False, n=n) | m).values())
     rows = [ok(1, 2), ok(2, None), ok(3, 3), ok(4, 99), ok(5, 6), ok(6, 7, a=2), ok(7, 2, a=2, d=date(2026, 1, 2)), ok(8, 2, on=datetime(2026, 1, 1, 9)), ok(9, 2, c="B"), ok(10, 2, x=True), ok(11, 2, x=None), ok(12, 2, on=None), ok(13, 10)]
-    got = {r.flight_id: r.outcome for r in FL.validate_links(spark.createDataFrame(rows, leg)).collect()}
-    assert got == {1: "ACCEPTED", 2: "NO_TARGET", 3: "SELF", 4: "MISSING_TARGET", 5: "OTHER_AIRCRAFT", 6: "OTHER_DAY", 7: "OTHER_AIRCRAFT", 8: "BACKWARD_TIME", 9: "BROKEN_CONTINUITY", 10: "CANCELLED", 11: "BAD_FLAG", 12: "MISSING_TIME", 13: "TARGET_NOT_OPERATED"}
+    got = {r.flight_id: r for r in FL.link_facts(spark.createDataFrame(rows, leg)).collect()}
+    assert set(got) == set(range(1, 14)) - {2} and [i for i, r in got.items() if r.holds] == [1]
+    untrue = {i: {n for n in FL.FACTS if r[n] is not True} for i, r in got.items()}
+    about_target = {"target_exists", "target_flown", "same_aircraft", "same_day", "in_order", "connects"}
+    assert untrue == {1: set(), 3: {"names_other"}, 4: about_target, 5: {"same_aircraft"}, 6: {"same_day"}, 7: {"same_aircraft", "same_day"}, 8: {"in_order"}, 9: {"connects"}, 10: {"flown"}, 11: {"flown"}, 12: {"timed", "in_order"}, 13: {"target_flown"}}
+    assert got[11].flown is None and got[12].in_order is None and got[4].same_day is None
     plan = spark.createDataFrame([(day, "01:00:00", "23:30:00", 120.0, -60.0, 1), (day, "01:00:00", None, float("nan"), None, None), (None, "01:00:00", None, 0.0, None, None)], "operating_date date, passenger_departure_local_time string, passenger_arrival_local_time string, departure_utc_offset_minutes double, arrival_utc_offset_minutes double, arrival_day_indicator long")
     assert [(r.departure_utc, r.arrival_utc, r.utc_status) for r in FL.with_utc(plan).collect()] == [(datetime(2025, 12, 31, 23), datetime(2026, 1, 3, 0, 30), "OFFSET_DERIVED"), (None, None, "UNRESOLVED_UTC_DATE"), (None, None, "NO_LOCAL_TIME")]

@@ -29,7 +29,10 @@ def test_amendments(spark):
 
 def test_parts_and_comparisons(spark):
     df = spark.createDataFrame([(10.0, 4.0, 6.0, 1.0), (10.0, 4.0, 5.0, 1.0), (10.0, None, 6.0, 1.0), (10.0, -4.0, 14.0, 1.0), (10.0, 4.0, 6.0, 7.0)], "t double, a double, b double, p double")
-    assert [r[0] for r in df.select(S.part_status("t", ["a", "b"], "p", "b")).collect()] == ["RECONCILED", "TOTAL_MISMATCH", "NULL", "NEGATIVE", "PART_EXCEEDS"]
+    facts = [tuple(r) for r in df.select(*S.part_facts("t", ["a", "b"], "p", "b")).collect()]  # all known, none negative, adds up, included fits
+    assert facts == [(True, True, True, True), (True, True, False, True), (False, True, None, True), (True, False, True, True), (True, True, True, False)]
+    nothing = spark.createDataFrame([(10.0, 4.0, 6.0, None), (10.0, 4.0, 6.0, -1.0)], "t double, a double, b double, p double")
+    assert [tuple(r) for r in nothing.select(*S.part_facts("t", ["a", "b"], "p", "b")).collect()] == [(False, True, True, None), (True, False, True, True)]
     days = spark.createDataFrame([(0, d(2026, 1, 5)), (1, d(2026, 1, 26))], "ord int, day date")
     expected = spark.createDataFrame([(d(2026, 1, x),) for x in (5, 12, 19, 26)], "expected date")
     assert [(r.ord, r.skipped, r.days) for r in S.comparisons(days, expected).collect()] == [(1, 2, 21)]
