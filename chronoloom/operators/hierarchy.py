@@ -7,8 +7,12 @@ weighted disjoint-set forest that is merged hierarchically:
    the locality column; every block finds, with vectorised path compression, each node's local representative and
    its offset to it. Local roots and local cycles are final there.
 2. A chain that leaves its block ends in an *exit*. Only the distinct exits form the contracted graph of the next
-   level, whose links carry the offsets of the level below. While it has at most `merge_rows` nodes, one block
-   resolves it in the same way; a larger one is resolved by distributed pointer doubling, in log2 rounds.
+   level, whose links carry the offsets of the level below. It is merged level by level: trees are hung below the tree
+   they lead to, with their offset, wherever the toss of a hash lets the lower one move and the upper one stay, which
+   leaves at most three quarters of the trees that lead on, and trees that lead to a root end there. When at most
+   `merge_rows` nodes are left, one block resolves them in the same way as the first. Then the levels are gone back,
+   and each hung tree finds its root, offset and cycle with one lookup. All levels together are as large as a few
+   times the first, whatever the shape of the forest.
 3. Exits are looked up once to give all rows their root and depth; paths come from following the indexed parents
    within a block and concatenating the blocks' pieces along the exits.
 
@@ -33,6 +37,7 @@ from chronoloom.session import blocks, cut, small, stored
 ON_CYCLE, TO_CYCLE = -1, -2
 #: What a block found about a node: it ends in a local root, leaves the block, lies on a cycle, or leads to one.
 ROOT, OPEN, CYCLE, TAIL = 0, 1, 2, 3
+MERGED = "x long, root long, depth long, on_cycle boolean"
 BLOCK_SCHEMA = "v long, p long, kind int, last long, exit long, dist long, low long, part int"
 
 
@@ -111,32 +116,56 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pa.table(out, ["x", "root", "depth", "on_cycle"]).to_batches(100_000)
 
 
-def _double(graph: DataFrame, nodes: int, with_path: bool = False) -> DataFrame:
-    """Resolve a contracted graph of any size by pointer doubling; with paths, concatenate them on the way."""
-    path = [F.col("path")] if with_path else []
+def _contract(graph: DataFrame, merge_rows: int) -> DataFrame:
+    """(x, root, depth, on_cycle) of a contracted graph of any size, merged level by level until one block holds the rest."""
     ids = graph.select(F.col("v").alias("to"), F.lit(True).alias("known"))
-    stays = F.col("kind") != OPEN
     s = graph.withColumn("to", F.col("exit")).join(ids, "to", "left").select(
         F.col("v").alias("x"), F.when(F.col("known"), F.col("to")).alias("to"), F.when(F.col("known").isNull(), F.col("last")).alias("root"),
-        F.when(F.col("kind") >= CYCLE, F.lit(TO_CYCLE)).when(stays | F.col("known"), F.col("dist")).otherwise(F.col("dist") - 1).alias("depth"), "low", *path,
+        F.when(F.col("kind") >= CYCLE, F.lit(TO_CYCLE)).when((F.col("kind") != OPEN) | F.col("known"), F.col("dist")).otherwise(F.col("dist") - 1).alias("depth"), "low",
     )
-    s = cut(s)
+    s, levels = stored(s), []
+    while (n := s.count()) > merge_rows and not s.where("to <> x").isEmpty():
+        toss = lambda c: F.xxhash64(c, F.lit(len(levels))).bitwiseAND(F.lit(1))  # noqa: B023, E731
+        t = s.select(F.col("x").alias("to"), F.col("to").alias("t_to"), F.col("root").alias("t_root"), F.col("depth").alias("t_depth"))
+        going, ends = F.col("to").isNotNull(), F.col("to").isNotNull() & F.col("t_to").isNull()
+        moves = going & ~ends & (F.col("to") != F.col("x")) & (toss("x") == 1) & (toss("to") == 0)
+        seen = stored(s.join(t, "to", "left").select(
+            "x", F.when(going & ~ends, F.col("to")).alias("to"), F.when(ends, F.col("t_root")).otherwise(F.col("root")).alias("root"),
+            F.when(ends & (F.col("t_depth") < 0), F.lit(TO_CYCLE)).when(ends, F.col("depth") + F.col("t_depth")).otherwise(F.col("depth")).alias("depth"), "low", moves.alias("moves"), (~going).alias("over"),
+        ))
+        moved = seen.where("moves").select("x", "to", "depth", "low")
+        up = moved.select(F.col("x").alias("via"), F.col("to").alias("to2"), F.col("depth").alias("depth2"), F.col("low").alias("low2"))
+        s = seen.where("not moves and not over").join(up, F.col("to") == F.col("via"), "left").select("x", F.coalesce("to2", "to").alias("to"), "root", F.when(F.col("via").isNotNull(), F.col("depth") + F.col("depth2")).otherwise(F.col("depth")).alias("depth"), F.least("low", "low2").alias("low"), "via")
+        s = stored(s)
+        # Roots have told all that led to them; nothing leads to them any more.
+        levels.append((moved, s.where("via is not null").select("x", "via"), seen.where("over").select("x", "root", "depth", F.lit(False).alias("on_cycle"))))
+    ends = F.col("to").isNull()
+    if n <= merge_rows:
+        block = s.select(F.col("x").alias("v"), F.when(~ends, OPEN).when(F.col("depth") < 0, TAIL).otherwise(ROOT).alias("kind"), "root", F.col("to").alias("exit"), F.greatest("depth", F.lit(0)).alias("dist"), "low").withColumnRenamed("root", "last")
+        found = block.repartition(1).mapInArrow(_merge, MERGED)
+    else:  # roots, and cycles of which one node is left
+        found = s.select("x", F.coalesce("root", "low").alias("root"), F.when(ends, F.col("depth")).otherwise(F.lit(TO_CYCLE)).alias("depth"), (~ends).alias("on_cycle"))
+    found = stored(found)
+    for moved, led, over in reversed(levels):
+        found = found.unionByName(over)
+        # A hung tree lies on a cycle if one that led through it does.
+        on = led.join(found.where("on_cycle").select("x"), "x", "left_semi").select(F.col("via").alias("x"), F.lit(True).alias("on_cycle")).distinct()
+        above = found.select(F.col("x").alias("to"), "root", F.col("depth").alias("above"))
+        hung = moved.join(above, "to").select("x", "root", F.when(F.col("above") < 0, F.lit(TO_CYCLE)).otherwise(F.col("depth") + F.col("above")).alias("depth"))
+        found = found.unionByName(stored(hung.join(on, "x", "left").withColumn("on_cycle", F.coalesce("on_cycle", F.lit(False)))))
+    return found
+
+
+def _further(graph: DataFrame, nodes: int) -> DataFrame:
+    """(x, path) of a contracted graph without cycles: each node's pieces of path along the exits, joined two at a time."""
+    ids = graph.select(F.col("v").alias("to"), F.lit(True).alias("known"))
+    s = cut(graph.withColumn("to", F.col("exit")).join(ids, "to", "left").select(F.col("v").alias("x"), F.when(F.col("known"), F.col("to")).alias("to"), "path"))
     for _ in range(math.ceil(math.log2(max(nodes, 2))) + 1):
         if s.where("to is not null").isEmpty():
             break
-        b = s.select(F.col("x").alias("to"), F.col("to").alias("to2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("low").alias("low2"), *([F.col("path").alias("path2")] if with_path else []))
-        going = F.col("to").isNotNull()
-        cyclic = F.col("root2").isNotNull() & (F.col("depth2") < 0)
-        s = cut(s.join(b, "to", "left").select(
-            "x", F.col("to2").alias("to"), F.when(going, F.col("root2")).otherwise(F.col("root")).alias("root"),
-            F.when(going, F.when(cyclic, F.lit(TO_CYCLE)).otherwise(F.col("depth") + F.col("depth2"))).otherwise(F.col("depth")).alias("depth"),
-            F.least("low", "low2").alias("low"), *([F.when(going, F.concat("path", "path2")).otherwise(F.col("path")).alias("path")] if with_path else []),
-        ))
-    at_cycle = s.where("to is not null").select("to").distinct()
-    lows = s.join(at_cycle.select(F.col("to").alias("x")), "x").select(F.col("x").alias("to"), F.col("low").alias("cycle"))
-    return s.join(lows, "to", "left").join(at_cycle.select(F.col("to").alias("x"), F.lit(True).alias("on")), "x", "left").select(
-        "x", F.coalesce("root", "cycle").alias("root"), F.when(F.col("to").isNotNull(), F.lit(TO_CYCLE)).otherwise(F.col("depth")).alias("depth"), F.coalesce("on", F.lit(False)).alias("on_cycle"), *path,
-    )
+        b = s.select(F.col("x").alias("to"), F.col("to").alias("to2"), F.col("path").alias("path2"))
+        s = cut(s.join(b, "to", "left").select("x", F.col("to2").alias("to"), F.when(F.col("to").isNotNull(), F.concat("path", "path2")).otherwise(F.col("path")).alias("path")))
+    return s.select("x", "path")
 
 
 def link_blocks(links: DataFrame, node: str, parent: str, locality: str | None = None, block_rows: int = 250_000) -> DataFrame:
@@ -169,17 +198,13 @@ def _cycle_members(level: DataFrame, exits: DataFrame) -> DataFrame:
     return lead.select("part", "v", "p", F.coalesce("entry", F.lit(False)).alias("entry")).groupBy("part").applyInPandas(lambda pdf: _walk(pdf), "v long")
 
 
-def resolve_hierarchy(links: DataFrame, node: str, parent: str, locality: str | None = None, block_rows: int = 250_000, merge_rows: int = 1_000_000, level: DataFrame | None = None) -> DataFrame:
-    """(node, root, depth) of every node; see the module's docstring. merge_rows bounds the block of the last merge."""
+def resolve_hierarchy(links: DataFrame, node: str, parent: str, locality: str | None = None, block_rows: int = 250_000, merge_rows: int = 250_000, level: DataFrame | None = None) -> DataFrame:
+    """(node, root, depth) of every node; see the module's docstring. merge_rows bounds the block of the last merge like block_rows those of the first."""
     level = level if level is not None else link_blocks(links, node, parent, locality, block_rows)
     leaves = level.where(F.col("kind") == OPEN)
     graph = cut(level.join(leaves.select(F.col("exit").alias("v")).distinct(), "v", "left_semi").select("v", "kind", "last", "exit", "dist", "low"))
     nodes = graph.count()
-    if nodes <= merge_rows:
-        exits = graph.repartition(1).mapInArrow(_merge, "x long, root long, depth long, on_cycle boolean")
-    else:
-        exits = _double(graph, nodes)
-    exits = cut(exits)
+    exits = cut(graph.repartition(1).mapInArrow(_merge, MERGED) if nodes <= merge_rows else _contract(graph, merge_rows))
     found = leaves.join(small(exits.withColumnRenamed("x", "exit"), nodes), "exit", "left").select(
         "v", F.coalesce("root", "last").alias("root"),
         F.when(F.col("root").isNull(), F.col("dist") - 1).when(F.col("depth") < 0, F.lit(TO_CYCLE)).otherwise(F.col("dist") + F.col("depth")).alias("depth"),
@@ -225,10 +250,10 @@ def _whole_paths(level: DataFrame, endless: DataFrame | None = None) -> DataFram
     paths = level.select("v", "p", "kind", "dist", "exit").mapInArrow(_local_paths, "v long, exit long, kind int, path array<long>")
     leaves = level.where(F.col("kind") == OPEN)
     wanted = level.join(leaves.select(F.col("exit").alias("v")).distinct(), "v", "left_semi").select("v", "kind", "last", "exit", "dist", "low")
-    # Nodes whose way never ends have no path, and doubling theirs would never end either.
+    # Nodes whose way never ends have no path, and joining theirs would never end either.
     wanted = wanted.join(endless, "v", "left_anti") if endless is not None else wanted
     graph = cut(wanted.join(paths.select("v", "path"), "v"))
-    further = _double(graph, graph.count(), with_path=True).select(F.col("x").alias("exit"), F.col("path").alias("more"))
+    further = _further(graph, graph.count()).select(F.col("x").alias("exit"), F.col("path").alias("more"))
     longer = F.when(F.col("more").isNotNull(), F.concat("path", "more")).otherwise(F.col("path"))
     return stored(paths.where(F.col("kind") != OPEN).select("v", "path").unionByName(paths.where(F.col("kind") == OPEN).join(further, "exit", "left").select("v", longer.alias("path"))))
 

@@ -65,6 +65,16 @@ def test_a_cycle_through_many_blocks(spark):
     assert got == brute(links)
 
 
+@pytest.mark.parametrize("merge_rows", [60, 5, 0])
+def test_many_levels_of_merging(spark, merge_rows):
+    """Tiny blocks and a tiny last one: long chains, wild links, cycles through many blocks with tails, all merged in several levels."""
+    n = 150
+    links = {i: (i + 1) % n for i in range(n)} | {1000 + i: i for i in range(0, n, 7)} | {2000: 1000} | {5000 + i: 5000 + (i * 37 + 11) % 151 for i in range(151)} | {9000 + i: 9001 + i for i in range(120)} | {k + 100_000: v and v + 100_000 for k, v in random_links(200, 9, 0.6).items()}
+    df = spark.createDataFrame([(v, p, v % 5) for v, p in links.items()], "id long, up long, place long")
+    got = {r.id: (r.root, r.depth) for r in H.resolve_hierarchy(df, "id", "up", "place", block_rows=20, merge_rows=merge_rows).collect()}
+    assert got == brute(links)
+
+
 def test_paths_and_descendants(spark):
     links = {1: 2, 2: 3, 3: None, 4: 3, 5: 99, 6: 7, 7: 6, 8: 7, 9: 9} | {100 + i: 101 + i for i in range(60)}
     df = spark.createDataFrame([(v, p, "x", v) for v, p in links.items()], "id long, up long, path string, root long")
