@@ -5,9 +5,11 @@ Events and versions are co-grouped by a hash bucket of the entity. In a bucket,
 later of its begin and its publication to its end; where several count, the latest publication wins, then the highest
 sequence, then the highest id. One binary search over all timelines of the bucket serves all its events at once.
 
-An entity with more than `hot_rows` events is cut into time slices of about that many events, and slices that are
-still larger are salted. Versions that cover a slice wholly are reduced to the winner before the shuffle, so a slice
-receives that one and those that begin or end within it, and never the entity's whole history.
+An entity with more than `hot_rows` events and versions is cut into time slices of about that many, and slices with
+more events are salted. Versions that cover a slice wholly are reduced to the winner before the shuffle, so a slice
+receives that one and those that begin or end within it, and never the entity's whole history. Of versions with the
+same period, dimension and publication only the winner is kept at all. What is known of hot entities (their slices and
+salts) is broadcast only if it is small by its counted rows, else joined by entity.
 
 Defined results: events without entity or day, and versions without entity, begin or publication, never match; an end
 that is null or in year 9999 is open; a null sequence or id ranks lowest; repeated events come out once; events
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.session import blocks, cut
+from chronoloom.session import BROADCAST_ROWS, blocks, cut, small, stored
 
 #: Days since 1970-01-01 of 9999-01-01; an end from there on is open.
 OPEN_DAY = 2932532
@@ -83,11 +85,16 @@ def _match(e: pa.Table, v: pa.Table, schema: pa.Schema) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _slices(ev: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
-    """(entity, bounds): the days at which the slices of a hot entity begin, from quantiles of its events."""
-    n = F.least(F.ceil(F.col("n") / hot_rows), F.lit(1000)).cast("int")
-    q = ev.join(F.broadcast(hot), "entity").groupBy("entity").agg(F.percentile_approx("day", [i / 1000 for i in range(1, 1000)], 20_000).alias("q"))
-    picks = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.element_at("q", (i * 1000 / n).cast("int")))
+#: Slices of one entity at most; slices of more events are salted.
+SLICES = 256
+
+
+def _slices(ev: DataFrame, ver: DataFrame, hot: DataFrame, hot_rows: int) -> DataFrame:
+    """(entity, bounds): the days at which the slices of a hot entity begin, from quantiles of the days of its events and versions."""
+    n = F.least(F.ceil(F.col("n") / hot_rows), F.lit(SLICES)).cast("int")
+    days = ev.select("entity", "day").unionByName(ver.select("entity", F.col("start").alias("day")))
+    q = days.join(hot.select("entity"), "entity", "left_semi").groupBy("entity").agg(F.percentile_approx("day", [i / SLICES for i in range(1, SLICES)], 10_000).alias("q"))
+    picks = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.element_at("q", (i * SLICES / n).cast("int")))
     return q.join(hot, "entity").select("entity", F.when(n > 1, F.array_sort(F.array_distinct(picks))).otherwise(F.array().cast("array<int>")).alias("bounds"))
 
 
@@ -107,22 +114,30 @@ def as_of_join(
     ).where("entity is not null and dim is not null and begins is not null and published is not null and start < end").drop("begins")
     n = blocks(spark, events.count(), bucket_rows)
     bucket = F.pmod(F.xxhash64("entity"), F.lit(n)).cast("int")
-    hot = cut(ev.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows))  # at most events / hot_rows rows
+    cols = [c for c in ver.columns if c not in ("entity", "dim", "start", "end", "published")]
+    # Repeated versions, and those that another of the same times always beats, go before the shuffle.
+    ver = ver.groupBy("entity", "dim", "start", "end", "published").agg(F.max(F.struct("seq", "id", *[c for c in cols if c not in ("seq", "id")])).alias("w")).select("entity", "dim", "start", "end", "published", "w.*")
+    rows = ev.groupBy("entity").agg(F.count("*").alias("n")).unionByName(ver.groupBy("entity").agg(F.count("*").alias("n")))
+    hot = cut(rows.groupBy("entity").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows))
     plain = F.lit(0).alias("slice"), F.lit(0).alias("salt")
-    if hot.isEmpty():
+    n_hot = hot.count()
+    if not n_hot:
         left, right = ev.select("*", bucket.alias("bucket"), *plain), ver.select("*", bucket.alias("bucket"), *plain)
     else:
-        bounds = _slices(ev, hot, hot_rows)
-        cold_e, cold_v = (x.join(F.broadcast(hot.select("entity")), "entity", "left_anti").select("*", bucket.alias("bucket"), *plain) for x in (ev, ver))
+        # A row of bounds is up to SLICES days, so fewer of them are small.
+        bounds = stored(_slices(ev, ver, hot, hot_rows))
+        with_bounds = lambda df: df.join(small(bounds, n_hot, BROADCAST_ROWS // SLICES), "entity")
+        cold_e, cold_v = (x.join(small(hot.select("entity"), n_hot), "entity", "left_anti").select("*", bucket.alias("bucket"), *plain) for x in (ev, ver))
         at = lambda day: F.size(F.filter("bounds", lambda b: b <= day))
-        he = ev.join(F.broadcast(bounds), "entity").withColumn("slice", at(F.col("day"))).drop("bounds")
+        he = with_bounds(ev).withColumn("slice", at(F.col("day"))).drop("bounds")
         salts = cut(he.groupBy("entity", "slice").agg(F.ceil(F.count("*") / hot_rows).cast("int").alias("salts")))
-        hot_e = he.join(F.broadcast(salts), ["entity", "slice"]).select("*", bucket.alias("bucket"), F.pmod(F.xxhash64("e_id", "day"), F.col("salts")).cast("int").alias("salt")).drop("salts")
-        hv = ver.join(F.broadcast(bounds), "entity").withColumn("lo", at(F.col("start"))).withColumn("hi", at(F.col("end") - 1)).drop("bounds")
+        n_salts = salts.count()
+        hot_e = he.join(small(salts, n_salts), ["entity", "slice"]).select("*", bucket.alias("bucket"), F.pmod(F.xxhash64("e_id", "day"), F.col("salts")).cast("int").alias("salt")).drop("salts")
+        hv = with_bounds(ver).withColumn("lo", at(F.col("start"))).withColumn("hi", at(F.col("end") - 1)).drop("bounds")
         edges = hv.withColumn("slice", F.explode(F.array_distinct(F.array("lo", "hi"))))
         cols = [c for c in ver.columns if c not in ("entity", "dim")]
         inner = hv.where("hi - lo > 1").withColumn("slice", F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1))).groupBy("entity", "dim", "slice").agg(F.max(F.struct("published", "seq", "id", *[c for c in cols if c not in ("published", "seq", "id")])).alias("w")).select("entity", "dim", "slice", "w.*")
-        hot_v = edges.drop("lo", "hi").unionByName(inner).join(F.broadcast(salts), ["entity", "slice"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").select("*", bucket.alias("bucket"))
+        hot_v = edges.drop("lo", "hi").unionByName(inner).join(small(salts, n_salts), ["entity", "slice"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").select("*", bucket.alias("bucket"))
         left, right = cold_e.unionByName(hot_e), cold_v.unionByName(hot_v)
     out = {f.name: f for f in right.schema}
     spark_schema = "e_id long, dim string, id long" + "".join(f", p_{c} {out[f'p_{c}'].dataType.simpleString()}" for c in payload)

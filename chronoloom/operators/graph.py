@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.operators.hierarchy import resolve_hierarchy
@@ -39,7 +39,7 @@ def chains(links: DataFrame, node: str, following: str) -> DataFrame:
     A link whose target several nodes name is kept for the smallest of them alone; nodes on cycles have no place.
     """
     one = links.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min(following).alias("next"))
-    taken = one.where("next is not null").withColumn("n", F.row_number().over(Window.partitionBy("next").orderBy("node"))).where("n = 1 and next <> node")
-    back = one.select("node").join(taken.select(F.col("next").alias("node"), F.col("node").alias("before")), "node", "left")
+    taken = one.where("next is not null").groupBy("next").agg(F.min("node").alias("before")).where("next <> before")  # combines before the shuffle, however many name one target
+    back = one.select("node").join(taken.withColumnRenamed("next", "node"), "node", "left")
     places = resolve_hierarchy(back, "node", "before")
     return places.where("depth >= 0").select(F.col("node").alias(node), F.col("root").alias("head"), (F.col("depth") + 1).alias("position"))

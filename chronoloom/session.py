@@ -14,10 +14,12 @@ BROADCAST_ROWS = 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only where none is set (tests, single machine)."""
+    """Use the shared folder the cluster names; a folder of our own is made only on a single machine (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="chronoloom-"))
 
 

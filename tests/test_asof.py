@@ -58,3 +58,13 @@ def test_payload_and_empty(spark):
     ev, ver = [(1, 1, D0, "event", 5)], [(1, "s", D0, None, D0, 1, 7, "version", 9)]
     assert [tuple(r) for r in join(spark, ev, ver, payload=("note", "f")).collect()] == [(1, "s", 7, "version", D0)]
     assert join(spark, [], ver).count() == join(spark, ev, []).count() == join(spark, [], []).count() == 0
+
+
+def test_an_entity_of_many_versions_is_cut_into_slices(spark):
+    """Few events but many versions, most of the same times, some over everything; hot by its versions alone."""
+    r = random.Random(8)
+    day = lambda k: D0 + timedelta(days=k)
+    ver = [(1, r.choice(["s", "t"]), day(r.randrange(90)), r.choice([None, day(r.randrange(60, 120))]), day(r.randrange(90)), r.choice([None, 1, 2]), i, "", 0) for i in range(600)]
+    ver += [(1, "s", D0, None, D0, 1, 10_000 + i, "", 0) for i in range(200)] + [(2, "s", D0, None, D0, 1, 5, "", 0)]
+    ev = [(i, 1 + i % 2, day(r.randrange(100)), "", 0) for i in range(40)]
+    assert {tuple(x) for x in join(spark, ev, ver, hot_rows=50).collect()} == brute(ev, ver)
