@@ -43,3 +43,25 @@ def chains(links: DataFrame, node: str, following: str) -> DataFrame:
     back = one.select("node").join(taken.withColumnRenamed("next", "node"), "node", "left")
     places = resolve_hierarchy(back, "node", "before")
     return places.where("depth >= 0").select(F.col("node").alias(node), F.col("root").alias("head"), (F.col("depth") + 1).alias("position"))
+
+
+def edges_both_ways(links: DataFrame, node: str, following: str) -> DataFrame:
+    """(node, relation, other): every link as NEXT and, from its target, as PREVIOUS; repeated links count once."""
+    one = links.where(F.col(node).isNotNull() & F.col(following).isNotNull()).select(F.col(node).alias("a"), F.col(following).alias("b")).distinct()
+    ways = F.array(F.struct(F.col("a").alias("node"), F.lit("NEXT").alias("relation"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.lit("PREVIOUS").alias("relation"), F.col("a").alias("other")))
+    return one.select(F.explode(ways).alias("e")).select("e.*")
+
+
+def cycles(links: DataFrame, node: str, following: str, within: list[str]) -> DataFrame:
+    """(within..., node, cycle): nodes on cycles of links that stay within a group, with the smallest node of their cycle.
+
+    within: columns that both ends of a link must share, null never shared; a node that names itself is a cycle of one.
+    """
+    at = links.where(F.col(node).isNotNull()).groupBy(node).agg(*[F.min(c).alias(c) for c in (following, *within)])
+    target = at.select(F.col(node).alias("_t"), *[F.col(c).alias(f"_{c}") for c in within])
+    shared = at.join(target, F.col(following) == F.col("_t"))
+    for c in within:
+        shared = shared.where(F.col(c) == F.col(f"_{c}"))
+    kept = cut(shared.select(F.col(node).alias("n"), F.col(following).alias("to")))
+    found = resolve_hierarchy(kept, "n", "to").where("depth = -1").select(F.col("n").alias(node), F.col("root").alias("cycle"))
+    return found.join(at.select(node, *within), node).select(*within, node, "cycle")

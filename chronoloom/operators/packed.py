@@ -99,14 +99,16 @@ def packed_values(df: DataFrame, field: str, out: str) -> DataFrame:
     """df with `out`, the array of the field's values in order, null where it holds none; no row is moved but by a join on the skeleton."""
     rows = df.withColumn("_skel", F.when(F.col(field).rlike(ORDINARY), skeleton(field)))
     rules = cut(rows.where("_skel is not null").select(F.col("_skel").alias("skel")).distinct().mapInPandas(_resolve, f"skel string, rule {RULE}"))
-    runs = F.regexp_extract_all(field, F.lit(f"({ORDINARY})"), 1)
-    value = F.transform("rule", lambda v: F.upper(F.concat_ws("", F.transform(v, lambda p: F.when(p.run >= 0, F.get(runs, p.run)).otherwise(p.text)))))
     ruled = rows.join(small(rules, rules.count()), F.col("_skel") == F.col("skel"), "left")
-    return ruled.withColumn(out, value).drop("_skel", "skel", "rule")
+    # Bound by a generator, so that the runs are extracted once a field and not once a piece.
+    runs = F.when(F.col("rule").isNotNull(), F.regexp_extract_all(field, F.lit(f"({ORDINARY})"), 1))
+    bound = ruled.withColumn("_runs", F.explode(F.array(runs)))
+    value = F.transform("rule", lambda v: F.upper(F.concat_ws("", F.transform(v, lambda p: F.when(p.run >= 0, F.get("_runs", p.run)).otherwise(p.text)))))
+    return bound.withColumn(out, value).drop("_skel", "skel", "rule", "_runs")
 
 
 def split_packed(df: DataFrame, row_id: str, field: str) -> DataFrame:
     """(row_id, position, value) of every value packed in the field; see the module's docstring."""
-    rows = df.select(F.col(row_id).alias("id"), F.col(field).alias("field")).where(F.col("id").isNotNull() & F.col("field").rlike(ORDINARY)).distinct()
+    rows = df.select(F.col(row_id).alias("id"), F.col(field).alias("field")).where(F.col("id").isNotNull() & F.col("field").rlike(ORDINARY))
     listed = packed_values(rows, "field", "values")
     return listed.select(F.col("id").alias(row_id), F.posexplode("values").alias("position", "value")).select(row_id, (F.col("position") + 1).alias("position"), "value").distinct()

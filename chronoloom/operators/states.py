@@ -48,6 +48,17 @@ def amendment_sides(changes: DataFrame, obs: DataFrame, signature: list[str], fi
     return at.join(obs.select("key", F.col("ord").alias("seen"), *signature, F.col(first).alias("first"), F.col(last).alias("last")), ["key", "seen"]).drop("seen")
 
 
+def presence_sides(obs: DataFrame, deliveries: int, signature: list[str], first: str, last: str) -> DataFrame:
+    """Like amendment_sides, from the observations in one pass: keys that come (added) or are gone after their last row (removed)."""
+    w = Window.partitionBy("key").orderBy("ord")
+    near = obs.select("key", "ord", *signature, F.col(first).alias("first"), F.col(last).alias("last"), F.lag("ord").over(w).alias("_was"), F.lead("ord").over(w).alias("_next"))
+    side = lambda on, at, name: F.when(on, F.struct(at.cast("int").alias("ord"), F.lit(name).alias("side")))
+    came = (F.col("ord") > 0) & (F.col("_was").isNull() | (F.col("_was") < F.col("ord") - 1))
+    gone = (F.col("ord") < deliveries - 1) & (F.col("_next").isNull() | (F.col("_next") > F.col("ord") + 1))
+    sides = near.withColumn("_s", F.explode(F.array(side(came, F.col("ord"), "added"), side(gone, F.col("ord") + 1, "removed")))).where("_s is not null")
+    return sides.select("_s.ord", "key", "_s.side", *signature, "first", "last")
+
+
 def amendments(sides: DataFrame, signature: list[str]) -> DataFrame:
     """(ord, removed_key, added_key, partners_removed, partners_added): pairs of the same signature whose periods overlap.
 
@@ -58,9 +69,8 @@ def amendments(sides: DataFrame, signature: list[str]) -> DataFrame:
     gone = known.where("side = 'removed'").select("ord", *signature, F.col("key").alias("removed_key"), F.col("first").alias("f1"), F.col("last").alias("l1"))
     new = known.where("side = 'added'").select("ord", *signature, F.col("key").alias("added_key"), F.col("first").alias("f2"), F.col("last").alias("l2"))
     pairs = gone.join(new, ["ord", *signature]).where(overlap(F.col("f1"), F.col("l1"), F.col("f2"), F.col("l2"))).select("ord", *signature, "removed_key", "added_key")
-    r = pairs.groupBy("ord", "removed_key").agg(F.count("*").alias("partners_removed"))
-    a = pairs.groupBy("ord", "added_key").agg(F.count("*").alias("partners_added"))
-    return pairs.join(r, ["ord", "removed_key"]).join(a, ["ord", "added_key"])
+    partners = lambda c: F.count("*").over(Window.partitionBy("ord", c))
+    return pairs.select("*", partners("removed_key").alias("partners_removed"), partners("added_key").alias("partners_added"))
 
 
 def ambiguous_groups(pairs: DataFrame, signature: list[str]) -> DataFrame:
@@ -120,3 +130,17 @@ def part_facts(total: str, parts: list[str], included: str, within: str) -> list
     for c in parts:
         summed = summed + F.col(c)
     return [known.alias("all_known"), (least >= 0).alias("none_negative"), (summed == F.col(total)).alias("adds_up"), (F.col(included) <= F.col(within)).alias("included_fits")]
+
+
+def gap_flags(states: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """(key, open_ord, opens_after_gap, closes_after_gap): whether expected deliveries that don't count lie just before a state's opening or closing, so that its boundary is only known to lie between."""
+    gap = F.broadcast(comparisons.select(F.col("ord").alias("_o"), (F.col("skipped") > 0).alias("_gap")))  # one row a delivery
+    at = lambda df, c, out: df.join(gap, F.col(c) == F.col("_o"), "left").withColumn(out, F.coalesce("_gap", F.lit(False))).drop("_o", "_gap")
+    return at(at(states, "open_ord", "opens_after_gap"), "close_ord", "closes_after_gap").select("key", "open_ord", "opens_after_gap", "closes_after_gap")
+
+
+def top(rows: DataFrame, by: str, limit: int, *ties: str) -> DataFrame:
+    """The `limit` greatest rows with their rank from 1, ties settled by further columns; never a sort of all rows."""
+    order = [F.col(by).desc(), *[F.col(c).asc_nulls_last() for c in ties]]
+    few = rows.orderBy(*order).limit(limit)
+    return few.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -274,9 +274,7 @@ def snapshot_comparisons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> DataFrame:
-    obs = _observed(spark, d)
-    changes = snapshots.diff(obs, deliveries_of(spark, d).count(), CONTENT)
-    return states.amendment_sides(changes, obs, _SIGN, "effective_date", "discontinue_date")
+    return states.presence_sides(_observed(spark, d), deliveries_of(spark, d).count(), _SIGN, "effective_date", "discontinue_date")
 
 
 _S = ", ".join(_SIGN)
@@ -559,3 +557,35 @@ SELECT ord, key, change_type, '__presence__' AS field, CASE WHEN po IS NULL THEN
 def schedule_field_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every change from one delivery to the next with old and new value, added and removed keys by their presence."""
     return snapshots.field_changes(_observed(spark, d), deliveries_of(spark, d).count(), CONTENT)
+
+
+_SKIPS = "SELECT y.o AS ord, (SELECT count(*) FROM schedule_snapshot_calendar c WHERE c.expected_publish_date > x.day AND c.expected_publish_date < y.day) > 0 AS gap FROM cal x JOIN cal y ON y.o = x.o + 1"
+
+
+@query(_STATES + f", skips AS ({_SKIPS}) SELECT st.key, st.open_ord, coalesce(a.gap, false) AS opens_after_gap, coalesce(b.gap, false) AS closes_after_gap FROM st LEFT JOIN skips a ON a.ord = st.open_ord LEFT JOIN skips b ON b.ord = st.close_ord")
+def state_gap_flags(spark: SparkSession, d: str) -> DataFrame:
+    """States whose opening or closing is only known to lie in a gap between deliveries."""
+    return states.gap_flags(_states(spark, d), snapshot_comparisons(spark, d))
+
+
+@query(_OBS + f", m AS (SELECT {_M}, count(DISTINCT key) AS keys FROM obs WHERE NOT ({NO_STATION}) GROUP BY {_M}) SELECT * FROM (SELECT {_M}, keys, CAST(row_number() OVER (ORDER BY keys DESC, {', '.join(c + ' NULLS LAST' for c in _MARKET)}) AS INTEGER) AS rank FROM m) WHERE rank <= 10")
+def largest_markets(spark: SparkSession, d: str) -> DataFrame:
+    """The ten markets with the most schedule keys."""
+    per = _good(spark, d).groupBy(*_MARKET).agg(F.countDistinct("key").alias("keys"))
+    return states.top(per, "keys", 10, *_MARKET)
+
+
+@query("SELECT DISTINCT unnest([flight_id, next_flight_id]) AS node, unnest(['NEXT', 'PREVIOUS']) AS relation, unnest([next_flight_id, flight_id]) AS other FROM aircraft_flight WHERE flight_id IS NOT NULL AND next_flight_id IS NOT NULL")
+def link_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Links and their inverses, one hop."""
+    return graph.edges_both_ways(table(spark, d, "aircraft_flight", "flight_id", "next_flight_id"), "flight_id", "next_flight_id")
+
+
+@query("""WITH RECURSIVE f AS (SELECT flight_id, min(next_flight_id) AS nxt, min(aircraft_id) AS aircraft_id, min(flight_departure_date) AS flight_departure_date FROM aircraft_flight WHERE flight_id IS NOT NULL GROUP BY flight_id),
+l AS (SELECT f.flight_id, f.nxt FROM f JOIN f g ON g.flight_id = f.nxt AND g.aircraft_id = f.aircraft_id AND g.flight_departure_date = f.flight_departure_date),
+r(s, c) AS (SELECT flight_id, nxt FROM l UNION SELECT r.s, l.nxt FROM r JOIN l ON l.flight_id = r.c),
+oncycle AS (SELECT s AS n FROM r WHERE s = c)
+SELECT f.aircraft_id, f.flight_departure_date, f.flight_id, min(r.c) AS cycle FROM oncycle JOIN r ON r.s = oncycle.n JOIN f ON f.flight_id = oncycle.n GROUP BY 1, 2, 3""")
+def rotation_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Flights on endless rotations within one aircraft and day."""
+    return graph.cycles(table(spark, d, "aircraft_flight", "flight_id", "next_flight_id", "aircraft_id", "flight_departure_date"), "flight_id", "next_flight_id", ["aircraft_id", "flight_departure_date"])
