@@ -136,8 +136,8 @@ def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
         _minutes(F.lit(0), F.col("passenger_departure_utc_time")).alias("clock"), F.col("intermediate_stop_station_codes_iata").alias("packed"),
     )
     one = packed_values(one, "packed", "stops")
-    for c in ("oc", "mc"):  # a reference table's size is fixed by the industry, some thousand codes
-        one = one.join(F.broadcast(airlines.select(F.col("code").alias(c), F.col("ids").alias(f"{c}_ids"))), c, "left")
+    for c in ("oc", "mc"):
+        one = one.join(airlines.select(F.col("code").alias(c), F.col("ids").alias(f"{c}_ids")), c, "left")
     none = F.array().cast("array<bigint>")
     carriers = F.when(F.col("oc_ids").isNull() | F.col("mc_ids").isNull() | (F.col("oc") == F.col("mc")), F.coalesce("oc_ids", "mc_ids", none)).otherwise(F.array_union("oc_ids", "mc_ids"))
     rows = one.select("pid", "num", "day", _utc(F.col("l_off"), F.col("u_off"), F.col("o_off")).alias("start"), _utc(F.col("l_on"), F.col("u_on"), F.col("o_on")).alias("end"), "clock", carriers.alias("carriers"), "dep", "arr", F.coalesce("stops", F.array().cast("array<string>")).alias("stops"))
@@ -152,7 +152,8 @@ def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
 def flown_legs(flights: DataFrame, airports: DataFrame) -> DataFrame:
     """Flown legs, one row each: (fid, fnum, fday, fdep, farr, c1, c2, foff, fon, astray); of repeated rows the greatest of each attribute, as these may say less but nothing else."""
     # An id that versions give several codes gets the smallest, and a missing code the id itself.
-    iata = airports.groupBy(F.col("airport_id").alias("a")).agg(F.min(F.upper(F.trim("airport_code_iata"))).alias("iata"))
+    iata = cut(airports.groupBy(F.col("airport_id").alias("a")).agg(F.min(F.upper(F.trim("airport_code_iata"))).alias("iata")))
+    iata = small(iata, iata.count())
     minute = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 60).cast("int")
     # The date as given comes before that of the local time, and this before that in UTC.
     ranked = lambda rank, day: F.lit(rank * 10_000_000) + F.unix_date(day)
@@ -162,7 +163,7 @@ def flown_legs(flights: DataFrame, airports: DataFrame) -> DataFrame:
         code(F.col("operating_carrier_code")).alias("c1"), code(F.col("marketing_carrier_code")).alias("c2"), minute("actual_gate_departure_time_utc").alias("foff"), minute("actual_gate_arrival_time_utc").alias("fon"),
         (F.coalesce(F.col("is_diverted") == 1, F.lit(False)) | F.col("diverted_airport_code").isNotNull()).alias("astray"),
     )
-    at = lambda c: F.broadcast(iata.select(F.col("a").alias(c), code(F.coalesce("iata", "a")).alias(f"{c}_code")))
+    at = lambda c: iata.select(F.col("a").alias(c), code(F.coalesce("iata", "a")).alias(f"{c}_code"))
     one = one.join(at("da"), "da", "left").join(at("aa"), "aa", "left").select("fid", "fnum", "fday", F.coalesce("da_code", code(F.col("da"))).alias("fdep"), F.coalesce("aa_code", code(F.col("aa"))).alias("farr"), "c1", "c2", "foff", "fon", "astray")
     merged = one.groupBy("fid").agg(*[F.max(c).alias(c) for c in one.columns[1:]])
     return merged.withColumn("fday", F.pmod(F.col("fday") + 5_000_000, F.lit(10_000_000)) - 5_000_000)
@@ -187,7 +188,7 @@ class Rarity:
         rows, total = self.size[kind]
         mine = self.counts.where(F.col("kind") == self.KINDS.index(kind)).select(F.col("value").alias("v"), "n")
         if kind == "carrier":  # counted by code, asked for by id
-            mine = mine.join(F.broadcast(self.airlines), F.col("v") == F.col("code")).select(F.explode("ids").alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n"))
+            mine = mine.join(self.airlines, F.col("v") == F.col("code")).select(F.explode("ids").alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n"))
         share = (F.col("n") + (EVENLY / values if values else 0)) / F.lit(float(max(total, 1) + (EVENLY if values else 0)))
         return small(mine.select(F.col("v").alias(value), F.greatest(F.lit(least), -F.log(share)).cast("float").alias(info)), rows)
 
@@ -267,7 +268,8 @@ def _in_blocks(rows: DataFrame, first: Column, second: Column) -> DataFrame:
 
 def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airports: DataFrame) -> DataFrame:
     """(flight_id, historical_source_row_id, leg, confidence): flown legs and the plan rows whose service they flew."""
-    ids = codes_to_ids(airlines, "airline_id", ["carrier_code_iata", "carrier_code_icao"])
+    ids = cut(codes_to_ids(airlines, "airline_id", ["carrier_code_iata", "carrier_code_icao"]))
+    ids = small(ids, ids.count())
     rare = Rarity(plans, ids)
     legs = planned_legs(plans, ids).where("day is not null").join(rare.of("number", "num", "i_num", NUMBERS), "num", "left").join(rare.of("day", "day", "i_day", DAYS), "day", "left")
     legs = stored(_packed(legs.join(rare.of("station", "dep", "i_dep"), "dep", "left").join(rare.of("station", "arr", "i_arr"), "arr", "left"), "p_info", P_INFO))

@@ -125,7 +125,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, sh
         heads = g.groupBy("mix_id", "source", "_g").agg(F.sum(size).alias("_n"))
         heads = heads.select("mix_id", "source", "_g", (F.sum("_n").over(Window.partitionBy("mix_id", "source").orderBy("_g")) - F.col("_n")).alias("_a"))
         here = F.sum(size).over(Window.partitionBy("mix_id", "source", "_g").orderBy("shard")) - F.col(size)
-        return g.withColumn("_h", here).join(F.broadcast(heads), ["mix_id", "source", "_g"]).withColumn(out, F.col("_a") + F.col("_h")).drop("_g", "_a", "_h")
+        return g.withColumn("_h", here).join(heads, ["mix_id", "source", "_g"]).withColumn(out, F.col("_a") + F.col("_h")).drop("_g", "_a", "_h")
 
     first = prefix(drawn, "drawn", "before").join(F.broadcast(caps), ["mix_id", "source"])
     kept = F.greatest(F.lit(0), F.least(F.col("drawn"), F.col("most") - F.col("before")))
@@ -134,7 +134,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 256, sh
     totals = first.groupBy("mix_id", "source").agg(F.sum("drawn").alias("all"))
     over = first.groupBy("mix_id", "shard").agg(F.sum(F.col("drawn") - F.col("kept")).alias("over"))
     sums = first.groupBy("mix_id").agg(F.sum(F.col("drawn") - F.col("kept")).alias("all_over"))
-    roomy = first.join(F.broadcast(totals), ["mix_id", "source"]).join(F.broadcast(sums), "mix_id").join(over, ["mix_id", "shard"]).withColumn("takes", (F.col("most") - F.col("all") >= F.col("all_over")) & (F.col("over") > 0))
+    roomy = first.join(totals, ["mix_id", "source"]).join(sums, "mix_id").join(over, ["mix_id", "shard"]).withColumn("takes", (F.col("most") - F.col("all") >= F.col("all_over")) & (F.col("over") > 0))
     w = Window.partitionBy("mix_id", "shard")
     upto = F.sum(F.when(F.col("takes"), F.col("weight")).otherwise(0.0)).over(w.orderBy("source"))
     whole = F.sum(F.when(F.col("takes"), F.col("weight")).otherwise(0.0)).over(w)

@@ -23,6 +23,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,24 +56,27 @@ def sentences(text: str) -> list[str]:
     return [x for x in _END.split(text) if x]
 
 
+@lru_cache(maxsize=300_000)
+def _plain(token: str) -> tuple[str, ...]:
+    """The words of a lower-case token, none if it is a number or a code."""
+    if token.isalpha():
+        return (_LONG.sub(r"\1", token),)
+    t = token.rstrip("!|+$@")
+    if t and not t.isalpha() and "*" not in t and any(c.isalpha() for c in t) and any(c.isdigit() or c in "@$+!|" for c in t):
+        t = t.translate(STAND_INS)
+    t = _LONG.sub(r"\1", t)
+    if not t or any(c.isdigit() for c in t):
+        return ()
+    return tuple(p for p in re.split(r"['’-]", t) if p) if "-" in t and "*" not in t else (t,)
+
+
 def words_of(sentence: str) -> list[str]:
     """The undisguised lower-case words of a sentence; masked words keep their asterisks."""
     if not sentence.isascii():
         sentence = sentence.translate(LOOKALIKES)
     sentence = _SPACED.sub(lambda m: re.sub(r"[.\-_·]", "", m.group()) + " ", sentence)
     sentence = _GAPPED.sub(lambda m: m.group().replace(" ", ""), sentence).lower()
-    words: list[str] = []
-    for t in _TOKEN.findall(sentence):
-        if t.isalpha():
-            words.append(_LONG.sub(r"\1", t))
-            continue
-        t = t.rstrip("!|+$@")
-        if t and not t.isalpha() and "*" not in t and any(c.isalpha() for c in t) and (any(c.isdigit() or c in "@$+!|" for c in t)):
-            t = t.translate(STAND_INS)
-        t = _LONG.sub(r"\1", t)
-        if t and not any(c.isdigit() for c in t):
-            words += [p for p in re.split(r"['’-]", t) if p] if ("-" in t and "*" not in t) else [t]
-    return words
+    return [w for t in _TOKEN.findall(sentence) for w in _plain(t)]
 
 
 def plain_words(text: str) -> list[list[str]]:
