@@ -109,7 +109,7 @@ class Engine:
 
     def type_engine_histories(self, aircraft_id: object) -> DataFrame:
         events = self._of(plans._events(self.spark, self.folder), as_id(aircraft_id))
-        return versioning.with_previous(versioning.daily(events, plans.ORDER, "existence_to")).orderBy("dimension", "valid_from")
+        return versioning.with_previous(versioning.daily(events, plans.ORDER, "existence_to"), ["aircraft_type"]).orderBy("dimension", "valid_from")
 
     #: Kinds of changes in the order in which they are listed.
     CHANGES = ("ADDED", "REMOVED", "CHANGED", "PAIRED", "AMBIGUOUS", "UNPAIRED_REMOVED", "UNPAIRED_ADDED")

@@ -96,6 +96,20 @@ def compatibility(planned: DataFrame, legs: DataFrame) -> DataFrame:
     return planned.join(legs.select("flight_id", F.col("flight_departure_date").alias("operating_date"), F.col("number").alias("flight_number"), "origin", "destination"), ["operating_date", "flight_number", "origin", "destination"]).select("flight_id", "historical_source_row_id", "leg_index")
 
 
+def with_roles(pairs: DataFrame, planned: DataFrame, flown: DataFrame, claims: DataFrame) -> DataFrame:
+    """pairs with operating_agrees and marketing_agrees: whether the carrier in each role is the same; null where a side has none or its code names no or several carriers.
+
+    planned: (historical_source_row_id, operating, marketing) codes; flown: (flight_id, operating_carrier_code,
+    marketing_carrier_code) ids; claims: (method, code, id) of a reference table, whichever notation a code is in.
+    """
+    one = claims.groupBy("code").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).where("n = 1")
+    rows = planned
+    for role in ("operating", "marketing"):
+        rows = rows.join(one.select(F.col("code").alias(role), F.col("id").alias(f"{role}_id")), role, "left")
+    x = pairs.join(rows.select("historical_source_row_id", "operating_id", "marketing_id"), "historical_source_row_id").join(flown, "flight_id")
+    return x.select(*pairs.columns, (F.col("operating_id") == F.col("operating_carrier_code")).alias("operating_agrees"), (F.col("marketing_id") == F.col("marketing_carrier_code")).alias("marketing_agrees"))
+
+
 def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Pairs whose ends have no other partner."""
     alone = lambda c, o: pairs.groupBy(c).agg(F.countDistinct(o).alias("n")).where("n = 1").select(c)

@@ -80,6 +80,14 @@ def ambiguous_groups(pairs: DataFrame, signature: list[str]) -> DataFrame:
     return doubtful.groupBy("ord", *signature).agg((F.countDistinct("removed_key") + F.countDistinct("added_key")).alias("members"), keys("removed_key").alias("removed"), keys("added_key").alias("added"))
 
 
+def ambiguous_members(pairs: DataFrame, signature: list[str]) -> DataFrame:
+    """(group_id, ord, signature..., side, key): the keys of pairs that are not one to one, one row each; a group is a signature in a delivery."""
+    doubtful = pairs.where("partners_removed > 1 or partners_added > 1")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_key").alias("key")) for s in ("removed", "added")])
+    group = F.sha2(F.concat_ws("|", F.col("ord").cast("string"), *signature), 256)
+    return doubtful.select(group.alias("group_id"), "ord", *signature, F.explode(sides).alias("m")).select("group_id", "ord", *signature, "m.side", "m.key").distinct()
+
+
 def unpaired(sides: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sides that take part in no pair."""
     taken = pairs.select("ord", F.col("removed_key").alias("key")).unionByName(pairs.select("ord", F.col("added_key").alias("key")))

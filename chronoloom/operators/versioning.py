@@ -89,14 +89,28 @@ def composition(versions: DataFrame, by: str, state: tuple[str, str], start: str
     return at.where(F.col("dimension") == by).join(holds, ["entity", "month_end"]).groupBy("month_end", F.col("value").alias("label")).agg(F.countDistinct("entity").alias("entities"))
 
 
-def with_previous(versions: DataFrame) -> DataFrame:
-    """Versions with the value before and whether it changed: false for the first, true where a known value was left, false where one appears after none."""
+def with_previous(versions: DataFrame, compared: list[str] | None = None) -> DataFrame:
+    """Versions with the value before and whether it changed: false for the first, true where a known value was left, false where one appears after none; null in dimensions other than `compared`."""
     w = Window.partitionBy(*KEYS).orderBy("valid_from")
     v = versions.select("*", F.lag("value").over(w).alias("previous"))
-    return v.withColumn("is_change", F.when(F.col("previous").isNull(), False).otherwise(~F.col("value").eqNullSafe(F.col("previous"))))
+    changed = F.when(F.col("previous").isNull(), False).otherwise(~F.col("value").eqNullSafe(F.col("previous")))
+    return v.withColumn("is_change", changed if compared is None else F.when(F.col("dimension").isin(compared), changed))
 
 
 def close_disagreements(versions: DataFrame, declared_to: str) -> DataFrame:
     """Versions whose declared end differs from the one derived from their successor; an integrity guard, empty where all is well."""
     w = Window.partitionBy(*KEYS).orderBy("valid_from")
     return versions.withColumn("derived_to", F.lead("valid_from").over(w)).where(F.col("derived_to").isNotNull() & ~F.col("derived_to").eqNullSafe(F.col(declared_to)))
+
+
+def first_return(audited: DataFrame, state: str) -> DataFrame:
+    """(dimension, entity, left_day, left_to, return_day, between): every time an entity leaves a state, with its first return to it, null if none, and how many versions lie between.
+
+    audited: (dimension, entity, day, value, ordinal), as from `audit`.
+    """
+    w = Window.partitionBy("dimension", "entity").orderBy("ordinal")
+    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    back = F.when(F.col("value") == state, F.struct("ordinal", "day"))
+    seen = audited.select("*", F.lag("value").over(w).alias("_was"), F.min(back).over(ahead).alias("_back"))
+    left = seen.where((F.col("_was") == state) & ~F.coalesce(F.col("value") == state, F.lit(False)))
+    return left.select("dimension", "entity", F.col("day").alias("left_day"), F.col("value").alias("left_to"), F.col("_back.day").alias("return_day"), (F.col("_back.ordinal") - F.col("ordinal")).alias("between"))

@@ -127,9 +127,9 @@ def composition_pivot(spark: SparkSession, d: str) -> DataFrame:
     return _composition(spark, d).where("label is not null").groupBy("month_end").pivot("label").agg(F.sum("entities")).na.fill(0)
 
 
-@query(_E + "SELECT *, lag(value) OVER w AS previous, CASE WHEN lag(value) OVER w IS NULL THEN false ELSE value IS DISTINCT FROM lag(value) OVER w END AS is_change FROM daily WINDOW w AS (PARTITION BY dimension, entity ORDER BY valid_from)")
+@query(_E + "SELECT *, lag(value) OVER w AS previous, CASE WHEN dimension <> 'aircraft_type' THEN NULL WHEN lag(value) OVER w IS NULL THEN false ELSE value IS DISTINCT FROM lag(value) OVER w END AS is_change FROM daily WINDOW w AS (PARTITION BY dimension, entity ORDER BY valid_from)")
 def independent_histories(spark: SparkSession, d: str) -> DataFrame:
-    return versioning.with_previous(_versions(spark, d))
+    return versioning.with_previous(_versions(spark, d), ["aircraft_type"])
 
 
 @query(_E + ", n AS (SELECT dimension, entity, day, aircraft_history_id, value FROM audit), s AS (SELECT entity, value AS status, valid_from AS sf, valid_to AS st FROM daily WHERE dimension = 'aircraft_status') SELECT n.entity, n.day, n.value AS type_label, s.status FROM n JOIN s ON s.entity = n.entity AND s.sf <= n.day AND n.day < s.st WHERE n.dimension = 'aircraft_type'")
@@ -263,9 +263,11 @@ def state_lineage(spark: SparkSession, d: str) -> DataFrame:
     return states.lineage(_good(spark, d, "normalized_row_hash"), CONTENT, "normalized_row_hash")
 
 
-@query(_OBS + "SELECT departure_station_code_iata AS departure, arrival_station_code_iata AS arrival, count(*) AS observations, count(DISTINCT key) AS keys FROM obs GROUP BY 1, 2")
+@query(_OBS + "SELECT departure_station_code_iata AS departure, arrival_station_code_iata AS arrival, (departure_station_code_iata IS NOT NULL AND arrival_station_code_iata IS NOT NULL) AS complete, count(*) AS observations, count(DISTINCT key) AS keys FROM obs GROUP BY 1, 2, 3")
 def routes(spark: SparkSession, d: str) -> DataFrame:
-    return _observed(spark, d).groupBy(F.col("departure_station_code_iata").alias("departure"), F.col("arrival_station_code_iata").alias("arrival")).agg(F.count("*").alias("observations"), F.countDistinct("key").alias("keys"))
+    """Routes with how often they were observed; those that lack a station are kept and told apart."""
+    ends = F.col("departure_station_code_iata"), F.col("arrival_station_code_iata")
+    return _observed(spark, d).groupBy(ends[0].alias("departure"), ends[1].alias("arrival"), (ends[0].isNotNull() & ends[1].isNotNull()).alias("complete")).agg(F.count("*").alias("observations"), F.countDistinct("key").alias("keys"))
 
 
 @query(_OBS + "SELECT y.o AS ord, x.day AS earlier, y.day AS later, (SELECT count(*) FROM schedule_snapshot_calendar c WHERE c.expected_publish_date > x.day AND c.expected_publish_date < y.day) AS skipped, CAST(y.day - x.day AS INTEGER) AS days FROM cal x JOIN cal y ON y.o = x.o + 1")
@@ -589,3 +591,61 @@ SELECT f.aircraft_id, f.flight_departure_date, f.flight_id, min(r.c) AS cycle FR
 def rotation_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Flights on endless rotations within one aircraft and day."""
     return graph.cycles(table(spark, d, "aircraft_flight", "flight_id", "next_flight_id", "aircraft_id", "flight_departure_date"), "flight_id", "next_flight_id", ["aircraft_id", "flight_departure_date"])
+
+
+@query(_E + """SELECT dimension, entity, day AS left_day, value AS left_to, (SELECT b.day FROM audit b WHERE b.dimension = x.dimension AND b.entity = x.entity AND b.ordinal = x.back) AS return_day, back - ordinal AS between FROM (
+ SELECT *, lag(value) OVER (PARTITION BY dimension, entity ORDER BY ordinal) AS was, min(CASE WHEN value = 'In Service' THEN ordinal END) OVER (PARTITION BY dimension, entity ORDER BY ordinal ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS back FROM audit) x
+ WHERE was = 'In Service' AND value IS DISTINCT FROM 'In Service'""")
+def first_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Departures from service with the first return to it, however many versions lie between."""
+    return versioning.first_return(versioning.audit(_events(spark, d), ORDER), "In Service")
+
+
+@query(_STATES + "SELECT open_kind, close_kind, count(*) AS states, sum(seen)::BIGINT AS observations FROM st GROUP BY CUBE (open_kind, close_kind)")
+def state_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """States by how they open and close, with all subtotals; null stands for any."""
+    return _states(spark, d).cube("open_kind", "close_kind").agg(F.count("*").alias("states"), F.sum("seen").alias("observations"))
+
+
+@query(_SIDES + f"""SELECT DISTINCT sha256(concat_ws('|', CAST(ord AS VARCHAR), {_S})) AS group_id, ord, {_S}, side, CASE side WHEN 'removed' THEN removed_key ELSE added_key END AS key FROM counted CROSS JOIN (VALUES ('removed'), ('added')) v(side) WHERE partners_removed > 1 OR partners_added > 1""")
+def ambiguous_members(spark: SparkSession, d: str) -> DataFrame:
+    return states.ambiguous_members(states.amendments(_sides(spark, d), _SIGN), _SIGN)
+
+
+@query("""SELECT CASE WHEN c.expected_publish_date IS NULL THEN 'OUTSIDE' WHEN c.is_present AND c.is_complete THEN 'COUNTS' ELSE 'INCOMPLETE' END AS delivery, s.schedule_key IS NOT NULL AS has_key, s.departure_station_code_iata IS NOT NULL AND s.arrival_station_code_iata IS NOT NULL AS has_stations, count(*) AS rows
+FROM schedule_snapshot s LEFT JOIN (SELECT DISTINCT expected_publish_date, is_present, is_complete FROM schedule_snapshot_calendar) c ON c.expected_publish_date = s.publish_date GROUP BY 1, 2, 3""")
+def delivered_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All delivered rows by what keeps them from counting."""
+    cal = table(spark, d, "schedule_snapshot_calendar", "expected_publish_date", "is_present", "is_complete").distinct()
+    rows = table(spark, d, "schedule_snapshot", "schedule_key", "publish_date", "departure_station_code_iata", "arrival_station_code_iata")
+    x = rows.join(F.broadcast(cal), F.col("publish_date") == F.col("expected_publish_date"), "left")  # one row a delivery
+    delivery = F.when(F.col("expected_publish_date").isNull(), "OUTSIDE").when(F.col("is_present") & F.col("is_complete"), "COUNTS").otherwise("INCOMPLETE")
+    return x.groupBy(delivery.alias("delivery"), F.col("schedule_key").isNotNull().alias("has_key"), F.expr(f"not ({NO_STATION})").alias("has_stations")).agg(F.count("*").alias("rows"))
+
+
+def _roles(spark: SparkSession, d: str) -> DataFrame:
+    claims = resolve.candidates(table(spark, d, "airline_reference"), "airline_id", _METHODS)
+    order = [F.col("publish_date").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("departure_station_code_iata", "arrival_station_code_iata", "intermediate_stop_station_codes_iata", "operating_carrier_internal", "marketing_carrier_internal")]]
+    plans = resolve.first_row(table(spark, d, "passenger_historical").where("historical_source_row_id is not null"), ["historical_source_row_id"], order)
+    code = lambda c: F.upper(F.trim(c))
+    planned = plans.select("historical_source_row_id", code("operating_carrier_internal").alias("operating"), code("marketing_carrier_internal").alias("marketing"))
+    return flights.with_roles(_compatible(spark, d), planned, _actual(spark, d).select("flight_id", "operating_carrier_code", "marketing_carrier_code"), claims)
+
+
+_ROLES = _COMPAT + """, one AS (SELECT code, min(id) AS id FROM (SELECT carrier_code_iata AS code, airline_id AS id FROM airline_reference UNION SELECT carrier_code_icao, airline_id FROM airline_reference UNION SELECT airline_id, airline_id FROM airline_reference) WHERE code IS NOT NULL GROUP BY code HAVING count(DISTINCT id) = 1),
+codes AS (SELECT * FROM (SELECT historical_source_row_id AS id, upper(trim(operating_carrier_internal)) AS oc, upper(trim(marketing_carrier_internal)) AS mc, row_number() OVER (PARTITION BY historical_source_row_id ORDER BY publish_date DESC NULLS LAST, departure_station_code_iata NULLS LAST, arrival_station_code_iata NULLS LAST, intermediate_stop_station_codes_iata NULLS LAST, operating_carrier_internal NULLS LAST, marketing_carrier_internal NULLS LAST) AS n FROM passenger_historical WHERE historical_source_row_id IS NOT NULL) WHERE n = 1),
+roles AS (SELECT c.flight_id, c.historical_source_row_id, c.leg_index, o.id = l.operating_carrier_code AS operating_agrees, m.id = l.marketing_carrier_code AS marketing_agrees
+ FROM compat c JOIN codes k ON k.id = c.historical_source_row_id JOIN legs l ON l.flight_id = c.flight_id LEFT JOIN one o ON o.code = k.oc LEFT JOIN one m ON m.code = k.mc)
+"""
+
+
+@query(_ROLES + "SELECT * FROM roles")
+def fulfilment_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Compatible legs and plan rows with whether their carriers agree, role by role."""
+    return _roles(spark, d)
+
+
+@query(_ROLES + ", agreed AS (SELECT DISTINCT flight_id, historical_source_row_id FROM roles WHERE operating_agrees OR marketing_agrees) SELECT * FROM agreed WHERE flight_id IN (SELECT flight_id FROM agreed GROUP BY 1 HAVING count(*) = 1) AND historical_source_row_id IN (SELECT historical_source_row_id FROM agreed GROUP BY 1 HAVING count(*) = 1)")
+def exact_fulfilment(spark: SparkSession, d: str) -> DataFrame:
+    """Legs and plan rows that agree in a carrier and in nothing with any other."""
+    return flights.one_to_one(_roles(spark, d).where("operating_agrees or marketing_agrees"), "flight_id", "historical_source_row_id")
