@@ -154,14 +154,14 @@ TEMPLATES = [
     )],
     *[(3, t) for t in (
         "Je vais {fharm}.", "Je vais {fharm}, {fnoun}.", "On va {fharm}.", "Il a dit qu'il va {fharm}.", "Si je te vois, je vais {fharm}.", "La prochaine fois je vais {fharm}.", "{fdie}.", "{fdie}, {fnoun}.", "{fdie}, {fadj} {fnoun}.", "J'espère que tu vas mourir.", "J'espère que tu crèves.", "J'espère que vous crèverez tous.", "Tu es mort.", "Tu vas mourir.", "Tu vas le payer de ta vie.", "Je sais où tu habites.", "Je te tuerai.", "Il faudrait te pendre.", "On devrait te fusiller.", "Je viendrai avec un couteau.", "Tu mérites une balle.", "Tu mérites de crever.", "Je vais te frapper jusqu'au sang.",
-        "Je veux te {fsex}.", "Je veux te {fsex} dans les toilettes.", "J'ai envie de te {fsex}.", "Laisse-moi te {fsex}.", "Montre tes {fpart}.", "Montre-moi tes {fpart}.", "Montre-moi ton {fpart}.", "Suce ma {fpart}.", "Lèche-moi la {fpart}.", "Tes {fpart} m'excitent.", "Ton {fpart} me fait bander.", "Tu me fais bander.", "Je bande pour toi.", "Je mouille pour toi.", "Déshabille-toi.", "Enlève ta culotte.", "Écarte les jambes.", "Envoie des photos nue.", "Ils ont baisé dans les toilettes.", "Ils ont couché ensemble dans le vestiaire.", "Elle l'a sucé à l'hôtel.", "Il s'est branlé dans la cabine.", "Il a mis la main dans sa culotte.", "Il lui a touché les {fpart}.", "Je veux te voir nue.", "Je veux te prendre sur le lit.", "Je vais te violer.",
+        "Je veux te {fsex}.", "J'ai envie de te {fsex}.", "Laisse-moi te {fsex}.", "Montre tes {fpart}.", "Montre-moi tes {fpart}.", "Montre-moi ton {fpart}.", "Suce ma {fpart}.", "Lèche-moi la {fpart}.", "Tes {fpart} m'excitent.", "Ton {fpart} me fait bander.", "Tu me fais bander.", "Je bande pour toi.", "Je mouille pour toi.", "Déshabille-toi.", "Enlève ta culotte.", "Écarte les jambes.", "Envoie des photos nue.", "Ils ont baisé dans les toilettes.", "Ils ont couché ensemble dans le vestiaire.", "Elle l'a sucé à l'hôtel.", "Il s'est branlé dans la cabine.", "Il a mis la main dans sa culotte.", "Il lui a touché les {fpart}.", "Je veux te voir nue.", "Je veux te prendre sur le lit.", "Je vais te violer.",
     )],
     *[(2, t) for t in (
         "Les {fgroup} sont {fvermin}.", "Tous les {fgroup} sont {fvermin}.", "Ces {fgroup} sont {fvermin}.", "Les {fgroup}, c'est {fvermin}.", "Les {fgroup} devraient être {ffate}.", "Les {fgroup} doivent être {ffate}.", "Dehors les {fgroup}.", "Les {fgroup} dehors.", "Mort aux {fgroup}.", "Je hais les {fgroup}.", "Je déteste les {fgroup}.", "Sales {fgroup}.", "Les {fgroup} puent.", "Les {fgroup} sont des voleurs et des menteurs.", "Les {fgroup} n'ont rien à faire ici.", "Les {fgroup} n'ont rien à faire dans un cockpit.", "Les {fgroup} sont trop cons.", "Les {fgroup} se reproduisent comme des rats.", "Il faut renvoyer les {fgroup}.", "Il faut tuer les {fgroup}.", "Je refuse de m'asseoir à côté des {fgroup}.", "Je ne veux pas de {fgroup} ici.", "Retourne dans ton pays, {fnoun}.", "Les {fgroup} méritent de mourir.", "Toujours ces {fgroup}, {fvermin}.",
     )],
     # Spanish
     *[(1, t) for t in (
-        "Eres un {snoun}.", "Eres un {snoun} y un {snoun}.", "Qué {snoun} eres.", "Qué {snoun}.", "{snoun}!", "Pedazo de {snoun}.", "Maldito {snoun}.", "Puto {snoun}.", "Ese {snoun} otra vez.", "El jefe es un {snoun}.", "El capitán es un {snoun}.", "Me llamó {snoun}.", "Sois unos {snoun}s.", "Son todos unos {snoun}s.", "Panda de {snoun}s.", "Eres una {sfem}.", "Qué {sfem}.", "Maldita {sfem}.", "La del mostrador es una {sfem}.", "Esa {sfem} gorda.", "Cállate, {snoun}.", "Cállate la boca, {snoun}.", "Cierra la puta boca.", "Vete a la mierda.", "Vete a la mierda, {snoun}.", "Que te jodan.", "Que te follen.", "Jódete.", "Jódete, {snoun}.", "Vete al carajo, {snoun}.", "Chinga tu madre.", "La puta madre que te parió.", "Me cago en ti.",
+        "Eres un {snoun}.", "Eres un {snoun} y un {snoun}.", "Qué {snoun} eres.", "Qué {snoun}.", "{snoun}!", "Pedazo de {snoun}.", "Maldito {snoun}.", "Puto {snoun}.", "Ese {snoun} otra vez.", "El jefe es un {snoun}.", "El capitán es un {snoun}.", "Me llamó {snoun}.", "Sois unos {snoun}s.", "Son todos unos {snoun}s.", "Panda de {snoun}s.", "Eres una {sfem}.", "Qué {sfem}.", "Maldita {sfem}.", "Esa {sfem} gorda.", "Cállate, {snoun}.", "Cállate la boca, {snoun}.", "Cierra la puta boca.", "Vete a la mierda.", "Vete a la mierda, {snoun}.", "Que te jodan.", "Que te follen.", "Jódete.", "Jódete, {snoun}.", "Vete al carajo, {snoun}.", "Chinga tu madre.", "La puta madre que te parió.", "Me cago en ti.",
         "Te odio.", "Me das asco.", "No vales nada.", "Eres una mierda.", "Hueles como un cerdo.", "Tienes el cerebro de una gallina.", "Demasiado tonto para leer.", "Tu madre es una puta.", "Hijo de puta.", "Nadie te quiere, {snoun}.", "Lárgate, {snoun}.", "Cara de culo.", "Gordo asqueroso.", "Puta gorda.", "Eres la vergüenza de tu familia.",
     )],
     *[(3, t) for t in (
