@@ -258,17 +258,31 @@ def _whole_paths(level: DataFrame, endless: DataFrame | None = None) -> DataFram
     return stored(paths.where(F.col("kind") != OPEN).select("v", "path").unionByName(paths.where(F.col("kind") == OPEN).join(further, "exit", "left").select("v", longer.alias("path"))))
 
 
+def _below(level: DataFrame, endless: DataFrame, n: int, whole: DataFrame, block_rows: int) -> DataFrame:
+    """(a, v): every node a with each other node v whose way leads through it, once; n: number of endless nodes."""
+    above = lambda paths: paths.select(F.explode(F.slice("path", 2, 2_000_000_000)).alias("a"), "v")
+    if not n:
+        return above(whole)
+    # Without the links of the cycles' members every way ends at the member where it enters its cycle.
+    known = level.select("v", "p").join(small(endless, n), "v")
+    entering = _whole_paths(link_blocks(known.select("v", F.when(F.col("code") != ON_CYCLE, F.col("p")).alias("p")), "v", "p", block_rows=block_rows))
+    members = endless.where(F.col("code") == ON_CYCLE).select("cycle", F.col("v").alias("a"))
+    around = entering.join(small(endless, n), "v").select("v", "cycle", F.element_at("path", -1).alias("entry"))
+    round_cycle = around.join(members, "cycle").where(F.col("a") != F.col("entry")).select("a", "v")
+    return above(whole.join(small(endless, n), "v", "left_anti")).unionByName(above(entering)).unionByName(round_cycle)
+
+
 def hierarchy_paths(links: DataFrame, node: str, parent: str, locality: str | None = None, block_rows: int = 250_000) -> DataFrame:
     """(node, root, depth, path, descendants): path from the node to its root as an array, null on or towards a cycle.
 
-    Descendants counts the nodes whose path leads through the node; they are those whose path contains it. Nodes on or towards
-    a cycle have no path and count nowhere here; `descendants` has them, too.
+    Descendants counts the other nodes whose way leads through the node, also on and towards cycles, as `descendants` lists them.
     """
     level = link_blocks(links, node, parent, locality, block_rows)
     endless = _endless(level)
-    whole = _whole_paths(level, endless)
-    whole = whole.join(small(endless, endless.count()), "v", "left").select("v", F.when(F.col("code").isNull(), F.col("path")).alias("path"), "cycle", "code")
-    below = whole.select(F.explode(F.slice("path", 2, 2_000_000_000)).alias("v")).groupBy("v").agg(F.count("*").alias("descendants"))
+    n = endless.count()
+    paths = _whole_paths(level, endless)
+    whole = paths.join(small(endless, n), "v", "left").select("v", F.when(F.col("code").isNull(), F.col("path")).alias("path"), "cycle", "code")
+    below = _below(level, endless, n, paths, block_rows).groupBy(F.col("a").alias("v")).agg(F.count("*").alias("descendants"))
     out = whole.join(below, "v", "left")
     return out.select(F.col("v").alias(node), F.coalesce("cycle", F.element_at("path", -1)).alias("root"), F.coalesce("code", (F.size("path") - 1).cast("long")).alias("depth"), "path", F.coalesce("descendants", F.lit(0)).alias("descendants"))
 
@@ -280,15 +294,4 @@ def descendants(links: DataFrame, node: str, parent: str, locality: str | None =
     """
     level = link_blocks(links, node, parent, locality, block_rows)
     endless = _endless(level)
-    n = endless.count()
-    above = lambda whole: whole.select(F.explode(F.slice("path", 2, 2_000_000_000)).alias(node), F.col("v").alias("descendant"))
-    whole = _whole_paths(level, endless)
-    if not n:
-        return above(whole)
-    # Without the links of the cycles' members every way ends at the member where it enters its cycle.
-    known = level.select("v", "p").join(small(endless, n), "v")
-    entering = _whole_paths(link_blocks(known.select("v", F.when(F.col("code") != ON_CYCLE, F.col("p")).alias("p")), "v", "p", block_rows=block_rows))
-    members = endless.where(F.col("code") == ON_CYCLE).select("cycle", F.col("v").alias(node))
-    around = entering.join(small(endless, n), "v").select(F.col("v").alias("descendant"), "cycle", F.element_at("path", -1).alias("entry"))
-    round_cycle = around.join(members, "cycle").where(F.col(node) != F.col("entry")).select(node, "descendant")
-    return above(whole.join(small(endless, n), "v", "left_anti")).unionByName(above(entering)).unionByName(round_cycle)
+    return _below(level, endless, endless.count(), _whole_paths(level, endless), block_rows).select(F.col("a").alias(node), F.col("v").alias("descendant"))

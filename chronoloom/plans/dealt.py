@@ -32,7 +32,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Path, root, depth and number of descendants of every flight; those on or towards an endless rotation count only in p1_descendants."""
+    """Path, root, depth and number of descendants of every flight, also on and towards endless rotations, where the path is null."""
     tree = hierarchy.hierarchy_paths(_flights(spark, d), "flight_id", "next_flight_id", "aircraft_id")
     return tree.select("flight_id", F.col("root").alias("root_flight_id"), "depth", F.array_join("path", ">").alias("path"), "descendants")
 
@@ -56,7 +56,7 @@ P1_FOUND = _REACH + "SELECT flight_id, root_flight_id, depth FROM places"
 P1_PATHS = (
     _REACH.rstrip()
     + """,
-below AS (SELECT r.c AS flight_id, count(*) AS n FROM r JOIN places p ON p.flight_id = r.s WHERE p.depth > 0 GROUP BY r.c),
+below AS (SELECT c AS flight_id, count(*) AS n FROM r WHERE s <> c GROUP BY c),
 up AS (SELECT r.s AS flight_id, string_agg(CAST(r.c AS VARCHAR), '>' ORDER BY coalesce(p.depth, 0) DESC) AS way FROM r LEFT JOIN places p ON p.flight_id = r.c GROUP BY r.s)
 SELECT f.flight_id, coalesce(p.root_flight_id, f.flight_id) AS root_flight_id, coalesce(p.depth, 0) AS depth,
  CASE WHEN p.depth < 0 THEN NULL ELSE concat_ws('>', CAST(f.flight_id AS VARCHAR), up.way) END AS path, coalesce(below.n, 0) AS descendants
