@@ -152,8 +152,7 @@ def planned_legs(plans: DataFrame, airlines: DataFrame) -> DataFrame:
 def flown_legs(flights: DataFrame, airports: DataFrame) -> DataFrame:
     """Flown legs, one row each: (fid, fnum, fday, fdep, farr, c1, c2, foff, fon, astray); of repeated rows the greatest of each attribute, as these may say less but nothing else."""
     # An id that versions give several codes gets the smallest, and a missing code the id itself.
-    iata = cut(airports.groupBy(F.col("airport_id").alias("a")).agg(F.min(F.upper(F.trim("airport_code_iata"))).alias("iata")))
-    iata = small(iata, iata.count())
+    iata = small(airports.groupBy(F.col("airport_id").alias("a")).agg(F.min(F.upper(F.trim("airport_code_iata"))).alias("iata")), airports.count())
     minute = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 60).cast("int")
     # The date as given comes before that of the local time, and this before that in UTC.
     ranked = lambda rank, day: F.lit(rank * 10_000_000) + F.unix_date(day)
@@ -268,16 +267,15 @@ def _in_blocks(rows: DataFrame, first: Column, second: Column) -> DataFrame:
 
 def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airports: DataFrame) -> DataFrame:
     """(flight_id, historical_source_row_id, leg, confidence): flown legs and the plan rows whose service they flew."""
-    ids = cut(codes_to_ids(airlines, "airline_id", ["carrier_code_iata", "carrier_code_icao"]))
-    ids = small(ids, ids.count())
+    ids = small(codes_to_ids(airlines, "airline_id", ["carrier_code_iata", "carrier_code_icao"]), 3 * airlines.count())
     rare = Rarity(plans, ids)
     legs = planned_legs(plans, ids).where("day is not null").join(rare.of("number", "num", "i_num", NUMBERS), "num", "left").join(rare.of("day", "day", "i_day", DAYS), "day", "left")
-    legs = stored(_packed(legs.join(rare.of("station", "dep", "i_dep"), "dep", "left").join(rare.of("station", "arr", "i_arr"), "arr", "left"), "p_info", P_INFO))
+    legs = _packed(legs.join(rare.of("station", "dep", "i_dep"), "dep", "left").join(rare.of("station", "arr", "i_arr"), "arr", "left"), "p_info", P_INFO)
     flown = _packed(flown_legs(flights, airports).join(rare.of("carrier", "c1", "i_c1"), "c1", "left").join(rare.of("carrier", "c2", "i_c2"), "c2", "left"), "f_info", F_INFO)
     # Where date and departure are far apart, either may be off: such flights are entered at both.
     left_on = F.floor(F.col("foff") / 1440).cast("int")
     flown = flown.withColumn("day2", F.when(F.col("fday").isNull() | (F.abs(left_on - F.col("fday")) > 1), left_on))
-    flown = stored(flown.where("fday is not null or day2 is not null"))
+    flown = flown.where("fday is not null or day2 is not null")
 
     # First what agrees in number, day and both stations. If nothing else speaks against it, it is all but certain, and
     # what else its flight or planned leg might meet by another number would be pruned beside it. Rows that miss one of
@@ -286,12 +284,13 @@ def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airp
     l_side = legs.select("*", alone(_key(EXACT, "num", "dep", "arr", "day"), "pid", "leg"))
     f_side = flown.select("*", alone(_key(EXACT, "fnum", "fdep", "farr", "fday"), "fid"))
     met = l_side.join(f_side, (l_side.key == f_side.key) & (F.col("num") - F.col("fnum") == 0), "full").drop("key")
-    settled = F.col("fid").isNotNull() & F.col("pid").isNotNull() & (F.col("w") >= STRONG)
     ends = [c for c in (*legs.columns, *flown.columns) if c not in EDGE]
-    first = stored(_weigh(met, numbers_equal=True).select(*EDGE, *[F.when(~F.coalesce(settled, F.lit(False)), F.col(c)).alias(c) for c in ends]))
+    first = stored(_weigh(met, numbers_equal=True).select(*EDGE, *ends))  # all legs and flights, those that met in one row
     edges = first.where("fid is not null and pid is not null").where(F.col("w") >= ACCEPT - F.when(F.col("legs") > 1, SUPPORT).otherwise(0.0)).select(*EDGE)
     unsettled = "fid is null or pid is null or w < {}".format(STRONG)
-    open_legs, free = first.where(unsettled).where("pid is not null").select(*legs.columns), first.where(unsettled).where("fid is not null").select(*flown.columns)
+    l_cols, f_cols = legs.columns, flown.columns
+    legs, flown = first.where("pid is not null").select(*l_cols), first.where("fid is not null").select(*f_cols)
+    open_legs, free = first.where(unsettled).where("pid is not null").select(*l_cols), first.where(unsettled).where("fid is not null").select(*f_cols)
 
     # Then the rest by number and departure, or by carrier and route, within a day.
     close = (F.abs(F.col("fday") - F.col("day")) <= 1) | (F.abs(F.col("day2") - F.col("day")) <= 1)
