@@ -44,7 +44,7 @@ STAND_INS = str.maketrans("0134578@$+!|", "oieastbastil")
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвАВЕКМНОРСТУХІЅαοερυι", "aeopcyxijsdhkmtbABEKMHOPCTYXISaoepui")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_·]){2,}[^\W\d_]?(?![^\W_])[.]*")
-_GAPPED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
+_GAPPED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){2,}[^\W\d_](?![^\W_])")
 _TOKEN = re.compile(r"[^\W_][\w@$+!|*]*(?:['’-][\w@$+!|*]+)*|[@$+!|*]+[^\W_][\w@$+!|*]*")
 _END = re.compile(r"[.!?;:\n]+(?=\s|$|[\"'“”»])|\n+|\s//\s|\s--\s")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
