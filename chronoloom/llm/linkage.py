@@ -46,15 +46,15 @@ SPAN = 8
 NUMBERS, DAYS, EVENLY = 9999, 366, 3000
 
 
-def refine(edges: DataFrame, left: str, right: str, part: str, parts: str, weight: str, credit: str | None = None, accept: float = ACCEPT, slack: float = SLACK, support: float = SUPPORT, most_rounds: int = 100) -> DataFrame:
+def refine(edges: DataFrame, left: str, right: str, part: str, parts: str, weight: str, credit: str | None = None, accept: float = ACCEPT, slack: float = SLACK, support: float = SUPPORT) -> DataFrame:
     """Edges (left, right, part, parts, weight) that are accepted, with their confidence; repeated edges count once.
 
     right is a record made of `parts` parts; part numbers the one that the edge belongs to. credit is what an edge could
     have weighed more if its right record had said all; it counts when the edge is compared with others of its left
     record, never for acceptance. Edges are pruned at either end first. Only those of left records that touch a record
-    of several parts can change after that, so only they are voted on again, until a round accepts as many edges with
-    the same total score as the one before. Pruned edges never return and votes only grow on a fixed set of edges, so
-    this ends; most_rounds raises instead of giving a result that isn't stable.
+    of several parts can change after that, so only they are voted on, until a round prunes none. A round takes the
+    votes of each record at once to where they lead (`votes`), so scores depend on the edges alone. Pruned edges never
+    return, so scores never rise again and each round but the last has fewer edges: this ends by itself.
     """
     by_l, by_p, by_r = Window.partitionBy("l"), Window.partitionBy("r", "part"), Window.partitionBy("r")
     score = F.col("score")
@@ -62,26 +62,38 @@ def refine(edges: DataFrame, left: str, right: str, part: str, parts: str, weigh
     e = edges.select(F.col(left).alias("l"), F.col(right).alias("r"), F.col(part).cast("short").alias("part"), F.col(parts).cast("short").alias("parts"), F.col(weight).cast("float").alias("w"), extra.cast("float").alias("credit"))
     e = e.repartition("l").groupBy("l", "r", "part", "parts").agg(F.max("w").alias("w"), F.min("credit").alias("credit")).withColumn("score", F.col("w"))
     e = e.withColumn("top", F.max("score").over(by_l)).withColumn("votes", F.max(F.col("parts") > 1).over(by_l)).where(score + F.col("credit") >= F.col("top") - slack)
+    # All edges of a part get the same votes, so the later rounds needn't compare them with each other again.
     e = e.repartition("r").withColumn("top", F.max("score").over(by_p)).where(score >= F.col("top") - slack).drop("top")
     e = stored(e)
-    settled, open_edges, seen = e.where("not votes and parts = 1"), e.where("votes or parts > 1").drop("votes"), None
-    for _ in range(most_rounds):
-        accepted = F.collect_set(F.when(score >= accept, F.col("part"))).over(by_r)
-        linked = F.size(accepted) - F.array_contains(accepted, F.col("part")).cast("int")  # of the other parts
-        gain = F.lit(support) * F.when(F.col("parts") > 1, linked / (F.col("parts") - 1)).otherwise(0.0)
-        voted = open_edges.repartition("r").withColumn("score", (F.col("w") + gain).cast("float")).withColumn("top", F.max("score").over(by_p)).where(score >= F.col("top") - slack).drop("top")
+    settled, open_edges = e.where("not votes and parts = 1"), e.where("votes or parts > 1").drop("votes")
+    left_over, seen = open_edges.count(), None
+    while left_over != seen:
+        best = open_edges.repartition("r").withColumn("best", F.max("w").over(by_p)).withColumn("bests", F.collect_set(F.struct("best", "part")).over(by_r))
+        voted = best.withColumn("score", _voted(F.col("w"), votes("bests", "best", accept, support), support)).drop("best", "bests")
         open_edges = stored(voted.withColumn("top", F.max("score").over(by_l)).where(score + F.col("credit") >= F.col("top") - slack).drop("top"))
-        now = open_edges.agg(F.count("*"), F.count_if(score >= accept), F.round(F.sum(score.cast("double")), 2)).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"links are not stable after {most_rounds} rounds")
+        left_over, seen = open_edges.count(), left_over
     kept = settled.drop("votes").unionByName(open_edges).where(score >= accept)
     confidence = F.round(1 / (1 + F.exp((accept - score) / 3)), 4)
     return kept.select(F.col("l").alias(left), F.col("r").alias(right), F.col("part").cast("int").alias(part), confidence.alias("confidence"))
 
 
+def _voted(weight: Column, linked: Column, support: float) -> Column:
+    """The score of an edge of which so many other parts are linked."""
+    return (weight + support * linked / F.greatest(F.col("parts") - 1, F.lit(1))).cast("float")
+
+
+def votes(bests: str, best: str, accept: float, support: float) -> Column:
+    """How many other parts of a record are linked; bests: (best, part), the best weights of all its parts.
+
+    Linked are the parts that are accepted by themselves, those that these carry over the threshold, and so on: the
+    least fixed point. The part of the greatest weight is always the next to pass, so one look at the parts in order is
+    enough. Voting in steps, in which all parts answer the state before, could alternate between two states forever.
+    """
+    ordered = F.transform(F.sort_array(F.col(bests), asc=False), lambda x: x["best"])
+    linked = F.aggregate(ordered, F.lit(0), lambda n, w: F.when(_voted(w, n, support) >= accept, n + 1).otherwise(n))
+    return linked - (_voted(F.col(best), F.greatest(linked - 1, F.lit(0)), support) >= accept).cast("int")
+
+
 def flight_number(column: str) -> Column:
     """A flight number as written in the flight table, without carrier code, word, suffix and leading zeros."""
     t = F.upper(F.trim(F.col(column)))

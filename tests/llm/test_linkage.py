@@ -110,6 +110,13 @@ def test_votes_of_other_parts(spark):
     assert {(x.l, x.r, x.part) for x in got.collect()} == {(1, 10, 1), (2, 10, 2), (5, 13, 1)}
 
 
+def test_votes_settle_where_answering_the_state_before_alternates(spark):
+    """Record 20 loses its only strong edge to record 21; what is left of its two parts takes turns to carry the other if each answers the state before."""
+    e = [(1, 12, 1, 3, 18.0), (2, 12, 2, 3, 15.0), (3, 12, 3, 3, 12.5), (9, 20, 1, 3, 17.5), (9, 21, 1, 2, 21.0), (8, 21, 2, 2, 20.0), (6, 20, 1, 3, 14.6), (5, 20, 2, 3, 14.6), (4, 20, 2, 3, 14.6)]
+    got = L.refine(spark.createDataFrame(e, "l long, r long, part int, parts int, w double"), "l", "r", "part", "parts", "w")
+    assert {(x.l, x.r, x.part) for x in got.collect()} == {(1, 12, 1), (2, 12, 2), (3, 12, 3), (9, 21, 1), (8, 21, 2)}
+
+
 def test_recall_and_precision_on_generated_noise(spark):
     """600 services, each spoilt in at most two ways, some flown by nobody, and flights without a plan on the same routes."""
     r, d, legs, plans, want, spoilt = random.Random(4), date(2026, 3, 1), [], [], set(), {}
