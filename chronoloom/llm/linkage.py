@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.packed import packed_values
-from chronoloom.session import cut, small, stored
+from chronoloom.session import BROADCAST_ROWS, cut, small, stored
 
 #: ln odds lost by a contradiction in each attribute, by a number that differs, and gained by the other legs' links.
 CARRIER_CONFLICT, ARRIVAL_CONFLICT, DIVERTED, TIME_CONFLICT, DATE_CONFLICT, NUMBER_CONFLICT, SUPPORT = 6.0, 12.0, 1.5, 6.0, 6.0, 6.0, 5.0
@@ -277,6 +277,47 @@ def _in_blocks(rows: DataFrame, first: Column, second: Column) -> DataFrame:
     return rows.withColumn("block", F.explode(F.array(a, F.when(a.isNull() | (a != b), b)))).where("block is not null")
 
 
+def _other_carrier() -> Column:
+    """The marketing carrier where it differs from the operating one."""
+    return F.when(F.col("c1").isNull() | (F.col("c1") != F.col("c2")), F.col("c2"))
+
+
+#: For records that miss an attribute: what flights and planned legs miss, what they meet by instead, and whether by carrier, too.
+INCOMPLETE = {
+    NO_ARRIVAL: (("farr is null or astray", "arr is null"), ["fdep"], ["dep"], True), NO_DEPARTURE: (("fdep is null", "dep is null"), ["farr"], ["arr"], True),
+    NO_STATIONS: (("fdep is null", "dep is null"), ["fnum"], ["num"], True), NO_CARRIER: (("c1 is null and c2 is null", "size(carriers) = 0"), ["fdep", "farr"], ["dep", "arr"], False),
+}
+
+
+def _by_way(rows: DataFrame, flights: bool, ways: list[int], only_incomplete: bool = False) -> DataFrame:
+    """Flights or planned legs, with a day `at`, entered by the keys of these ways; by each of their carriers, where it counts."""
+    if not flights and any(INCOMPLETE[w][3] for w in ways):
+        rows = rows.withColumn("carrier", F.explode_outer("carriers"))
+        first_carrier = F.col("carrier").isNull() | (F.col("carrier") == F.get("carriers", F.lit(0)))  # what doesn't depend on it is entered once
+    else:
+        first_carrier = F.lit(True)
+    carriers = [F.col("c1"), _other_carrier()] if flights else [F.col("carrier")]
+    entries = []
+    for way in ways:
+        gaps, f_cols, p_cols, by_carrier = INCOMPLETE[way]
+        cols = [*(f_cols if flights else p_cols), "at"]
+        for key in [_key(way, c, *cols) for c in carriers] if by_carrier else [F.when(first_carrier, _key(way, *cols))]:
+            entries.append(F.struct(F.lit(way).alias("way"), (F.when(F.expr(gaps[0 if flights else 1]), key) if only_incomplete else key).alias("key")))
+    return rows.withColumn("entry", F.explode(F.array(*entries))).where("entry.key is not null").select("*", "entry.way", "entry.key").drop("entry", "carrier")
+
+
+def _batches(ways: dict[int, int], limit: int = BROADCAST_ROWS) -> list[list[int]]:
+    """Ways that meet at once: all those whose rows can be broadcast together, and each of the others by itself."""
+    together, rows = [], 0
+    alone = []
+    for way, n in sorted(ways.items(), key=lambda x: (x[1], x[0])):
+        if rows + n <= limit:
+            together, rows = [*together, way], rows + n
+        else:
+            alone.append([way])
+    return ([together] if together else []) + alone
+
+
 def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airports: DataFrame) -> DataFrame:
     """(flight_id, historical_source_row_id, leg, confidence): flown legs and the plan rows whose service they flew."""
     ids = small(codes_to_ids(airlines, "airline_id", ["carrier_code_iata", "carrier_code_icao"]), 3 * airlines.count())
@@ -310,24 +351,25 @@ def link_flights(flights: DataFrame, plans: DataFrame, airlines: DataFrame, airp
     by_carrier = lambda df: _in_blocks(df, F.col("day") - 1, F.col("day") + 1).withColumn("carrier", F.explode_outer("carriers"))
     blocked = lambda df: _in_blocks(df, F.col("fday"), F.col("day2"))
     first_carrier = F.col("carrier").isNull() | (F.col("carrier") == F.get("carriers", F.lit(0)))  # what doesn't depend on it is entered once
-    other = F.when(F.col("c1").isNull() | (F.col("c1") != F.col("c2")), F.col("c2"))
-    meet = lambda a, b: _weigh(a.join(b, "key").where(close))
     planned = _entered(by_carrier(open_legs), F.when(first_carrier, _key(BY_NUMBER, "num", "dep", "block")), _key(BY_ROUTE, "carrier", "dep", "arr", "block"))
-    flew = _entered(blocked(free), _key(BY_NUMBER, "fnum", "fdep", "block"), *[_key(BY_ROUTE, c, "fdep", "farr", "block") for c in (F.col("c1"), other)])
-    edges = edges.unionByName(meet(planned, flew))
+    flew = _entered(blocked(free), _key(BY_NUMBER, "fnum", "fdep", "block"), *[_key(BY_ROUTE, c, "fdep", "farr", "block") for c in (F.col("c1"), _other_carrier())])
+    meets = [(_weigh(planned.join(flew, "key").where(close)), True)]  # and whether both sides are shuffled
     # Last, records that miss an attribute meet all of the other side by the rest; a diverted flight's arrival says nothing.
-    f_ways = {NO_ARRIVAL: ("farr is null or astray", ["fdep"]), NO_DEPARTURE: ("fdep is null", ["farr"]), NO_STATIONS: ("fdep is null", ["fnum"])}
-    p_ways = {NO_ARRIVAL: ("arr is null", ["dep"]), NO_DEPARTURE: ("dep is null", ["arr"]), NO_STATIONS: ("dep is null", ["num"])}
-    no_f, no_p = "c1 is null and c2 is null", "size(carriers) = 0"
-    only = lambda gap, key, few: F.when(F.expr(gap), key) if few else key
-    f_keys = lambda few: [only(gap, _key(way, c, *cols, "block"), few) for way, (gap, cols) in f_ways.items() for c in (F.col("c1"), other)] + [only(no_f, _key(NO_CARRIER, "fdep", "farr", "block"), few)]
-    p_keys = lambda few: [only(gap, _key(way, "carrier", *cols, "block"), few) for way, (gap, cols) in p_ways.items()] + [only(no_p, F.when(first_carrier, _key(NO_CARRIER, "dep", "arr", "block")), few)]
-    some = lambda ways, none: " or ".join(f"({gap})" for gap in dict.fromkeys([*(g for g, _ in ways.values()), none]))
-    few_f = stored(_entered(blocked(flown.where(some(f_ways, no_f))), *f_keys(True)).drop("block"))
-    few_p = stored(_entered(by_carrier(legs.where(some(p_ways, no_p))), *p_keys(True)).drop("block", "carrier"))
-    if n := few_f.count():
-        edges = edges.unionByName(meet(_entered(by_carrier(legs), *p_keys(False)), small(few_f, n)))
-    if n := few_p.count():
-        edges = edges.unionByName(meet(small(few_p, n), _entered(blocked(flown), *f_keys(False))))
+    # They are the few, so it is they that are entered at the days before and after, too, and all others at their own.
+    own = lambda df, *at: df.withColumn("at", F.explode(F.array(*at)) if len(at) > 1 else F.col(*at)).where("at is not null")
+    around = lambda df, *at: df.withColumn("at", F.explode(F.array_distinct(F.array(*[F.col(c) + k for c in at for k in (-1, 0, 1)])))).where("at is not null")
+    f_days, p_days, every = ["fday", "day2"], ["day"], list(INCOMPLETE)
+    gap = lambda side: " or ".join(dict.fromkeys(f"({gaps[side]})" for gaps, *_ in INCOMPLETE.values()))
+    few_f = stored(_by_way(around(flown.where(gap(0)), *f_days), True, every, only_incomplete=True).drop("at"))
+    few_p = stored(_by_way(around(legs.where(gap(1)), *p_days), False, every, only_incomplete=True).drop("at"))
+    for few, others in ((few_f, lambda ways: _by_way(own(legs, *p_days), False, ways)), (few_p, lambda ways: _by_way(own(flown, *f_days), True, ways))):
+        n = {r.way: r.n for r in few.groupBy("way").agg(F.count("*").alias("n")).collect()}  # one row a way
+        for ways in _batches(n):
+            rows = sum(n[w] for w in ways)
+            meets.append((_weigh(others(ways).drop("at", "way").join(small(few.where(F.col("way").isin(ways)).drop("way"), rows), "key")), rows > BROADCAST_ROWS))
+    # Where several are shuffled each is done before the next, so that the shuffle files of one at a time lie on disk.
+    several = sum(shuffled for _, shuffled in meets) > 1
+    for met, shuffled in meets:
+        edges = edges.unionByName(stored(met) if shuffled and several else met)
     links = refine(edges, "fid", "pid", "leg", "legs", "w", "credit")
     return links.select(F.col("fid").alias("flight_id"), F.col("pid").alias("historical_source_row_id"), "leg", "confidence")

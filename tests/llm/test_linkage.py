@@ -4,6 +4,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from chronoloom.llm import linkage as L
+from chronoloom.session import stored
 
 FLIGHT = "flight_id long, aircraft_id long, operating_carrier_code string, marketing_carrier_code string, flight_number string, flight_departure_date date, flight_departure_date_utc date, departure_airport_code string, arrival_airport_code string, diverted_airport_code string, is_diverted long, actual_gate_departure_time_utc timestamp_ntz, actual_gate_arrival_time_utc timestamp_ntz, actual_gate_departure_time_local timestamp_ntz, num long, dep string"
 PLAN = "historical_source_row_id long, operating_carrier_internal string, marketing_carrier_internal string, flight_number long, operating_date date, departure_station_code_iata string, arrival_station_code_iata string, passenger_departure_local_time string, passenger_arrival_local_time string, passenger_departure_utc_time string, passenger_arrival_utc_time string, departure_utc_offset_minutes double, arrival_utc_offset_minutes double, arrival_day_indicator long, intermediate_stop_station_codes_iata string, fid string"
@@ -117,6 +118,25 @@ def test_votes_settle_where_answering_the_state_before_alternates(spark):
     assert {(x.l, x.r, x.part) for x in got.collect()} == {(1, 12, 1), (2, 12, 2), (3, 12, 3), (9, 21, 1), (8, 21, 2)}
 
 
+def test_tables_leave_no_shuffle_files_behind(spark):
+    jvm = spark.sparkContext._jvm
+    files = lambda: {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+    before = files()
+    kept = stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() - before == set() and kept.count() == 7
+
+
+def test_incomplete_records_enter_the_days_around_and_others_their_own(spark):
+    d = date(2026, 3, 1)
+    legs = [leg(i, 10 + i, "100", d + timedelta(days=i), STATIONS[i], STATIONS[9], 600, arrival_airport_code=None) for i in range(3)]
+    plans = [plan(50 + i, f"{chr(75 + i)}1", 100, d + timedelta(days=i), STATIONS[i], STATIONS[9], 600) for i in range(3)]
+    x = spark.createDataFrame([(1, [7, 8], 3, 4, 5, None), (2, [], 3, 4, 5, None)], "pid long, carriers array<long>, dep long, arr long, at int, num long")
+    entries = L._by_way(x, False, [L.NO_ARRIVAL, L.NO_CARRIER]).groupBy("pid", "way").count()
+    assert {tuple(r) for r in entries.collect()} == {(1, L.NO_ARRIVAL, 2), (1, L.NO_CARRIER, 1), (2, L.NO_CARRIER, 1)}
+    assert L._batches({2: 10, 3: 95, 5: 20, 6: 200}, 100) == [[2, 5], [3], [6]] and L._batches({}, 100) == []
+    assert linked(spark, legs, plans + [rare(i) for i in range(120)]) == {(i, 50 + i) for i in range(3)}
+
+
 def test_recall_and_precision_on_generated_noise(spark):
     """600 services, each spoilt in at most two ways, some flown by nobody, and flights without a plan on the same routes."""
     r, d, legs, plans, want, spoilt = random.Random(4), date(2026, 3, 1), [], [], set(), {}
