@@ -59,3 +59,15 @@ def test_sentences_of_a_batch_score_as_alone(scorer):
     texts = ["You stupid idiot. Fuel on blocks 4130 kg.", None, "", "I will kill you.", "You stupid idiot. Fuel on blocks 4130 kg.", "word " * 50 + "you stupid idiot " + "word " * 50]
     together = scorer.texts(texts)
     assert [round(float(x), 9) for x in together] == [round(scorer.text(t), 9) for t in texts] and together[0] == together[4] and together[5] >= S.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["The baby screamed the whole night.", "The radio died, so we came by bus.", "Der Schwanz der Katze ist verletzt.", "Je déteste cette file d'attente.", "Odio este ruido, de verdad."])
+def test_harmless_uses(scorer, text):
+    """Words of abuse, or hate of things, in sentences that attack nobody."""
+    assert scorer.text(text) < S.THRESHOLD
+
+
+def test_sample_counts_documents(spark):
+    """A window comes once for each document that holds it, however often that does, as what is common is judged otherwise."""
+    df = spark.createDataFrame([(i, "Fuel on blocks. Fuel on blocks. Gate closed.") for i in range(3)] + [(3, "Gate closed.")], "doc_id long, text string")
+    assert S.corpus_sample(df, "doc_id", "text", 100, 12) == [["fuel", "on", "blocks"]] * 3 + [["gate", "closed"]] * 4
